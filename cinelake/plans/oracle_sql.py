@@ -168,3 +168,134 @@ oracle(
               row_number() OVER (ORDER BY u.total DESC, t.id) AS usage_rank
        FROM v_tags t JOIN (SELECT tag_id, sum(num) AS total FROM v_tag_count GROUP BY tag_id) u ON t.id = u.tag_id""",
 )
+
+
+# ---------------------------------------------------------------- step 3: model
+
+LAMBDA = 50.0
+
+
+def model_ctes(lam: float = LAMBDA, implicit: bool = False, sfx: str = "") -> list[tuple[str, str]]:
+    """Train split -> index -> Gram -> Gauss-Jordan inverse (recursive CTE) -> weights."""
+    if implicit:
+        gval = "CAST(count(*) AS DOUBLE)"
+    else:
+        gval = (
+            "CAST(sum(CAST(round(a.r * 2) AS BIGINT) * CAST(round(b.r * 2) AS BIGINT)) AS DOUBLE)"
+            " / (SELECT (max(rating) * 2) * (max(rating) * 2) FROM m_train)"
+        )
+    s = sfx
+    return CORPUS + [
+        ("m_train", "SELECT user_id, item_id, rating FROM c_split WHERE split = 'train'"),
+        ("m_idx", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM m_train)"),
+        ("m_n", "SELECT count(*) AS n FROM m_idx"),
+        ("m_x", "SELECT t.user_id, i.idx, sum(t.rating) AS r FROM m_train t JOIN m_idx i ON t.item_id = i.item_id GROUP BY t.user_id, i.idx"),
+        (f"m_g{s}", f"SELECT a.idx AS i, b.idx AS j, {gval} AS g FROM m_x a JOIN m_x b ON a.user_id = b.user_id GROUP BY a.idx, b.idx"),
+        (
+            f"m_dense{s}",
+            f"""SELECT r.idx AS i,
+                  list(coalesce(g.g, 0.0) + CASE WHEN r.idx = c.idx THEN {lam} ELSE 0.0 END ORDER BY c.idx)
+                  || list(CASE WHEN r.idx = c.idx THEN 1.0 ELSE 0.0 END ORDER BY c.idx) AS row
+                FROM m_idx r JOIN m_idx c ON true LEFT JOIN m_g{s} g ON g.i = r.idx AND g.j = c.idx
+                GROUP BY r.idx""",
+        ),
+        (
+            f"m_gj{s}(k, i, row)",
+            f"""SELECT 0, i, row FROM m_dense{s}
+                UNION ALL
+                SELECT k + 1, i,
+                  CASE WHEN i = k THEN list_transform(row, lambda x: x / piv[k + 1])
+                       ELSE list_transform(row, lambda x, q: x - (row[k + 1] / piv[k + 1]) * piv[q]) END
+                FROM (SELECT *, max(CASE WHEN i = k THEN row END) OVER () AS piv FROM m_gj{s})
+                WHERE k < (SELECT n FROM m_n)""",
+        ),
+        (
+            f"m_p{s}",
+            f"""SELECT i, CAST(j - 1 - n AS BIGINT) AS j, p FROM (
+                  SELECT g.i, m_n.n, unnest(g.row) AS p, generate_subscripts(g.row, 1) AS j
+                  FROM m_gj{s} g, m_n WHERE g.k = m_n.n) WHERE j > n""",
+        ),
+        (
+            f"m_b{s}",
+            f"""SELECT p.i, p.j, CASE WHEN p.i = p.j THEN 0.0 ELSE -p.p / d.p END AS b
+                FROM m_p{s} p JOIN m_p{s} d ON d.i = d.j AND d.j = p.j""",
+        ),
+        (f"m_thr{s}", f"SELECT quantile_cont(abs(b), {SPARSITY_Q}) AS thr FROM m_b{s}"),
+        (
+            f"m_w{s}",
+            f"""SELECT si.item_id AS src_item, di.item_id AS dst_item, b.b AS w
+                FROM m_b{s} b JOIN m_idx si ON si.idx = b.i JOIN m_idx di ON di.idx = b.j, m_thr{s} t
+                WHERE abs(b.b) >= t.thr AND b.b <> 0""",
+        ),
+    ]
+
+
+SPARSITY_Q = 0.98
+NAMES = "JOIN (SELECT item_id, title, popularity, imdb_id FROM v_movies) nm ON nm.item_id = t.item_id"
+
+
+def recommend_ctes(req: str, k: int, sfx: str = "") -> list[tuple[str, str]]:
+    """Brute force: every unrated model item is a candidate, unscored ones score 0."""
+    s = sfx
+    return [
+        ("r_req", req),
+        ("r_known", "SELECT * FROM r_req WHERE item_id IN (SELECT item_id FROM m_idx)"),
+        (
+            "r_cand",
+            """SELECT q.request_id, i.item_id FROM (SELECT DISTINCT request_id FROM r_req) q JOIN m_idx i ON true
+               WHERE NOT EXISTS (SELECT 1 FROM r_known k WHERE k.request_id = q.request_id AND k.item_id = i.item_id)""",
+        ),
+        (
+            "r_sc",
+            f"""SELECT k.request_id, w.dst_item AS item_id, sum(k.rating * w.w) AS s
+                FROM r_known k JOIN m_w{s} w ON w.src_item = k.item_id GROUP BY k.request_id, w.dst_item""",
+        ),
+        (
+            "r_top",
+            f"""SELECT * FROM (
+                  SELECT c.request_id, c.item_id, coalesce(round_even(s.s, 9), 0.0) + 0.0 AS score,
+                         row_number() OVER (PARTITION BY c.request_id
+                                            ORDER BY coalesce(round_even(s.s, 9), 0.0) DESC, c.item_id) AS rank
+                  FROM r_cand c LEFT JOIN r_sc s ON s.request_id = c.request_id AND s.item_id = c.item_id)
+                WHERE rank <= {k}""",
+        ),
+    ]
+
+
+REQ = "SELECT request_id, item_id, rating FROM v_request_ratings"
+
+oracle("item_index", "SELECT item_id, idx FROM m_idx", model_ctes()[:7])
+oracle(
+    "gram_matrix",
+    "SELECT a.item_id AS item_i, b.item_id AS item_j, round_even(g.g, 9) AS g FROM m_g g "
+    "JOIN m_idx a ON a.idx = g.i JOIN m_idx b ON b.idx = g.j",
+    model_ctes()[:10],
+)
+oracle(
+    "gram_implicit",
+    "SELECT a.item_id AS item_i, b.item_id AS item_j, round_even(g.g, 9) AS g FROM m_g g "
+    "JOIN m_idx a ON a.idx = g.i JOIN m_idx b ON b.idx = g.j",
+    model_ctes(implicit=True)[:10],
+)
+oracle(
+    "gram_inverse",
+    "SELECT a.item_id AS item_i, b.item_id AS item_j, round_even(p.p, 9) AS p FROM m_p p "
+    "JOIN m_idx a ON a.idx = p.i JOIN m_idx b ON b.idx = p.j",
+    model_ctes()[:13],
+)
+oracle("ease_weights", "SELECT src_item, dst_item, round_even(w, 9) AS w FROM m_w", model_ctes())
+oracle(
+    "ease_recommend",
+    f"SELECT t.request_id, t.item_id, t.score, t.rank, nm.title, nm.popularity, nm.imdb_id FROM r_top t {NAMES}",
+    model_ctes() + recommend_ctes(REQ, 10),
+)
+oracle("popular_fallback", "SELECT * FROM samp", [("samp", POPULAR_SAMPLE.format(top=100, k=10))])
+oracle(
+    "recommend",
+    f"""SELECT t.request_id, t.item_id, t.score, nm.title, nm.popularity, nm.imdb_id, 'ease' AS source FROM r_top t {NAMES}
+        UNION ALL
+        SELECT q.request_id, s.item_id, s.score, s.title, s.popularity, s.imdb_id, 'popular' AS source
+        FROM v_requests q JOIN samp s ON true
+        WHERE q.request_id NOT IN (SELECT request_id FROM v_request_ratings)""",
+    model_ctes() + recommend_ctes(REQ, 10) + [("samp", POPULAR_SAMPLE.format(top=100, k=10))],
+)

@@ -171,4 +171,5 @@ def with_views(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     ctes = [f"{n} AS ({VIEWS[n]})" for n in order] + [f"{n} AS ({sql})" for n, sql in (extra or [])]
     if not ctes:
         return body
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    head = "WITH RECURSIVE " if any("(" in n for n, _ in (extra or [])) else "WITH "
+    return head + ",\n".join(ctes) + "\n" + body

@@ -54,3 +54,29 @@ def corpus_stages(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
         ("train", s.where(F.col("split") == "train")),
         ("test", s.where(F.col("split") == "test")),
     ]
+
+
+# ---------------------------------------------------------------- model
+
+LAMBDA = 50.0
+SPARSITY = 98
+TOP_K = 10
+_MODELS: dict[tuple, tuple] = {}
+
+
+@V._memo
+def train_ratings(spark: SparkSession, d: str) -> DataFrame:
+    return split(spark, d).where(F.col("split") == "train").select("user_id", "item_id", "rating")
+
+
+def model(spark: SparkSession, d: str, lam: float = LAMBDA, implicit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(item_index, weights) fitted on the train split; fitted once per session and parameters."""
+    from cinelake.operators import ease
+
+    key = (id(spark), d, lam, implicit)
+    if key not in _MODELS:
+        idx, w = ease.fit(train_ratings(spark, d), lam, SPARSITY, implicit)
+        from cinelake.session import cut_lineage
+
+        _MODELS[key] = (idx, cut_lineage(w))
+    return _MODELS[key]

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinelake.operators import blend, curate
+from cinelake.operators import blend, curate, ease
 from cinelake.plans import pipelines as P
 from cinelake.plans import views as V
 from cinelake.session import shared_path
@@ -160,3 +160,82 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tag_usage(spark: SparkSession, d: str) -> DataFrame:
     return curate.tag_usage(V.tags(spark, d), V.tag_count(spark, d))
+
+
+# ---------------------------------------------------------------- step 3: model
+
+
+def _names(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Inner join with the catalogue (ids without a title drop out, as in the reference)."""
+    return df.join(V.movies(spark, d).select("item_id", "title", "popularity", "imdb_id"), "item_id")
+
+
+@query
+def item_index(spark: SparkSession, d: str) -> DataFrame:
+    return ease.item_index(P.train_ratings(spark, d))
+
+
+def _gram(spark: SparkSession, d: str, implicit: bool) -> DataFrame:
+    r = P.train_ratings(spark, d)
+    idx = ease.item_index(r)
+    g = ease.gram(r, idx, implicit)
+    return ease.with_item_ids(g.withColumn("g", F.bround("g", 9)), idx, "g", "g").withColumnsRenamed(
+        {"src_item": "item_i", "dst_item": "item_j"}
+    )
+
+
+@query
+def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _gram(spark, d, False)
+
+
+@query
+def gram_implicit(spark: SparkSession, d: str) -> DataFrame:
+    return _gram(spark, d, True)
+
+
+@query
+def gram_inverse(spark: SparkSession, d: str) -> DataFrame:
+    r = P.train_ratings(spark, d)
+    idx = ease.item_index(r)
+    n = idx.count()
+    p = ease.inverse(ease.gram(r, idx), n, P.LAMBDA)
+    return ease.with_item_ids(p.withColumn("p", F.bround("p", 9)), idx, "p", "p").withColumnsRenamed(
+        {"src_item": "item_i", "dst_item": "item_j"}
+    )
+
+
+@query
+def ease_weights(spark: SparkSession, d: str) -> DataFrame:
+    _, w = P.model(spark, d)
+    return w.withColumn("w", F.bround("w", 9))
+
+
+def _ease_top(spark: SparkSession, d: str, req: DataFrame, k: int) -> DataFrame:
+    idx, w = P.model(spark, d)
+    return ease.recommend(req, idx, w, k)
+
+
+@query
+def ease_recommend(spark: SparkSession, d: str) -> DataFrame:
+    req = V.request_ratings(spark, d).select("request_id", "item_id", "rating")
+    return _names(_ease_top(spark, d, req, P.TOP_K), spark, d)
+
+
+@query
+def popular_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return popular_sample(V.movies(spark, d), POPULAR_K)
+
+
+@query
+def recommend(spark: SparkSession, d: str) -> DataFrame:
+    """Per request: EASE top-k with names when it has ratings, else the popular draw."""
+    req = V.request_ratings(spark, d).select("request_id", "item_id", "rating")
+    rated = _names(_ease_top(spark, d, req, P.TOP_K), spark, d).select(
+        "request_id", "item_id", "score", "title", "popularity", "imdb_id", F.lit("ease").alias("source")
+    )
+    empty = V.requests(spark, d).select("request_id").join(req.select("request_id"), "request_id", "left_anti")
+    pop = for_every_request(empty, popular_sample(V.movies(spark, d), POPULAR_K), POPULAR_K).select(
+        "request_id", "item_id", "score", "title", "popularity", "imdb_id", F.lit("popular").alias("source")
+    )
+    return rated.unionByName(pop)
