@@ -299,3 +299,79 @@ oracle(
         WHERE q.request_id NOT IN (SELECT request_id FROM v_request_ratings)""",
     model_ctes() + recommend_ctes(REQ, 10) + [("samp", POPULAR_SAMPLE.format(top=100, k=10))],
 )
+
+
+# ---------------------------------------------------------------- step 4
+
+DIGITS = "regexp_full_match({c}, '[0-9]+')"
+FORM_VALID = f"""SELECT request_id, item_id, rating, pos FROM (
+    SELECT request_id, TRY_CAST(movie_id AS BIGINT) AS item_id, TRY_CAST(rating AS BIGINT) AS rating, pos,
+           row_number() OVER (PARTITION BY request_id, TRY_CAST(movie_id AS BIGINT) ORDER BY pos DESC) AS rn_
+    FROM v_form_ratings
+    WHERE {DIGITS.format(c='movie_id')} AND {DIGITS.format(c='rating')}
+      AND TRY_CAST(rating AS BIGINT) BETWEEN 1 AND 5
+      AND TRY_CAST(movie_id AS BIGINT) IN (SELECT item_id FROM v_movies)) WHERE rn_ = 1"""
+FORM_TAGS = f"""SELECT DISTINCT request_id, TRY_CAST(tag_id AS BIGINT) AS tag_id FROM v_form_tags
+    WHERE {DIGITS.format(c='tag_id')} AND TRY_CAST(tag_id AS BIGINT) IN (SELECT id FROM v_tags)"""
+STATE_LAST = """SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, item_key ORDER BY ts DESC, event_id DESC) AS rn_
+    FROM v_rating_events) WHERE rn_ = 1"""
+STATE = "SELECT user_id, item_key, rating FROM s_last WHERE op = 'upsert'"
+PAST = """SELECT q.request_id, s.item_key AS item_id, CAST(s.rating AS DOUBLE) AS rating
+    FROM v_requests q JOIN s_state s ON q.user_id = s.user_id WHERE q.request_id % 20 = 0"""
+LITE = """SELECT request_id, item_id, rating FROM (
+    SELECT *, row_number() OVER (PARTITION BY request_id, item_id ORDER BY src_ DESC, pos DESC) AS rn_ FROM (
+      SELECT request_id, item_id, CAST(rating AS DOUBLE) AS rating, 0 AS src_, pos FROM f_valid
+      UNION ALL
+      SELECT request_id, item_id, rating, 1, row_number() OVER (PARTITION BY request_id ORDER BY item_id) FROM s_past))
+    WHERE rn_ = 1"""
+REQ_CTES = [("f_valid", FORM_VALID), ("f_tags", FORM_TAGS), ("s_last", STATE_LAST), ("s_state", STATE), ("s_past", PAST), ("f_lite", LITE)]
+
+oracle("valid_ratings", "SELECT * FROM f_valid", REQ_CTES[:1])
+oracle("valid_tags", "SELECT * FROM f_tags", REQ_CTES[1:2])
+oracle("valid_importance", f"SELECT request_id, importance, {_importance()} AS rs_importance FROM v_requests")
+oracle("request_ratings", "SELECT * FROM f_lite", REQ_CTES)
+oracle(
+    "resolve_names",
+    """SELECT r.request_id, 'movie' AS kind, r.item_id AS id, m.title AS name, r.rating FROM f_lite r JOIN v_movies m ON m.item_id = r.item_id
+       UNION ALL
+       SELECT t.request_id, 'tag', t.tag_id, g.tag, CAST(NULL AS DOUBLE) FROM f_tags t JOIN v_tags g ON g.id = t.tag_id""",
+    REQ_CTES,
+)
+oracle("rating_state", "SELECT * FROM s_state", REQ_CTES[2:4])
+oracle("rating_state_stream", "SELECT * FROM s_state", REQ_CTES[2:4])
+oracle(
+    "delete_outcomes",
+    """SELECT event_id, user_id, item_key, coalesce(prev_ = 'upsert', false) AS found FROM (
+         SELECT *, lag(op) OVER (PARTITION BY user_id, item_key ORDER BY ts, event_id) AS prev_ FROM v_rating_events)
+       WHERE op = 'delete'""",
+)
+oracle(
+    "first_registration",
+    """SELECT event_id, name, row_number() OVER (PARTITION BY name ORDER BY ts, event_id) = 1 AS accepted FROM (
+         SELECT event_id, ts, 'user' || CAST(user_id AS VARCHAR) AS name FROM events WHERE event_type = 'signup')""",
+)
+oracle(
+    "user_profile",
+    "SELECT s.user_id, m.imdb_id, m.title, m.year, s.rating FROM s_state s JOIN v_movies m ON m.item_id = s.item_key",
+    REQ_CTES[2:4],
+)
+LITE_CAND = """SELECT t.request_id, t.item_id, nm.title, nm.popularity, nm.imdb_id, t.score FROM r_top t
+      JOIN (SELECT item_id, title, popularity, imdb_id FROM v_movies) nm ON nm.item_id = t.item_id
+    UNION ALL
+    SELECT q.request_id, s.item_id, s.title, s.popularity, s.imdb_id, s.score FROM bt_req q JOIN samp s ON true
+    WHERE q.request_id NOT IN (SELECT request_id FROM r_req)"""
+oracle(
+    "blend_tag",
+    "SELECT * FROM bt_out",
+    model_ctes()
+    + REQ_CTES
+    + [("bt_req0", SCORED_REQUESTS)]
+    + recommend_ctes("SELECT * FROM f_lite WHERE request_id IN (SELECT request_id FROM bt_req0 WHERE rs_importance <> 0)", 60)
+    + [("samp", POPULAR_SAMPLE.format(top=600, k=60)), ("lite_cand", LITE_CAND.replace("bt_req", "bt_req0"))]
+    + blend_tags_ctes(
+        "SELECT request_id, item_id, title, popularity, imdb_id, round_even(score, 3) AS primary_score FROM lite_cand",
+        "title, popularity, imdb_id",
+        rtags="f_tags",
+    ),
+)

@@ -80,3 +80,43 @@ def model(spark: SparkSession, d: str, lam: float = LAMBDA, implicit: bool = Fal
 
         _MODELS[key] = (idx, cut_lineage(w))
     return _MODELS[key]
+
+
+# ---------------------------------------------------------------- requests and profile
+
+
+@V._memo
+def profile_state(spark: SparkSession, d: str) -> DataFrame:
+    """Live profile ratings from the change feed: (user_id, item_key, rating)."""
+    from cinelake.streaming.state import rating_state
+
+    return rating_state(V.rating_events(spark, d))
+
+
+@V._memo
+def form_valid_ratings(spark: SparkSession, d: str) -> DataFrame:
+    from cinelake.operators.requests import valid_ratings
+
+    return valid_ratings(V.form_ratings(spark, d), V.movies(spark, d))
+
+
+@V._memo
+def form_valid_tags(spark: SparkSession, d: str) -> DataFrame:
+    from cinelake.operators.requests import valid_tags
+
+    return valid_tags(V.form_tags(spark, d), V.tags(spark, d))
+
+
+@V._memo
+def past_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """Profile ratings of the requesting user for requests with 'use past ratings' on (every 20th)."""
+    q = V.requests(spark, d).where(F.col("request_id") % 20 == 0)
+    st = profile_state(spark, d)
+    return q.join(st, "user_id").select("request_id", F.col("item_key").alias("item_id"), F.col("rating").cast("double"))
+
+
+@V._memo
+def lite_ratings(spark: SparkSession, d: str) -> DataFrame:
+    from cinelake.operators.requests import request_ratings
+
+    return request_ratings(form_valid_ratings(spark, d), past_ratings(spark, d))

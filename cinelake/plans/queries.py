@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from cinelake.operators import blend, curate, ease
 from cinelake.plans import pipelines as P
 from cinelake.plans import views as V
-from cinelake.session import shared_path
+from cinelake.session import shared_path, table
 from cinelake.sources import io
+from cinelake.streaming import state as S
+from cinelake.operators.requests import valid_importance as _valid_importance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -239,3 +241,99 @@ def recommend(spark: SparkSession, d: str) -> DataFrame:
         "request_id", "item_id", "score", "title", "popularity", "imdb_id", F.lit("popular").alias("source")
     )
     return rated.unionByName(pop)
+
+
+# ---------------------------------------------------------------- step 4: requests, profile, blending
+
+
+@query
+def valid_ratings(spark: SparkSession, d: str) -> DataFrame:
+    return P.form_valid_ratings(spark, d)
+
+
+@query
+def valid_tags(spark: SparkSession, d: str) -> DataFrame:
+    return P.form_valid_tags(spark, d)
+
+
+@query
+def valid_importance(spark: SparkSession, d: str) -> DataFrame:
+    return V.requests(spark, d).select("request_id", "importance", _valid_importance("importance").alias("rs_importance"))
+
+
+@query
+def request_ratings(spark: SparkSession, d: str) -> DataFrame:
+    return P.lite_ratings(spark, d)
+
+
+@query
+def resolve_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names for every request's ratings and tags in one job (no per-id lookups)."""
+    m = V.movies(spark, d).select("item_id", F.col("title").alias("name"))
+    movies = P.lite_ratings(spark, d).join(m, "item_id").select(
+        "request_id", F.lit("movie").alias("kind"), F.col("item_id").alias("id"), "name", "rating"
+    )
+    tg = V.tags(spark, d).select(F.col("id").alias("tag_id"), F.col("tag").alias("name"))
+    tags = P.form_valid_tags(spark, d).join(tg, "tag_id").select(
+        "request_id", F.lit("tag").alias("kind"), F.col("tag_id").alias("id"), "name", F.lit(None).cast("double").alias("rating")
+    )
+    return movies.unionByName(tags)
+
+
+@query
+def rating_state(spark: SparkSession, d: str) -> DataFrame:
+    return P.profile_state(spark, d)
+
+
+@query
+def delete_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return S.delete_outcomes(V.rating_events(spark, d))
+
+
+@query
+def first_registration(spark: SparkSession, d: str) -> DataFrame:
+    signups = (
+        table(spark, d, "events")
+        .where(F.col("event_type") == "signup")
+        .select("event_id", "ts", F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("name"))
+    )
+    return S.first_registration(signups)
+
+
+@query
+def rating_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same state, driven through Structured Streaming over the change feed files."""
+    feed = shared_path(spark, "rating_feed")
+    ev = V.rating_events(spark, d)
+    ev.repartitionByRange(4, "ts", "event_id").write.parquet(feed)
+    return S.run_stream(spark, feed, ev.schema, lambda b: b, max_files=1)
+
+
+@query
+def user_profile(spark: SparkSession, d: str) -> DataFrame:
+    m = V.movies(spark, d).select(F.col("item_id").alias("item_key"), "imdb_id", "title", "year")
+    return P.profile_state(spark, d).join(m, "item_key").select("user_id", "imdb_id", "title", "year", "rating")
+
+
+def _rs_candidates(spark: SparkSession, d: str, ratings: DataFrame, importance: DataFrame, k: int) -> DataFrame:
+    """Per request: EASE top-k with names, or the popular draw when RS is ignored
+    (no ratings, or importance 0)."""
+    use_rs = importance.where(F.col("rs_importance") != 0).select("request_id")
+    req = ratings.join(use_rs, "request_id", "left_semi")
+    ease_part = _names(_ease_top(spark, d, req, k), spark, d).select(
+        "request_id", "item_id", "title", "popularity", "imdb_id", "score"
+    )
+    rest = importance.select("request_id").join(req.select("request_id"), "request_id", "left_anti")
+    pop = for_every_request(rest, popular_sample(V.movies(spark, d), k), k).select(
+        "request_id", "item_id", "title", "popularity", "imdb_id", "score"
+    )
+    return ease_part.unionByName(pop)
+
+
+@query
+def blend_tag(spark: SparkSession, d: str) -> DataFrame:
+    """The tag route end to end: validated form -> RS or popular -> tag affinity blend -> normalise."""
+    q = P.scored_requests(spark, d)
+    cand = _rs_candidates(spark, d, P.lite_ratings(spark, d), q, LITE_K)
+    primary = cand.select("request_id", "item_id", "title", "popularity", "imdb_id", F.bround("score", 3).alias("primary_score"))
+    return blend.blend_tags(primary, q, P.form_valid_tags(spark, d), V.tag_count(spark, d))
