@@ -375,3 +375,147 @@ oracle(
         rtags="f_tags",
     ),
 )
+
+
+# ---------------------------------------------------------------- step 5 and 7
+
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+PAIR_RE = "'(?s)^(.*): (.*)$'"
+NUM_RE = "'[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'"
+
+
+def _strip(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+PARSED = [
+    ("pa_p", "SELECT answer_id, string_split(answer, '---') AS parts_ FROM v_answers"),
+    (
+        "pa_q",
+        f"""SELECT answer_id, len(parts_) = 2 AS two_, {_strip('parts_[1]')} AS left_, parts_[2] AS right_ FROM pa_p""",
+    ),
+    (
+        "pa_r",
+        f"""SELECT answer_id,
+              CASE WHEN two_ AND NOT contains(right_, '<EMPTY>') THEN {_strip('right_')} END AS preferences,
+              string_split(left_, ';;;') AS items_,
+              coalesce(two_ AND NOT contains(left_, '<EMPTY>'), false) AS ok0_ FROM pa_q""",
+    ),
+    (
+        "pa_s",
+        f"""SELECT *, ok0_ AND coalesce(list_aggregate(list_transform(items_, lambda x:
+                 regexp_matches(x, {PAIR_RE}) AND regexp_full_match({_strip(f"regexp_extract(x, {PAIR_RE}, 2)")}, {NUM_RE})), 'bool_and'), false)
+               AS ok_ FROM pa_r""",
+    ),
+    (
+        "pa",
+        f"""SELECT answer_id, CAST(i_ - 1 AS INTEGER) AS pos, regexp_extract(x_, {PAIR_RE}, 1) AS name,
+                   CAST({_strip(f"regexp_extract(x_, {PAIR_RE}, 2)")} AS DOUBLE) AS rating, preferences, true AS ratings_ok
+            FROM (SELECT *, unnest(items_) AS x_, generate_subscripts(items_, 1) AS i_ FROM pa_s WHERE ok_)
+            UNION ALL
+            SELECT answer_id, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), preferences, false
+            FROM pa_s WHERE NOT ok_""",
+    ),
+]
+oracle("parse_answers", "SELECT * FROM pa", PARSED)
+
+MOVIE_ALTS = "list_transform(string_split(left(title, greatest(length(title) - 7, 0)), ' (a.k.a. '), lambda x, i: CASE WHEN i = 2 THEN left(x, greatest(length(x) - 1, 0)) ELSE x END)"
+PLOT_ALTS = "list_transform(string_split(title, ' (aka '), lambda x, i: CASE WHEN i = 2 THEN left(x, greatest(length(x) - 1, 0)) ELSE x END)"
+EDGES = [
+    ("e_m", f"SELECT item_id, year, {MOVIE_ALTS} AS alts FROM v_clean_titles"),
+    ("e_p", f"SELECT plot_id, year, {PLOT_ALTS} AS alts FROM v_plots"),
+    (
+        "e_all",
+        """SELECT p.plot_id, m.item_id, m.year,
+             CAST(list_min(flatten(list_transform(m.alts, lambda a: list_transform(p.alts, lambda b: levenshtein(b, a))))) AS INTEGER) AS distance
+           FROM e_p p JOIN e_m m ON p.year = m.year""",
+    ),
+    ("edges", "SELECT * FROM e_all WHERE distance <= 3"),
+]
+oracle("title_distance", "SELECT plot_id, item_id, year, distance FROM edges", EDGES)
+
+ROUNDS = EDGES + [
+    (
+        "rounds(r, kind, plot_id, item_id, distance)",
+        """SELECT 0, 'edge', plot_id, item_id, distance FROM edges
+           UNION ALL
+           SELECT r + 1, CASE WHEN kind = 'match' OR won_ THEN 'match' ELSE 'edge' END, plot_id, item_id, distance FROM (
+             SELECT *, bool_or(won_) OVER (PARTITION BY plot_id) AS pdone_, bool_or(won_) OVER (PARTITION BY item_id) AS mdone_,
+                    sum(CASE WHEN kind = 'edge' THEN 1 ELSE 0 END) OVER () AS n_edges_
+             FROM (
+               SELECT *, kind = 'edge'
+                   AND key_ = min(CASE WHEN kind = 'edge' THEN key_ END) OVER (PARTITION BY plot_id)
+                   AND key_ = min(CASE WHEN kind = 'edge' THEN key_ END) OVER (PARTITION BY item_id) AS won_
+               FROM (SELECT *, distance * 1000000000000 + plot_id * 1000000 + item_id AS key_ FROM rounds)))
+           WHERE n_edges_ > 0 AND (kind = 'match' OR won_ OR NOT (pdone_ OR mdone_))""",
+    ),
+    ("matched", "SELECT plot_id, item_id, distance FROM rounds WHERE kind = 'match' AND r = (SELECT max(r) FROM rounds)"),
+]
+oracle(
+    "match_plots",
+    "SELECT m.item_id, m.plot_id, p.year, p.title, m.distance FROM matched m JOIN v_plots p ON p.plot_id = m.plot_id",
+    ROUNDS,
+)
+PLOT_TEXT = "SELECT m.item_id, 'Plot of \"' || p.title || '\": ' || p.plot AS plot_text FROM matched m JOIN v_plots p ON p.plot_id = m.plot_id"
+oracle(
+    "plot_lookup",
+    "SELECT v.item_id, t.plot_text FROM v_movies v LEFT JOIN plot_txt t ON t.item_id = v.item_id",
+    ROUNDS + [("plot_txt", PLOT_TEXT)],
+)
+
+NAMES_RESOLVED = PARSED + [
+    ("rn_names", "SELECT answer_id * 100 + pos AS name_id, answer_id, pos, name, rating FROM pa WHERE name IS NOT NULL"),
+    (
+        "rn_al",
+        "SELECT item_id, pop_rank, unnest(string_split(lower(left(title, greatest(length(title) - 7, 0))), ' (a.k.a. ')) AS alias FROM v_movies",
+    ),
+    (
+        "rn_best",
+        """SELECT * FROM (
+             SELECT n.name_id, a.item_id, levenshtein(lower(n.name), a.alias) AS d,
+                    row_number() OVER (PARTITION BY n.name_id ORDER BY levenshtein(lower(n.name), a.alias), a.pop_rank) AS rn_
+             FROM rn_names n JOIN rn_al a ON abs(length(lower(n.name)) - length(a.alias)) <= 2
+             WHERE levenshtein(lower(n.name), a.alias) <= 2) WHERE rn_ = 1""",
+    ),
+    (
+        "resolved",
+        """SELECT n.answer_id, n.pos, n.name, n.rating, b.item_id, CAST(b.d AS INTEGER) AS distance
+           FROM rn_names n JOIN rn_best b ON n.name_id = b.name_id""",
+    ),
+]
+oracle("resolve_titles", "SELECT * FROM resolved", NAMES_RESOLVED)
+
+FIT_TEXT = """SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'x --- bad'
+                 WHEN conv_id % 5 = 1 THEN CAST(turn % 5 + 1 AS VARCHAR)
+                 ELSE CAST(turn % 5 + 1 AS VARCHAR) || ' --- Because ' || role END AS text
+              FROM conversations WHERE role = 'assistant'"""
+
+
+def fitness_sql(text: str) -> str:
+    head = _strip(f"string_split({text}, '---')[1]")
+    ok = f"regexp_full_match({head}, {NUM_RE})"
+    return (
+        f"coalesce(CASE WHEN {ok} THEN CAST({head} AS DOUBLE) END, 3.0) AS score, "
+        f"CASE WHEN NOT {ok} THEN 'ERROR: Failed to parse the answer.' "
+        f"WHEN len(string_split({text}, '---')) >= 2 THEN {_strip(f'string_split({text}, {chr(39)}---{chr(39)})[2]')} END AS explanation"
+    )
+
+
+oracle("parse_fitness", f"SELECT conv_id, turn, {fitness_sql('text')} FROM ft", [("ft", FIT_TEXT)])
+oracle(
+    "transcript_messages",
+    f"""SELECT conv_id, 0 AS msg_pos, 'system' AS role, 'You are a helpful assistant.' AS content FROM v_transcripts
+        UNION ALL
+        SELECT conv_id, CAST(i_ AS INTEGER), CASE WHEN (i_ - 1) % 2 = 0 THEN 'user' ELSE 'assistant' END, {_strip('x_')}
+        FROM (SELECT conv_id, unnest(pieces_[1:len(pieces_) - 1]) AS x_, generate_subscripts(pieces_[1:len(pieces_) - 1], 1) AS i_
+              FROM (SELECT conv_id, string_split({_strip('transcript')}, '<LINEBREAK>') AS pieces_ FROM v_transcripts))""",
+)
+FIRST_ALIAS = "split_part(left(m.title, greatest(length(m.title) - 7, 0)), ' (a.k.a. ', 1)"
+oracle(
+    "ratings_text",
+    f"""SELECT request_id, string_agg(line_, '' ORDER BY pos) AS ratings_text,
+               string_agg(line_, '' ORDER BY pos) || ' Currently, I''m in a mood for ' || 'something like ' || arg_max(name_, pos) AS full_prompt
+        FROM (SELECT r.request_id, r.pos, {FIRST_ALIAS} AS name_, {FIRST_ALIAS} || ': ' || CAST(r.rating AS VARCHAR) || chr(10) AS line_
+              FROM v_request_ratings r JOIN v_movies m ON m.item_id = r.item_id)
+        GROUP BY request_id""",
+)

@@ -120,3 +120,40 @@ def lite_ratings(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.requests import request_ratings
 
     return request_ratings(form_valid_ratings(spark, d), past_ratings(spark, d))
+
+
+# ---------------------------------------------------------------- text and matching
+
+
+@V._memo
+def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
+    from cinelake.functions.answers import parse_answers
+
+    return parse_answers(V.answers(spark, d), "answer_id", "answer")
+
+
+@V._memo
+def resolved_names(spark: SparkSession, d: str) -> DataFrame:
+    from cinelake.operators.resolve import resolve_titles
+
+    names = parsed_answers(spark, d).where(F.col("name").isNotNull()).withColumn(
+        "name_id", F.col("answer_id") * 100 + F.col("pos")
+    )
+    res = resolve_titles(names.select("name_id", "name"), V.movies(spark, d))
+    return names.join(res, "name_id").select("answer_id", "pos", "name", "rating", "item_id", "distance")
+
+
+@V._memo
+def matched_plots(spark: SparkSession, d: str) -> DataFrame:
+    from cinelake.operators.resolve import match_plots
+
+    return match_plots(V.plots(spark, d), V.clean_titles(spark, d))
+
+
+@V._memo
+def plot_texts(spark: SparkSession, d: str) -> DataFrame:
+    """item_id -> 'Plot of "<title>": <plot>' for matched plots."""
+    from cinelake.functions.answers import plot_text
+
+    pl = V.plots(spark, d).select("plot_id", "plot")
+    return matched_plots(spark, d).join(pl, "plot_id").select("item_id", plot_text(F.col("title"), F.col("plot")).alias("plot_text"))

@@ -18,6 +18,9 @@ from cinelake.plans import views as V
 from cinelake.session import shared_path, table
 from cinelake.sources import io
 from cinelake.streaming import state as S
+from cinelake.functions import answers as A
+from cinelake.functions import text as TX
+from cinelake.operators import resolve as R
 from cinelake.operators.requests import valid_importance as _valid_importance
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,3 +340,104 @@ def blend_tag(spark: SparkSession, d: str) -> DataFrame:
     cand = _rs_candidates(spark, d, P.lite_ratings(spark, d), q, LITE_K)
     primary = cand.select("request_id", "item_id", "title", "popularity", "imdb_id", F.bround("score", 3).alias("primary_score"))
     return blend.blend_tags(primary, q, P.form_valid_tags(spark, d), V.tag_count(spark, d))
+
+
+# ---------------------------------------------------------------- step 5: fuzzy matching
+
+
+@query
+def title_distance(spark: SparkSession, d: str) -> DataFrame:
+    return R.title_edges(V.plots(spark, d), V.clean_titles(spark, d)).select("plot_id", "item_id", "year", "distance")
+
+
+@query
+def match_plots(spark: SparkSession, d: str) -> DataFrame:
+    return P.matched_plots(spark, d)
+
+
+@query
+def resolve_titles(spark: SparkSession, d: str) -> DataFrame:
+    return P.resolved_names(spark, d)
+
+
+@query
+def plot_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Plot text per catalogue item, NULL when no plot matched (left join, not per-id lookups)."""
+    return V.movies(spark, d).select("item_id").join(P.plot_texts(spark, d), "item_id", "left")
+
+
+# ---------------------------------------------------------------- step 7: text batch jobs
+
+
+@query
+def parse_answers(spark: SparkSession, d: str) -> DataFrame:
+    return P.parsed_answers(spark, d)
+
+
+def _fitness_texts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").where(F.col("role") == "assistant")
+    t = (F.col("turn") % 5 + 1).cast("string")
+    txt = (
+        F.when(F.col("conv_id") % 5 == 0, F.lit("x --- bad"))
+        .when(F.col("conv_id") % 5 == 1, t)
+        .otherwise(F.concat(t, F.lit(" --- Because "), F.col("role")))
+    )
+    return c.select("conv_id", "turn", txt.alias("text"))
+
+
+@query
+def parse_fitness(spark: SparkSession, d: str) -> DataFrame:
+    f = _fitness_texts(spark, d).select("conv_id", "turn", A.parse_fitness(F.col("text")).alias("_f"))
+    return f.select("conv_id", "turn", "_f.score", "_f.explanation")
+
+
+@query
+def transcript_messages(spark: SparkSession, d: str) -> DataFrame:
+    return A.transcript_messages(V.transcripts(spark, d), "conv_id", "transcript")
+
+
+@query
+def ratings_text(spark: SparkSession, d: str) -> DataFrame:
+    """Per request: 'title: rating' lines in request order, plus the full evaluation prompt."""
+    m = V.movies(spark, d).select("item_id", TX.first_alias("title").alias("_name"))
+    rows = V.request_ratings(spark, d).join(m, "item_id").select(
+        "request_id", "pos", F.concat("_name", F.lit(": "), F.col("rating").cast("string"), F.lit("\n")).alias("_line"), "_name"
+    )
+    lines = F.array_sort(F.collect_list(F.struct("pos", "_line", "_name")))
+    g = rows.groupBy("request_id").agg(lines.alias("_l"))
+    text = F.array_join(F.transform("_l", lambda x: x["_line"]), "")
+    last = F.element_at(F.col("_l"), -1)["_name"]
+    return g.select(
+        "request_id",
+        text.alias("ratings_text"),
+        F.concat(text, F.lit(A.MOOD_SENTENCE), F.lit("something like "), last).alias("full_prompt"),
+    )
+
+
+@query
+def extraction_prompts(spark: SparkSession, d: str) -> DataFrame:
+    u = table(spark, d, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    chat = u.select("conv_id", "turn", F.lit("chat").alias("dialect"), A.extraction_prompt(F.col("text"), False).alias("prompt"))
+    inst = u.select("conv_id", "turn", F.lit("instruction").alias("dialect"), A.extraction_prompt(F.col("text"), True).alias("prompt"))
+    return chat.unionByName(inst)
+
+
+DESCRIBE_SHOTS = [
+    ("Describe in one short phrase what kind of film this is: Alien (1979)", "a claustrophobic space horror"),
+    ("Describe in one short phrase what kind of film this is: Amelie (2001)", "a whimsical romantic comedy set in Paris"),
+]
+
+
+@query
+def message_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Two-shot message arrays (title -> short description) for every catalogue item, as rows."""
+    m = V.movies(spark, d).select("item_id", "title")
+    msgs = [(0, "system", F.lit(A.SYSTEM_MESSAGE))]
+    for i, (q, a) in enumerate(DESCRIBE_SHOTS):
+        msgs += [(1 + 2 * i, "user", F.lit(q)), (2 + 2 * i, "assistant", F.lit(a))]
+    msgs.append((1 + 2 * len(DESCRIBE_SHOTS), "user", F.concat(F.lit("Describe in one short phrase what kind of film this is: "), F.col("title"))))
+    out = None
+    for pos, role, content in msgs:
+        part = m.select("item_id", F.lit(pos).alias("msg_pos"), F.lit(role).alias("role"), content.alias("content"))
+        out = part if out is None else out.unionByName(part)
+    return out
