@@ -116,8 +116,8 @@ FEW_SHOT = [
 ]
 
 
-def extraction_prompt(user_text: Column, instruction: bool) -> Column:
-    """Few-shot prompt: numbered examples, then the user's text as the last prompt."""
+def extraction_parts(instruction: bool) -> tuple[str, str]:
+    """(text before, text after) the user's request in the few-shot extraction prompt."""
     m = dialect_marks(instruction)
     total = len(FEW_SHOT) + (1 if instruction else 2)
     last = total if instruction else total - 1
@@ -129,23 +129,30 @@ def extraction_prompt(user_text: Column, instruction: bool) -> Column:
     for i, (q, a) in enumerate(FEW_SHOT, start=1):
         parts.append(f"{m['inst_start']}Request {i}/{total}: \"{q}\"{m['inst_end']}\n{a}{m['id_end']}\n")
     parts.append(f"{m['inst_start']}Request {last}/{total}: \"")
-    return F.concat(F.lit("".join(parts)), user_text, F.lit(f"\"{m['inst_end']}"))
+    return "".join(parts), f"\"{m['inst_end']}"
+
+
+def extraction_prompt(user_text: Column, instruction: bool) -> Column:
+    """Few-shot prompt: numbered examples, then the user's text as the last request."""
+    head, tail = extraction_parts(instruction)
+    return F.concat(F.lit(head), user_text, F.lit(tail))
 
 
-def fitness_prompt(preferences: Column, plot_text: Column, instruction: bool) -> Column:
+def fitness_parts(instruction: bool) -> tuple[str, str, str]:
     m = dialect_marks(instruction)
-    return F.concat(
-        F.lit(
-            f"{m['id_start']}{m['inst_start']}Score from 1 to 5 how well the movie plot below suits the viewer's wishes, "
-            "then give one short reason, as '<rating_number> --- <reason>.'\n\nWishes: \""
-        ),
-        preferences,
-        F.lit("\".\n"),
-        plot_text,
-        F.lit(m["inst_end"]),
+    return (
+        f"{m['id_start']}{m['inst_start']}Score from 1 to 5 how well the movie plot below suits the viewer's wishes, "
+        "then give one short reason, as '<rating_number> --- <reason>.'\n\nWishes: \"",
+        "\".\n",
+        m["inst_end"],
     )
 
 
+def fitness_prompt(preferences: Column, plot: Column, instruction: bool) -> Column:
+    a, b, c = fitness_parts(instruction)
+    return F.concat(F.lit(a), preferences, F.lit(b), plot, F.lit(c))
+
+
 def plot_text(title: Column, plot: Column) -> Column:
     return F.format_string(PLOT_FORMAT, title, plot)
 

@@ -519,3 +519,105 @@ oracle(
               FROM v_request_ratings r JOIN v_movies m ON m.item_id = r.item_id)
         GROUP BY request_id""",
 )
+
+
+
+def sql_text(v: str) -> str:
+    """A Python string as a DuckDB expression (quotes doubled, newlines as chr(10))."""
+    pieces = ["'" + x.replace("'", "''") + "'" for x in v.split("\n")]
+    return " || chr(10) || ".join(pieces)
+
+
+def _prompt_oracles() -> None:
+    from cinelake.functions.answers import FEW_SHOT, SYSTEM_MESSAGE, extraction_parts, fitness_parts  # noqa: F401
+    from cinelake.plans.queries import DESCRIBE_SHOTS
+
+    parts = []
+    for dialect, inst in (("chat", False), ("instruction", True)):
+        head, tail = extraction_parts(inst)
+        parts.append(
+            f"SELECT conv_id, turn, '{dialect}' AS dialect, {sql_text(head)} || text || {sql_text(tail)} AS prompt "
+            "FROM conversations WHERE role = 'user'"
+        )
+    oracle("extraction_prompts", "\nUNION ALL\n".join(parts))
+    msgs = [(0, "system", sql_text(SYSTEM_MESSAGE))]
+    for i, (q, a) in enumerate(DESCRIBE_SHOTS):
+        msgs += [(1 + 2 * i, "user", sql_text(q)), (2 + 2 * i, "assistant", sql_text(a))]
+    msgs.append((1 + 2 * len(DESCRIBE_SHOTS), "user", sql_text("Describe in one short phrase what kind of film this is: ") + " || title"))
+    oracle(
+        "message_batches",
+        "\nUNION ALL\n".join(f"SELECT item_id, {p} AS msg_pos, '{r}' AS role, {c} AS content FROM v_movies" for p, r, c in msgs),
+    )
+    f0, f1 = fitness_parts(False), fitness_parts(True)
+    FIT["chat"] = f"{sql_text(f0[0])} || preferences || {sql_text(f0[1])} || plot || {sql_text(f0[2])}"
+    FIT["inst"] = f"{sql_text(f1[0])} || preferences || {sql_text(f1[1])} || plot || {sql_text(f1[2])}"
+
+
+FIT: dict[str, str] = {}
+LLM_CTES = (
+    model_ctes()
+    + NAMES_RESOLVED
+    + ROUNDS
+    + [("plot_txt", PLOT_TEXT)]
+    + [
+        (
+            "l_req",
+            "SELECT answer_id AS request_id, CAST(CASE WHEN answer_id % 5 = 0 THEN 100 WHEN answer_id % 5 = 1 THEN 0 ELSE 50 END AS INTEGER) AS rs_importance FROM v_answers",
+        ),
+        (
+            "l_ratings",
+            """SELECT answer_id AS request_id, item_id, rating FROM (
+                 SELECT *, row_number() OVER (PARTITION BY answer_id, item_id ORDER BY pos DESC) AS rn_ FROM resolved) WHERE rn_ = 1""",
+        ),
+    ]
+    + recommend_ctes("SELECT * FROM l_ratings WHERE request_id IN (SELECT request_id FROM l_req WHERE rs_importance <> 0)", 10)
+    + [
+        ("samp", POPULAR_SAMPLE.format(top=100, k=10)),
+        ("l_cand0", LITE_CAND.replace("bt_req", "l_req")),
+        ("l_prefs", "SELECT answer_id AS request_id, first(preferences) AS preferences FROM pa GROUP BY answer_id"),
+        (
+            "l_cand",
+            """SELECT c.*, q.rs_importance, p.preferences, t.plot_text, round_even(c.score, 2) AS rs_score
+               FROM l_cand0 c JOIN l_req q ON q.request_id = c.request_id
+               LEFT JOIN l_prefs p ON p.request_id = c.request_id LEFT JOIN plot_txt t ON t.item_id = c.item_id""",
+        ),
+        (
+            "l_pairs",
+            """SELECT request_id AS answer_id, item_id, preferences, plot_text AS plot FROM l_cand
+               WHERE preferences IS NOT NULL AND rs_importance < 100 AND plot_text IS NOT NULL""",
+        ),
+        (
+            "l_scored",
+            """SELECT answer_id, item_id,
+                 CAST(CAST(s_ AS VARCHAR) || ' --- Shares ' || CAST(CAST(s_ - 1 AS INTEGER) AS VARCHAR) || ' words with the wishes.' AS VARCHAR) AS answer
+               FROM (SELECT *, CAST(least(5, 1 + len(list_intersect(string_split(lower(preferences), ' '), string_split(lower(plot), ' ')))) AS DOUBLE) AS s_
+                     FROM l_pairs)""",
+        ),
+    ]
+)
+_prompt_oracles()
+oracle("score_pairs", f"SELECT answer_id, item_id, {fitness_sql('answer').replace(' AS score', ' AS llm_score')} FROM l_scored", LLM_CTES)
+oracle(
+    "fitness_prompts",
+    f"SELECT answer_id, item_id, CASE WHEN answer_id % 2 = 1 THEN {FIT['inst']} ELSE {FIT['chat']} END AS prompt FROM l_pairs",
+    LLM_CTES,
+)
+GEO_PLOT = geo("rs_score", "llm_score", "(rs_importance / 100.0)", "((100 - rs_importance) / 100.0)")
+GEO_3 = geo("rs_score", "3.0", "(rs_importance / 100.0)", "((100 - rs_importance) / 100.0)")
+oracle(
+    "blend_llm",
+    f"""SELECT answer_id, item_id, imdb_id, title,
+          round_even(total_ / nullif(max(total_) OVER (PARTITION BY answer_id), 0) * 10.0, 2) AS total_score,
+          rs_score, llm_score, explanation FROM (
+        SELECT c.request_id AS answer_id, c.item_id, c.imdb_id, c.title, c.rs_score,
+          CASE WHEN c.preferences IS NULL OR c.rs_importance >= 100 THEN c.rs_score
+               WHEN c.plot_text IS NOT NULL THEN {GEO_PLOT.replace('llm_score', 'f.llm_score').replace('rs_score', 'c.rs_score').replace('rs_importance', 'c.rs_importance')}
+               ELSE {GEO_3.replace('rs_score', 'c.rs_score').replace('rs_importance', 'c.rs_importance')} END AS total_,
+          CASE WHEN c.preferences IS NULL OR c.rs_importance >= 100 OR c.plot_text IS NULL THEN NULL ELSE f.llm_score END AS llm_score,
+          CASE WHEN c.rs_importance >= 100 THEN 'Only RS recommendations used.'
+               WHEN c.preferences IS NULL THEN 'No general preferences found in user''s prompt.'
+               WHEN c.plot_text IS NOT NULL THEN f.explanation
+               ELSE 'Movie plot not found.' END AS explanation
+        FROM l_cand c LEFT JOIN l_fit f ON f.answer_id = c.request_id AND f.item_id = c.item_id)""",
+    LLM_CTES + [("l_fit", f"SELECT answer_id, item_id, {fitness_sql('answer').replace(' AS score', ' AS llm_score')} FROM l_scored")],
+)

@@ -441,3 +441,93 @@ def message_batches(spark: SparkSession, d: str) -> DataFrame:
         part = m.select("item_id", F.lit(pos).alias("msg_pos"), F.lit(role).alias("role"), content.alias("content"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ---------------------------------------------------------------- LLM route (answers -> RS -> plot scoring -> blend)
+
+LLM_K = 10
+
+
+@V._memo
+def _llm_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One request per answer: RS importance 100 (RS only), 0 (no RS) or 50 by answer_id % 5."""
+    a = V.answers(spark, d).select(F.col("answer_id").alias("request_id"))
+    imp = F.when(F.col("request_id") % 5 == 0, 100).when(F.col("request_id") % 5 == 1, 0).otherwise(50)
+    return a.select("request_id", imp.cast("int").alias("rs_importance"))
+
+
+@V._memo
+def _llm_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """RS candidates per answer with preferences and plot text attached."""
+    res = P.resolved_names(spark, d)
+    ratings = res.groupBy(F.col("answer_id").alias("request_id"), "item_id").agg(
+        F.max_by("rating", "pos").alias("rating")
+    )
+    q = _llm_requests(spark, d)
+    cand = _rs_candidates(spark, d, ratings, q, LLM_K)
+    prefs = P.parsed_answers(spark, d).groupBy(F.col("answer_id").alias("request_id")).agg(
+        F.first("preferences", ignorenulls=True).alias("preferences")
+    )
+    return (
+        cand.join(q, "request_id")
+        .join(prefs, "request_id", "left")
+        .join(P.plot_texts(spark, d), "item_id", "left")
+        .withColumn("rs_score", F.bround("score", 2))
+    )
+
+
+def _llm_pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = _llm_candidates(spark, d)
+    use = F.col("preferences").isNotNull() & (F.col("rs_importance") < 100) & F.col("plot_text").isNotNull()
+    return c.where(use).select(F.col("request_id").alias("answer_id"), "item_id", "preferences", F.col("plot_text").alias("plot"))
+
+
+@query
+def fitness_prompts(spark: SparkSession, d: str) -> DataFrame:
+    pr = _llm_pairs(spark, d)
+    inst = F.col("answer_id") % 2 == 1
+    prompt = F.when(inst, A.fitness_prompt(F.col("preferences"), F.col("plot"), True)).otherwise(
+        A.fitness_prompt(F.col("preferences"), F.col("plot"), False)
+    )
+    return pr.select("answer_id", "item_id", prompt.alias("prompt"))
+
+
+@query
+def score_pairs(spark: SparkSession, d: str) -> DataFrame:
+    scored = A.score_pairs(_llm_pairs(spark, d))
+    f = scored.select("answer_id", "item_id", A.parse_fitness(F.col("answer")).alias("_f"))
+    return f.select("answer_id", "item_id", F.col("_f.score").alias("llm_score"), F.col("_f.explanation").alias("explanation"))
+
+
+@query
+def blend_llm(spark: SparkSession, d: str) -> DataFrame:
+    c = _llm_candidates(spark, d)
+    sc = score_pairs(spark, d).withColumnRenamed("answer_id", "request_id")
+    c = c.join(sc, ["request_id", "item_id"], "left")
+    use_llm = F.col("rs_importance") < 100
+    rs_only = F.col("preferences").isNull() | ~use_llm
+    wa = F.col("rs_importance") / 100.0
+    wb = (100 - F.col("rs_importance")) / 100.0
+    has_plot = F.col("plot_text").isNotNull()
+    total = (
+        F.when(rs_only, F.col("rs_score"))
+        .when(has_plot, blend.geo_blend("rs_score", "llm_score", wa, wb))
+        .otherwise(blend.geo_blend("rs_score", F.lit(blend.DEFAULT_LLM_SCORE), wa, wb))
+    )
+    expl = (
+        F.when(~use_llm, F.lit("Only RS recommendations used."))
+        .when(F.col("preferences").isNull(), F.lit("No general preferences found in user's prompt."))
+        .when(has_plot, F.col("explanation"))
+        .otherwise(F.lit("Movie plot not found."))
+    )
+    out = c.select(
+        F.col("request_id").alias("answer_id"),
+        "item_id",
+        "imdb_id",
+        "title",
+        total.alias("total_score"),
+        "rs_score",
+        F.when(rs_only | ~has_plot, F.lit(None).cast("double")).otherwise(F.col("llm_score")).alias("llm_score"),
+        expl.alias("explanation"),
+    )
+    return blend.normalise(out, "total_score", by="answer_id")
