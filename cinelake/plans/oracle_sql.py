@@ -621,3 +621,43 @@ oracle(
         FROM l_cand c LEFT JOIN l_fit f ON f.answer_id = c.request_id AND f.item_id = c.item_id)""",
     LLM_CTES + [("l_fit", f"SELECT answer_id, item_id, {fitness_sql('answer').replace(' AS score', ' AS llm_score')} FROM l_scored")],
 )
+
+
+# ---------------------------------------------------------------- step 6
+
+oracle(
+    "title_search",
+    """SELECT t.term_id, CAST(m.pop_rank AS BIGINT) AS rank, m.item_id, m.title
+       FROM v_search_terms t JOIN v_movies m ON m.pop_rank <= 15
+       WHERE regexp_replace(t.term, '^\\s+|\\s+$', '', 'g') = ''
+       UNION ALL
+       SELECT term_id, rank, item_id, title FROM (
+         SELECT t.term_id, m.item_id, m.title,
+                row_number() OVER (PARTITION BY t.term_id ORDER BY m.popularity * rel_ DESC, m.pop_rank) AS rank
+         FROM v_search_terms t JOIN v_movies m ON m.title ILIKE '%' || t.term || '%',
+         LATERAL (SELECT CASE WHEN p_ = 0 THEN 0.0
+                              WHEN starts_with(words_[p_], lower(t.term)) THEN 1.0 / p_
+                              ELSE 0.1 / p_ END AS rel_
+                  FROM (SELECT words_, coalesce(list_position(list_transform(words_, lambda w: contains(w, lower(t.term))), true), 0) AS p_
+                        FROM (SELECT regexp_split_to_array(lower(m.title), '\\s+') AS words_)))
+         WHERE regexp_replace(t.term, '^\\s+|\\s+$', '', 'g') <> '')
+       WHERE rank <= 15""",
+)
+oracle(
+    "tag_search",
+    """SELECT DISTINCT t.term_id, g.id AS tag_id, g.tag FROM v_search_terms t JOIN v_tags g
+         ON regexp_replace(t.term, '^\\s+|\\s+$', '', 'g') = ''
+         OR list_bool_or(list_transform(regexp_split_to_array(lower(g.tag), '\\s+'), lambda w: starts_with(w, lower(t.term))))""",
+)
+oracle(
+    "link_ids",
+    """SELECT m.item_id, m.imdb_id, l.tmdb_id, l.tmdb_id IS NOT NULL AS matched
+       FROM v_movies m LEFT JOIN (SELECT imdbId, arg_max(tmdbId, line) AS tmdb_id FROM v_links GROUP BY imdbId) l
+         ON l.imdbId = regexp_replace(m.imdb_id, '^tt', '')""",
+)
+oracle(
+    "best_poster",
+    """SELECT item, iso_639_1, vote_count, vote_average, file_path FROM (
+         SELECT *, row_number() OVER (PARTITION BY item ORDER BY (iso_639_1 = 'en') DESC, vote_count DESC, vote_average DESC, pos) AS rn_
+         FROM v_posters) WHERE rn_ = 1""",
+)

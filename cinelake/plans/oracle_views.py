@@ -118,7 +118,7 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "v_posters": """
         SELECT source AS item, lang AS iso_639_1, n_chars % 50 AS vote_count,
-               CAST(doc_id % 10 AS DOUBLE) AS vote_average, '/p/' || CAST(doc_id AS VARCHAR) || '.jpg' AS file_path
+               CAST(doc_id % 10 AS DOUBLE) AS vote_average, '/p/' || CAST(doc_id AS VARCHAR) || '.jpg' AS file_path, doc_id AS pos
         FROM documents""",
     "v_links": """
         SELECT imdb_ AS imdbId, CAST(p_partkey + 100000 AS VARCHAR) AS tmdbId, p_partkey * 2 AS line FROM (
@@ -139,6 +139,14 @@ VIEWS: dict[str, str] = {
                                CAST(1 + item_id % 5 AS INTEGER)) AS short_
               FROM v_clean_titles WHERE item_id % 3 <> 0) b
         JOIN documents d ON b.item_id % 200 = d.doc_id""",
+    "v_search_terms": """
+        SELECT id AS term_id,
+          CASE WHEN id % 16 = 1 THEN '  '
+               WHEN id % 16 = 2 THEN substring(split_part(tag, ' ', 1), 1, 1) || '%' || substring(split_part(tag, ' ', 2), 1, 1)
+               WHEN id % 16 = 3 THEN tag
+               WHEN id % 16 = 4 THEN upper(substring(split_part(tag, ' ', 2), 2, 3))
+               ELSE substring(split_part(tag, ' ', 1), 1, 3) END AS term
+        FROM v_tags""",
 }
 
 _NAME = re.compile(r"\bv_[a-z_]+\b")

@@ -21,6 +21,7 @@ from cinelake.streaming import state as S
 from cinelake.functions import answers as A
 from cinelake.functions import text as TX
 from cinelake.operators import resolve as R
+from cinelake.operators import search as SE
 from cinelake.operators.requests import valid_importance as _valid_importance
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -531,3 +532,37 @@ def blend_llm(spark: SparkSession, d: str) -> DataFrame:
         expl.alias("explanation"),
     )
     return blend.normalise(out, "total_score", by="answer_id")
+
+
+# ---------------------------------------------------------------- step 6: retrieval, links, posters
+
+
+@query
+def title_search(spark: SparkSession, d: str) -> DataFrame:
+    return SE.title_search(V.search_terms(spark, d), V.movies(spark, d))
+
+
+@query
+def tag_search(spark: SparkSession, d: str) -> DataFrame:
+    return SE.tag_search(V.search_terms(spark, d), V.tags(spark, d))
+
+
+@query
+def link_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue -> external id; the links file's last row wins on a repeated key; misses are flagged."""
+    ln = V.links(spark, d)
+    last = ln.groupBy("imdbId").agg(F.max_by("tmdbId", "line").alias("tmdb_id"))
+    m = V.movies(spark, d).select("item_id", "imdb_id", TX.strip_imdb_prefix("imdb_id").alias("imdbId"))
+    return m.join(last, "imdbId", "left").select("item_id", "imdb_id", "tmdb_id", F.col("tmdb_id").isNotNull().alias("matched"))
+
+
+@query
+def best_poster(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: an English poster if any, then most votes, then best average; list order breaks ties.
+
+    ``max_by`` aggregates map-side, so an item with a huge poster list is reduced before the shuffle.
+    """
+    p = V.posters(spark, d)
+    rank = F.struct((F.col("iso_639_1") == "en").cast("int"), F.col("vote_count"), F.col("vote_average"), -F.col("pos"))
+    best = p.groupBy("item").agg(F.max_by(F.struct("iso_639_1", "vote_count", "vote_average", "file_path"), rank).alias("_b"))
+    return best.select("item", "_b.iso_639_1", "_b.vote_count", "_b.vote_average", "_b.file_path")

@@ -263,6 +263,7 @@ def posters(spark: SparkSession, d: str) -> DataFrame:
         (F.col("n_chars") % 50).alias("vote_count"),
         (F.col("doc_id") % 10).cast("double").alias("vote_average"),
         F.concat(F.lit("/p/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file_path"),
+        F.col("doc_id").alias("pos"),
     )
 
 
@@ -296,3 +297,18 @@ def plots(spark: SparkSession, d: str) -> DataFrame:
     return base.join(docs, (base.item_id % 200) == docs.doc_id).select(
         F.col("item_id").alias("plot_id"), "year", "title", F.col("text").alias("plot")
     )
+
+
+@_memo
+def search_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Search boxes typed by users: prefixes, infixes, a LIKE wildcard, a two-word term and blanks."""
+    w = F.split(F.col("tag"), " ")
+    m = F.col("id") % 16
+    term = (
+        F.when(m == 1, F.lit("  "))
+        .when(m == 2, F.concat(F.substring(w.getItem(0), 1, 1), F.lit("%"), F.substring(w.getItem(1), 1, 1)))
+        .when(m == 3, F.col("tag"))
+        .when(m == 4, F.upper(F.substring(w.getItem(1), 2, 3)))
+        .otherwise(F.substring(w.getItem(0), 1, 3))
+    )
+    return tags(spark, d).select(F.col("id").alias("term_id"), term.alias("term"))
