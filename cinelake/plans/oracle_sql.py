@@ -234,7 +234,7 @@ SPARSITY_Q = 0.98
 NAMES = "JOIN (SELECT item_id, title, popularity, imdb_id FROM v_movies) nm ON nm.item_id = t.item_id"
 
 
-def recommend_ctes(req: str, k: int, sfx: str = "") -> list[tuple[str, str]]:
+def recommend_ctes(req: str, k: int, sfx: str = "", out: str = "") -> list[tuple[str, str]]:
     """Brute force: every unrated model item is a candidate, unscored ones score 0."""
     s = sfx
     return [
@@ -246,17 +246,17 @@ def recommend_ctes(req: str, k: int, sfx: str = "") -> list[tuple[str, str]]:
                WHERE NOT EXISTS (SELECT 1 FROM r_known k WHERE k.request_id = q.request_id AND k.item_id = i.item_id)""",
         ),
         (
-            "r_sc",
+            f"r_sc{out}",
             f"""SELECT k.request_id, w.dst_item AS item_id, sum(k.rating * w.w) AS s
                 FROM r_known k JOIN m_w{s} w ON w.src_item = k.item_id GROUP BY k.request_id, w.dst_item""",
         ),
         (
-            "r_top",
+            f"r_top{out}",
             f"""SELECT * FROM (
                   SELECT c.request_id, c.item_id, coalesce(round_even(s.s, 9), 0.0) + 0.0 AS score,
                          row_number() OVER (PARTITION BY c.request_id
                                             ORDER BY coalesce(round_even(s.s, 9), 0.0) DESC, c.item_id) AS rank
-                  FROM r_cand c LEFT JOIN r_sc s ON s.request_id = c.request_id AND s.item_id = c.item_id)
+                  FROM r_cand c LEFT JOIN r_sc{out} s ON s.request_id = c.request_id AND s.item_id = c.item_id)
                 WHERE rank <= {k}""",
         ),
     ]
@@ -661,3 +661,187 @@ oracle(
          SELECT *, row_number() OVER (PARTITION BY item ORDER BY (iso_639_1 = 'en') DESC, vote_count DESC, vote_average DESC, pos) AS rn_
          FROM v_posters) WHERE rn_ = 1""",
 )
+
+
+# ---------------------------------------------------------------- step 8
+
+
+def unique_ctes(*lists: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    seen: dict[str, str] = {}
+    for lst in lists:
+        for n, q in lst:
+            seen.setdefault(n, q)
+    return list(seen.items())
+
+
+def renamed(ctes: list[tuple[str, str]], names: list[str], pfx: str, subs: dict[str, str]) -> list[tuple[str, str]]:
+    import re as _re
+
+    pat = _re.compile(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b")
+    out = []
+    for n, q in ctes:
+        for a, b in subs.items():
+            q = q.replace(a, b)
+        out.append((pat.sub(lambda m: pfx + m.group(1), n), pat.sub(lambda m: pfx + m.group(1), q)))
+    return out
+
+
+PAIR = "md5(CAST(user_id AS VARCHAR) || ':' || CAST(item_id AS VARCHAR) || ':{seed}')"
+HOLD = CORPUS + [
+    ("ho_test", "SELECT user_id, item_id, rating FROM c_split WHERE split = 'test'"),
+    ("ho_ok", "SELECT * FROM ho_test WHERE user_id IN (SELECT user_id FROM ho_test GROUP BY user_id HAVING count(*) >= 25)"),
+    (
+        "ho",
+        f"""SELECT user_id, item_id, rating,
+              CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY {PAIR.format(seed=42)}, item_id) <= 20
+                   THEN 'sample' ELSE 'target' END AS part FROM ho_ok""",
+    ),
+]
+oracle("holdout_split", "SELECT * FROM ho", HOLD)
+
+HO_REQ = "SELECT user_id AS request_id, item_id, rating FROM ho WHERE part = 'sample'"
+
+
+def pr_body(top: str) -> str:
+    return f"""SELECT 20 AS k, count(*) AS n_users, round_even(avg(p_), 9) AS precision, round_even(avg(r_), 9) AS recall,
+                 round_even(avg(CASE WHEN p_ + r_ > 0 THEN 2 * p_ * r_ / (p_ + r_) ELSE 0 END), 9) AS f1
+          FROM (SELECT u.user_id, coalesce(h.h, 0) / 20.0 AS p_, coalesce(h.h, 0) / t.t AS r_
+                FROM (SELECT DISTINCT user_id FROM ho) u
+                LEFT JOIN (SELECT x.request_id AS user_id, count(*) AS h FROM {top} x
+                           JOIN ho ON ho.user_id = x.request_id AND ho.item_id = x.item_id AND ho.part = 'target'
+                           GROUP BY x.request_id) h ON h.user_id = u.user_id
+                LEFT JOIN (SELECT user_id, count(*) AS t FROM ho WHERE part = 'target' GROUP BY user_id) t ON t.user_id = u.user_id)"""
+
+
+oracle("precision_recall", pr_body("r_top"), unique_ctes(HOLD, model_ctes(), recommend_ctes(HO_REQ, 20)))
+_sweep = [HOLD]
+_parts = []
+for _i, _lam in enumerate((5.0, 50.0, 500.0)):
+    _sweep += [model_ctes(_lam, sfx=f"_{_i}"), recommend_ctes(HO_REQ, 20, sfx=f"_{_i}", out=f"_{_i}")]
+    _parts.append(f"SELECT CAST({_lam} AS DOUBLE) AS \"lambda\", precision, recall, f1 FROM ({pr_body(f'r_top_{_i}')})")
+oracle(
+    "lambda_sweep",
+    """SELECT *, row_number() OVER (ORDER BY precision DESC, "lambda") AS rank_precision,
+              row_number() OVER (ORDER BY recall DESC, "lambda") AS rank_recall,
+              row_number() OVER (ORDER BY f1 DESC, "lambda") AS rank_f1 FROM sweep""",
+    unique_ctes(*_sweep, [("sweep", "\nUNION ALL\n".join(_parts))]),
+)
+
+TARGETS = CORPUS + ROUNDS + [
+    ("et_train", "SELECT user_id, item_id, rating FROM c_split WHERE split = 'train'"),
+    ("et_cohort", "SELECT user_id FROM (SELECT DISTINCT user_id FROM et_train) ORDER BY md5(CAST(user_id AS VARCHAR) || ':42'), user_id LIMIT 250"),
+    ("et_r", "SELECT * FROM et_train WHERE user_id IN (SELECT user_id FROM et_cohort)"),
+    (
+        "et_target",
+        f"""SELECT user_id, item_id, rating FROM (
+              SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {PAIR.format(seed=42)}, item_id) AS rn_
+              FROM et_r WHERE rating >= 4 AND item_id IN (SELECT item_id FROM matched)) WHERE rn_ = 1""",
+    ),
+    (
+        "et_sample",
+        f"""SELECT user_id, item_id, rating FROM (
+              SELECT r.*, row_number() OVER (PARTITION BY r.user_id ORDER BY {PAIR.format(seed=43).replace('user_id', 'r.user_id').replace('item_id', 'r.item_id')}, r.item_id) AS rn_
+              FROM et_r r WHERE r.user_id IN (SELECT user_id FROM et_target)
+                AND NOT EXISTS (SELECT 1 FROM et_target t WHERE t.user_id = r.user_id AND t.item_id = r.item_id)) WHERE rn_ <= 8""",
+    ),
+    ("targets", "SELECT *, 'target' AS role FROM et_target UNION ALL SELECT *, 'sample' FROM et_sample"),
+]
+oracle("eval_targets", "SELECT * FROM targets", TARGETS)
+
+T_REQ = "SELECT user_id AS request_id, item_id, rating FROM targets WHERE role = 'sample'"
+EXPERIMENT = unique_ctes(
+    TARGETS,
+    model_ctes(),
+    recommend_ctes(T_REQ, 50),
+    [("plot_txt", PLOT_TEXT)],
+    [
+        (
+            "x_wish",
+            f"SELECT t.user_id, 'something like ' || {FIRST_ALIAS} AS preferences FROM targets t JOIN v_movies m ON m.item_id = t.item_id WHERE t.role = 'target'",
+        ),
+        (
+            "x_c",
+            """SELECT t.request_id AS user_id, t.item_id, nm.imdb_id, nm.title, round_even(t.score, 2) AS rs_score, w.preferences, p.plot_text
+               FROM r_top t JOIN (SELECT item_id, title, imdb_id FROM v_movies) nm ON nm.item_id = t.item_id
+               JOIN x_wish w ON w.user_id = t.request_id LEFT JOIN plot_txt p ON p.item_id = t.item_id""",
+        ),
+        (
+            "x_s",
+            """SELECT *, CASE WHEN plot_text IS NOT NULL THEN CAST(least(5, 1 + len(list_intersect(string_split(lower(preferences), ' '),
+                   string_split(lower(plot_text), ' ')))) AS DOUBLE) END AS llm_score FROM x_c""",
+        ),
+        ("x_t", f"SELECT *, {geo('rs_score', 'coalesce(llm_score, 3.0)', '0.5', '0.5')} AS total_ FROM x_s"),
+        (
+            "x_n",
+            "SELECT *, round_even(total_ / nullif(max(total_) OVER (PARTITION BY user_id), 0) * 10.0, 2) AS total_score FROM x_t",
+        ),
+        (
+            "x_rank",
+            """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rs_score DESC, item_id) AS rank_rs,
+                      row_number() OVER (PARTITION BY user_id ORDER BY total_score DESC NULLS LAST, item_id) AS rank_both FROM x_n""",
+        ),
+    ],
+)
+oracle(
+    "hit_at_k",
+    """SELECT k, count(*) AS n_users, count(CASE WHEN rs_ <= k THEN 1 END) AS hits_rs, count(CASE WHEN both_ <= k THEN 1 END) AS hits_both,
+              round_even(count(CASE WHEN rs_ <= k THEN 1 END) / count(*), 3) AS accuracy_rs,
+              round_even(count(CASE WHEN both_ <= k THEN 1 END) / count(*), 3) AS accuracy_both
+       FROM (SELECT u.user_id, a.rs_, a.both_ FROM (SELECT DISTINCT user_id FROM targets WHERE role = 'target') u
+             LEFT JOIN (SELECT x.user_id, min(x.rank_rs) AS rs_, min(x.rank_both) AS both_ FROM x_rank x
+                        JOIN targets t ON t.user_id = x.user_id AND t.item_id = x.item_id AND t.role = 'target'
+                        GROUP BY x.user_id) a ON a.user_id = u.user_id),
+            (VALUES (1), (5), (10), (20)) ks(k)
+       GROUP BY k""",
+    EXPERIMENT,
+)
+
+_PA_NAMES = ["pa_p", "pa_q", "pa_r", "pa_s", "pa", "rn_names", "rn_al", "rn_best", "resolved"]
+CONV = unique_ctes(
+    TARGETS,
+    [
+        (
+            "cl_text",
+            f"""SELECT t.user_id AS answer_id, string_agg({FIRST_ALIAS} || ': ' || CAST(t.rating AS VARCHAR), ';;;' ORDER BY t.item_id)
+                   || ' --- <EMPTY>' AS answer
+                FROM targets t JOIN v_movies m ON m.item_id = t.item_id WHERE t.role = 'sample' GROUP BY t.user_id""",
+        )
+    ],
+    renamed(NAMES_RESOLVED, _PA_NAMES, "cl_", {"FROM v_answers": "FROM cl_text"}),
+    [
+        (
+            "cl_conv",
+            """SELECT answer_id AS user_id, item_id, rating FROM (
+                 SELECT *, row_number() OVER (PARTITION BY answer_id, item_id ORDER BY pos DESC) AS rn_ FROM cl_resolved) WHERE rn_ = 1""",
+        ),
+        ("cl_true", "SELECT user_id, item_id, rating FROM targets WHERE role = 'sample' AND item_id IN (SELECT item_id FROM v_movies)"),
+        (
+            "cl_per",
+            """SELECT user_id, sum(CASE WHEN t_ IS NOT NULL AND c_ IS NOT NULL THEN abs(t_ - c_) ELSE 0.0 END) AS sd,
+                      count(CASE WHEN c_ IS NULL THEN 1 END) AS missing, count(CASE WHEN t_ IS NULL THEN 1 END) AS spurious,
+                      count(t_) AS nt, count(c_) AS nc
+               FROM (SELECT coalesce(t.user_id, c.user_id) AS user_id, t.rating AS t_, c.rating AS c_
+                     FROM cl_true t FULL OUTER JOIN cl_conv c ON t.user_id = c.user_id AND t.item_id = c.item_id)
+               GROUP BY user_id""",
+        ),
+    ],
+)
+oracle(
+    "conversion_loss",
+    """SELECT count(*) AS n_users, round_even(sum(sd), 9) AS total_score_diff, CAST(sum(missing + nc - nt) AS BIGINT) AS total_item_diff,
+              CAST(sum(missing) AS BIGINT) AS n_missing, CAST(sum(spurious) AS BIGINT) AS n_spurious,
+              round_even(avg(sd), 9) AS avg_score_diff, round_even(avg(missing + nc - nt), 9) AS avg_item_diff FROM cl_per""",
+    CONV,
+)
+oracle(
+    "resume_predictions",
+    "SELECT request_id AS user_id, item_id, score, rank FROM r_top",
+    unique_ctes(
+        TARGETS,
+        model_ctes(),
+        [("rp_start", "SELECT max(user_id) AS s FROM (SELECT user_id FROM et_cohort ORDER BY user_id LIMIT 125)")],
+        recommend_ctes(
+            f"SELECT * FROM ({T_REQ}) WHERE request_id >= (SELECT s FROM rp_start) AND request_id % 4 <> 0", 10
+        ),
+    ),
+)

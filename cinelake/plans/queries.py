@@ -22,6 +22,7 @@ from cinelake.functions import answers as A
 from cinelake.functions import text as TX
 from cinelake.operators import resolve as R
 from cinelake.operators import search as SE
+from cinelake.operators import evaluate as EV
 from cinelake.operators.requests import valid_importance as _valid_importance
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,3 +567,151 @@ def best_poster(spark: SparkSession, d: str) -> DataFrame:
     rank = F.struct((F.col("iso_639_1") == "en").cast("int"), F.col("vote_count"), F.col("vote_average"), -F.col("pos"))
     best = p.groupBy("item").agg(F.max_by(F.struct("iso_639_1", "vote_count", "vote_average", "file_path"), rank).alias("_b"))
     return best.select("item", "_b.iso_639_1", "_b.vote_count", "_b.vote_average", "_b.file_path")
+
+
+# ---------------------------------------------------------------- step 8: evaluation
+
+EVAL_K = 20
+HOLDOUT_SAMPLE = 20
+COHORT = 250
+COHORT_SAMPLE = 8
+CANDIDATES = 50
+LAMBDAS = (5.0, 50.0, 500.0)
+
+
+@V._memo
+def _holdout(spark: SparkSession, d: str) -> DataFrame:
+    test = P.split(spark, d).where(F.col("split") == "test").select("user_id", "item_id", "rating")
+    return EV.holdout(test, HOLDOUT_SAMPLE, P.TEST_MIN_RATINGS, P.SEED)
+
+
+@query
+def holdout_split(spark: SparkSession, d: str) -> DataFrame:
+    return _holdout(spark, d)
+
+
+def _precision_recall(spark: SparkSession, d: str, lam: float) -> DataFrame:
+    h = _holdout(spark, d)
+    idx, w = P.model(spark, d, lam)
+    req = h.where(F.col("part") == "sample").select(F.col("user_id").alias("request_id"), "item_id", "rating")
+    top = ease.recommend(req, idx, w, EVAL_K).withColumnRenamed("request_id", "user_id")
+    target = h.where(F.col("part") == "target")
+    users = h.select("user_id").distinct()
+    return EV.precision_recall(top, target, users, EVAL_K)
+
+
+@query
+def precision_recall(spark: SparkSession, d: str) -> DataFrame:
+    return _precision_recall(spark, d, P.LAMBDA)
+
+
+@query
+def lambda_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """One row per lambda with the metrics and each metric's rank (the grid is small and fixed)."""
+    rows = None
+    for lam in LAMBDAS:
+        r = _precision_recall(spark, d, lam).select(F.lit(lam).alias("lambda"), "precision", "recall", "f1")
+        rows = r if rows is None else rows.unionByName(r)
+    for m in ("precision", "recall", "f1"):
+        rows = rows.withColumn(f"rank_{m}", F.row_number().over(Window.orderBy(F.col(m).desc(), F.col("lambda"))))
+    return rows
+
+
+@V._memo
+def _cohort(spark: SparkSession, d: str) -> DataFrame:
+    return EV.choose_users(P.train_ratings(spark, d), COHORT, P.SEED)
+
+
+@V._memo
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    plot_items = P.matched_plots(spark, d).select("item_id")
+    return EV.eval_targets(P.train_ratings(spark, d), _cohort(spark, d), plot_items, COHORT_SAMPLE, P.SEED)
+
+
+@query
+def eval_targets(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d)
+
+
+@V._memo
+def _experiment(spark: SparkSession, d: str) -> DataFrame:
+    """Per cohort user: RS top-50 from the sampled ratings, plot-scored against a wish naming the target."""
+    t = _targets(spark, d)
+    req = t.where(F.col("role") == "sample").select(F.col("user_id").alias("request_id"), "item_id", "rating")
+    top = _names(_ease_top(spark, d, req, CANDIDATES), spark, d)
+    m = V.movies(spark, d).select("item_id", TX.first_alias("title").alias("_tname"))
+    wish = t.where(F.col("role") == "target").join(m, "item_id").select(
+        F.col("user_id").alias("request_id"), F.concat(F.lit("something like "), F.col("_tname")).alias("preferences")
+    )
+    c = top.join(wish, "request_id").join(P.plot_texts(spark, d), "item_id", "left").withColumn("rs_score", F.bround("score", 2))
+    scored = A.score_pairs(c.withColumn("plot", F.col("plot_text")))
+    fit = A.parse_fitness(F.col("answer"))
+    has_plot = F.col("plot_text").isNotNull()
+    out = scored.select(
+        F.col("request_id").alias("user_id"),
+        "item_id",
+        "imdb_id",
+        "title",
+        "rs_score",
+        F.when(has_plot, fit["score"]).alias("llm_score"),
+        F.when(has_plot, fit["explanation"]).otherwise(F.lit("Movie plot not found.")).alias("explanation"),
+    )
+    total = blend.geo_blend("rs_score", F.coalesce("llm_score", F.lit(blend.DEFAULT_LLM_SCORE)), 0.5, 0.5)
+    out = blend.normalise(out.withColumn("total_score", total), "total_score", by="user_id")
+    w_rs = Window.partitionBy("user_id").orderBy(F.col("rs_score").desc(), "item_id")
+    w_both = Window.partitionBy("user_id").orderBy(F.col("total_score").desc_nulls_last(), "item_id")
+    return out.withColumn("rank_rs", F.row_number().over(w_rs)).withColumn("rank_both", F.row_number().over(w_both))
+
+
+@query
+def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
+    t = _targets(spark, d)
+    users = t.where(F.col("role") == "target").select("user_id").distinct()
+    return EV.hit_rates(_experiment(spark, d), t.where(F.col("role") == "target"), users)
+
+
+@query
+def predictions_json(spark: SparkSession, d: str) -> DataFrame:
+    """Per user: the ranked prediction records as one JSON array (nulls kept)."""
+    e = _experiment(spark, d)
+    rec = F.struct("rank_both", "item_id", "imdb_id", "title", "total_score", "rs_score", "llm_score", "explanation")
+    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(rec)).alias("_r"))
+    return g.select("user_id", F.to_json("_r", {"ignoreNullFields": "false"}).alias("predictions"))
+
+
+@query
+def conversion_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled ratings -> text answer -> parse -> fuzzy resolve -> compare with the true ratings."""
+    from cinelake.operators.resolve import resolve_titles as _resolve
+
+    t = _targets(spark, d).where(F.col("role") == "sample")
+    m = V.movies(spark, d).select("item_id", TX.first_alias("title").alias("_n"))
+    lines = t.join(m, "item_id").select(
+        "user_id", "item_id", F.concat("_n", F.lit(A.RATING_SEP), F.col("rating").cast("string")).alias("_l")
+    )
+    text = lines.groupBy("user_id").agg(
+        F.concat(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "_l"))), lambda x: x["_l"]), A.ITEM_SEP),
+            F.lit(" --- <EMPTY>"),
+        ).alias("answer")
+    )
+    parsed = A.parse_answers(text, "user_id", "answer").where(F.col("name").isNotNull())
+    parsed = parsed.withColumn("name_id", F.col("user_id") * 100 + F.col("pos"))
+    res = _resolve(parsed.select("name_id", "name"), V.movies(spark, d))
+    conv = parsed.join(res, "name_id").groupBy("user_id", "item_id").agg(F.max_by("rating", "pos").alias("rating"))
+    return EV.conversion_loss(t.join(m, "item_id", "left_semi"), conv)
+
+
+@query
+def resume_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Resume a batch run from a given user: users at or after the start that have no stored output yet."""
+    c = _cohort(spark, d)
+    start = c.orderBy("user_id").select("user_id").limit(COHORT // 2).agg(F.max("user_id")).first()[0]
+    t = _targets(spark, d)
+    req = t.where(F.col("role") == "sample").select(F.col("user_id").alias("request_id"), "item_id", "rating")
+    done_path = shared_path(spark, "predictions_done")
+    early = req.where(F.col("request_id") % 4 == 0)
+    _ease_top(spark, d, early, P.TOP_K).write.parquet(done_path)
+    done = spark.read.parquet(done_path).select(F.col("request_id")).distinct()
+    todo = req.where(F.col("request_id") >= start).join(done, "request_id", "left_anti")
+    return _ease_top(spark, d, todo, P.TOP_K).withColumnRenamed("request_id", "user_id")
