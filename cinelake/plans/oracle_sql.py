@@ -845,3 +845,25 @@ oracle(
         ),
     ),
 )
+
+
+# ---------------------------------------------------------------- step 10
+
+oracle(
+    "scan_plots_csv",
+    """SELECT year, title, 'American' AS origin, CAST(NULL AS VARCHAR) AS directedBy, CAST(NULL AS VARCHAR) AS starring,
+              'unknown' AS genre, 'https://wiki.invalid/' || CAST(plot_id AS VARCHAR) AS wikiPage, plot FROM v_plots""",
+)
+oracle(
+    "scan_user_files",
+    f"""SELECT request_id AS user_id, string_agg(line_, '' ORDER BY pos) AS content
+        FROM (SELECT r.request_id, r.pos, {FIRST_ALIAS} || ': ' || CAST(r.rating AS VARCHAR) || chr(10) AS line_
+              FROM v_request_ratings r JOIN v_movies m ON m.item_id = r.item_id)
+        GROUP BY request_id""",
+)
+oracle(
+    "sink_roundtrip",
+    "SELECT item_id, title, year, popularity, substring(imdb_id, 3) AS imdbId, true AS csv_agrees FROM v_movies",
+)
+oracle("cohort_roundtrip", "SELECT user_id FROM et_cohort", TARGETS)
+oracle("catalog_load", "SELECT imdb_id, title, year, popularity, item_id FROM v_movies")

@@ -715,3 +715,75 @@ def resume_predictions(spark: SparkSession, d: str) -> DataFrame:
     done = spark.read.parquet(done_path).select(F.col("request_id")).distinct()
     todo = req.where(F.col("request_id") >= start).join(done, "request_id", "left_anti")
     return _ease_top(spark, d, todo, P.TOP_K).withColumnRenamed("request_id", "user_id")
+
+
+# ---------------------------------------------------------------- step 10: sources and sinks round trips
+
+
+@query
+def scan_plots_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Plot records written as the published header CSV (quoted multi-line text) and read back renamed."""
+    pl = V.plots(spark, d).select(
+        F.col("year").alias("Release Year"),
+        F.col("title").alias("Title"),
+        F.lit("American").alias("Origin/Ethnicity"),
+        F.lit(None).cast("string").alias("Director"),
+        F.lit(None).cast("string").alias("Cast"),
+        F.lit("unknown").alias("Genre"),
+        F.concat(F.lit("https://wiki.invalid/"), F.col("plot_id").cast("string")).alias("Wiki Page"),
+        F.col("plot").alias("Plot"),
+    )
+    path = io.write_csv(pl, shared_path(spark, "plots_csv"))
+    return io.read_plots_csv(spark, path)
+
+
+@query
+def scan_user_files(spark: SparkSession, d: str) -> DataFrame:
+    """Per-user text files written by key and scanned back whole, user id from the path."""
+    texts = ratings_text(spark, d).select(F.col("request_id").alias("user_id"), F.col("ratings_text").alias("content"))
+    folder = io.write_per_user_text(texts, shared_path(spark, "user_files"))
+    return io.read_per_user_text(spark, folder)
+
+
+@query
+def sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue written as JSON lines and as header CSV; both read back with schemas and must agree."""
+    m = V.movies(spark, d).select("title", "year", "popularity", F.expr("substring(imdb_id, 3)").alias("imdbId"), "item_id")
+    jpath = io.write_json(m, shared_path(spark, "movies_json"))
+    cpath = io.write_csv(m, shared_path(spark, "movies_csv"))
+    js = io.read_json(spark, jpath, io.MOVIES_SCHEMA).select("item_id", "title", "year", "popularity", "imdbId")
+    cs = spark.read.schema(m.schema).option("header", True).option("escape", '"').csv(cpath)
+    both = js.join(cs.select("item_id", F.col("title").alias("_ct"), F.col("imdbId").alias("_ci")), "item_id", "full_outer")
+    return both.select(
+        "item_id", "title", "year", "popularity", "imdbId",
+        ((F.col("title") == F.col("_ct")) & (F.col("imdbId") == F.col("_ci"))).alias("csv_agrees"),
+    )
+
+
+@query
+def cohort_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Cohort chosen once and persisted as a JSON id list; an existing file is reused, not redrawn."""
+    path = shared_path(spark, "cohort")
+    io.write_id_list(_cohort(spark, d), path)
+    if spark.read.text(path, wholetext=True).isEmpty():
+        raise RuntimeError("cohort file is empty")
+    return io.read_id_list(spark, path)
+
+
+_LOADED: dict[str, str] = {}
+
+
+@query
+def catalog_load(spark: SparkSession, d: str) -> DataFrame:
+    """Load the catalogue table only if absent (save mode 'ignore'), ids cast to LONG, stored in the shared folder."""
+    import hashlib
+
+    name = "catalog_movies_" + hashlib.md5(d.encode()).hexdigest()[:10]
+    if name not in _LOADED:
+        _LOADED[name] = shared_path(spark, "catalog", name)
+    m = V.movies(spark, d).select(
+        F.col("imdb_id"), "title", "year", F.col("popularity").cast("long"), F.col("item_id").cast("long")
+    )
+    m.write.mode("ignore").option("path", _LOADED[name]).saveAsTable(name)
+    m.write.mode("ignore").option("path", _LOADED[name]).saveAsTable(name)
+    return spark.table(name)

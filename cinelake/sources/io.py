@@ -99,7 +99,15 @@ def read_movie_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+    """Header CSV, RFC-4180 quoting (doubled quotes), text kept byte for byte (no whitespace trimming)."""
+    (
+        df.write.mode("errorifexists")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
     return path
 
 
@@ -120,10 +128,42 @@ def read_links_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_user_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """One row per ``<user_id>_<suffix>`` file: (user_id, content) read whole."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", f"*_{suffix}").text(folder)
+    """One row per ``<user_id>_<suffix>`` file: (user_id, content) read whole, sorted by user."""
+    df = spark.read.option("pathGlobFilter", f"*_{suffix}").text(folder, wholetext=True)
     name = F.col("_metadata.file_name")
     return df.select(
         F.regexp_extract(name, r"^(\d+)_", 1).cast("long").alias("user_id"),
         F.col("value").alias("content"),
     )
+
+
+def write_per_user_text(df: DataFrame, folder: str, key: str = "user_id", col: str = "content") -> str:
+    """Per-entity text sink: one directory per key (``key=<id>``), the text written as is."""
+    df.select(key, col).repartition(key).write.mode("errorifexists").partitionBy(key).text(folder)
+    return folder
+
+
+def read_per_user_text(spark: SparkSession, folder: str, key: str = "user_id") -> DataFrame:
+    """Inverse of ``write_per_user_text``: whole files, key parsed from the directory name.
+
+    The text writer ends every row with a newline; it is removed again.
+    """
+    df = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    path = F.col("_metadata.file_path")
+    v = F.col("value")
+    return df.select(
+        F.regexp_extract(path, key + r"=(\d+)/", 1).cast("long").alias(key),
+        F.expr("substring(value, 1, length(value) - 1)").alias("content"),
+    ).where(F.length(v) > 0)
+
+
+def write_id_list(ids: DataFrame, path: str, col: str = "user_id") -> str:
+    """A JSON document holding one array of ids (the cohort file); the id list is a bounded sample."""
+    doc = ids.agg(F.to_json(F.array_sort(F.collect_list(col))).alias("value"))
+    doc.coalesce(1).write.mode("errorifexists").text(path)
+    return path
+
+
+def read_id_list(spark: SparkSession, path: str, col: str = "user_id") -> DataFrame:
+    doc = spark.read.text(path, wholetext=True)
+    return doc.select(F.explode(F.from_json("value", "array<long>")).alias(col))
