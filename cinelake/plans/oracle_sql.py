@@ -867,3 +867,14 @@ oracle(
 )
 oracle("cohort_roundtrip", "SELECT user_id FROM et_cohort", TARGETS)
 oracle("catalog_load", "SELECT imdb_id, title, year, popularity, item_id FROM v_movies")
+
+oracle(
+    "predictions_json",
+    """SELECT user_id, to_json(list(struct_pack(rank_both := rank_both, item_id := item_id, imdb_id := imdb_id, title := title,
+                 total_score := total_score, rs_score := rs_score, llm_score := llm_score,
+                 explanation := CASE WHEN plot_text IS NOT NULL THEN 'Shares ' || CAST(CAST(llm_score - 1 AS INTEGER) AS VARCHAR)
+                                     || ' words with the wishes.' ELSE 'Movie plot not found.' END)
+                 ORDER BY rank_both)) AS predictions
+       FROM x_rank GROUP BY user_id""",
+    EXPERIMENT,
+)
