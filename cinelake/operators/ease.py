@@ -32,7 +32,7 @@ from cinelake.session import cut_lineage
 DEFAULT_LAMBDA = 0.5
 DEFAULT_SPARSITY = 98
 SALT_CHUNK = 2048
-BLOCK = 256
+BLOCK = 512
 
 BLOCK_SCHEMA = T.StructType(
     [

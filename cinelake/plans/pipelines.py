@@ -33,7 +33,11 @@ def popular(spark: SparkSession, d: str) -> DataFrame:
 
 @V._memo
 def split(spark: SparkSession, d: str) -> DataFrame:
-    return curate.train_test_split(popular(spark, d), TEST_USERS, TEST_MIN_RATINGS, SEED)
+    """The curated corpus with its split, written once to the shared folder (as the curation step
+    writes its train/test files) so every later stage reads it instead of re-deriving it."""
+    from cinelake.session import cut_lineage
+
+    return cut_lineage(curate.train_test_split(popular(spark, d), TEST_USERS, TEST_MIN_RATINGS, SEED))
 
 
 @V._memo

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cinelake.operators import blend, curate, ease
 from cinelake.plans import pipelines as P
 from cinelake.plans import views as V
-from cinelake.session import shared_path, table
+from cinelake.session import cut_lineage, shared_path, table
 from cinelake.sources import io
 from cinelake.streaming import state as S
 from cinelake.functions import answers as A
@@ -582,7 +582,7 @@ LAMBDAS = (5.0, 50.0, 500.0)
 @V._memo
 def _holdout(spark: SparkSession, d: str) -> DataFrame:
     test = P.split(spark, d).where(F.col("split") == "test").select("user_id", "item_id", "rating")
-    return EV.holdout(test, HOLDOUT_SAMPLE, P.TEST_MIN_RATINGS, P.SEED)
+    return cut_lineage(EV.holdout(test, HOLDOUT_SAMPLE, P.TEST_MIN_RATINGS, P.SEED))
 
 
 @query
@@ -625,7 +625,7 @@ def _cohort(spark: SparkSession, d: str) -> DataFrame:
 @V._memo
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     plot_items = P.matched_plots(spark, d).select("item_id")
-    return EV.eval_targets(P.train_ratings(spark, d), _cohort(spark, d), plot_items, COHORT_SAMPLE, P.SEED)
+    return cut_lineage(EV.eval_targets(P.train_ratings(spark, d), _cohort(spark, d), plot_items, COHORT_SAMPLE, P.SEED))
 
 
 @query
