@@ -58,7 +58,7 @@ VIEWS: dict[str, str] = {
     "v_requests": """
         SELECT c_custkey AS request_id, c_custkey AS user_id,
                CASE WHEN c_custkey % 70 = 0 THEN 'n/a' ELSE CAST(c_custkey % 121 - 10 AS VARCHAR) END AS importance
-        FROM customer WHERE c_custkey % 10 = 0""",
+        FROM customer""",
     "v_request_ratings": """
         SELECT q.request_id,
                CAST(row_number() OVER (PARTITION BY q.request_id ORDER BY r.item_id) AS INTEGER) AS pos,
@@ -105,9 +105,9 @@ VIEWS: dict[str, str] = {
               CAST((c.conv_id + c.turn) % 5 + 1 AS VARCHAR) AS r1_,
               CAST((c.conv_id * 3 + c.turn) % 5 + 1 AS VARCHAR) AS r2_
             FROM conversations c
-            JOIN v_clean_titles a ON (c.conv_id * 13 + c.turn) % 200 = a.item_id
-            JOIN v_clean_titles b ON (c.conv_id * 7 + c.turn * 3 + 1) % 200 = b.item_id
-            WHERE c.role = 'assistant' AND a.item_id < 200 AND b.item_id < 200))""",
+            JOIN v_clean_titles a ON (c.conv_id * 13 + c.turn) % (SELECT count(*) FROM part) = a.item_id
+            JOIN v_clean_titles b ON (c.conv_id * 7 + c.turn * 3 + 1) % (SELECT count(*) FROM part) = b.item_id
+            WHERE c.role = 'assistant'))""",
     "v_transcripts": """
         SELECT conv_id, string_agg(text, '<LINEBREAK>' ORDER BY turn) || '<LINEBREAK>' AS transcript
         FROM conversations GROUP BY conv_id""",
@@ -138,7 +138,7 @@ VIEWS: dict[str, str] = {
                      substring(split_part(left(title, greatest(length(title) - 7, 0)), ' (a.k.a. ', 1),
                                CAST(1 + item_id % 5 AS INTEGER)) AS short_
               FROM v_clean_titles WHERE item_id % 3 <> 0) b
-        JOIN documents d ON b.item_id % 200 = d.doc_id""",
+        JOIN documents d ON b.item_id % (SELECT count(*) FROM documents) = d.doc_id""",
     "v_search_terms": """
         SELECT id AS term_id,
           CASE WHEN id % 16 = 1 THEN '  '

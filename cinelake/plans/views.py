@@ -12,7 +12,7 @@ Mapping (all keys LONG):
   v_movies       curated catalogue of rated items with popularity and pop_rank
   v_tags         distinct p_name, id = 1..n in name order
   v_tag_count    (item, tag, num) = lineitems of a supplier whose part has that name
-  v_requests     one request per 10th customer with importance text
+  v_requests     one request per customer with importance text
   v_request_ratings / v_request_tags   validated request rows
   v_form_ratings / v_form_tags         raw form rows (strings) incl. invalid ones
   v_answers      model answers built from conversations (incl. malformed)
@@ -137,7 +137,7 @@ def tag_count(spark: SparkSession, d: str) -> DataFrame:
 
 @_memo
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey").where(F.col("c_custkey") % 10 == 0)
+    c = table(spark, d, "customer").select("c_custkey")
     k = F.col("c_custkey")
     return c.select(
         k.alias("request_id"),
@@ -210,10 +210,21 @@ def form_tags(spark: SparkSession, d: str) -> DataFrame:
 @_memo
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """Model answers ``name: r;;;name: r --- text``; conv_id % 7 picks a malformed form."""
-    conv = table(spark, d, "conversations").where(F.col("role") == "assistant").select("conv_id", "turn")
-    ct = clean_titles(spark, d).select("item_id", "title").where(F.col("item_id") < 200)
-    a = conv.join(F.broadcast(ct.alias("a")), (conv.conv_id * 13 + conv.turn) % 200 == F.col("a.item_id"))
-    a = a.join(F.broadcast(ct.alias("b")), (conv.conv_id * 7 + conv.turn * 3 + 1) % 200 == F.col("b.item_id"))
+    n_parts = table(spark, d, "part").agg(F.count(F.lit(1))).scalar()
+    conv = (
+        table(spark, d, "conversations")
+        .where(F.col("role") == "assistant")
+        .select(
+            "conv_id",
+            "turn",
+            ((F.col("conv_id") * 13 + F.col("turn")) % n_parts).alias("_ka"),
+            ((F.col("conv_id") * 7 + F.col("turn") * 3 + 1) % n_parts).alias("_kb"),
+        )
+    )
+    ct = clean_titles(spark, d).select("item_id", "title")
+    # names are drawn from the whole catalogue: equi-joins on a key spread over every part
+    a = conv.join(ct.alias("a"), conv._ka == F.col("a.item_id"))
+    a = a.join(ct.alias("b"), a._kb == F.col("b.item_id"))
     n1 = T.first_alias(F.col("a.title"))
     n2 = T.first_alias(F.col("b.title"))
     r1 = ((conv.conv_id + conv.turn) % 5 + 1).cast("string")
@@ -281,7 +292,8 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 @_memo
 def plots(spark: SparkSession, d: str) -> DataFrame:
-    """Plot records for 2 of 3 parts: same year, title with 0-4 leading chars dropped, some with ``(aka ...)``."""
+    """Plot records for 2 of 3 parts: same year, title with 0-4 leading chars dropped, some with ``(aka ...)``;
+    the plot text is a whole document (item_id modulo the number of documents)."""
     ct = clean_titles(spark, d)
     docs = table(spark, d, "documents").select("doc_id", "text")
     k = F.col("item_id")
@@ -293,8 +305,10 @@ def plots(spark: SparkSession, d: str) -> DataFrame:
         "year",
         F.when(k % 7 == 1, F.concat(short, F.lit(" (aka "), F.upper(short), F.lit(")"))).otherwise(short).alias("title"),
     )
-    # every scale factor has at least 200 documents (ids from 0)
-    return base.join(docs, (base.item_id % 200) == docs.doc_id).select(
+    # document ids are 0..n-1: every document text is used, whole
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    base = base.withColumn("_doc", F.col("item_id") % n_docs)
+    return base.join(docs, base._doc == docs.doc_id).select(
         F.col("item_id").alias("plot_id"), "year", "title", F.col("text").alias("plot")
     )
 
