@@ -248,30 +248,45 @@ def recommend(req: DataFrame, index: DataFrame, weights: DataFrame, k: int) -> D
     req: request_id, item_id, rating (already one row per item). Unknown items
     are ignored, rated items never return, every other item is a candidate with
     score 0 if no weight reaches it (zero-fill in item-id order), ties by item_id.
+
+    Plan: one aggregate over (request, item) sums the weight contributions and
+    marks the rated items (map-side partial aggregation, so a request with many
+    ratings is combined before the shuffle). A per-request window counts the
+    touched items and the positive scores. Requests with at least k positive
+    scores take their top k from those alone. Only the others need zero-score
+    items: the first ``k - positives + touched`` item slots hold enough
+    untouched items, and a small aggregate merges them with the real scores.
     """
-    known = req.join(index.select("item_id"), "item_id", "left_semi")
-    scored = (
-        known.join(weights, known.item_id == weights.src_item)
-        .groupBy("request_id", F.col("dst_item").alias("item_id"))
-        .agg(F.bround(F.sum(F.col("rating") * F.col("w")), 9).alias("score"))
-        .join(known.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
-        .where(F.col("score") != 0)
+    contrib = req.join(weights, req.item_id == weights.src_item).select(
+        "request_id", F.col("dst_item").alias("item_id"), (F.col("rating") * F.col("w")).alias("_s"), F.lit(False).alias("_rated")
+    )
+    marks = req.select("request_id", "item_id", F.lit(0.0).alias("_s"), F.lit(True).alias("_rated"))
+    touched = contrib.unionByName(marks).groupBy("request_id", "item_id").agg(
+        F.bround(F.sum("_s"), 9).alias("_s"), F.max("_rated").alias("_rated")
+    )
+    per_req = Window.partitionBy("request_id")
+    positive = ~F.col("_rated") & (F.col("_s") > 0)
+    t = touched.select(
+        "*",
+        F.count(F.lit(1)).over(per_req).alias("_n"),
+        F.count(F.when(positive, 1)).over(per_req).alias("_pos"),
+        (F.min("item_id").over(per_req) == F.col("item_id")).alias("_first"),
     )
-    # zero-fill: per request the first (k + #rated + #scored) item indices cover k unrated, unscored items
-    need = (
-        req.select("request_id")
-        .distinct()
-        .join(known.groupBy("request_id").agg(F.count(F.lit(1)).alias("_nr")), "request_id", "left")
-        .join(scored.groupBy("request_id").agg(F.count(F.lit(1)).alias("_ns")), "request_id", "left")
-        .select("request_id", (F.lit(k) + F.coalesce("_nr", F.lit(0)) + F.coalesce("_ns", F.lit(0))).alias("_need"))
+    enough = t.where((F.col("_pos") >= k) & positive).select("request_id", "item_id", F.col("_s").alias("score"))
+    short = t.where(F.col("_pos") < k)
+    slots = (
+        short.where("_first")
+        .select("request_id", F.explode(F.sequence(F.lit(0), F.lit(k) - F.col("_pos") + F.col("_n") - 1)).alias("idx"))
+        .join(index, "idx")
+        .select("request_id", "item_id", F.lit(0.0).alias("_s"), F.lit(False).alias("_rated"))
     )
-    slots = need.select("request_id", F.explode(F.sequence(F.lit(0), F.col("_need") - 1)).alias("idx"))
-    zeros = (
-        slots.join(index, "idx")
-        .select("request_id", "item_id", F.lit(0.0).alias("score"))
-        .join(known.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
-        .join(scored.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
+    filled = (
+        short.select("request_id", "item_id", "_s", "_rated")
+        .unionByName(slots)
+        .groupBy("request_id", "item_id")
+        .agg(F.sum("_s").alias("score"), F.max("_rated").alias("_rated"))
+        .where(~F.col("_rated"))
+        .select("request_id", "item_id", "score")
     )
-    cand = scored.unionByName(zeros)
     w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("item_id"))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return enough.unionByName(filled).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

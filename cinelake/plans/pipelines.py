@@ -89,7 +89,7 @@ def model(spark: SparkSession, d: str, lam: float = LAMBDA, implicit: bool = Fal
 # ---------------------------------------------------------------- requests and profile
 
 
-@V._memo
+@V._stored
 def profile_state(spark: SparkSession, d: str) -> DataFrame:
     """Live profile ratings from the change feed: (user_id, item_key, rating)."""
     from cinelake.streaming.state import rating_state
@@ -104,7 +104,7 @@ def form_valid_ratings(spark: SparkSession, d: str) -> DataFrame:
     return valid_ratings(V.form_ratings(spark, d), V.movies(spark, d))
 
 
-@V._memo
+@V._stored
 def form_valid_tags(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.requests import valid_tags
 
@@ -119,7 +119,7 @@ def past_ratings(spark: SparkSession, d: str) -> DataFrame:
     return q.join(st, "user_id").select("request_id", F.col("item_key").alias("item_id"), F.col("rating").cast("double"))
 
 
-@V._memo
+@V._stored
 def lite_ratings(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.requests import request_ratings
 
@@ -129,14 +129,14 @@ def lite_ratings(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- text and matching
 
 
-@V._memo
+@V._stored
 def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.functions.answers import parse_answers
 
     return parse_answers(V.answers(spark, d), "answer_id", "answer")
 
 
-@V._memo
+@V._stored
 def resolved_names(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.resolve import resolve_titles
 
@@ -154,7 +154,7 @@ def matched_plots(spark: SparkSession, d: str) -> DataFrame:
     return match_plots(V.plots(spark, d), V.clean_titles(spark, d))
 
 
-@V._memo
+@V._stored
 def plot_texts(spark: SparkSession, d: str) -> DataFrame:
     """item_id -> 'Plot of "<title>": <plot>' for matched plots."""
     from cinelake.functions.answers import plot_text

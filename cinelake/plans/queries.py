@@ -113,10 +113,17 @@ def popular_sample(movies: DataFrame, k: int, seed: int = P.SEED) -> DataFrame:
     )
 
 
-def for_every_request(requests: DataFrame, rows: DataFrame, bound: int) -> DataFrame:
-    """Attach a small table of at most ``bound`` rows to every request (broadcast, size proven by a limit)."""
-    small = F.broadcast(rows.limit(bound).withColumn("_all", F.lit(0)))
-    return requests.withColumn("_all", F.lit(0)).join(small, "_all").drop("_all")
+def for_every_request(requests: DataFrame, rows: DataFrame, bound: int, order: str = "item_id") -> DataFrame:
+    """Attach a small table of at most ``bound`` rows to every request.
+
+    Each request is exploded into ``bound`` numbered slots and joined to the
+    rows on their slot number: an equi-join against a table whose size the
+    limit proves (so it is broadcast), not a nested-loop product.
+    """
+    small = rows.limit(bound)
+    small = small.withColumn("_slot", F.row_number().over(Window.orderBy(order)))  # at most ``bound`` rows
+    slots = requests.withColumn("_slot", F.explode(F.sequence(F.lit(1), F.lit(bound))))
+    return slots.join(F.broadcast(small), "_slot").drop("_slot")
 
 
 @query
@@ -458,7 +465,7 @@ def _llm_requests(spark: SparkSession, d: str) -> DataFrame:
     return a.select("request_id", imp.cast("int").alias("rs_importance"))
 
 
-@V._memo
+@V._stored
 def _llm_candidates(spark: SparkSession, d: str) -> DataFrame:
     """RS candidates per answer with preferences and plot text attached."""
     res = P.resolved_names(spark, d)
@@ -633,7 +640,7 @@ def eval_targets(spark: SparkSession, d: str) -> DataFrame:
     return _targets(spark, d)
 
 
-@V._memo
+@V._stored
 def _experiment(spark: SparkSession, d: str) -> DataFrame:
     """Per cohort user: RS top-50 from the sampled ratings, plot-scored against a wish naming the target."""
     t = _targets(spark, d)

@@ -52,6 +52,26 @@ def _memo(fn):
     return inner
 
 
+def _stored(fn):
+    """Like ``_memo``, but the view is written once to the shared checkpoint folder.
+
+    Used for derived tables that many plans read (the deduplicated corpus,
+    request rows, tag counts): later plans scan the stored rows instead of
+    re-deriving them, and a lost executor costs a re-read, not a recompute.
+    """
+
+    @wraps(fn)
+    def inner(spark: SparkSession, d: str) -> DataFrame:
+        key = (fn.__name__, id(spark), d)
+        if key not in _CACHE:
+            from cinelake.session import cut_lineage
+
+            _CACHE[key] = cut_lineage(fn(spark, d))
+        return _CACHE[key]
+
+    return inner
+
+
 def clear_cache() -> None:
     _CACHE.clear()
 
@@ -74,7 +94,7 @@ def ratings_raw(spark: SparkSession, d: str) -> DataFrame:
 FILE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
 
 
-@_memo
+@_stored
 def ratings(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.curate import dedup_first
 
@@ -122,7 +142,7 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return global_row_number(names, [F.col("tag")], "id").select("id", "tag")
 
 
-@_memo
+@_stored
 def tag_count(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
     part = table(spark, d, "part").select("p_partkey", "p_name")
@@ -146,7 +166,7 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_memo
+@_stored
 def request_ratings(spark: SparkSession, d: str) -> DataFrame:
     """Numeric request rows: the user's own ratings on every third item; every 7th request has none."""
     r = ratings(spark, d)
