@@ -242,6 +242,11 @@ def with_item_ids(df: DataFrame, idx: DataFrame, val: str, name: str) -> DataFra
     return df.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("src_item", "dst_item", F.col(val).alias(name))
 
 
+# Largest item dictionary shipped whole to every task when zero-filling (about 16 bytes per item).
+MAX_BROADCAST_ITEMS = 2_000_000
+_SELF_SALT = 4096
+
+
 def recommend(req: DataFrame, index: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """Top-k per request: (request_id, item_id, score, rank).
 
@@ -251,11 +256,14 @@ def recommend(req: DataFrame, index: DataFrame, weights: DataFrame, k: int) -> D
 
     Plan: one aggregate over (request, item) sums the weight contributions and
     marks the rated items (map-side partial aggregation, so a request with many
-    ratings is combined before the shuffle). A per-request window counts the
-    touched items and the positive scores. Requests with at least k positive
-    scores take their top k from those alone. Only the others need zero-score
-    items: the first ``k - positives + touched`` item slots hold enough
-    untouched items, and a small aggregate merges them with the real scores.
+    ratings is combined before the shuffle). One window per request counts the
+    touched items and the positive scores. A request with at least k positive
+    scores keeps only those. Any other request needs zero-score items: its first
+    ``k - positives + touched`` item slots hold enough untouched ones, so those
+    slots are exploded from one of its rows and mapped to item ids through the
+    item dictionary (broadcast when its checked size allows, so the rows stay
+    partitioned by request and the last aggregate and the top-k window need no
+    further shuffle).
     """
     contrib = req.join(weights, req.item_id == weights.src_item).select(
         "request_id", F.col("dst_item").alias("item_id"), (F.col("rating") * F.col("w")).alias("_s"), F.lit(False).alias("_rated")
@@ -272,21 +280,33 @@ def recommend(req: DataFrame, index: DataFrame, weights: DataFrame, k: int) -> D
         F.count(F.when(positive, 1)).over(per_req).alias("_pos"),
         (F.min("item_id").over(per_req) == F.col("item_id")).alias("_first"),
     )
-    enough = t.where((F.col("_pos") >= k) & positive).select("request_id", "item_id", F.col("_s").alias("score"))
-    short = t.where(F.col("_pos") < k)
-    slots = (
-        short.where("_first")
-        .select("request_id", F.explode(F.sequence(F.lit(0), F.lit(k) - F.col("_pos") + F.col("_n") - 1)).alias("idx"))
-        .join(index, "idx")
-        .select("request_id", "item_id", F.lit(0.0).alias("_s"), F.lit(False).alias("_rated"))
-    )
-    filled = (
-        short.select("request_id", "item_id", "_s", "_rated")
-        .unionByName(slots)
+    short = F.col("_pos") < k
+    # a request with k positives drops everything else here; a short one keeps all rows (rated ones too,
+    # so that a slot landing on a rated item is removed by the aggregate below)
+    t = t.where(short | positive)
+    # self rows carry a negative (never matching) key, salted so a shuffle join would stay balanced
+    self_key = -1 - F.pmod(F.xxhash64("request_id", "item_id"), F.lit(_SELF_SALT))
+    slot_keys = F.when(
+        F.col("_first") & short, F.sequence(F.lit(0).cast("long"), F.lit(k) - F.col("_pos") + F.col("_n") - 1)
+    ).otherwise(F.array().cast("array<long>"))
+    rows = t.select("request_id", "item_id", "_s", "_rated", F.explode(F.concat(F.array(self_key), slot_keys)).alias("_slot"))
+    dictionary = index.select(F.col("idx").alias("_slot"), F.col("item_id").alias("_slot_item"))
+    if index.count() <= MAX_BROADCAST_ITEMS:
+        dictionary = F.broadcast(dictionary)
+    is_slot = F.col("_slot") >= 0
+    cand = (
+        rows.join(dictionary, "_slot", "left")
+        .where(~is_slot | F.col("_slot_item").isNotNull())
+        .select(
+            "request_id",
+            F.when(is_slot, F.col("_slot_item")).otherwise(F.col("item_id")).alias("item_id"),
+            F.when(is_slot, F.lit(0.0)).otherwise(F.col("_s")).alias("_s"),
+            F.when(is_slot, F.lit(False)).otherwise(F.col("_rated")).alias("_rated"),
+        )
         .groupBy("request_id", "item_id")
         .agg(F.sum("_s").alias("score"), F.max("_rated").alias("_rated"))
         .where(~F.col("_rated"))
         .select("request_id", "item_id", "score")
     )
     w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("item_id"))
-    return enough.unionByName(filled).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
