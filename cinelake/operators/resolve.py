@@ -1,9 +1,15 @@
 """Fuzzy title matching without nested loops.
 
+- ``edit_distance_pairs``: every (left, right) pair within Levenshtein distance d,
+  found by an exact segment join instead of a product.  Each right string of
+  length L is cut into d+1 segments; d edits leave at least one segment intact,
+  and its copy in the left string starts at a position bounded by the length
+  difference.  So joining on (block, L, segment number, segment text) yields a
+  superset of the answer (no pair is lost), which ``levenshtein(a, b, d)`` then
+  verifies.  Work grows with the rows times a small constant, and the join keys
+  are selective substrings rather than a few years or lengths.
 - ``resolve_titles``: each free-text name -> the catalogue item with the smallest
-  Levenshtein distance (<= 2, case-insensitive, over its aliases), most popular
-  first on ties.  Since distance >= |len(a) - len(b)|, candidates are found by an
-  equi-join on a length band instead of a name x catalogue product.
+  distance (<= 2, case-insensitive, over its aliases), most popular first on ties.
 - ``match_plots``: one-to-one matching of plot records to catalogue titles inside
   each year, distance <= 3, greedy by (distance, plot order, movie rank).  Run as
   rounds that accept every edge minimal for both of its ends, then drop the
@@ -30,16 +36,62 @@ def catalogue_aliases(movies: DataFrame) -> DataFrame:
     return movies.select("item_id", "pop_rank", F.explode(F.split(name, r" \(a\.k\.a\. ")).alias("alias"))
 
 
+def _segments(length: Column, d: int, i: Column) -> tuple[Column, Column]:
+    """(start, size) of segment i (0-based) when a string of ``length`` is cut into d+1 near-equal parts."""
+    parts = d + 1
+    base = F.floor(length / parts).cast("int")
+    extra = (length % parts).cast("int")
+    longer = F.lit(parts) - extra  # segments from here on are one character longer
+    size = base + F.when(i >= longer, 1).otherwise(0)
+    start = i * base + F.greatest(F.lit(0), i - longer)
+    return start, size
+
+
+def _int_range(lo: Column, hi: Column) -> Column:
+    """lo..hi, empty when lo > hi (``sequence`` would count down)."""
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+
+def edit_distance_pairs(left: DataFrame, right: DataFrame, d: int, block: list[str] | None = None) -> DataFrame:
+    """All (lid, rid, distance) with levenshtein(ltext, rtext) <= d and equal ``block`` columns.
+
+    left: (lid, ltext, *block); right: (rid, rtext, *block). Exact: see the module notes.
+    """
+    block = block or []
+    r = right.select("rid", "rtext", *block, F.length("rtext").alias("_len"))
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_i"))
+    r_start, r_size = _segments(F.col("_len"), d, F.col("_i"))
+    r = r.select("rid", "rtext", *block, "_len", "_i", r_start.alias("_p"), r_size.alias("_size"))
+    r = r.select("rid", "rtext", *block, "_len", "_i", F.substring(F.col("rtext"), F.col("_p") + 1, F.col("_size")).alias("_seg"))
+
+    q = left.select("lid", "ltext", *block, F.length("ltext").alias("_qlen"))
+    q = q.select("*", F.explode(_int_range(F.greatest(F.lit(0), F.col("_qlen") - d), F.col("_qlen") + d)).alias("_len"))
+    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_i"))
+    start, size = _segments(F.col("_len"), d, F.col("_i"))
+    delta = F.col("_qlen") - F.col("_len")
+    # an intact segment moves by s with |s| + |delta - s| <= d, and must fit inside the left string
+    lo = F.greatest(start + F.ceil((delta - d) / 2).cast("int"), F.lit(0))
+    hi = F.least(start + F.floor((delta + d) / 2).cast("int"), F.col("_qlen") - size)
+    q = q.select("lid", "ltext", *block, "_len", "_i", size.alias("_size"), F.explode(_int_range(lo, hi)).alias("_s"))
+    q = q.select("lid", "ltext", *block, "_len", "_i", F.substring(F.col("ltext"), F.col("_s") + 1, F.col("_size")).alias("_seg"))
+
+    cand = q.join(r, [*block, "_len", "_i", "_seg"]).select("lid", "rid", "ltext", "rtext").dropDuplicates(["lid", "rid", "ltext", "rtext"])
+    dist = F.levenshtein(F.col("ltext"), F.col("rtext"), d)
+    return cand.select("lid", "rid", dist.alias("distance")).where(F.col("distance") >= 0)
+
+
 def resolve_titles(names: DataFrame, movies: DataFrame, max_distance: int = RESOLVE_MAX) -> DataFrame:
     """names: (name_id, name, ...) -> (name_id, item_id, distance); unmatched names drop out."""
-    al = catalogue_aliases(movies).withColumn("_len", F.length("alias"))
-    q = names.select("name_id", F.lower("name").alias("_q"))
-    q = q.select("name_id", "_q", F.explode(F.sequence(F.length("_q") - max_distance, F.length("_q") + max_distance)).alias("_len"))
-    pairs = q.join(al, "_len").select(
-        "name_id", "item_id", "pop_rank", F.levenshtein("_q", "alias", max_distance).alias("distance")
+    al = catalogue_aliases(movies)
+    pairs = edit_distance_pairs(
+        names.select(F.col("name_id").alias("lid"), F.lower("name").alias("ltext")),
+        al.select(F.col("item_id").alias("rid"), F.col("alias").alias("rtext")),
+        max_distance,
+    )
+    ranked = pairs.join(movies.select(F.col("item_id").alias("rid"), "pop_rank"), "rid")
+    best = ranked.groupBy(F.col("lid").alias("name_id")).agg(
+        F.min_by(F.struct(F.col("rid").alias("item_id"), "distance"), F.struct("distance", "pop_rank")).alias("_b")
     )
-    pairs = pairs.where(F.col("distance") >= 0)
-    best = pairs.groupBy("name_id").agg(F.min_by(F.struct("item_id", "distance"), F.struct("distance", "pop_rank")).alias("_b"))
     return best.select("name_id", F.col("_b.item_id").alias("item_id"), F.col("_b.distance").alias("distance"))
 
 
@@ -50,19 +102,26 @@ def _alternatives(title: Column, sep_regex: str) -> Column:
 
 
 def title_edges(plots: DataFrame, movies: DataFrame, max_distance: int = MATCH_MAX) -> DataFrame:
-    """Same-year (plot, movie) pairs with case-sensitive alias distance <= max_distance."""
+    """Same-year (plot, movie) pairs with case-sensitive alias distance <= max_distance.
+
+    The distance of a pair is the smallest over its alias combinations, so the
+    segment join runs on single aliases (blocked by year) and the minimum is
+    taken per pair afterwards.
+    """
     m = movies.select(
-        F.col("item_id"),
-        F.col("year"),
-        F.col("item_id").alias("movie_rank"),
-        _alternatives(T.title_without_year("title"), r" \(a\.k\.a\. ").alias("_m"),
+        "item_id", "year", F.explode(_alternatives(T.title_without_year("title"), r" \(a\.k\.a\. ")).alias("rtext")
+    )
+    p = plots.select("plot_id", "year", F.explode(_alternatives(F.col("title"), r" \(aka ")).alias("ltext"))
+    pairs = edit_distance_pairs(
+        p.select(F.col("plot_id").alias("lid"), "ltext", "year"),
+        m.select(F.col("item_id").alias("rid"), "rtext", "year"),
+        max_distance,
+        ["year"],
     )
-    p = plots.select("plot_id", "year", _alternatives(F.col("title"), r" \(aka ").alias("_p"))
-    dist = F.array_min(F.flatten(F.transform("_m", lambda a: F.transform("_p", lambda b: F.levenshtein(b, a)))))
-    return (
-        p.join(m, "year")
-        .select("plot_id", "item_id", "movie_rank", "year", dist.alias("distance"))
-        .where(F.col("distance") <= max_distance)
+    best = pairs.groupBy("lid", "rid").agg(F.min("distance").alias("distance"))
+    years = movies.select(F.col("item_id").alias("rid"), "year")
+    return best.join(years, "rid").select(
+        F.col("lid").alias("plot_id"), F.col("rid").alias("item_id"), F.col("rid").alias("movie_rank"), "year", "distance"
     )
 
 

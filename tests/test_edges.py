@@ -149,3 +149,38 @@ def test_imdb_and_strip(spark):
     df = spark.createDataFrame([("42",), ("1234567",), ("123456789",)], "r string")
     got = [r[0] for r in df.select(T.imdb_id("r")).collect()]
     assert got == ["tt0000042", "tt1234567", "tt123456789"]
+
+
+def test_segment_join_finds_every_close_pair(spark):
+    """The segment join equals a brute-force product for all lengths (short strings included)."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cinelake.operators.resolve import edit_distance_pairs
+
+    rnd = random.Random(7)
+    base = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 9))) for _ in range(40)]
+
+    def mutate(s):
+        s = list(s)
+        for _ in range(rnd.randint(0, 4)):
+            op = rnd.randint(0, 2)
+            pos = rnd.randint(0, len(s))
+            if op == 0:
+                s.insert(pos, rnd.choice("abcd"))
+            elif s and op == 1:
+                s.pop(min(pos, len(s) - 1))
+            elif s:
+                s[min(pos, len(s) - 1)] = rnd.choice("abcd")
+        return "".join(s)
+
+    lefts = [(i, mutate(rnd.choice(base)), i % 2) for i in range(150)]
+    rights = [(i, rnd.choice(base), i % 2) for i in range(60)]
+    L = spark.createDataFrame(lefts, "lid long, ltext string, blk int")
+    R = spark.createDataFrame(rights, "rid long, rtext string, blk int")
+    for d in (1, 2, 3):
+        got = {tuple(r) for r in edit_distance_pairs(L, R, d, ["blk"]).collect()}
+        brute = L.join(R, "blk").select("lid", "rid", F.levenshtein("ltext", "rtext").alias("distance"))
+        want = {tuple(r) for r in brute.where(F.col("distance") <= d).collect()}
+        assert got == want, d
