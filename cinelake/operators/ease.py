@@ -26,13 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinelake.operators.indexing import dense_index, global_row_number
-from cinelake.session import cut_lineage
+from cinelake.session import broadcast_if_small, cut_lineage
 
 # Fixed values of the model as published: default lambda 0.5, 98th percentile sparsity.
 DEFAULT_LAMBDA = 0.5
 DEFAULT_SPARSITY = 98
 SALT_CHUNK = 2048
 BLOCK = 512
+# Largest item dictionary shipped whole to every task (about 16 bytes per item); beyond it, shuffle joins.
+MAX_BROADCAST_ITEMS = 2_000_000
+_SELF_SALT = 4096
+# Rank accuracy of the approximate bracket around the exact percentile.
+_BRACKET_ACCURACY = 10_000
 
 BLOCK_SCHEMA = T.StructType(
     [
@@ -208,14 +213,29 @@ def weights_dense(p: DataFrame) -> DataFrame:
 
 
 def exact_percentile(values: DataFrame, col: str, q: float) -> float:
-    """numpy-style linear-interpolated percentile, exact, by a distributed sort and rank.
+    """numpy-style linear-interpolated percentile, exact, without sorting all values.
 
-    Only the two order statistics around rank q*(N-1) come back to the driver.
+    An approximate quantile pass brackets rank q*(N-1); one counting pass finds
+    how many values lie below the bracket; only the values inside it are
+    range-sorted and ranked.  If the bracket misses (it should not, given the
+    accuracy), every value is ranked instead.  Only the two order statistics
+    around the rank reach the driver.
     """
-    n = values.count()
+    v = F.col(col)
+    eps = 2.0 / _BRACKET_ACCURACY
+    stats = values.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(v, [max(0.0, q - eps), min(1.0, q + eps)], _BRACKET_ACCURACY).alias("b"),
+    ).first()
+    n, (lo_v, hi_v) = stats["n"], stats["b"]
     pos = q * (n - 1)
     lo, hi = int(np.floor(pos)), int(np.ceil(pos))
-    ranked = global_row_number(values.select(F.col(col).alias("_v")), [F.col("_v")], "_r", 0)
+    c = values.agg(F.count(F.when(v < lo_v, 1)).alias("below"), F.count(F.when(v <= hi_v, 1)).alias("upto")).first()
+    if c["below"] <= lo and hi < c["upto"]:
+        inside, offset = values.where((v >= lo_v) & (v <= hi_v)), c["below"]
+    else:
+        inside, offset = values, 0
+    ranked = global_row_number(inside.select(v.alias("_v")), [F.col("_v")], "_r", offset)
     got = {r["_r"]: r["_v"] for r in ranked.where(F.col("_r").isin(lo, hi)).collect()}
     return got[lo] + (pos - lo) * (got[hi] - got[lo])
 
@@ -232,19 +252,15 @@ def fit(ratings: DataFrame, lam: float, sparsity: float = DEFAULT_SPARSITY, impl
     n = idx.count()
     g = gram(ratings, idx, implicit)
     p = inverse(g, n, lam, block)
-    w = sparsify(weights_dense(p), sparsity)
+    # B is read by the percentile passes and the filter: written once, not recomputed per pass
+    w = sparsify(cut_lineage(weights_dense(p)), sparsity)
     return idx, with_item_ids(w, idx, "b", "w")
 
 
 def with_item_ids(df: DataFrame, idx: DataFrame, val: str, name: str) -> DataFrame:
-    a = idx.select(F.col("idx").alias("i"), F.col("item_id").alias("src_item"))
-    b = idx.select(F.col("idx").alias("j"), F.col("item_id").alias("dst_item"))
-    return df.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("src_item", "dst_item", F.col(val).alias(name))
-
-
-# Largest item dictionary shipped whole to every task when zero-filling (about 16 bytes per item).
-MAX_BROADCAST_ITEMS = 2_000_000
-_SELF_SALT = 4096
+    a = broadcast_if_small(idx.select(F.col("idx").alias("i"), F.col("item_id").alias("src_item")), MAX_BROADCAST_ITEMS)
+    b = broadcast_if_small(idx.select(F.col("idx").alias("j"), F.col("item_id").alias("dst_item")), MAX_BROADCAST_ITEMS)
+    return df.join(a, "i").join(b, "j").select("src_item", "dst_item", F.col(val).alias(name))
 
 
 def recommend(req: DataFrame, index: DataFrame, weights: DataFrame, k: int) -> DataFrame:
@@ -290,9 +306,7 @@ def recommend(req: DataFrame, index: DataFrame, weights: DataFrame, k: int) -> D
         F.col("_first") & short, F.sequence(F.lit(0).cast("long"), F.lit(k) - F.col("_pos") + F.col("_n") - 1)
     ).otherwise(F.array().cast("array<long>"))
     rows = t.select("request_id", "item_id", "_s", "_rated", F.explode(F.concat(F.array(self_key), slot_keys)).alias("_slot"))
-    dictionary = index.select(F.col("idx").alias("_slot"), F.col("item_id").alias("_slot_item"))
-    if index.count() <= MAX_BROADCAST_ITEMS:
-        dictionary = F.broadcast(dictionary)
+    dictionary = broadcast_if_small(index.select(F.col("idx").alias("_slot"), F.col("item_id").alias("_slot_item")), MAX_BROADCAST_ITEMS)
     is_slot = F.col("_slot") >= 0
     cand = (
         rows.join(dictionary, "_slot", "left")

@@ -59,12 +59,11 @@ def relevance(title: F.Column, term: F.Column) -> F.Column:
 def title_search(terms: DataFrame, movies: DataFrame, k: int = TITLE_K) -> DataFrame:
     """terms: (term_id, term); movies: (item_id, title, popularity, pop_rank) -> (term_id, rank, item_id, title)."""
     blank = terms.where(_is_blank())
+    # blank term: the first k titles in popularity order. pop_rank is unique, so ``top`` has at most
+    # k rows (a proven bound) and each blank term joins it on the rank it asks for.
     top = movies.where(F.col("pop_rank") <= k).select("item_id", "title", F.col("pop_rank").alias("rank"))
-    # blank term: the first k titles in popularity order (at most k rows per term)
-    first = (
-        blank.select("term_id", F.lit(0).alias("_all"))
-        .join(F.broadcast(top.withColumn("_all", F.lit(0))), "_all")
-        .drop("_all")
+    first = blank.select("term_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("rank")).join(
+        F.broadcast(top), "rank"
     )
 
     full = terms.where(~_is_blank()).select("term_id", "term", term_probe(F.col("term")).alias("gram"))

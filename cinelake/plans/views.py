@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import text as T
 from cinelake.operators.indexing import global_row_number
-from cinelake.session import table
+from cinelake.session import broadcast_if_small, table
 
 _CACHE: dict[tuple, DataFrame] = {}
 
@@ -39,6 +39,9 @@ ARTICLE_BY_MOD4 = {0: ", The", 1: ", A", 2: ", An"}
 FIRST_YEAR = 1930
 YEAR_SPAN = 90
 TURN_BREAK = "<LINEBREAK>"
+# The tag vocabulary is a dictionary (the published one has about a thousand tags); it is broadcast
+# only while its counted size stays under this bound.
+MAX_TAGS_BROADCAST = 1_000_000
 
 
 def _memo(fn):
@@ -149,7 +152,7 @@ def tag_count(spark: SparkSession, d: str) -> DataFrame:
     tg = tags(spark, d)
     return (
         li.join(part, li.l_partkey == part.p_partkey)
-        .join(F.broadcast(tg), F.col("p_name") == tg.tag)
+        .join(broadcast_if_small(tg, MAX_TAGS_BROADCAST), F.col("p_name") == tg.tag)
         .groupBy(F.col("l_suppkey").alias("item_id"), F.col("id").alias("tag_id"))
         .agg(F.count(F.lit(1)).alias("num"))
     )
@@ -185,7 +188,7 @@ def request_tags(spark: SparkSession, d: str) -> DataFrame:
     q = requests(spark, d).where(F.col("request_id") % 11 != 0)
     tg = tags(spark, d).select("id")
     # (id + request_id) % 16 == 0 written as an equi-join on the residue class
-    return q.join(F.broadcast(tg), (16 - q.request_id % 16) % 16 == tg.id % 16).select(
+    return q.join(broadcast_if_small(tg, MAX_TAGS_BROADCAST), (16 - q.request_id % 16) % 16 == tg.id % 16).select(
         "request_id", F.col("id").alias("tag_id")
     )
 

@@ -184,3 +184,11 @@ def test_segment_join_finds_every_close_pair(spark):
         brute = L.join(R, "blk").select("lid", "rid", F.levenshtein("ltext", "rtext").alias("distance"))
         want = {tuple(r) for r in brute.where(F.col("distance") <= d).collect()}
         assert got == want, d
+
+
+def test_bracketed_percentile_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([np.zeros(3000), rng.normal(size=5000), np.round(rng.normal(size=2000), 1)])
+    df = spark.createDataFrame([(float(x),) for x in np.abs(vals)], "ab double")
+    for q in (0.0, 0.5, 0.98, 1.0):
+        assert abs(ease.exact_percentile(df, "ab", q) - np.percentile(np.abs(vals), q * 100)) < 1e-12
