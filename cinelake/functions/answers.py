@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cinelake.functions import text as T
 
@@ -182,12 +183,14 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Se
     if scorer is None:
         return pairs.withColumn("answer", overlap_answer(F.col("preferences"), F.col("plot")))
 
-    schema = pairs.schema.add("answer", "string")
+    # a new schema: ``StructType.add`` would change the input's cached schema in place
+    schema = StructType([*pairs.schema.fields, StructField("answer", StringType())])
 
     def run(it):
         for pdf in it:
             pdf = pdf.copy()
-            pdf["answer"] = scorer(pdf["preferences"], pdf["plot"]).astype("string")
+            scores = scorer(pdf["preferences"], pdf["plot"])
+            pdf["answer"] = pd.Series(scores).astype("string").to_numpy()  # by position, not by index label
             yield pdf
 
     return pairs.mapInPandas(run, schema)

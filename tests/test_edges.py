@@ -198,3 +198,23 @@ def test_bracketed_percentile_equals_numpy(spark):
     df = spark.createDataFrame([(float(x),) for x in np.abs(vals)], "ab double")
     for q in (0.0, 0.5, 0.98, 1.0):
         assert abs(ease.exact_percentile(df, "ab", q) - np.percentile(np.abs(vals), q * 100)) < 1e-12
+
+
+def test_user_scorer_runs_in_arrow_batches(spark):
+    """A pandas scorer passed to the hook gives the same answers as the built-in expression."""
+    import pandas as pd
+
+    def overlap(prefs: pd.Series, plots: pd.Series) -> pd.Series:
+        def one(a, b):
+            s = float(min(5, 1 + len(set(a.lower().split(" ")) & set(b.lower().split(" ")))))
+            return f"{s} --- Shares {int(s - 1)} words with the wishes."
+
+        return pd.Series([one(a, b) for a, b in zip(prefs, plots)])
+
+    pairs = spark.createDataFrame(
+        [(1, "a dark space story", "A crew in Space finds a dark ship"), (2, "romance", "two friends"), (3, "x y", "x y x y")],
+        "pair_id long, preferences string, plot string",
+    ).repartition(2)
+    built_in = {r.pair_id: r.answer for r in A.score_pairs(pairs).collect()}
+    hooked = {r.pair_id: r.answer for r in A.score_pairs(pairs, overlap).collect()}
+    assert built_in == hooked
