@@ -60,8 +60,16 @@ def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFr
 
     Explicit values are rating / max(rating); they are carried as integer
     half-stars so that the sums are exact and order-independent.
+
+    X (one row per user and item) is built once and stored. Users with more
+    than ``SALT_CHUNK`` items are split into salt buckets (only those users
+    are looked up, through a size-checked table); each bucket meets the user's
+    whole row, so a user holding a huge share of the rows is spread over many
+    tasks. Pair products are combined map-side before the shuffle on (i, j),
+    and the lower triangle is mirrored from the upper one in the same pass.
     """
-    x = ratings.join(index, "item_id").groupBy("user_id", "idx").agg(F.sum("rating").alias("r"))
+    dictionary = broadcast_if_small(index.select("item_id", "idx"), MAX_BROADCAST_ITEMS)
+    x = ratings.join(dictionary, "item_id").groupBy("user_id", "idx").agg(F.sum("rating").alias("r"))
     if implicit:
         x = x.select("user_id", "idx", F.lit(1).cast("long").alias("v"))
         scale = F.lit(1.0)
@@ -69,25 +77,32 @@ def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFr
         x = x.select("user_id", "idx", F.round(F.col("r") * 2).cast("long").alias("v"))
         scale = None
     deg = x.groupBy("user_id").agg(F.count(F.lit(1)).alias("_deg"))
-    salts = deg.select("user_id", F.ceil(F.col("_deg") / SALT_CHUNK).cast("int").alias("_ns"))
-    xs = x.join(salts, "user_id")
+    heavy = deg.where(F.col("_deg") > SALT_CHUNK).select("user_id", F.ceil(F.col("_deg") / SALT_CHUNK).cast("int").alias("_ns"))
+    xs = cut_lineage(
+        x.join(broadcast_if_small(heavy, MAX_BROADCAST_ITEMS), "user_id", "left").select(
+            "user_id", "idx", "v", F.coalesce(F.col("_ns"), F.lit(1)).alias("_ns")
+        )
+    )
     left = xs.select("user_id", F.col("idx").alias("i"), F.col("v").alias("vi"), F.pmod(F.col("idx"), F.col("_ns")).alias("_s"))
     right = xs.select(
         "user_id",
         F.col("idx").alias("j"),
         F.col("v").alias("vj"),
-        F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)).alias("_s"),
+        F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_ns") - 1).cast("long"))).alias("_s"),
     )
     pairs = left.join(right, ["user_id", "_s"]).where(F.col("i") <= F.col("j"))
     upper = pairs.groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("gi"))
     if scale is None:
         # one scalar: the largest rating, in half-stars
         top = ratings.agg(F.max("rating")).first()[0] * 2
-        upper = upper.select("i", "j", (F.col("gi") / F.lit(float(top * top))).alias("g"))
+        g = F.col("gi") / F.lit(float(top * top))
     else:
-        upper = upper.select("i", "j", F.col("gi").cast("double").alias("g"))
-    lower = upper.where(F.col("i") < F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"), "g")
-    return upper.unionByName(lower)
+        g = F.col("gi").cast("double")
+    both = F.when(
+        F.col("i") < F.col("j"),
+        F.array(F.struct(F.col("i"), F.col("j"), g.alias("g")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), g.alias("g"))),
+    ).otherwise(F.array(F.struct(F.col("i"), F.col("j"), g.alias("g"))))
+    return upper.select(F.inline(both))
 
 
 # ------------------------------------------------------------------ blocks

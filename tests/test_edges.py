@@ -218,3 +218,23 @@ def test_user_scorer_runs_in_arrow_batches(spark):
     built_in = {r.pair_id: r.answer for r in A.score_pairs(pairs).collect()}
     hooked = {r.pair_id: r.answer for r in A.score_pairs(pairs, overlap).collect()}
     assert built_in == hooked
+
+
+def test_salted_gram_equals_numpy(spark, monkeypatch):
+    """Users above the salt chunk are split into buckets; G must still equal X^T X exactly."""
+    from cinelake.operators.indexing import dense_index
+
+    monkeypatch.setattr(ease, "SALT_CHUNK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(u, int(i), float(rng.integers(1, 11)) / 2) for u in range(6) for i in rng.choice(12, size=2 + 2 * u, replace=False)]
+    r = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    idx = dense_index(r, "item_id", "idx", 0)
+    got = {(x.i, x.j): x.g for x in ease.gram(r, idx).collect()}
+    items = sorted({i for _, i, _ in rows})
+    X = np.zeros((6, len(items)))
+    for u, i, v in rows:
+        X[u, items.index(i)] = v / 5.0
+    G = X.T @ X
+    want = {(a, b): G[a, b] for a in range(len(items)) for b in range(len(items)) if G[a, b] != 0}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
