@@ -89,13 +89,24 @@ def split_checks(split: DataFrame) -> DataFrame:
         F.max(is_train.cast("int")).alias("_in_train"), F.max((~is_train).cast("int")).alias("_in_test")
     )
     per_item = split.groupBy("item_id").agg(F.max(is_train.cast("int")).alias("_in_train"))
-    users = per_user.agg(
-        F.sum(F.col("_in_train") * F.col("_in_test")).cast("long").alias("n_shared_users"),
-        F.sum("_in_train").cast("long").alias("n_train_users"),
-        F.sum("_in_test").cast("long").alias("n_test_users"),
+    # both summaries in one global aggregate over the union (no join of two one-row tables)
+    nul = F.lit(None).cast("long")
+    users = per_user.select(
+        (F.col("_in_train") * F.col("_in_test")).cast("long").alias("_shared"),
+        F.col("_in_train").cast("long").alias("_tr_u"),
+        F.col("_in_test").cast("long").alias("_te_u"),
+        nul.alias("_item"),
+        nul.alias("_tr_i"),
     )
-    items = per_item.agg(F.count(F.lit(1)).alias("n_items"), F.sum("_in_train").cast("long").alias("n_train_items"))
-    return _one_row_join(items, users).select(
+    items = per_item.select(nul.alias("_shared"), nul.alias("_tr_u"), nul.alias("_te_u"), F.lit(1).cast("long").alias("_item"), F.col("_in_train").cast("long").alias("_tr_i"))
+    both = users.unionByName(items).agg(
+        F.coalesce(F.sum("_shared"), F.lit(0)).alias("n_shared_users"),
+        F.coalesce(F.sum("_tr_u"), F.lit(0)).alias("n_train_users"),
+        F.coalesce(F.sum("_te_u"), F.lit(0)).alias("n_test_users"),
+        F.count("_item").alias("n_items"),
+        F.coalesce(F.sum("_tr_i"), F.lit(0)).alias("n_train_items"),
+    )
+    return both.select(
         (F.col("n_train_items") == F.col("n_items")).alias("train_covers_all_items"),
         (F.col("n_shared_users") == 0).alias("users_disjoint"),
         "n_items",
@@ -104,11 +115,6 @@ def split_checks(split: DataFrame) -> DataFrame:
     )
 
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row aggregates on a constant key (an equi-join, not a cross join)."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
-
-
 def corpus_stats(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """Rows, distinct users and distinct items per curation stage."""
     out = None
