@@ -19,6 +19,9 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str], values: list[s
     ``min_by`` over a struct runs as a hash aggregate with a map-side partial
     step, so a key repeated millions of times is reduced before the shuffle.
     """
+    if len(values) == 1 and len(order) == 1:
+        # numeric value and order: the aggregate buffer is fixed-width, so Spark hash-aggregates
+        return df.groupBy(*keys).agg(F.min_by(values[0], order[0]).alias(values[0]))
     first = F.min_by(F.struct(*values), F.struct(*order)).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{v}").alias(v) for v in values])
 

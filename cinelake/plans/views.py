@@ -97,11 +97,32 @@ def ratings_raw(spark: SparkSession, d: str) -> DataFrame:
 FILE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
 
 
+def file_position() -> F.Column:
+    """FILE_ORDER as one DECIMAL(38,0), digit fields orderkey | linenumber (1) | partkey (12) | quantity (3).
+
+    One numeric order key lets the dedupe run as a hash aggregate. The field
+    widths hold TPC-H domains at any scale factor (line numbers 1-7, quantities
+    1-50, part keys below 10^12, order keys any LONG); a row outside them stops
+    the job instead of being ordered wrongly.
+    """
+    dec = lambda c: F.col(c).cast("decimal(38,0)")
+    fits = (
+        F.col("l_linenumber").between(0, 9)
+        & F.col("l_partkey").between(0, 10**12 - 1)
+        & F.col("l_quantity").between(0, 999)
+        & (F.col("l_quantity") == F.floor("l_quantity"))
+        & (F.col("l_orderkey") >= 0)
+    )
+    packed = ((dec("l_orderkey") * 10 + dec("l_linenumber")) * 10**12 + dec("l_partkey")) * 1000 + dec("l_quantity")
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("lineitem order fields outside the packed widths")).cast("decimal(38,0)"))
+
+
 @_stored
 def ratings(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.curate import dedup_first
 
-    return dedup_first(ratings_raw(spark, d), ["user_id", "item_id"], FILE_ORDER, ["rating"])
+    raw = ratings_raw(spark, d).withColumn("_file_pos", file_position())
+    return dedup_first(raw, ["user_id", "item_id"], ["_file_pos"], ["rating"])
 
 
 @_memo
