@@ -261,11 +261,26 @@ def sparsify(b: DataFrame, sparsity: float = DEFAULT_SPARSITY) -> DataFrame:
     return b.where((F.abs("b") >= F.lit(thr)) & (F.col("b") != 0)).select("i", "j", "b")
 
 
-def fit(ratings: DataFrame, lam: float, sparsity: float = DEFAULT_SPARSITY, implicit: bool = False, block: int = BLOCK):
-    """Returns (index, weights) with weights as (src_item, dst_item, w)."""
+def prepare(ratings: DataFrame, implicit: bool = False) -> tuple[DataFrame, int, DataFrame]:
+    """(item index, n, stored Gram entries): the lambda-independent part of a fit."""
     idx = cut_lineage(item_index(ratings))
-    n = idx.count()
-    g = gram(ratings, idx, implicit)
+    return idx, idx.count(), cut_lineage(gram(ratings, idx, implicit))
+
+
+def fit(
+    ratings: DataFrame,
+    lam: float,
+    sparsity: float = DEFAULT_SPARSITY,
+    implicit: bool = False,
+    block: int = BLOCK,
+    prepared: tuple[DataFrame, int, DataFrame] | None = None,
+):
+    """Returns (index, weights) with weights as (src_item, dst_item, w).
+
+    ``prepared`` (from ``prepare``) lets a lambda sweep invert the same stored
+    Gram matrix for every lambda instead of rebuilding it.
+    """
+    idx, n, g = prepared or prepare(ratings, implicit)
     p = inverse(g, n, lam, block)
     # B is read by the percentile passes and the filter: written once, not recomputed per pass
     w = sparsify(cut_lineage(weights_dense(p)), sparsity)

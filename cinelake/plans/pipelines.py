@@ -65,7 +65,7 @@ def corpus_stages(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
 LAMBDA = 50.0
 SPARSITY = 98
 TOP_K = 10
-_MODELS: dict[tuple, tuple] = {}
+_MODELS: dict[tuple, tuple] = {}  # fitted models and their shared (index, n, Gram) per session
 
 
 @V._memo
@@ -77,15 +77,26 @@ def model(spark: SparkSession, d: str, lam: float = LAMBDA, implicit: bool = Fal
     """(item_index, weights) fitted on the train split; fitted once per session and parameters."""
     from cinelake.operators import ease
 
+    from cinelake.session import cut_lineage
+
     key = (id(spark), d, lam, implicit)
     if key not in _MODELS:
-        idx, w = ease.fit(train_ratings(spark, d), lam, SPARSITY, implicit)
-        from cinelake.session import cut_lineage
-
+        idx, w = ease.fit(train_ratings(spark, d), lam, SPARSITY, implicit, prepared=gram_parts(spark, d, implicit))
         _MODELS[key] = (idx, cut_lineage(w))
     return _MODELS[key]
 
 
+def gram_parts(spark: SparkSession, d: str, implicit: bool = False) -> tuple[DataFrame, int, DataFrame]:
+    """(item index, n, Gram entries) of the train split; they do not depend on lambda, so they are
+    built and stored once per session and shared by every fit and by the Gram queries."""
+    from cinelake.operators import ease
+
+    key = (id(spark), d, "gram", implicit)
+    if key not in _MODELS:
+        _MODELS[key] = ease.prepare(train_ratings(spark, d), implicit)
+    return _MODELS[key]
+
+
 # ---------------------------------------------------------------- requests and profile
 
 

@@ -190,9 +190,7 @@ def item_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gram(spark: SparkSession, d: str, implicit: bool) -> DataFrame:
-    r = P.train_ratings(spark, d)
-    idx = ease.item_index(r)
-    g = ease.gram(r, idx, implicit)
+    idx, _, g = P.gram_parts(spark, d, implicit)
     return ease.with_item_ids(g.withColumn("g", F.bround("g", 9)), idx, "g", "g").withColumnsRenamed(
         {"src_item": "item_i", "dst_item": "item_j"}
     )
@@ -210,10 +208,8 @@ def gram_implicit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gram_inverse(spark: SparkSession, d: str) -> DataFrame:
-    r = P.train_ratings(spark, d)
-    idx = ease.item_index(r)
-    n = idx.count()
-    p = ease.inverse(ease.gram(r, idx), n, P.LAMBDA)
+    idx, n, g = P.gram_parts(spark, d)
+    p = ease.inverse(g, n, P.LAMBDA)
     return ease.with_item_ids(p.withColumn("p", F.bround("p", 9)), idx, "p", "p").withColumnsRenamed(
         {"src_item": "item_i", "dst_item": "item_j"}
     )
