@@ -94,7 +94,7 @@ def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFr
     upper = pairs.groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("gi"))
     if scale is None:
         # one scalar: the largest rating, in half-stars
-        top = ratings.agg(F.max("rating")).first()[0] * 2
+        top = (ratings.agg(F.max("rating")).first()[0] or 0.5) * 2  # no ratings: empty G, any scale
         g = F.col("gi") / F.lit(float(top * top))
     else:
         g = F.col("gi").cast("double")
@@ -242,7 +242,9 @@ def exact_percentile(values: DataFrame, col: str, q: float) -> float:
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx(v, [max(0.0, q - eps), min(1.0, q + eps)], _BRACKET_ACCURACY).alias("b"),
     ).first()
-    n, (lo_v, hi_v) = stats["n"], stats["b"]
+    n, (lo_v, hi_v) = stats["n"], stats["b"] or (None, None)
+    if n == 0:
+        return 0.0
     pos = q * (n - 1)
     lo, hi = int(np.floor(pos)), int(np.ceil(pos))
     c = values.agg(F.count(F.when(v < lo_v, 1)).alias("below"), F.count(F.when(v <= hi_v, 1)).alias("upto")).first()

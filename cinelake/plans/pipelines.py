@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cinelake.operators import curate
 from cinelake.operators.requests import valid_importance
 from cinelake.plans import views as V
+from cinelake.session import session_key
 
 SEED = 42
 MIN_YEAR = 2015
@@ -79,7 +80,7 @@ def model(spark: SparkSession, d: str, lam: float = LAMBDA, implicit: bool = Fal
 
     from cinelake.session import cut_lineage
 
-    key = (id(spark), d, lam, implicit)
+    key = (session_key(spark), d, lam, implicit)
     if key not in _MODELS:
         idx, w = ease.fit(train_ratings(spark, d), lam, SPARSITY, implicit, prepared=gram_parts(spark, d, implicit))
         _MODELS[key] = (idx, cut_lineage(w))
@@ -91,7 +92,7 @@ def gram_parts(spark: SparkSession, d: str, implicit: bool = False) -> tuple[Dat
     built and stored once per session and shared by every fit and by the Gram queries."""
     from cinelake.operators import ease
 
-    key = (id(spark), d, "gram", implicit)
+    key = (session_key(spark), d, "gram", implicit)
     if key not in _MODELS:
         _MODELS[key] = ease.prepare(train_ratings(spark, d), implicit)
     return _MODELS[key]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cinelake.operators import blend, curate, ease
 from cinelake.plans import pipelines as P
 from cinelake.plans import views as V
-from cinelake.session import cut_lineage, shared_path, table
+from cinelake.session import cut_lineage, session_key, shared_path, table
 from cinelake.sources import io
 from cinelake.streaming import state as S
 from cinelake.functions import answers as A
@@ -773,7 +773,7 @@ def cohort_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return io.read_id_list(spark, path)
 
 
-_LOADED: dict[str, str] = {}
+_LOADED: dict[tuple, str] = {}
 
 
 @query
@@ -782,11 +782,12 @@ def catalog_load(spark: SparkSession, d: str) -> DataFrame:
     import hashlib
 
     name = "catalog_movies_" + hashlib.md5(d.encode()).hexdigest()[:10]
-    if name not in _LOADED:
-        _LOADED[name] = shared_path(spark, "catalog", name)
+    key = (session_key(spark), name)
+    if key not in _LOADED:
+        _LOADED[key] = shared_path(spark, "catalog", name)
     m = V.movies(spark, d).select(
         F.col("imdb_id"), "title", "year", F.col("popularity").cast("long"), F.col("item_id").cast("long")
     )
-    m.write.mode("ignore").option("path", _LOADED[name]).saveAsTable(name)
-    m.write.mode("ignore").option("path", _LOADED[name]).saveAsTable(name)
+    m.write.mode("ignore").option("path", _LOADED[key]).saveAsTable(name)
+    m.write.mode("ignore").option("path", _LOADED[key]).saveAsTable(name)
     return spark.table(name)

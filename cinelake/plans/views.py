@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import text as T
 from cinelake.operators.indexing import global_row_number
-from cinelake.session import broadcast_if_small, table
+from cinelake.session import broadcast_if_small, session_key, table
 
 _CACHE: dict[tuple, DataFrame] = {}
 
@@ -47,7 +47,7 @@ MAX_TAGS_BROADCAST = 1_000_000
 def _memo(fn):
     @wraps(fn)
     def inner(spark: SparkSession, d: str) -> DataFrame:
-        key = (fn.__name__, id(spark), d)
+        key = (fn.__name__, session_key(spark), d)
         if key not in _CACHE:
             _CACHE[key] = fn(spark, d)
         return _CACHE[key]
@@ -65,7 +65,7 @@ def _stored(fn):
 
     @wraps(fn)
     def inner(spark: SparkSession, d: str) -> DataFrame:
-        key = (fn.__name__, id(spark), d)
+        key = (fn.__name__, session_key(spark), d)
         if key not in _CACHE:
             from cinelake.session import cut_lineage
 

@@ -71,3 +71,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def session_key(spark: SparkSession) -> tuple[str, int]:
+    """Identity of a live session for caches: its application id and JVM session object.
+
+    ``id(spark)`` is not enough: a stopped session's Python id can be reused by
+    a new one, which would then see tables bound to a dead context.
+    """
+    return spark.sparkContext.applicationId, spark._jsparkSession.hashCode()
