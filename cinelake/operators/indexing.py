@@ -34,3 +34,17 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str = "rn"
 def dense_index(df: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
     """Encode the distinct values of ``key`` to start..start+n-1 in sorted order (LabelEncoder)."""
     return global_row_number(df.select(key).distinct(), [F.col(key)], name, start)
+
+
+def group_row_number(df: DataFrame, group: list[str], order: list[str], name: str = "rn") -> DataFrame:
+    """row_number() within each group, without putting a group into one task.
+
+    ``Window.partitionBy(group)`` sorts a whole group in one task, so a key holding
+    a third of all rows would be one task. Instead the rows get a global rank in
+    (group, order) order (a range sort spread over all partitions), and each
+    group's first rank, a hash aggregate, is subtracted. ``group + order`` must be
+    a total order.
+    """
+    ranked = global_row_number(df, [F.col(c) for c in [*group, *order]], "_g", 0)
+    first = ranked.groupBy(*group).agg(F.min("_g").alias("_g0"))
+    return ranked.join(first, group).withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")

@@ -25,11 +25,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.functions import text as T
-from cinelake.operators.indexing import global_row_number
+from cinelake.operators.indexing import global_row_number, group_row_number
 from cinelake.session import broadcast_if_small, session_key, table
 
 _CACHE: dict[tuple, DataFrame] = {}
@@ -196,12 +196,9 @@ def request_ratings(spark: SparkSession, d: str) -> DataFrame:
     r = ratings(spark, d)
     q = requests(spark, d)
     rows = r.join(q, "user_id").where(((F.col("item_id") + F.col("request_id")) % 3 == 0) & (F.col("request_id") % 7 != 0))
-    return rows.select(
-        "request_id",
-        F.row_number().over(Window.partitionBy("request_id").orderBy("item_id")).cast("int").alias("pos"),
-        "item_id",
-        "rating",
-    )
+    # positions 1..n in item order per request, computed without a per-request window (hot users)
+    rows = group_row_number(rows.select("request_id", "item_id", "rating"), ["request_id"], ["item_id"], "pos")
+    return rows.select("request_id", F.col("pos").cast("int").alias("pos"), "item_id", "rating")
 
 
 @_memo

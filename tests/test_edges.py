@@ -238,3 +238,15 @@ def test_salted_gram_equals_numpy(spark, monkeypatch):
     want = {(a, b): G[a, b] for a in range(len(items)) for b in range(len(items)) if G[a, b] != 0}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_group_row_number_equals_window_with_hot_key(spark):
+    from pyspark.sql import Window
+
+    from cinelake.operators.indexing import group_row_number
+
+    rows = [(0, i) for i in range(3000)] + [(g, i) for g in range(1, 40) for i in range(g)]
+    df = spark.createDataFrame(rows, "g long, x long").repartition(7)
+    got = {tuple(r) for r in group_row_number(df, ["g"], ["x"], "rn").select("g", "x", "rn").collect()}
+    want = {tuple(r) for r in df.select("g", "x", F.row_number().over(Window.partitionBy("g").orderBy("x")).alias("rn")).collect()}
+    assert got == want
