@@ -250,3 +250,50 @@ def test_group_row_number_equals_window_with_hot_key(spark):
     got = {tuple(r) for r in group_row_number(df, ["g"], ["x"], "rn").select("g", "x", "rn").collect()}
     want = {tuple(r) for r in df.select("g", "x", F.row_number().over(Window.partitionBy("g").orderBy("x")).alias("rn")).collect()}
     assert got == want
+
+
+def test_results_do_not_depend_on_partition_counts(spark):
+    """Ranks, dedupe, scoring, fuzzy pairs, matching and state give the same rows at 2 and 13 partitions."""
+    import random
+
+    from cinelake.operators.curate import dedup_first
+    from cinelake.operators.indexing import dense_index, global_row_number, group_row_number
+
+    rnd = random.Random(11)
+    ratings = spark.createDataFrame(
+        [(rnd.randint(0, 30), rnd.randint(0, 25), rnd.randint(1, 10) / 2.0, i) for i in range(600)],
+        "user_id long, item_id long, rating double, pos long",
+    )
+    idx = dense_index(ratings, "item_id", "idx", 0)
+    weights = spark.createDataFrame(
+        [(a, b, rnd.uniform(-1, 1)) for a in range(26) for b in range(26) if a != b and rnd.random() < 0.2],
+        "src_item long, dst_item long, w double",
+    )
+    words = ["star", "stars", "start", "tar", "a star", "stair", "st", ""]
+    left = spark.createDataFrame([(i, rnd.choice(words) + rnd.choice(["", "s", "x"]), i % 2) for i in range(60)], "lid long, ltext string, y int")
+    right = spark.createDataFrame([(i, rnd.choice(words), i % 2) for i in range(40)], "rid long, rtext string, y int")
+    edges = spark.createDataFrame(
+        [(p, m, m, rnd.randint(0, 3)) for p in range(30) for m in range(30) if rnd.random() < 0.15],
+        "plot_id long, item_id long, movie_rank long, distance int",
+    )
+
+    def run():
+        req = dedup_first(ratings, ["user_id", "item_id"], ["pos"], ["rating"]).withColumnRenamed("user_id", "request_id")
+        out = {
+            "rank": global_row_number(ratings, [F.col("user_id"), F.col("pos")], "r").select("pos", "r"),
+            "group": group_row_number(ratings, ["user_id"], ["pos"], "r").select("pos", "r"),
+            "recommend": ease.recommend(req, idx, weights, 7),
+            "pairs": resolve.edit_distance_pairs(left, right, 2, ["y"]),
+            "match": resolve.greedy_one_to_one(edges),
+        }
+        return {k: sorted(tuple(r) for r in v.collect()) for k, v in out.items()}
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        a = run()
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        b = run()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
