@@ -297,3 +297,24 @@ def test_results_do_not_depend_on_partition_counts(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_packed_state_order_round_trips_extremes(spark):
+    """latest_per_key decodes ts, event_id, op and rating exactly, and orders like (ts, event_id)."""
+    import datetime as dt
+
+    big, small = 2**63 - 1, -(2**63)
+    rows = [
+        (1, dt.datetime(1969, 12, 31, 23, 59, 59, 999999), 1, 1, "upsert", None),
+        (small, dt.datetime(1969, 12, 31, 23, 59, 59, 999999), 1, 1, "delete", -7),
+        (5, dt.datetime(2262, 4, 11, 0, 0, 0, 1), 2, 2, "upsert", 2**31 - 1),
+        (big, dt.datetime(2262, 4, 11, 0, 0, 0, 1), 2, 2, "delete", -(2**31)),
+        (9, dt.datetime(2024, 1, 1), 3, 3, "upsert", 4),
+    ]
+    for ts_type in ("timestamp_ntz", "timestamp"):
+        ev = spark.createDataFrame(rows, f"event_id long, ts {ts_type}, user_id long, item_key long, op string, rating int")
+        got = sorted(tuple(r) for r in S.latest_per_key(ev).collect())
+        cols = ["ts", "event_id", "op", "rating"]
+        plain = ev.groupBy("user_id", "item_key").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("l"))
+        want = sorted(tuple(r) for r in plain.select("user_id", "item_key", *[F.col(f"l.{c}") for c in cols]).collect())
+        assert got == want, ts_type
