@@ -35,6 +35,8 @@ SALT_CHUNK = 2048
 BLOCK = 512
 # Largest item dictionary shipped whole to every task (about 16 bytes per item); beyond it, shuffle joins.
 MAX_BROADCAST_ITEMS = 2_000_000
+# Largest sparse weight table broadcast to the scoring join (about 24 bytes per entry); beyond it, shuffle join.
+MAX_BROADCAST_WEIGHTS = 2_000_000
 _SELF_SALT = 4096
 # Rank accuracy of the approximate bracket around the exact percentile.
 _BRACKET_ACCURACY = 10_000
@@ -313,7 +315,9 @@ def recommend(req: DataFrame, index: DataFrame, weights: DataFrame, k: int) -> D
     partitioned by request and the last aggregate and the top-k window need no
     further shuffle).
     """
-    contrib = req.join(weights, req.item_id == weights.src_item).select(
+    # the sparse weights are shipped whole while their counted size allows (no shuffle of the requests)
+    w_side = broadcast_if_small(weights.select("src_item", "dst_item", "w"), MAX_BROADCAST_WEIGHTS)
+    contrib = req.join(w_side, req.item_id == w_side.src_item).select(
         "request_id", F.col("dst_item").alias("item_id"), (F.col("rating") * F.col("w")).alias("_s"), F.lit(False).alias("_rated")
     )
     marks = req.select("request_id", "item_id", F.lit(0.0).alias("_s"), F.lit(True).alias("_rated"))
