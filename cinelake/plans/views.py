@@ -146,7 +146,7 @@ def titles_raw(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_memo
+@_stored
 def clean_titles(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.curate import clean_titles as op
 
