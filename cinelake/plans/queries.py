@@ -441,11 +441,9 @@ def message_batches(spark: SparkSession, d: str) -> DataFrame:
     for i, (q, a) in enumerate(DESCRIBE_SHOTS):
         msgs += [(1 + 2 * i, "user", F.lit(q)), (2 + 2 * i, "assistant", F.lit(a))]
     msgs.append((1 + 2 * len(DESCRIBE_SHOTS), "user", F.concat(F.lit("Describe in one short phrase what kind of film this is: "), F.col("title"))))
-    out = None
-    for pos, role, content in msgs:
-        part = m.select("item_id", F.lit(pos).alias("msg_pos"), F.lit(role).alias("role"), content.alias("content"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # one pass over the catalogue: each item's message list is built as an array and inlined
+    rows = F.array(*[F.struct(F.lit(pos).alias("msg_pos"), F.lit(role).alias("role"), content.alias("content")) for pos, role, content in msgs])
+    return m.select("item_id", F.inline(rows))
 
 
 # ---------------------------------------------------------------- LLM route (answers -> RS -> plot scoring -> blend)
