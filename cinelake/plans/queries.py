@@ -422,9 +422,11 @@ def ratings_text(spark: SparkSession, d: str) -> DataFrame:
 @query
 def extraction_prompts(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
-    chat = u.select("conv_id", "turn", F.lit("chat").alias("dialect"), A.extraction_prompt(F.col("text"), False).alias("prompt"))
-    inst = u.select("conv_id", "turn", F.lit("instruction").alias("dialect"), A.extraction_prompt(F.col("text"), True).alias("prompt"))
-    return chat.unionByName(inst)
+    both = F.array(
+        F.struct(F.lit("chat").alias("dialect"), A.extraction_prompt(F.col("text"), False).alias("prompt")),
+        F.struct(F.lit("instruction").alias("dialect"), A.extraction_prompt(F.col("text"), True).alias("prompt")),
+    )
+    return u.select("conv_id", "turn", F.inline(both))  # both dialects from one scan
 
 
 DESCRIBE_SHOTS = [
