@@ -324,11 +324,11 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     """imdbId -> tmdbId rows in file order; some ids missing, some repeated (last wins)."""
     p = table(spark, d, "part").select("p_partkey").where(F.col("p_partkey") % 11 != 0)
     imdb = F.regexp_replace(T.imdb_id((F.col("p_partkey") * 7919).cast("string")), "^tt", "")
-    base = p.select(imdb.alias("imdbId"), (F.col("p_partkey") + 100000).cast("string").alias("tmdbId"), (F.col("p_partkey") * 2).alias("line"))
-    dup = p.where(F.col("p_partkey") % 13 == 0).select(
-        imdb.alias("imdbId"), (F.col("p_partkey") + 200000).cast("string").alias("tmdbId"), (F.col("p_partkey") * 2 + 1).alias("line")
-    )
-    return base.unionByName(dup)
+    k = F.col("p_partkey")
+    first = F.struct(imdb.alias("imdbId"), (k + 100000).cast("string").alias("tmdbId"), (k * 2).alias("line"))
+    again = F.struct(imdb.alias("imdbId"), (k + 200000).cast("string").alias("tmdbId"), (k * 2 + 1).alias("line"))
+    # one scan: every 13th id is listed a second time, later in the file
+    return p.select(F.inline(F.when(k % 13 == 0, F.array(first, again)).otherwise(F.array(first))))
 
 
 @_memo
