@@ -18,6 +18,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal as _Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +91,11 @@ def resolve_titles(names: DataFrame, movies: DataFrame, max_distance: int = RESO
         max_distance,
     )
     ranked = pairs.join(movies.select(F.col("item_id").alias("rid"), "pop_rank"), "rid")
-    best = ranked.groupBy(F.col("lid").alias("name_id")).agg(
-        F.min_by(F.struct(F.col("rid").alias("item_id"), "distance"), F.struct("distance", "pop_rank")).alias("_b")
-    )
-    return best.select("name_id", F.col("_b.item_id").alias("item_id"), F.col("_b.distance").alias("distance"))
+    # (distance, pop_rank) as one DECIMAL(38,0) (pop_rank < 10^19): the per-name minimum is a hash aggregate
+    shift = F.lit(_Decimal(10**19)).cast("decimal(38,0)")
+    order = F.col("distance").cast("decimal(38,0)") * shift + F.col("pop_rank").cast("decimal(38,0)")
+    best = ranked.groupBy(F.col("lid").alias("name_id")).agg(F.min_by("rid", order).alias("item_id"), F.min(order).alias("_o"))
+    return best.select("name_id", "item_id", F.floor(F.col("_o") / shift).cast("int").alias("distance"))
 
 
 def _alternatives(title: Column, sep_regex: str) -> Column:
