@@ -42,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not cp:
         cp = tempfile.mkdtemp(prefix="cinelake-cp-")
         spark.conf.set("spark.checkpoint.dir", cp)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(cp)
     return cp
 
@@ -74,9 +74,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def session_key(spark: SparkSession) -> tuple[str, int]:
-    """Identity of a live session for caches: its application id and JVM session object.
+    """Identity of a live session for caches: its application id and the session object.
 
-    ``id(spark)`` is not enough: a stopped session's Python id can be reused by
-    a new one, which would then see tables bound to a dead context.
+    ``id(spark)`` alone is not enough: after ``stop()`` a new session can get the
+    old Python id and would then see tables bound to a dead context; the
+    application id changes with every new context. Within one context a cached
+    table keeps its session alive, so that session's id cannot be reused.
     """
-    return spark.sparkContext.applicationId, spark._jsparkSession.hashCode()
+    return spark.sparkContext.applicationId, id(spark)
