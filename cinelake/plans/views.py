@@ -153,14 +153,14 @@ def clean_titles(spark: SparkSession, d: str) -> DataFrame:
     return op(titles_raw(spark, d))
 
 
-@_memo
+@_stored
 def movies(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.curate import catalogue
 
     return catalogue(clean_titles(spark, d), ratings(spark, d))
 
 
-@_memo
+@_stored
 def tags(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").select(F.col("p_name").alias("tag")).distinct()
     return global_row_number(names, [F.col("tag")], "id").select("id", "tag")
