@@ -157,8 +157,17 @@ def read_per_user_text(spark: SparkSession, folder: str, key: str = "user_id") -
     ).where(F.length(v) > 0)
 
 
+MAX_ID_LIST = 1_000_000  # one JSON array is one document, written by one task
+
+
 def write_id_list(ids: DataFrame, path: str, col: str = "user_id") -> str:
-    """A JSON document holding one array of ids (the cohort file); the id list is a bounded sample."""
+    """A JSON document holding one array of ids (the cohort file); the id list is a bounded sample.
+
+    The bound is checked (a bounded count), so a large table is refused rather
+    than gathered into one task.
+    """
+    if ids.limit(MAX_ID_LIST + 1).count() > MAX_ID_LIST:
+        raise ValueError(f"an id list document holds at most {MAX_ID_LIST} ids")
     doc = ids.agg(F.to_json(F.array_sort(F.collect_list(col))).alias("value"))
     doc.coalesce(1).write.mode("errorifexists").text(path)
     return path
