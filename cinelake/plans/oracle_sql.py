@@ -878,3 +878,13 @@ oracle(
        FROM x_rank GROUP BY user_id""",
     EXPERIMENT,
 )
+
+
+# The results document keyed by k, rendered from the hit_at_k rows.
+ORACLES["hit_summary"] = (
+    """SELECT '{' || coalesce(string_agg('"' || CAST(k AS VARCHAR) || '": {"rs": ' || CAST(accuracy_rs AS VARCHAR)
+                                   || ', "both": ' || CAST(accuracy_both AS VARCHAR) || '}', ', ' ORDER BY k), '') || '}' AS results
+       FROM ("""
+    + ORACLES["hit_at_k"]
+    + """) h"""
+)

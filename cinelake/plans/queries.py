@@ -673,6 +673,21 @@ def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
     return EV.hit_rates(_experiment(spark, d), t.where(F.col("role") == "target"), users)
 
 
+@query
+def hit_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The results document keyed by k, ``{"<k>": {"rs": <hit rate>, "both": <hit rate>}, ...}``, one row.
+
+    Built from the per-k rows (one per k in the fixed k list), so the array is bounded.
+    """
+    h = hit_at_k(spark, d)
+    piece = F.concat(
+        F.lit('"'), F.col("k").cast("string"), F.lit('": {"rs": '), F.col("accuracy_rs").cast("string"),
+        F.lit(', "both": '), F.col("accuracy_both").cast("string"), F.lit("}"),
+    )
+    parts = F.array_sort(F.collect_list(F.struct("k", piece.alias("p"))))
+    return h.agg(F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda x: x["p"]), ", "), F.lit("}")).alias("results"))
+
+
 @query
 def predictions_json(spark: SparkSession, d: str) -> DataFrame:
     """Per user: the ranked prediction records as one JSON array (nulls kept)."""
