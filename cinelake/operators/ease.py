@@ -5,16 +5,20 @@ diagonal, sparsified to the entries with |B| >= the q-th percentile of all n^2
 values, and requests scored as sum(rating * B) over the sparse weights.
 
 Scale notes
-- Gram: self-join of the ratings on user.  A user's rows are split into
-  ``ceil(degree / SALT_CHUNK)`` salt buckets and only the other side of that user
-  is replicated to every bucket, so a user holding a huge share of the rows is
-  spread over many tasks.  Pair products are combined map-side (partial
-  aggregation) before the shuffle on (i, j).
+- Gram: self-join of the stored interaction rows on user.  A user with more
+  than SALT_CHUNK items is split into ``ceil(degree / SALT_CHUNK)`` salt buckets
+  and only the other side of that user is replicated to every bucket, so a
+  user holding a huge share of the rows is spread over many tasks.  Pair
+  products are combined map-side (partial aggregation) before the shuffle on
+  (i, j), and the lower triangle is mirrored in the same pass.
 - Inverse: blocked Gauss-Jordan over (bi, bj) blocks of a b x b float64 array,
   one round per block row; every round is joins plus a numpy kernel per block in
   ``mapInPandas`` and a reliable checkpoint.  Neither the driver nor a single
   task ever holds G.
-- Percentile: exact, by a distributed sort and rank of the n^2 values.
+- Percentile: exact; an approximate pass brackets the rank and only the values
+  inside the bracket are range-sorted and ranked.
+- Scoring: see ``recommend`` (one weights join, one aggregate, one shuffle by
+  request, zero-fill only where fewer than k scores are positive).
 """
 
 from __future__ import annotations
