@@ -318,3 +318,22 @@ def test_packed_state_order_round_trips_extremes(spark):
         plain = ev.groupBy("user_id", "item_key").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("l"))
         want = sorted(tuple(r) for r in plain.select("user_id", "item_key", *[F.col(f"l.{c}") for c in cols]).collect())
         assert got == want, ts_type
+
+
+def test_broadcast_only_below_the_counted_bound(spark):
+    from cinelake.session import broadcast_if_small
+
+    big = spark.range(50).withColumnRenamed("id", "k")
+    small = spark.range(5).withColumnRenamed("id", "k")
+    facts = spark.range(200).select((F.col("id") % 60).alias("k"))
+
+    def plan_and_rows(side, bound):
+        joined = facts.join(broadcast_if_small(side, bound), "k")
+        return joined._jdf.queryExecution().optimizedPlan().toString(), sorted(r.k for r in joined.collect())
+
+    plan_small, rows_small = plan_and_rows(small, 10)
+    plan_big, rows_big = plan_and_rows(big, 10)
+    assert "broadcast" in plan_small.lower()
+    assert "broadcast" not in plan_big.lower()
+    assert rows_small == sorted(k for k in (i % 60 for i in range(200)) if k < 5)
+    assert rows_big == sorted(k for k in (i % 60 for i in range(200)) if k < 50)
