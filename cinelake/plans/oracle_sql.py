@@ -796,6 +796,23 @@ oracle(
     EXPERIMENT,
 )
 
+oracle(
+    "hit_documents",
+    """SELECT k, '{"users": [' || string_agg(CAST(user_id AS VARCHAR), ', ' ORDER BY user_id)
+              || '], "hits_rs": ' || CAST(count(CASE WHEN rs_ <= k THEN 1 END) AS VARCHAR)
+              || ', "hits_both": ' || CAST(count(CASE WHEN both_ <= k THEN 1 END) AS VARCHAR)
+              || ', "accuracy_rs": ' || CAST(round_even(count(CASE WHEN rs_ <= k THEN 1 END) / count(*), 3) AS VARCHAR)
+              || ', "accuracy_both": ' || CAST(round_even(count(CASE WHEN both_ <= k THEN 1 END) / count(*), 3) AS VARCHAR)
+              || '}' AS document
+       FROM (SELECT u.user_id, a.rs_, a.both_ FROM (SELECT DISTINCT user_id FROM targets WHERE role = 'target') u
+             LEFT JOIN (SELECT x.user_id, min(x.rank_rs) AS rs_, min(x.rank_both) AS both_ FROM x_rank x
+                        JOIN targets t ON t.user_id = x.user_id AND t.item_id = x.item_id AND t.role = 'target'
+                        GROUP BY x.user_id) a ON a.user_id = u.user_id),
+            (VALUES (1), (5), (10), (20)) ks(k)
+       GROUP BY k""",
+    EXPERIMENT,
+)
+
 _PA_NAMES = ["pa_p", "pa_q", "pa_r", "pa_s", "pa", "rn_names", "rn_al", "rn_best", "resolved"]
 CONV = unique_ctes(
     TARGETS,

@@ -673,6 +673,14 @@ def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
     return EV.hit_rates(_experiment(spark, d), t.where(F.col("role") == "target"), users)
 
 
+@query
+def hit_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Per k, the per-k results document (users, hits, rates) as JSON text."""
+    t = _targets(spark, d)
+    users = t.where(F.col("role") == "target").select("user_id").distinct()
+    return EV.hit_documents(_experiment(spark, d), t.where(F.col("role") == "target"), users)
+
+
 @query
 def hit_summary(spark: SparkSession, d: str) -> DataFrame:
     """The results document keyed by k, ``{"<k>": {"rs": <hit rate>, "both": <hit rate>}, ...}``, one row.
