@@ -36,17 +36,17 @@ WITH w AS (
 ), b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
 ), runs AS (
-  SELECT item_id, least(10, len(words)) AS n, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS at, words FROM b WHERE len(words) > 0
+  SELECT item_id, least(10, len(words)) AS n, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS spot, words FROM b WHERE len(words) > 0
 ), windows AS (
-  SELECT DISTINCT item_id, n, array_to_string(list_slice(words, at, at + n - 1), ' ') AS win FROM runs
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(words, spot, spot + n - 1), ' ') AS win FROM runs
 ), spots AS (
-  SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS at FROM w, (SELECT DISTINCT n FROM windows) WHERE len(words) >= n
+  SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS spot FROM w, (SELECT DISTINCT n FROM windows) WHERE len(words) >= n
 ), hits AS (
-  SELECT s.doc_id, s.at, s.n, v.item_id FROM spots s JOIN windows v ON v.n = s.n AND v.win = array_to_string(list_slice(s.words, s.at, s.at + s.n - 1), ' ')
+  SELECT s.doc_id, s.spot, s.n, v.item_id FROM spots s JOIN windows v ON v.n = s.n AND v.win = array_to_string(list_slice(s.words, s.spot, s.spot + s.n - 1), ' ')
 ), items AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY doc_id
 ), covered AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM (SELECT DISTINCT doc_id, at, n FROM hits)) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(spot, spot + n)) AS p FROM (SELECT DISTINCT doc_id, spot, n FROM hits)) GROUP BY doc_id
 )
 SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
