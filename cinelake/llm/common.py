@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cinelake.session import cut_lineage, ensure_checkpoint_dir, shared_path, table
 
-__all__ = ["arrow_map", "cut_lineage", "ensure_checkpoint_dir", "shared_path", "stored", "table", "worker_memo"]
+__all__ = ["arrow_map", "cut_lineage", "ensure_checkpoint_dir", "fresh", "shared_path", "stored", "table", "worker_memo"]
 
 
 def worker_memo(key: str, make: Callable[[], object]) -> object:
@@ -39,6 +39,14 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(task, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

@@ -55,8 +55,8 @@ FROM w LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
 
 TOP_K = r"""
 WITH q AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.x, b.x)::BIGINT AS score FROM q a, q b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
 ), r AS (

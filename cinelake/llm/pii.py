@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import cut_lineage, stored
+from cinelake.llm.common import cut_lineage, fresh, stored
 from cinelake.session import broadcast_if_small
 
 KEY = "surrogate-key-1"
@@ -250,10 +250,11 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     text = F.col("text").cast("string")
     pattern = F.lit(_PATTERN)
     docs = docs.drop("entities")
-    row = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit("second"), F.col("text"), F.col("doc_id")).alias("_k2")]
+    k1, k2, mine = fresh(docs, "_k1"), fresh(docs, "_k2"), fresh(docs, "_found")
+    row = [F.xxhash64("doc_id", "text").alias(k1), F.xxhash64(F.lit("second"), F.col("text"), F.col("doc_id")).alias(k2)]
     some = F.regexp_extract_all(text, pattern, F.lit(0))
     found = stored(docs.select(*row, some.alias("raws")).filter(F.size("raws") > 0).distinct(), spark, "pii-mentions")
-    mentions = found.select("_k1", "_k2", F.posexplode("raws").alias("pos", "raw"))
+    mentions = found.select(k1, k2, F.posexplode("raws").alias("pos", "raw"))
     forms = cut_lineage(mentions.select("raw").distinct())
     typed = forms.withColumn("kind", _kind(F.col("raw")))
     parts = cut_lineage(typed.select("raw", F.col("kind").alias("of"), F.posexplode(_parts(F.col("raw"), F.col("kind"))).alias("n", "part")).select("raw", "of", "n", "part.*"))
@@ -261,13 +262,13 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     named = parts.join(given, ["kind", "norm"], "left").withColumn("new", _written(F.col("word"), F.col("kind"), F.col("norm"), F.col("surrogate")))
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("n", "new"))), lambda s: s["new"])
     written = cut_lineage(named.groupBy("raw", "of").agg(F.array_join(pieces, " ").alias("new")))
-    per_row = mentions.join(broadcast_if_small(written, SMALL), "raw").groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("of").alias("kind"), F.col("new").alias("surrogate")))).alias("_found"))
+    per_row = mentions.join(broadcast_if_small(written, SMALL), "raw").groupBy(k1, k2).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("of").alias("kind"), F.col("new").alias("surrogate")))).alias(mine))
     per_row = cut_lineage(per_row)
-    entities = F.transform("_found", lambda s: F.struct(s["kind"].alias("kind"), s["surrogate"].alias("surrogate")))
+    entities = F.transform(mine, lambda s: F.struct(s["kind"].alias("kind"), s["surrogate"].alias("surrogate")))
     has = F.coalesce(text.rlike(_PATTERN), F.lit(False))
     clean = docs.filter(~has).withColumn("entities", F.expr("cast(array() as array<struct<kind:string,surrogate:string>>)"))
-    with_some = docs.filter(has).select("*", *row).join(per_row, ["_k1", "_k2"])
+    with_some = docs.filter(has).select("*", *row).join(per_row, [k1, k2])
     between = F.split(text, _PATTERN, -1)
-    whole = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get("_found", i)["surrogate"], F.lit("")))), "")
+    whole = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(mine, i)["surrogate"], F.lit("")))), "")
     changed = with_some.withColumn("text", whole).withColumn("entities", entities)
     return clean.unionByName(changed.select(*clean.columns))
