@@ -15,8 +15,8 @@ Scale notes
   one round per block row; every round is joins plus a numpy kernel per block in
   ``mapInPandas`` and a reliable checkpoint.  Neither the driver nor a single
   task ever holds G.
-- Percentile: exact; an approximate pass brackets the rank and only the values
-  inside the bracket are range-sorted and ranked.
+- Percentile: exact; an approximate pass brackets the rank and only the distinct
+  values inside the bracket are counted and placed.
 - Scoring: see ``recommend`` (one weights join, one aggregate, one shuffle by
   request, zero-fill only where fewer than k scores are positive).
 """
@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinelake.operators.indexing import dense_index, global_row_number
+from cinelake.operators.indexing import dense_index, running_sum
 from cinelake.session import broadcast_if_small, cut_lineage
 
 # Fixed values of the model as published: default lambda 0.5, 98th percentile sparsity.
@@ -41,6 +41,8 @@ BLOCK = 512
 MAX_BROADCAST_ITEMS = 2_000_000
 # Largest sparse weight table broadcast to the scoring join (about 24 bytes per entry); beyond it, shuffle join.
 MAX_BROADCAST_WEIGHTS = 2_000_000
+# Largest panel of blocks (bytes) broadcast in a round of the inverse.
+MAX_BROADCAST_PANEL = 64 << 20
 _SELF_SALT = 4096
 # Rank accuracy of the approximate bracket around the exact percentile.
 _BRACKET_ACCURACY = 10_000
@@ -64,10 +66,11 @@ def item_index(ratings: DataFrame) -> DataFrame:
 def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFrame:
     """Sparse G as (i, j, g) over item indices, both triangles, zero entries absent.
 
-    Explicit values are rating / max(rating); they are carried as integer
-    half-stars so that the sums are exact and order-independent.
+    Explicit values are the ratings over the largest rating, implicit ones are 1
+    per rating; repeated (user, item) ratings add up in both modes. Sums of
+    products are taken over the unscaled ratings and divided once at the end.
 
-    X (one row per user and item) is built once and stored. Users with more
+    X (one row per user and item) is stored before anything reads it. Users with more
     than ``SALT_CHUNK`` items are split into salt buckets (only those users
     are looked up, through a size-checked table); each bucket meets the user's
     whole row, so a user holding a huge share of the rows is spread over many
@@ -75,19 +78,12 @@ def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFr
     and the lower triangle is mirrored from the upper one in the same pass.
     """
     dictionary = broadcast_if_small(index.select("item_id", "idx"), MAX_BROADCAST_ITEMS)
-    x = ratings.join(dictionary, "item_id").groupBy("user_id", "idx").agg(F.sum("rating").alias("r"))
-    if implicit:
-        x = x.select("user_id", "idx", F.lit(1).cast("long").alias("v"))
-        scale = F.lit(1.0)
-    else:
-        x = x.select("user_id", "idx", F.round(F.col("r") * 2).cast("long").alias("v"))
-        scale = None
+    value = F.count(F.lit(1)).cast("double") if implicit else F.sum("rating")
+    x = cut_lineage(ratings.join(dictionary, "item_id").groupBy("user_id", "idx").agg(value.alias("v")))
     deg = x.groupBy("user_id").agg(F.count(F.lit(1)).alias("_deg"))
     heavy = deg.where(F.col("_deg") > SALT_CHUNK).select("user_id", F.ceil(F.col("_deg") / SALT_CHUNK).cast("int").alias("_ns"))
-    xs = cut_lineage(
-        x.join(broadcast_if_small(heavy, MAX_BROADCAST_ITEMS), "user_id", "left").select(
-            "user_id", "idx", "v", F.coalesce(F.col("_ns"), F.lit(1)).alias("_ns")
-        )
+    xs = x.join(broadcast_if_small(heavy, MAX_BROADCAST_ITEMS), "user_id", "left").select(
+        "user_id", "idx", "v", F.coalesce(F.col("_ns"), F.lit(1)).alias("_ns")
     )
     left = xs.select("user_id", F.col("idx").alias("i"), F.col("v").alias("vi"), F.pmod(F.col("idx"), F.col("_ns")).alias("_s"))
     right = xs.select(
@@ -98,12 +94,9 @@ def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFr
     )
     pairs = left.join(right, ["user_id", "_s"]).where(F.col("i") <= F.col("j"))
     upper = pairs.groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("gi"))
-    if scale is None:
-        # one scalar: the largest rating, in half-stars
-        top = (ratings.agg(F.max("rating")).first()[0] or 0.5) * 2  # no ratings: empty G, any scale
-        g = F.col("gi") / F.lit(float(top * top))
-    else:
-        g = F.col("gi").cast("double")
+    # one scalar: the largest rating (no ratings: empty G, any scale)
+    top = 1.0 if implicit else float(ratings.agg(F.max("rating")).first()[0] or 1.0)
+    g = F.col("gi") / F.lit(top * top)
     both = F.when(
         F.col("i") < F.col("j"),
         F.array(F.struct(F.col("i"), F.col("j"), g.alias("g")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), g.alias("g"))),
@@ -169,18 +162,28 @@ def _kernel(it):
         yield pd.DataFrame(out, columns=["bi", "bj", "nr", "nc", "data"])
 
 
-def invert_blocks(blocks: DataFrame, m: int) -> DataFrame:
+def _panel(df: DataFrame, m: int, block: int) -> DataFrame:
+    """A row or column of ``m`` blocks, broadcast while m * block^2 doubles stay under the bound."""
+    return F.broadcast(df) if m * block * block * 8 <= MAX_BROADCAST_PANEL else df
+
+
+def invert_blocks(blocks: DataFrame, m: int, block: int = BLOCK) -> DataFrame:
     """In-place blocked Gauss-Jordan: for each pivot p,
     A_pp <- A_pp^-1, A_pj <- A_pp^-1 A_pj, A_ip <- -A_ip A_pp^-1, A_ij <- A_ij - A_ip A_pp^-1 A_pj.
-    No pivoting is needed: G + lambda*I is symmetric positive definite."""
+    No pivoting is needed: G + lambda*I is symmetric positive definite.
+
+    The pivot is one block (2 MB at the default size) and is always broadcast,
+    so the panels are solved where they lie. The solved panels are broadcast to
+    the rest of the matrix while they are small by arithmetic; beyond that they
+    meet it in shuffle joins on the block row and column."""
     cols = ["bi", "bj", "nr", "nc", "data"]
     cur = cut_lineage(blocks)
     nul = F.lit(None).cast("binary")
     for p in range(m):
         bi, bj = F.col("bi"), F.col("bj")
         piv = cur.where((bi == p) & (bj == p))
-        row = cur.where((bi == p) & (bj != p)).join(piv.select("bi", F.col("data").alias("l")), "bi")
-        col = cur.where((bj == p) & (bi != p)).join(piv.select("bj", F.col("data").alias("r")), "bj")
+        row = cur.where((bi == p) & (bj != p)).join(F.broadcast(piv.select("bi", F.col("data").alias("l"))), "bi")
+        col = cur.where((bj == p) & (bi != p)).join(F.broadcast(piv.select("bj", F.col("data").alias("r"))), "bj")
         row_new_in = row.select(*cols, F.lit("row").alias("op"), "l", nul.alias("r"))
         piv_in = piv.select(*cols, F.lit("pivot").alias("op"), nul.alias("l"), nul.alias("r"))
         col_in = col.select(*cols, F.lit("col").alias("op"), nul.alias("l"), "r")
@@ -189,7 +192,7 @@ def invert_blocks(blocks: DataFrame, m: int) -> DataFrame:
         head = cut_lineage(head)
         row_new = head.where((F.col("bi") == p) & (F.col("bj") != p)).select("bj", F.col("data").alias("r"))
         old_col = cur.where((bj == p) & (bi != p)).select("bi", F.col("data").alias("l"))
-        rest = cur.where((bi != p) & (bj != p)).join(old_col, "bi").join(row_new, "bj")
+        rest = cur.where((bi != p) & (bj != p)).join(_panel(old_col, m, block), "bi").join(_panel(row_new, m, block), "bj")
         rest_new = rest.select(*cols, F.lit("rest").alias("op"), "l", "r").mapInPandas(_kernel, schema)
         cur = cut_lineage(head.unionByName(rest_new))
     return cur
@@ -222,7 +225,7 @@ def from_blocks(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
 def inverse(entries: DataFrame, n: int, lam: float, block: int = BLOCK) -> DataFrame:
     """(G + lam*I)^-1 as long (i, j, p)."""
     m = (n + block - 1) // block
-    return from_blocks(invert_blocks(to_blocks(entries, n, lam, block), m), block)
+    return from_blocks(invert_blocks(to_blocks(entries, n, lam, block), m, block), block)
 
 
 def weights_dense(p: DataFrame) -> DataFrame:
@@ -237,10 +240,12 @@ def exact_percentile(values: DataFrame, col: str, q: float) -> float:
     """numpy-style linear-interpolated percentile, exact, without sorting all values.
 
     An approximate quantile pass brackets rank q*(N-1); one counting pass finds
-    how many values lie below the bracket; only the values inside it are
-    range-sorted and ranked.  If the bracket misses (it should not, given the
-    accuracy), every value is ranked instead.  Only the two order statistics
-    around the rank reach the driver.
+    how many values lie below the bracket. A bracket of one value is the answer.
+    Otherwise the values inside it are counted per distinct value, and running
+    counts over the distinct values place the rank, so that a value that most
+    entries share (such as zero) is one row, not one partition. If the bracket
+    misses (it should not, given the accuracy), all distinct values are counted.
+    Only the two order statistics around the rank reach the driver.
     """
     v = F.col(col)
     eps = 2.0 / _BRACKET_ACCURACY
@@ -255,11 +260,17 @@ def exact_percentile(values: DataFrame, col: str, q: float) -> float:
     lo, hi = int(np.floor(pos)), int(np.ceil(pos))
     c = values.agg(F.count(F.when(v < lo_v, 1)).alias("below"), F.count(F.when(v <= hi_v, 1)).alias("upto")).first()
     if c["below"] <= lo and hi < c["upto"]:
+        if lo_v == hi_v:
+            return float(lo_v)
         inside, offset = values.where((v >= lo_v) & (v <= hi_v)), c["below"]
     else:
         inside, offset = values, 0
-    ranked = global_row_number(inside.select(v.alias("_v")), [F.col("_v")], "_r", offset)
-    got = {r["_r"]: r["_v"] for r in ranked.where(F.col("_r").isin(lo, hi)).collect()}
+    counts = inside.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sum(counts, [F.col("_v")], "_n", "_upto")
+    rank_of = upto.select("_v", (F.col("_upto") + offset).alias("_past"), (F.col("_upto") - F.col("_n") + offset).alias("_from"))
+    got = {}
+    for r in rank_of.where(((F.col("_from") <= lo) & (lo < F.col("_past"))) | ((F.col("_from") <= hi) & (hi < F.col("_past")))).collect():
+        got.update({k: r["_v"] for k in (lo, hi) if r["_from"] <= k < r["_past"]})
     return got[lo] + (pos - lo) * (got[hi] - got[lo])
 
 
@@ -295,6 +306,19 @@ def fit(
     return idx, with_item_ids(w, idx, "b", "w")
 
 
+def save_model(index: DataFrame, weights: DataFrame, path: str) -> str:
+    """Write a fitted model (item index, sparse weights) as Parquet; an existing model is not overwritten."""
+    index.write.mode("errorifexists").parquet(f"{path}/index")
+    weights.write.mode("errorifexists").parquet(f"{path}/weights")
+    return path
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A saved model as (item index, weights); no ratings are needed to recommend with it."""
+    index = spark.read.schema("item_id long, idx long").parquet(f"{path}/index")
+    return index, spark.read.schema("src_item long, dst_item long, w double").parquet(f"{path}/weights")
+
+
 def with_item_ids(df: DataFrame, idx: DataFrame, val: str, name: str) -> DataFrame:
     a = broadcast_if_small(idx.select(F.col("idx").alias("i"), F.col("item_id").alias("src_item")), MAX_BROADCAST_ITEMS)
     b = broadcast_if_small(idx.select(F.col("idx").alias("j"), F.col("item_id").alias("dst_item")), MAX_BROADCAST_ITEMS)

@@ -48,3 +48,17 @@ def group_row_number(df: DataFrame, group: list[str], order: list[str], name: st
     ranked = global_row_number(df, [F.col(c) for c in [*group, *order]], "_g", 0)
     first = ranked.groupBy(*group).agg(F.min("_g").alias("_g0"))
     return ranked.join(first, group).withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+
+
+def running_sum(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows up to and with each row, by ``order`` (must be a total order).
+
+    The same plan as ``global_row_number``: running sums inside range
+    partitions, shifted by the totals of the partitions before (one row each).
+    """
+    placed = cut_lineage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())).withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+    inside = placed.withColumn("_in", F.sum(value).over(Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)))
+    totals = placed.groupBy("_pid").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return inside.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_in") + F.col("_off")).drop("_mid", "_pid", "_in", "_off")
