@@ -8,12 +8,14 @@
   superset of the answer (no pair is lost), which ``levenshtein(a, b, d)`` then
   verifies.  Work grows with the rows times a small constant, and the join keys
   are selective substrings rather than a few years or lengths.
-- ``resolve_titles``: each free-text name -> the catalogue item with the smallest
+- ``resolve_titles``: each distinct free-text name -> the catalogue item with the smallest
   distance (<= 2, case-insensitive, over its aliases), most popular first on ties.
 - ``match_plots``: one-to-one matching of plot records to catalogue titles inside
-  each year, distance <= 3, greedy by (distance, plot order, movie rank).  Run as
-  rounds that accept every edge minimal for both of its ends, then drop the
-  consumed plots and movies (equal to the sequential greedy walk).
+  each year, distance <= 3, greedy by (distance, plot order, movie rank). It runs
+  on classes of equal titles, distance by distance: fully linked groups of
+  classes are paired by rank, only the others list their pairs and are walked in
+  rounds that accept every edge minimal for both of its ends (equal to the
+  sequential greedy walk).
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.functions import text as T
+from cinelake.operators.indexing import group_row_number
 from cinelake.session import cut_lineage
 
 # Resolve threshold 2, plot-matching threshold 3.
 RESOLVE_MAX = 2
 MATCH_MAX = 3
-MAX_ROUNDS = 64
 
 
 def catalogue_aliases(movies: DataFrame) -> DataFrame:
@@ -83,19 +85,26 @@ def edit_distance_pairs(left: DataFrame, right: DataFrame, d: int, block: list[s
 
 
 def resolve_titles(names: DataFrame, movies: DataFrame, max_distance: int = RESOLVE_MAX) -> DataFrame:
-    """names: (name_id, name, ...) -> (name_id, item_id, distance); unmatched names drop out."""
-    al = catalogue_aliases(movies)
+    """names: (..., name) -> the same columns with (item_id, distance); unmatched names drop out.
+
+    Each distinct text is matched once against each distinct alias (which
+    stands for its most popular item), and the names take the result of their
+    text: equal names cost one match, and no id is made up for a name.
+    """
+    aliases = catalogue_aliases(movies).groupBy("alias").agg(F.min_by("item_id", "pop_rank").alias("item_id"), F.min("pop_rank").alias("pop_rank"))
+    texts = names.select(F.lower("name").alias("ltext")).where(F.col("ltext").isNotNull()).distinct()
     pairs = edit_distance_pairs(
-        names.select(F.col("name_id").alias("lid"), F.lower("name").alias("ltext")),
-        al.select(F.col("item_id").alias("rid"), F.col("alias").alias("rtext")),
+        texts.select(F.col("ltext").alias("lid"), "ltext"),
+        aliases.select(F.col("alias").alias("rid"), F.col("alias").alias("rtext")),
         max_distance,
     )
-    ranked = pairs.join(movies.select(F.col("item_id").alias("rid"), "pop_rank"), "rid")
-    # (distance, pop_rank) as one DECIMAL(38,0) (pop_rank < 10^19): the per-name minimum is a hash aggregate
+    ranked = pairs.join(aliases.select(F.col("alias").alias("rid"), "item_id", "pop_rank"), "rid")
+    # (distance, pop_rank) as one DECIMAL(38,0) (pop_rank < 10^19): the per-text minimum is a hash aggregate
     shift = F.lit(_Decimal(10**19)).cast("decimal(38,0)")
     order = F.col("distance").cast("decimal(38,0)") * shift + F.col("pop_rank").cast("decimal(38,0)")
-    best = ranked.groupBy(F.col("lid").alias("name_id")).agg(F.min_by("rid", order).alias("item_id"), F.min(order).alias("_o"))
-    return best.select("name_id", "item_id", F.floor(F.col("_o") / shift).cast("int").alias("distance"))
+    best = ranked.groupBy(F.col("lid").alias("_text")).agg(F.min_by("item_id", order).alias("item_id"), F.min(order).alias("_o"))
+    best = best.select("_text", "item_id", F.floor(F.col("_o") / shift).cast("int").alias("distance"))
+    return names.join(best, F.lower("name") == F.col("_text")).drop("_text")
 
 
 def _alternatives(title: Column, sep_regex: str) -> Column:
@@ -104,28 +113,89 @@ def _alternatives(title: Column, sep_regex: str) -> Column:
     return F.transform(parts, lambda x, i: F.when(i == 1, T.drop_last(x, 1)).otherwise(x))
 
 
-def title_edges(plots: DataFrame, movies: DataFrame, max_distance: int = MATCH_MAX) -> DataFrame:
-    """Same-year (plot, movie) pairs with case-sensitive alias distance <= max_distance.
+def title_classes(plots: DataFrame, movies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plots and movies with their class, the (year, title) text that decides every distance:
+    (plot_id, pclass, year, title) and (item_id, mclass, year, name)."""
+    name = T.title_without_year("title")
+    p = plots.select("plot_id", F.concat_ws("|", "year", "title").alias("pclass"), "year", "title")
+    return p, movies.select("item_id", F.concat_ws("|", F.col("year"), name).alias("mclass"), "year", name.alias("name"))
+
+
+def class_edges(p: DataFrame, m: DataFrame, max_distance: int = MATCH_MAX) -> DataFrame:
+    """(pclass, mclass, year, distance): same-year classes with case-sensitive alias distance <= max_distance.
 
     The distance of a pair is the smallest over its alias combinations, so the
-    segment join runs on single aliases (blocked by year) and the minimum is
-    taken per pair afterwards.
+    segment join runs on the distinct single aliases of a year, and the minimum
+    is taken per pair of classes afterwards. The rows grow with the different
+    titles, not with the plots and movies that share them.
     """
-    m = movies.select(
-        "item_id", "year", F.explode(_alternatives(T.title_without_year("title"), r" \(a\.k\.a\. ")).alias("rtext")
-    )
-    p = plots.select("plot_id", "year", F.explode(_alternatives(F.col("title"), r" \(aka ")).alias("ltext"))
+    left = p.select("pclass", "year", "title").distinct().select("pclass", "year", F.explode(_alternatives(F.col("title"), r" \(aka ")).alias("ltext"))
+    right = m.select("mclass", "year", "name").distinct().select("mclass", "year", F.explode(_alternatives(F.col("name"), r" \(a\.k\.a\. ")).alias("rtext"))
     pairs = edit_distance_pairs(
-        p.select(F.col("plot_id").alias("lid"), "ltext", "year"),
-        m.select(F.col("item_id").alias("rid"), "rtext", "year"),
+        left.select("year", "ltext").distinct().select("year", "ltext", F.struct("year", "ltext").alias("lid")),
+        right.select("year", "rtext").distinct().select("year", "rtext", F.struct("year", "rtext").alias("rid")),
         max_distance,
         ["year"],
-    )
-    best = pairs.groupBy("lid", "rid").agg(F.min("distance").alias("distance"))
-    years = movies.select(F.col("item_id").alias("rid"), "year")
-    return best.join(years, "rid").select(
-        F.col("lid").alias("plot_id"), F.col("rid").alias("item_id"), F.col("rid").alias("movie_rank"), "year", "distance"
-    )
+    ).select(F.col("lid.year").alias("year"), "lid.ltext", "rid.rtext", "distance")
+    listed = left.join(pairs, ["year", "ltext"]).join(right, ["year", "rtext"])
+    return listed.groupBy("pclass", "mclass", "year").agg(F.min("distance").alias("distance"))
+
+
+def title_edges(plots: DataFrame, movies: DataFrame, max_distance: int = MATCH_MAX) -> DataFrame:
+    """Every same-year (plot, movie) pair within the distance.
+
+    By definition the rows grow with the product of equal titles of a year on
+    both sides; ``match_plots`` works on the classes instead.
+    """
+    p, m = title_classes(plots, movies)
+    listed = class_edges(p, m, max_distance).join(p.select("plot_id", "pclass"), "pclass").join(m.select("item_id", "mclass"), "mclass")
+    return listed.select("plot_id", "item_id", F.col("item_id").alias("movie_rank"), "year", "distance")
+
+
+def _class_components(edges: DataFrame) -> DataFrame:
+    """(pclass, mclass, part): edges with the name of their connected part (its smallest plot class)."""
+    cur = cut_lineage(edges.select("pclass", "mclass", F.col("pclass").alias("part")))
+    while True:
+        by_movie = cur.groupBy("mclass").agg(F.min("part").alias("_m"))
+        by_plot = cur.join(by_movie, "mclass").groupBy("pclass").agg(F.min("_m").alias("_part"))
+        new = cut_lineage(cur.join(by_plot, "pclass").select("pclass", "mclass", F.col("_part").alias("part"), (F.col("_part") != F.col("part")).alias("_moved")))
+        cur = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            return cur
+
+
+def match_classes(p: DataFrame, m: DataFrame, edges: DataFrame) -> DataFrame:
+    """The greedy (distance, plot, movie) walk by classes: accepted (plot_id, item_id, distance).
+
+    One phase per distance. Classes that are linked at that distance fall into
+    connected parts. In a part where every plot class is linked to every movie
+    class the walk pairs the plots in order with the movies in order, so both
+    sides are numbered (without a window over the part) and joined on the
+    number. Only parts that are linked incompletely list their pairs and are
+    walked in rounds.
+    """
+    plots, movies = cut_lineage(p.select("plot_id", "pclass")), cut_lineage(m.select("item_id", "mclass"))
+    edges = cut_lineage(edges)
+    accepted = None
+    for (distance,) in sorted(edges.select("distance").distinct().collect()):  # at most MATCH_MAX + 1 values
+        here = edges.where(F.col("distance") == distance).join(plots.select("pclass"), "pclass", "left_semi").join(movies.select("mclass"), "mclass", "left_semi")
+        parts = _class_components(here)
+        full = parts.groupBy("part").agg((F.count(F.lit(1)) == F.count_distinct("pclass") * F.count_distinct("mclass")).alias("_full"))
+        parts = cut_lineage(parts.join(full, "part"))
+        whole, loose = parts.where("_full"), parts.where("not _full")
+        side_p = plots.join(whole.select("pclass", "part").distinct(), "pclass").select("part", "plot_id")
+        side_m = movies.join(whole.select("mclass", "part").distinct(), "mclass").select("part", "item_id")
+        won = group_row_number(side_p, ["part"], ["plot_id"], "_n").join(group_row_number(side_m, ["part"], ["item_id"], "_n"), ["part", "_n"]).select("plot_id", "item_id")
+        if not loose.isEmpty():
+            pairs = loose.join(plots, "pclass").join(movies, "mclass").select("plot_id", "item_id", F.col("item_id").alias("movie_rank"), F.lit(distance).alias("distance"))
+            won = won.unionByName(greedy_one_to_one(pairs).select("plot_id", "item_id"))
+        won = cut_lineage(won.withColumn("distance", F.lit(distance)))
+        accepted = won if accepted is None else accepted.unionByName(won)
+        plots = cut_lineage(plots.join(won.select("plot_id"), "plot_id", "left_anti"))
+        movies = cut_lineage(movies.join(won.select("item_id"), "item_id", "left_anti"))
+    if accepted is None:
+        return plots.join(movies, plots.plot_id == movies.item_id).select("plot_id", "item_id", F.lit(0).alias("distance")).where("false")
+    return accepted
 
 
 def greedy_one_to_one(edges: DataFrame) -> DataFrame:
@@ -134,9 +204,7 @@ def greedy_one_to_one(edges: DataFrame) -> DataFrame:
     cur = cut_lineage(edges.select("plot_id", "item_id", "movie_rank", "distance"))
     accepted = None
     last = cur.count()
-    for _ in range(MAX_ROUNDS):
-        if last == 0:
-            break
+    while last:
         by_plot = cur.groupBy("plot_id").agg(F.min(key).alias("_k"))
         by_movie = cur.groupBy("item_id").agg(F.min(key).alias("_k"))
         k = cur.withColumn("_k", key)
@@ -150,8 +218,6 @@ def greedy_one_to_one(edges: DataFrame) -> DataFrame:
         if n >= last:
             raise RuntimeError("matching rounds made no progress")
         last = n
-    else:
-        raise RuntimeError("matching did not converge")
     if accepted is None:
         return edges.select("plot_id", "item_id", "distance").limit(0)
     return accepted.select("plot_id", "item_id", "distance")
@@ -159,5 +225,6 @@ def greedy_one_to_one(edges: DataFrame) -> DataFrame:
 
 def match_plots(plots: DataFrame, movies: DataFrame) -> DataFrame:
     """Plots with their matched item_id (unmatched plots dropped), item_id first."""
-    matched = greedy_one_to_one(title_edges(plots, movies))
+    p, m = title_classes(plots, movies)
+    matched = match_classes(p, m, class_edges(p, m))
     return matched.join(plots, "plot_id").select("item_id", "plot_id", "year", "title", "distance")
