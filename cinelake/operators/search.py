@@ -69,7 +69,8 @@ def title_search(terms: DataFrame, movies: DataFrame, k: int = TITLE_K) -> DataF
     full = terms.where(~_is_blank()).select("term_id", "term", term_probe(F.col("term")).alias("gram"))
     cand = full.join(title_grams(movies), "gram").select("term_id", "term", "item_id").distinct()
     cand = cand.join(movies.select("item_id", "title", "popularity", "pop_rank"), "item_id")
-    hit = cand.where(F.expr("title ILIKE concat('%', term, '%')"))
+    # only % and _ are wildcards: a backslash of the term stands for itself
+    hit = cand.where(F.expr(r"""title ILIKE concat('%', replace(term, '\\', '\\\\'), '%')"""))
     scored = hit.withColumn("_score", F.col("popularity") * relevance(F.col("title"), F.col("term")))
     w = Window.partitionBy("term_id").orderBy(F.col("_score").desc(), F.col("pop_rank"))
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
