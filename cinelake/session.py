@@ -7,6 +7,7 @@ default is set only when the session has none (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,9 +38,15 @@ def local_session(cores: int | str = 8, app: str = "cinelake") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a local one only if unset."""
+    """Return the shared checkpoint folder; a temporary one is chosen only in local mode.
+
+    On a cluster a folder of the driver is of no use to the executors, so an
+    unset ``spark.checkpoint.dir`` is an error there.
+    """
     cp = spark.conf.get("spark.checkpoint.dir", None)
     if not cp:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         cp = tempfile.mkdtemp(prefix="cinelake-cp-")
         spark.conf.set("spark.checkpoint.dir", cp)
     if spark.sparkContext.getCheckpointDir() is None:
