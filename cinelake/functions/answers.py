@@ -27,6 +27,12 @@ FITNESS_ERROR = "ERROR: Failed to parse the answer."
 FITNESS_DEFAULT = 3.0
 MOOD_SENTENCE = " Currently, I'm in a mood for "
 PLOT_FORMAT = 'Plot of "%s": %s'
+EXPLAIN_RS_ONLY = "Only RS recommendations used."
+EXPLAIN_NO_PREFERENCES = "No general preferences found in user's prompt."
+EXPLAIN_NO_PLOT = "Movie plot not found."
+# Fixed values of the two prompt formats: marks before and after a conversation and a request.
+CHAT_MARKS = ("", "", TURN_BREAK, TURN_BREAK)
+INSTRUCTION_MARKS = ("<s>", "[INST]", INST_END, "</s>")
 
 _LAST_PAIR = r"(?s)^(.*): (.*)$"
 
@@ -100,10 +106,9 @@ def transcript_messages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # ------------------------------------------------------------------ prompts (our own wording)
 
 
-def dialect_marks(instruction: bool) -> dict[str, str]:
-    if instruction:
-        return {"id_start": "<s>", "inst_start": "[INST]", "inst_end": "[/INST]", "id_end": "</s>"}
-    return {"id_start": "", "inst_start": "", "inst_end": TURN_BREAK, "id_end": TURN_BREAK}
+def prompt_marks(instruction: bool) -> tuple[str, str, str, str]:
+    """Marks that open a conversation, open a request, close a request and close an answer."""
+    return INSTRUCTION_MARKS if instruction else CHAT_MARKS
 
 
 FEW_SHOT = [
@@ -119,18 +124,18 @@ FEW_SHOT = [
 
 def extraction_parts(instruction: bool) -> tuple[str, str]:
     """(text before, text after) the user's request in the few-shot extraction prompt."""
-    m = dialect_marks(instruction)
+    begin, ask, asked, answered = prompt_marks(instruction)
     total = len(FEW_SHOT) + (1 if instruction else 2)
     last = total if instruction else total - 1
     parts = [
-        f"{m['id_start']}{m['inst_start']}You will read {total} requests. For each, list the movies the writer mentions "
+        f"{begin}{ask}You will read {total} requests. For each, list the movies the writer mentions "
         f"with a 1-5 score as '<movie_name>: <rating>' joined by ';;;', then ' --- ' and their general wish; "
-        f"write <EMPTY> for a missing side.{m['inst_end']}\nReady.{m['id_end']}\n"
+        f"write <EMPTY> for a missing side.{asked}\nReady.{answered}\n"
     ]
     for i, (q, a) in enumerate(FEW_SHOT, start=1):
-        parts.append(f"{m['inst_start']}Request {i}/{total}: \"{q}\"{m['inst_end']}\n{a}{m['id_end']}\n")
-    parts.append(f"{m['inst_start']}Request {last}/{total}: \"")
-    return "".join(parts), f"\"{m['inst_end']}"
+        parts.append(f"{ask}Request {i}/{total}: \"{q}\"{asked}\n{a}{answered}\n")
+    parts.append(f"{ask}Request {last}/{total}: \"")
+    return "".join(parts), f"\"{asked}"
 
 
 def extraction_prompt(user_text: Column, instruction: bool) -> Column:
@@ -140,12 +145,12 @@ def extraction_prompt(user_text: Column, instruction: bool) -> Column:
 
 
 def fitness_parts(instruction: bool) -> tuple[str, str, str]:
-    m = dialect_marks(instruction)
+    begin, ask, asked, _ = prompt_marks(instruction)
     return (
-        f"{m['id_start']}{m['inst_start']}Score from 1 to 5 how well the movie plot below suits the viewer's wishes, "
+        f"{begin}{ask}Score from 1 to 5 how well the movie plot below suits the viewer's wishes, "
         "then give one short reason, as '<rating_number> --- <reason>.'\n\nWishes: \"",
         "\".\n",
-        m["inst_end"],
+        asked,
     )
 
 

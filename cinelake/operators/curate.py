@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import text as T
 from cinelake.operators.indexing import global_row_number
+from cinelake.session import broadcast_if_small
+
+# Largest test-user table broadcast to the split.
+MAX_BROADCAST_USERS = 1_000_000
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -44,9 +48,9 @@ def popularity(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("item_id").agg(F.count(F.lit(1)).alias("popularity"))
 
 
-def catalogue(clean: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Curated catalogue: titled items that have ratings (inner join), with popularity and its rank."""
-    movies = clean.join(popularity(ratings), "item_id")
+def catalogue(clean: DataFrame, train: DataFrame) -> DataFrame:
+    """Curated catalogue: titled items with ratings in the train split (inner join), with their number as popularity and its rank."""
+    movies = clean.join(popularity(train), "item_id")
     return global_row_number(movies, [F.col("popularity").desc(), F.col("item_id")], "pop_rank")
 
 
@@ -63,6 +67,11 @@ def popular_items(ratings: DataFrame, min_ratings: int = 20) -> DataFrame:
     return ratings.join(keep, "item_id", "left_semi")
 
 
+def restrict_items(df: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Rows of a table with ``item_id`` (catalogue, tag counts) whose item is still rated in ``ratings``."""
+    return df.join(ratings.select("item_id"), "item_id", "left_semi")
+
+
 def seeded_order(key: Column | str, seed: int) -> Column:
     """Reproducible, partition-independent random order: md5 of ``key:seed``."""
     k = F.col(key) if isinstance(key, str) else key
@@ -80,7 +89,7 @@ def train_test_split(ratings: DataFrame, n_users: int = 1000, min_ratings: int =
     """User-disjoint split: a ``split`` column, 'test' for the chosen users."""
     test = choose_test_users(ratings, n_users, min_ratings, seed).withColumn("_test", F.lit(True))
     return (
-        ratings.join(F.broadcast(test), "user_id", "left")
+        ratings.join(broadcast_if_small(test, MAX_BROADCAST_USERS), "user_id", "left")
         .select("user_id", "item_id", "rating", F.when(F.col("_test"), "test").otherwise("train").alias("split"))
     )
 

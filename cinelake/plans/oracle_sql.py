@@ -111,27 +111,14 @@ oracle(
 
 # ---------------------------------------------------------------- step 2
 
-TITLED = "SELECT * FROM v_ratings WHERE item_id IN (SELECT item_id FROM v_clean_titles)"
-ACTIVE = """SELECT * FROM c_titled WHERE user_id IN (
-              SELECT user_id FROM c_titled WHERE item_id IN (SELECT item_id FROM v_clean_titles WHERE year >= 2015))"""
-POPULAR = """SELECT * FROM c_active WHERE item_id IN (
-               SELECT item_id FROM c_active GROUP BY item_id HAVING count(*) >= 20)"""
-SPLIT = """SELECT user_id, item_id, rating,
-             CASE WHEN user_id IN (SELECT user_id FROM c_test_users) THEN 'test' ELSE 'train' END AS split
-           FROM c_popular"""
-TEST_USERS = """SELECT user_id FROM (SELECT user_id FROM c_popular GROUP BY user_id HAVING count(*) >= 25)
-                ORDER BY md5(CAST(user_id AS VARCHAR) || ':42'), user_id LIMIT 1000"""
-CORPUS = [
-    ("c_titled", TITLED),
-    ("c_active", ACTIVE),
-    ("c_popular", POPULAR),
-    ("c_test_users", TEST_USERS),
-    ("c_split", SPLIT),
-]
+CORPUS = [(f"c_{n}", f"SELECT * FROM v_{n}") for n in ("titled", "active", "popular", "test_users", "split")]
 
 oracle("clean_titles", "SELECT item_id, title, year, imdb_id FROM v_clean_titles")
 oracle("active_users", "SELECT user_id, item_id, rating FROM c_active", CORPUS[:2])
 oracle("popular_items", "SELECT user_id, item_id, rating FROM c_popular", CORPUS[:3])
+oracle("active_movies", "SELECT * FROM v_clean_titles WHERE item_id IN (SELECT item_id FROM v_active)")
+oracle("active_tag_counts", "SELECT * FROM v_tag_count WHERE item_id IN (SELECT item_id FROM v_active)")
+oracle("popular_movies", "SELECT * FROM v_clean_titles WHERE item_id IN (SELECT item_id FROM v_popular)")
 oracle("train_test_split", "SELECT * FROM c_split", CORPUS)
 oracle(
     "split_checks",
@@ -178,18 +165,15 @@ LAMBDA = 50.0
 def model_ctes(lam: float = LAMBDA, implicit: bool = False, sfx: str = "") -> list[tuple[str, str]]:
     """Train split -> index -> Gram -> Gauss-Jordan inverse (recursive CTE) -> weights."""
     if implicit:
-        gval = "CAST(count(*) AS DOUBLE)"
+        gval = "CAST(sum(a.c * b.c) AS DOUBLE)"
     else:
-        gval = (
-            "CAST(sum(CAST(round(a.r * 2) AS BIGINT) * CAST(round(b.r * 2) AS BIGINT)) AS DOUBLE)"
-            " / (SELECT (max(rating) * 2) * (max(rating) * 2) FROM m_train)"
-        )
+        gval = "sum((a.r / (SELECT max(rating) FROM m_train)) * (b.r / (SELECT max(rating) FROM m_train)))"
     s = sfx
     return CORPUS + [
         ("m_train", "SELECT user_id, item_id, rating FROM c_split WHERE split = 'train'"),
         ("m_idx", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM m_train)"),
         ("m_n", "SELECT count(*) AS n FROM m_idx"),
-        ("m_x", "SELECT t.user_id, i.idx, sum(t.rating) AS r FROM m_train t JOIN m_idx i ON t.item_id = i.item_id GROUP BY t.user_id, i.idx"),
+        ("m_x", "SELECT t.user_id, i.idx, sum(t.rating) AS r, count(*) AS c FROM m_train t JOIN m_idx i ON t.item_id = i.item_id GROUP BY t.user_id, i.idx"),
         (f"m_g{s}", f"SELECT a.idx AS i, b.idx AS j, {gval} AS g FROM m_x a JOIN m_x b ON a.user_id = b.user_id GROUP BY a.idx, b.idx"),
         (
             f"m_dense{s}",
@@ -464,7 +448,7 @@ oracle(
 )
 
 NAMES_RESOLVED = PARSED + [
-    ("rn_names", "SELECT answer_id * 100 + pos AS name_id, answer_id, pos, name, rating FROM pa WHERE name IS NOT NULL"),
+    ("rn_names", "SELECT answer_id, pos, name, rating FROM pa WHERE name IS NOT NULL"),
     (
         "rn_al",
         "SELECT item_id, pop_rank, unnest(string_split(lower(left(title, greatest(length(title) - 7, 0))), ' (a.k.a. ')) AS alias FROM v_movies",
@@ -472,22 +456,22 @@ NAMES_RESOLVED = PARSED + [
     (
         "rn_best",
         """SELECT * FROM (
-             SELECT n.name_id, a.item_id, levenshtein(lower(n.name), a.alias) AS d,
-                    row_number() OVER (PARTITION BY n.name_id ORDER BY levenshtein(lower(n.name), a.alias), a.pop_rank) AS rn_
+             SELECT n.answer_id, n.pos, a.item_id, levenshtein(lower(n.name), a.alias) AS d,
+                    row_number() OVER (PARTITION BY n.answer_id, n.pos ORDER BY levenshtein(lower(n.name), a.alias), a.pop_rank) AS rn_
              FROM rn_names n JOIN rn_al a ON abs(length(lower(n.name)) - length(a.alias)) <= 2
              WHERE levenshtein(lower(n.name), a.alias) <= 2) WHERE rn_ = 1""",
     ),
     (
         "resolved",
         """SELECT n.answer_id, n.pos, n.name, n.rating, b.item_id, CAST(b.d AS INTEGER) AS distance
-           FROM rn_names n JOIN rn_best b ON n.name_id = b.name_id""",
+           FROM rn_names n JOIN rn_best b ON n.answer_id = b.answer_id AND n.pos = b.pos""",
     ),
 ]
 oracle("resolve_titles", "SELECT * FROM resolved", NAMES_RESOLVED)
 
 FIT_TEXT = """SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'x --- bad'
                  WHEN conv_id % 5 = 1 THEN CAST(turn % 5 + 1 AS VARCHAR)
-                 ELSE CAST(turn % 5 + 1 AS VARCHAR) || ' --- Because ' || role END AS text
+                 ELSE CAST(turn % 5 + 1 AS VARCHAR) || ' --- Because ' || text END AS text
               FROM conversations WHERE role = 'assistant'"""
 
 
@@ -501,6 +485,7 @@ def fitness_sql(text: str) -> str:
     )
 
 
+oracle("completion_answers", f"SELECT conv_id, turn, {_strip('text')} AS answer FROM conversations WHERE role = 'assistant'")
 oracle("parse_fitness", f"SELECT conv_id, turn, {fitness_sql('text')} FROM ft", [("ft", FIT_TEXT)])
 oracle(
     "transcript_messages",
@@ -528,29 +513,65 @@ def sql_text(v: str) -> str:
     return " || chr(10) || ".join(pieces)
 
 
+_ASK = (
+    "You will read {n} requests. For each, list the movies the writer mentions with a 1-5 score as '<movie_name>: <rating>' joined by ';;;', "
+    "then ' --- ' and their general wish; write <EMPTY> for a missing side."
+)
+_SHOTS = """{o}Request 1/{n}: "I loved 'Arrival' and 'Contact' but 'Armageddon' bored me. Something quiet and thoughtful, please."{c}
+Arrival: 5;;;Contact: 5;;;Armageddon: 2 --- I want a quiet, thoughtful film.{e}
+{o}Request 2/{n}: "Show me a film about a long train journey."{c}
+<EMPTY> --- I want a film about a long train journey.{e}
+{o}Request 3/{n}: "'Heat' is great and 'Ronin' is fine."{c}
+Heat: 5;;;Ronin: 4 --- <EMPTY>.{e}
+{o}Request 4/{n}: ""{c}
+<EMPTY> --- <EMPTY>.{e}
+{o}Request 5/{n}: \""""
+CHAT_HEAD = _ASK.format(n=6) + "<LINEBREAK>\nReady.<LINEBREAK>\n" + _SHOTS.format(n=6, o="", c="<LINEBREAK>", e="<LINEBREAK>")
+INST_HEAD = "<s>[INST]" + _ASK.format(n=5) + "[/INST]\nReady.</s>\n" + _SHOTS.format(n=5, o="[INST]", c="[/INST]", e="</s>")
+FITNESS = "Score from 1 to 5 how well the movie plot below suits the viewer's wishes, then give one short reason, as '<rating_number> --- <reason>.'\n\nWishes: \""
+DESCRIBE = "Describe in one short phrase what kind of film this is: "
+TELL = "Say in the first person how you liked these films:\n"
+
+
 def _prompt_oracles() -> None:
-    from cinelake.functions.answers import FEW_SHOT, SYSTEM_MESSAGE, extraction_parts, fitness_parts  # noqa: F401
-    from cinelake.plans.queries import DESCRIBE_SHOTS
-
-    parts = []
-    for dialect, inst in (("chat", False), ("instruction", True)):
-        head, tail = extraction_parts(inst)
-        parts.append(
-            f"SELECT conv_id, turn, '{dialect}' AS dialect, {sql_text(head)} || text || {sql_text(tail)} AS prompt "
-            "FROM conversations WHERE role = 'user'"
-        )
-    oracle("extraction_prompts", "\nUNION ALL\n".join(parts))
-    msgs = [(0, "system", sql_text(SYSTEM_MESSAGE))]
-    for i, (q, a) in enumerate(DESCRIBE_SHOTS):
-        msgs += [(1 + 2 * i, "user", sql_text(q)), (2 + 2 * i, "assistant", sql_text(a))]
-    msgs.append((1 + 2 * len(DESCRIBE_SHOTS), "user", sql_text("Describe in one short phrase what kind of film this is: ") + " || title"))
+    oracle(
+        "extraction_prompts",
+        f"""SELECT conv_id, turn, 'chat' AS dialect, {sql_text(CHAT_HEAD)} || text || {sql_text('"<LINEBREAK>')} AS prompt FROM conversations WHERE role = 'user'
+            UNION ALL
+            SELECT conv_id, turn, 'instruction', {sql_text(INST_HEAD)} || text || {sql_text('"[/INST]')} FROM conversations WHERE role = 'user'""",
+    )
+
+    def two_shots(key: str, source: str, texts: list[str], last: str) -> str:
+        rows = [("system", sql_text("You are a helpful assistant.")), *zip(("user", "assistant") * 2, map(sql_text, texts)), ("user", last)]
+        return "\nUNION ALL\n".join(f"SELECT {key}, {p} AS msg_pos, '{r}' AS role, {c} AS content FROM {source}" for p, (r, c) in enumerate(rows))
+
     oracle(
         "message_batches",
-        "\nUNION ALL\n".join(f"SELECT item_id, {p} AS msg_pos, '{r}' AS role, {c} AS content FROM v_movies" for p, r, c in msgs),
+        two_shots(
+            "item_id",
+            "v_movies",
+            [DESCRIBE + "Alien (1979)", "a claustrophobic space horror", DESCRIBE + "Amelie (2001)", "a whimsical romantic comedy set in Paris"],
+            sql_text(DESCRIBE) + " || title",
+        ),
     )
-    f0, f1 = fitness_parts(False), fitness_parts(True)
-    FIT["chat"] = f"{sql_text(f0[0])} || preferences || {sql_text(f0[1])} || plot || {sql_text(f0[2])}"
-    FIT["inst"] = f"{sql_text(f1[0])} || preferences || {sql_text(f1[1])} || plot || {sql_text(f1[2])}"
+    oracle(
+        "rating_message_batches",
+        two_shots(
+            "request_id",
+            "rt",
+            [TELL + "Alien (1979): 5.0\n", "I loved Alien.", TELL + "Cats (2019): 1.0\nHeat (1995): 4.0\n", "I could not stand Cats, but I liked Heat."],
+            sql_text(TELL) + " || ratings_text",
+        ),
+        [
+            (
+                "rt",
+                f"""SELECT request_id, string_agg({FIRST_ALIAS} || ': ' || CAST(r.rating AS VARCHAR) || chr(10), '' ORDER BY r.pos) AS ratings_text
+                    FROM v_request_ratings r JOIN v_movies m ON m.item_id = r.item_id GROUP BY request_id""",
+            )
+        ],
+    )
+    FIT["chat"] = f"""{sql_text(FITNESS)} || preferences || {sql_text('".' + chr(10))} || plot || '<LINEBREAK>'"""
+    FIT["inst"] = f"""{sql_text("<s>[INST]" + FITNESS)} || preferences || {sql_text('".' + chr(10))} || plot || '[/INST]'"""
 
 
 FIT: dict[str, str] = {}
@@ -558,7 +579,7 @@ LLM_CTES = (
     model_ctes()
     + NAMES_RESOLVED
     + ROUNDS
-    + [("plot_txt", PLOT_TEXT)]
+    + [("plot_txt", PLOT_TEXT), ("s_last", STATE_LAST), ("s_state", STATE)]
     + [
         (
             "l_req",
@@ -566,8 +587,12 @@ LLM_CTES = (
         ),
         (
             "l_ratings",
-            """SELECT answer_id AS request_id, item_id, rating FROM (
-                 SELECT *, row_number() OVER (PARTITION BY answer_id, item_id ORDER BY pos DESC) AS rn_ FROM resolved) WHERE rn_ = 1""",
+            """SELECT request_id, item_id, rating FROM (
+                 SELECT *, row_number() OVER (PARTITION BY request_id, item_id ORDER BY pos DESC) AS rn_ FROM (
+                   SELECT answer_id AS request_id, item_id, rating, pos FROM resolved
+                   UNION ALL
+                   SELECT a.answer_id, s.item_key, CAST(s.rating AS DOUBLE), -1 FROM v_answers a JOIN s_state s ON s.user_id = a.user_id))
+               WHERE rn_ = 1""",
         ),
     ]
     + recommend_ctes("SELECT * FROM l_ratings WHERE request_id IN (SELECT request_id FROM l_req WHERE rs_importance <> 0)", 10)
@@ -883,6 +908,14 @@ oracle(
     "SELECT item_id, title, year, popularity, substring(imdb_id, 3) AS imdbId, true AS csv_agrees FROM v_movies",
 )
 oracle("cohort_roundtrip", "SELECT user_id FROM et_cohort", TARGETS)
+oracle(
+    "user_texts",
+    f"""SELECT request_id AS user_id, string_agg(line_, '' ORDER BY pos) AS content
+        FROM (SELECT r.request_id, r.pos, {FIRST_ALIAS} || ': ' || CAST(r.rating AS VARCHAR) || chr(10) AS line_
+              FROM v_request_ratings r JOIN v_movies m ON m.item_id = r.item_id)
+        GROUP BY request_id""",
+)
+oracle("tag_catalog_load", "SELECT c.item_id, c.tag_id, t.tag, c.num FROM v_tag_count c JOIN v_tags t ON t.id = c.tag_id")
 oracle("catalog_load", "SELECT imdb_id, title, year, popularity, item_id FROM v_movies")
 
 oracle(

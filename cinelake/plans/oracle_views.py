@@ -47,8 +47,20 @@ VIEWS: dict[str, str] = {
     "v_movies": """
         SELECT c.item_id, c.title, c.year, c.imdb_id, p.popularity,
                row_number() OVER (ORDER BY p.popularity DESC, c.item_id) AS pop_rank
-        FROM v_clean_titles c JOIN (SELECT item_id, count(*) AS popularity FROM v_ratings GROUP BY item_id) p
+        FROM v_clean_titles c JOIN (SELECT item_id, count(*) AS popularity FROM v_split WHERE split = 'train' GROUP BY item_id) p
           ON c.item_id = p.item_id""",
+    "v_titled": "SELECT * FROM v_ratings WHERE item_id IN (SELECT item_id FROM v_clean_titles)",
+    "v_active": """
+        SELECT * FROM v_titled WHERE user_id IN (
+          SELECT user_id FROM v_titled WHERE item_id IN (SELECT item_id FROM v_clean_titles WHERE year >= 2015))""",
+    "v_popular": "SELECT * FROM v_active WHERE item_id IN (SELECT item_id FROM v_active GROUP BY item_id HAVING count(*) >= 20)",
+    "v_test_users": """
+        SELECT user_id FROM (SELECT user_id FROM v_popular GROUP BY user_id HAVING count(*) >= 25)
+        ORDER BY md5(CAST(user_id AS VARCHAR) || ':42'), user_id LIMIT 1000""",
+    "v_split": """
+        SELECT user_id, item_id, rating,
+               CASE WHEN user_id IN (SELECT user_id FROM v_test_users) THEN 'test' ELSE 'train' END AS split
+        FROM v_popular""",
     "v_tags": """
         SELECT row_number() OVER (ORDER BY tag) AS id, tag FROM (SELECT DISTINCT p_name AS tag FROM part)""",
     "v_tag_count": """
@@ -64,11 +76,10 @@ VIEWS: dict[str, str] = {
                CAST(row_number() OVER (PARTITION BY q.request_id ORDER BY r.item_id) AS INTEGER) AS pos,
                r.item_id, r.rating
         FROM v_ratings r JOIN v_requests q ON r.user_id = q.user_id
-        WHERE (r.item_id + q.request_id) % 3 = 0 AND q.request_id % 7 <> 0""",
+        WHERE q.request_id % 7 <> 0""",
     "v_request_tags": """
-        SELECT q.request_id, t.id AS tag_id
-        FROM v_requests q JOIN v_tags t ON (16 - q.request_id % 16) % 16 = t.id % 16
-        WHERE q.request_id % 11 <> 0""",
+        SELECT DISTINCT request_id, (request_id * 5 + k * 13) % (SELECT count(*) FROM v_tags) + 1 AS tag_id
+        FROM v_requests, (VALUES (0), (1), (2), (3)) ks(k) WHERE request_id % 11 <> 0""",
     "v_form_ratings": """
         SELECT request_id, pos,
           CASE WHEN m_ = 0 THEN '-' || CAST(item_id AS VARCHAR)
@@ -88,7 +99,7 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT request_id, CAST(tag_id AS VARCHAR) FROM v_request_tags WHERE tag_id % 5 = 0""",
     "v_answers": """
-        SELECT conv_id * 1000 + turn AS answer_id,
+        SELECT row_number() OVER (ORDER BY conv_id, turn) AS answer_id, conv_id AS user_id,
           CASE WHEN conv_id % 7 = 0 THEN lft_
                WHEN conv_id % 7 = 1 THEN lft_ || ' --- ' || prefs_ || ' --- more'
                WHEN conv_id % 7 = 2 THEN '<EMPTY> --- ' || prefs_
@@ -97,9 +108,9 @@ VIEWS: dict[str, str] = {
                ELSE lft_ || chr(10) || '---' || chr(10) || ' ' || prefs_ || ' ' END AS answer
         FROM (
           SELECT *, n1_ || ': ' || r1_ || ';;;' || n2_ || ': ' || r2_ AS lft_,
-                 'I want something like ' || split_part(n1_, ' ', 1) || '.' AS prefs_
+                 'I want something like ' || split_part(n1_, ' ', 1) || '. ' || text AS prefs_
           FROM (
-            SELECT c.conv_id, c.turn,
+            SELECT c.conv_id, c.turn, c.text,
               split_part(left(a.title, greatest(length(a.title) - 7, 0)), ' (a.k.a. ', 1) AS n1_,
               split_part(left(b.title, greatest(length(b.title) - 7, 0)), ' (a.k.a. ', 1) AS n2_,
               CAST((c.conv_id + c.turn) % 5 + 1 AS VARCHAR) AS r1_,
@@ -117,7 +128,7 @@ VIEWS: dict[str, str] = {
                CAST(CAST(floor(value) AS BIGINT) % 5 + 1 AS INTEGER) AS rating
         FROM events""",
     "v_posters": """
-        SELECT source AS item, lang AS iso_639_1, n_chars % 50 AS vote_count,
+        SELECT source || '/' || CAST(doc_id // 1000 AS VARCHAR) AS item, lang AS iso_639_1, n_chars % 50 AS vote_count,
                CAST(doc_id % 10 AS DOUBLE) AS vote_average, '/p/' || CAST(doc_id AS VARCHAR) || '.jpg' AS file_path, doc_id AS pos
         FROM documents""",
     "v_links": """

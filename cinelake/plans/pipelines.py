@@ -41,6 +41,21 @@ def split(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(curate.train_test_split(popular(spark, d), TEST_USERS, TEST_MIN_RATINGS, SEED))
 
 
+@V._memo
+def active_movies(spark: SparkSession, d: str) -> DataFrame:
+    return curate.restrict_items(V.clean_titles(spark, d), active(spark, d))
+
+
+@V._memo
+def active_tag_count(spark: SparkSession, d: str) -> DataFrame:
+    return curate.restrict_items(V.tag_count(spark, d), active(spark, d))
+
+
+@V._memo
+def popular_movies(spark: SparkSession, d: str) -> DataFrame:
+    return curate.restrict_items(active_movies(spark, d), popular(spark, d))
+
+
 @V._memo
 def scored_requests(spark: SparkSession, d: str) -> DataFrame:
     """request_id, rs_importance (validated), user_id."""
@@ -75,15 +90,15 @@ def train_ratings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model(spark: SparkSession, d: str, lam: float = LAMBDA, implicit: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(item_index, weights) fitted on the train split; fitted once per session and parameters."""
+    """(item_index, weights) fitted on the train split and saved; a later call, also of another
+    process that knows the path, reads the saved model."""
     from cinelake.operators import ease
-
-    from cinelake.session import cut_lineage
+    from cinelake.session import shared_path
 
     key = (session_key(spark), d, lam, implicit)
     if key not in _MODELS:
         idx, w = ease.fit(train_ratings(spark, d), lam, SPARSITY, implicit, prepared=gram_parts(spark, d, implicit))
-        _MODELS[key] = (idx, cut_lineage(w))
+        _MODELS[key] = ease.load_model(spark, ease.save_model(idx.select("item_id", F.col("idx").cast("long")), w, shared_path(spark, "model")))
     return _MODELS[key]
 
 
@@ -152,11 +167,8 @@ def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
 def resolved_names(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.resolve import resolve_titles
 
-    names = parsed_answers(spark, d).where(F.col("name").isNotNull()).withColumn(
-        "name_id", F.col("answer_id") * 100 + F.col("pos")
-    )
-    res = resolve_titles(names.select("name_id", "name"), V.movies(spark, d))
-    return names.join(res, "name_id").select("answer_id", "pos", "name", "rating", "item_id", "distance")
+    names = parsed_answers(spark, d).where(F.col("name").isNotNull()).select("answer_id", "pos", "name", "rating")
+    return resolve_titles(names, V.movies(spark, d))
 
 
 @V._memo

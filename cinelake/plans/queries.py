@@ -156,6 +156,24 @@ def popular_items(spark: SparkSession, d: str) -> DataFrame:
     return P.popular(spark, d)
 
 
+@query
+def active_movies(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue after the activity filter: items that still have ratings."""
+    return P.active_movies(spark, d)
+
+
+@query
+def active_tag_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tag counts after the activity filter."""
+    return P.active_tag_count(spark, d)
+
+
+@query
+def popular_movies(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue after the minimum support."""
+    return P.popular_movies(spark, d)
+
+
 @query
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
     return P.split(spark, d)
@@ -313,8 +331,9 @@ def rating_state_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same state, driven through Structured Streaming over the change feed files."""
     feed = shared_path(spark, "rating_feed")
     ev = V.rating_events(spark, d)
-    ev.repartitionByRange(4, "ts", "event_id").write.parquet(feed)
-    return S.run_stream(spark, feed, ev.schema, lambda b: b, max_files=1)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))  # grows with the cluster's setting
+    ev.repartitionByRange(files, "ts", "event_id").write.parquet(feed)
+    return S.run_stream(spark, feed, ev.schema, lambda b: b, max_files=max(1, files // 4))
 
 
 @query
@@ -385,7 +404,7 @@ def _fitness_texts(spark: SparkSession, d: str) -> DataFrame:
     txt = (
         F.when(F.col("conv_id") % 5 == 0, F.lit("x --- bad"))
         .when(F.col("conv_id") % 5 == 1, t)
-        .otherwise(F.concat(t, F.lit(" --- Because "), F.col("role")))
+        .otherwise(F.concat(t, F.lit(" --- Because "), F.col("text")))
     )
     return c.select("conv_id", "turn", txt.alias("text"))
 
@@ -396,6 +415,15 @@ def parse_fitness(spark: SparkSession, d: str) -> DataFrame:
     return f.select("conv_id", "turn", "_f.score", "_f.explanation")
 
 
+@query
+def completion_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Completions that repeat their prompt: the part after the last instruction mark."""
+    c = table(spark, d, "conversations").where(F.col("role") == "assistant")
+    begin, ask, asked, _ = A.prompt_marks(True)
+    whole = F.concat(F.lit(f"{begin}{ask} Turn "), F.col("turn").cast("string"), F.lit(f" {asked} "), F.col("text"), F.lit(" \n"))
+    return c.select("conv_id", "turn", A.completion_answer(whole).alias("answer"))
+
+
 @query
 def transcript_messages(spark: SparkSession, d: str) -> DataFrame:
     return A.transcript_messages(V.transcripts(spark, d), "conv_id", "transcript")
@@ -448,6 +476,23 @@ def message_batches(spark: SparkSession, d: str) -> DataFrame:
     return m.select("item_id", F.inline(rows))
 
 
+TELL_SHOTS = [
+    ("Say in the first person how you liked these films:\nAlien (1979): 5.0\n", "I loved Alien."),
+    ("Say in the first person how you liked these films:\nCats (2019): 1.0\nHeat (1995): 4.0\n", "I could not stand Cats, but I liked Heat."),
+]
+
+
+@query
+def rating_message_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Two-shot message arrays (rating lines -> first-person text) for every request with ratings, as rows."""
+    msgs = [(0, "system", F.lit(A.SYSTEM_MESSAGE))]
+    for i, (q, a) in enumerate(TELL_SHOTS):
+        msgs += [(1 + 2 * i, "user", F.lit(q)), (2 + 2 * i, "assistant", F.lit(a))]
+    msgs.append((1 + 2 * len(TELL_SHOTS), "user", F.concat(F.lit("Say in the first person how you liked these films:\n"), F.col("ratings_text"))))
+    rows = F.array(*[F.struct(F.lit(pos).alias("msg_pos"), F.lit(role).alias("role"), content.alias("content")) for pos, role, content in msgs])
+    return ratings_text(spark, d).select("request_id", F.inline(rows))
+
+
 # ---------------------------------------------------------------- LLM route (answers -> RS -> plot scoring -> blend)
 
 LLM_K = 10
@@ -456,19 +501,22 @@ LLM_K = 10
 @V._memo
 def _llm_requests(spark: SparkSession, d: str) -> DataFrame:
     """One request per answer: RS importance 100 (RS only), 0 (no RS) or 50 by answer_id % 5."""
-    a = V.answers(spark, d).select(F.col("answer_id").alias("request_id"))
+    a = V.answers(spark, d).select(F.col("answer_id").alias("request_id"), "user_id")
     imp = F.when(F.col("request_id") % 5 == 0, 100).when(F.col("request_id") % 5 == 1, 0).otherwise(50)
-    return a.select("request_id", imp.cast("int").alias("rs_importance"))
+    return a.select("request_id", "user_id", imp.cast("int").alias("rs_importance"))
 
 
 @V._stored
 def _llm_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """RS candidates per answer with preferences and plot text attached."""
-    res = P.resolved_names(spark, d)
-    ratings = res.groupBy(F.col("answer_id").alias("request_id"), "item_id").agg(
-        F.max_by("rating", "pos").alias("rating")
-    )
-    q = _llm_requests(spark, d)
+    """RS candidates per answer with preferences and plot text attached.
+
+    The ratings are the user's profile followed by those of the prompt; the last one of an item counts.
+    """
+    asked = _llm_requests(spark, d)
+    prompt = P.resolved_names(spark, d).select(F.col("answer_id").alias("request_id"), "item_id", "rating", "pos")
+    profile = asked.join(P.profile_state(spark, d), "user_id").select("request_id", F.col("item_key").alias("item_id"), F.col("rating").cast("double"), F.lit(-1).alias("pos"))
+    ratings = prompt.unionByName(profile).groupBy("request_id", "item_id").agg(F.max_by("rating", "pos").alias("rating"))
+    q = asked.drop("user_id")
     cand = _rs_candidates(spark, d, ratings, q, LLM_K)
     prefs = P.parsed_answers(spark, d).groupBy(F.col("answer_id").alias("request_id")).agg(
         F.first("preferences", ignorenulls=True).alias("preferences")
@@ -520,10 +568,10 @@ def blend_llm(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(blend.geo_blend("rs_score", F.lit(blend.DEFAULT_LLM_SCORE), wa, wb))
     )
     expl = (
-        F.when(~use_llm, F.lit("Only RS recommendations used."))
-        .when(F.col("preferences").isNull(), F.lit("No general preferences found in user's prompt."))
+        F.when(~use_llm, F.lit(A.EXPLAIN_RS_ONLY))
+        .when(F.col("preferences").isNull(), F.lit(A.EXPLAIN_NO_PREFERENCES))
         .when(has_plot, F.col("explanation"))
-        .otherwise(F.lit("Movie plot not found."))
+        .otherwise(F.lit(A.EXPLAIN_NO_PLOT))
     )
     out = c.select(
         F.col("request_id").alias("answer_id"),
@@ -553,8 +601,9 @@ def tag_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def link_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogue -> external id; the links file's last row wins on a repeated key; misses are flagged."""
-    ln = V.links(spark, d)
+    """Catalogue -> external id through the links CSV; its last row wins on a repeated key; misses are flagged."""
+    path = io.write_csv(V.links(spark, d).orderBy("line").select("imdbId", "tmdbId"), shared_path(spark, "links_csv"))
+    ln = io.read_links_csv(spark, path)
     last = ln.groupBy("imdbId").agg(F.max_by("tmdbId", "line").alias("tmdb_id"))
     m = V.movies(spark, d).select("item_id", "imdb_id", TX.strip_imdb_prefix("imdb_id").alias("imdbId"))
     return m.join(last, "imdbId", "left").select("item_id", "imdb_id", "tmdb_id", F.col("tmdb_id").isNotNull().alias("matched"))
@@ -562,11 +611,11 @@ def link_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def best_poster(spark: SparkSession, d: str) -> DataFrame:
-    """Per item: an English poster if any, then most votes, then best average; list order breaks ties.
+    """Per item, from its nested poster document: an English poster if any, then most votes, then best average; list order breaks ties.
 
     ``max_by`` aggregates map-side, so an item with a huge poster list is reduced before the shuffle.
     """
-    p = V.posters(spark, d)
+    p = io.read_posters(spark, io.write_posters(V.posters(spark, d), shared_path(spark, "posters_json")))
     rank = F.struct((F.col("iso_639_1") == "en").cast("int"), F.col("vote_count"), F.col("vote_average"), -F.col("pos"))
     best = p.groupBy("item").agg(F.max_by(F.struct("iso_639_1", "vote_count", "vote_average", "file_path"), rank).alias("_b"))
     return best.select("item", "_b.iso_639_1", "_b.vote_count", "_b.vote_average", "_b.file_path")
@@ -657,7 +706,7 @@ def _experiment(spark: SparkSession, d: str) -> DataFrame:
         "title",
         "rs_score",
         F.when(has_plot, fit["score"]).alias("llm_score"),
-        F.when(has_plot, fit["explanation"]).otherwise(F.lit("Movie plot not found.")).alias("explanation"),
+        F.when(has_plot, fit["explanation"]).otherwise(F.lit(A.EXPLAIN_NO_PLOT)).alias("explanation"),
     )
     total = blend.geo_blend("rs_score", F.coalesce("llm_score", F.lit(blend.DEFAULT_LLM_SCORE)), 0.5, 0.5)
     out = blend.normalise(out.withColumn("total_score", total), "total_score", by="user_id")
@@ -722,9 +771,8 @@ def conversion_loss(spark: SparkSession, d: str) -> DataFrame:
         ).alias("answer")
     )
     parsed = A.parse_answers(text, "user_id", "answer").where(F.col("name").isNotNull())
-    parsed = parsed.withColumn("name_id", F.col("user_id") * 100 + F.col("pos"))
-    res = _resolve(parsed.select("name_id", "name"), V.movies(spark, d))
-    conv = parsed.join(res, "name_id").groupBy("user_id", "item_id").agg(F.max_by("rating", "pos").alias("rating"))
+    res = _resolve(parsed.select("user_id", "pos", "name", "rating"), V.movies(spark, d))
+    conv = res.groupBy("user_id", "item_id").agg(F.max_by("rating", "pos").alias("rating"))
     return EV.conversion_loss(t.join(m, "item_id", "left_semi"), conv)
 
 
@@ -765,10 +813,18 @@ def scan_plots_csv(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_user_files(spark: SparkSession, d: str) -> DataFrame:
-    """Per-user text files written by key and scanned back whole, user id from the path."""
+    """Per-user files of two kinds in one folder; those of one suffix are listed, read whole and sorted by user."""
+    texts = ratings_text(spark, d).select(F.col("request_id").alias("user_id"), F.col("ratings_text").alias("content"), F.col("full_prompt"))
+    folder = io.write_user_files(texts, shared_path(spark, "user_files"), "sample_textual.txt")
+    io.write_user_files(texts.select("user_id", F.col("full_prompt").alias("content")), folder, "full_prompt.txt")
+    return io.read_user_files(spark, folder, "sample_textual.txt")
+
+
+@query
+def user_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The same per-user texts through the Parquet sink, the form for many users."""
     texts = ratings_text(spark, d).select(F.col("request_id").alias("user_id"), F.col("ratings_text").alias("content"))
-    folder = io.write_per_user_text(texts, shared_path(spark, "user_files"))
-    return io.read_per_user_text(spark, folder)
+    return spark.read.parquet(io.write_user_table(texts, shared_path(spark, "user_texts")))
 
 
 @query
@@ -788,29 +844,37 @@ def sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cohort_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Cohort chosen once and persisted as a JSON id list; an existing file is reused, not redrawn."""
+    """Cohort chosen once and persisted as an id list; a second choice with another seed finds the stored one."""
     path = shared_path(spark, "cohort")
-    io.write_id_list(_cohort(spark, d), path)
-    if spark.read.text(path, wholetext=True).isEmpty():
-        raise RuntimeError("cohort file is empty")
-    return io.read_id_list(spark, path)
+    io.chosen_once(spark, lambda: _cohort(spark, d), path)
+    return io.chosen_once(spark, lambda: EV.choose_users(P.train_ratings(spark, d), COHORT, P.SEED + 1), path)
 
 
 _LOADED: dict[tuple, str] = {}
 
 
-@query
-def catalog_load(spark: SparkSession, d: str) -> DataFrame:
-    """Load the catalogue table only if absent (save mode 'ignore'), ids cast to LONG, stored in the shared folder."""
+def _load_once(spark: SparkSession, d: str, kind: str, df: DataFrame) -> DataFrame:
+    """Store ``df`` as a table unless it is there (save mode 'ignore') and return the table; keyed by the input folder's path."""
     import hashlib
 
-    name = "catalog_movies_" + hashlib.md5(d.encode()).hexdigest()[:10]
+    name = f"catalog_{kind}_" + hashlib.md5(d.encode()).hexdigest()[:10]
     key = (session_key(spark), name)
     if key not in _LOADED:
         _LOADED[key] = shared_path(spark, "catalog", name)
-    m = V.movies(spark, d).select(
-        F.col("imdb_id"), "title", "year", F.col("popularity").cast("long"), F.col("item_id").cast("long")
-    )
-    m.write.mode("ignore").option("path", _LOADED[key]).saveAsTable(name)
-    m.write.mode("ignore").option("path", _LOADED[key]).saveAsTable(name)
+    for _ in range(2):  # the second load finds the table and leaves it
+        df.write.mode("ignore").option("path", _LOADED[key]).saveAsTable(name)
     return spark.table(name)
+
+
+@query
+def catalog_load(spark: SparkSession, d: str) -> DataFrame:
+    """Load the catalogue table only if absent, ids cast to LONG, stored in the shared folder."""
+    return _load_once(spark, d, "movies", V.movies(spark, d).select("imdb_id", "title", "year", F.col("popularity").cast("long"), F.col("item_id").cast("long")))
+
+
+@query
+def tag_catalog_load(spark: SparkSession, d: str) -> DataFrame:
+    """Load the tags and the tag counts only if absent; the counts with their tags from the loaded tables."""
+    tags = _load_once(spark, d, "tags", V.tags(spark, d).select(F.col("id").cast("long"), "tag"))
+    counts = _load_once(spark, d, "tag_count", V.tag_count(spark, d).select(F.col("item_id").cast("long"), F.col("tag_id").cast("long"), F.col("num").cast("long")))
+    return counts.join(tags.withColumnRenamed("id", "tag_id"), "tag_id").select("item_id", "tag_id", "tag", "num")

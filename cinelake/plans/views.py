@@ -9,7 +9,7 @@ Mapping (all keys LONG):
                  rating = floor((l_quantity-1)/5)*0.5+0.5 (0.5..5.0) + file-order columns
   v_ratings      first row per (user, item) in file order
   v_titles       raw catalogue over part (article suffix, aliases, year, padding)
-  v_movies       curated catalogue of rated items with popularity and pop_rank
+  v_movies       curated catalogue: items of the train split with popularity (its ratings there) and pop_rank
   v_tags         distinct p_name, id = 1..n in name order
   v_tag_count    (item, tag, num) = lineitems of a supplier whose part has that name
   v_requests     one request per customer with importance text
@@ -42,6 +42,7 @@ TURN_BREAK = "<LINEBREAK>"
 # The tag vocabulary is a dictionary (the published one has about a thousand tags); it is broadcast
 # only while its counted size stays under this bound.
 MAX_TAGS_BROADCAST = 1_000_000
+TAGS_PER_REQUEST = 4
 
 
 def _memo(fn):
@@ -97,32 +98,42 @@ def ratings_raw(spark: SparkSession, d: str) -> DataFrame:
 FILE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
 
 
-def file_position() -> F.Column:
-    """FILE_ORDER as one DECIMAL(38,0), digit fields orderkey | linenumber (1) | partkey (12) | quantity (3).
-
-    One numeric order key lets the dedupe run as a hash aggregate. The field
-    widths hold TPC-H domains at any scale factor (line numbers 1-7, quantities
-    1-50, part keys below 10^12, order keys any LONG); a row outside them stops
-    the job instead of being ordered wrongly.
-    """
-    dec = lambda c: F.col(c).cast("decimal(38,0)")
-    fits = (
+def packable() -> F.Column:
+    """Whether a row's FILE_ORDER fits the digit fields of ``file_position``."""
+    return (
         F.col("l_linenumber").between(0, 9)
         & F.col("l_partkey").between(0, 10**12 - 1)
         & F.col("l_quantity").between(0, 999)
         & (F.col("l_quantity") == F.floor("l_quantity"))
         & (F.col("l_orderkey") >= 0)
     )
-    packed = ((dec("l_orderkey") * 10 + dec("l_linenumber")) * 10**12 + dec("l_partkey")) * 1000 + dec("l_quantity")
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("lineitem order fields outside the packed widths")).cast("decimal(38,0)"))
+
+
+def file_position() -> F.Column:
+    """FILE_ORDER as one DECIMAL(38,0), digit fields orderkey | linenumber (1) | partkey (12) | quantity (3).
+
+    The field widths hold TPC-H domains at any scale factor (line numbers 1-7,
+    quantities 1-50, part keys below 10^12, order keys any LONG).
+    """
+    dec = lambda c: F.col(c).cast("decimal(38,0)")
+    return ((dec("l_orderkey") * 10 + dec("l_linenumber")) * 10**12 + dec("l_partkey")) * 1000 + dec("l_quantity")
 
 
 @_stored
 def ratings(spark: SparkSession, d: str) -> DataFrame:
+    """First rating per (user, item) in file order.
+
+    The order is packed into one number (a hash aggregate) where the widths of
+    the fields allow it, and is a struct otherwise; the rows are the same.
+    """
     from cinelake.operators.curate import dedup_first
 
-    raw = ratings_raw(spark, d).withColumn("_file_pos", file_position())
-    return dedup_first(raw, ["user_id", "item_id"], ["_file_pos"], ["rating"])
+    raw = ratings_raw(spark, d)
+    li = table(spark, d, "lineitem")
+    fits = F.coalesce(F.bool_and(packable()), F.lit(True))
+    if li.agg(fits).first()[0]:
+        return dedup_first(raw.withColumn("_file_pos", file_position()), ["user_id", "item_id"], ["_file_pos"], ["rating"])
+    return dedup_first(raw, ["user_id", "item_id"], FILE_ORDER, ["rating"])
 
 
 @_memo
@@ -156,8 +167,9 @@ def clean_titles(spark: SparkSession, d: str) -> DataFrame:
 @_stored
 def movies(spark: SparkSession, d: str) -> DataFrame:
     from cinelake.operators.curate import catalogue
+    from cinelake.plans.pipelines import train_ratings
 
-    return catalogue(clean_titles(spark, d), ratings(spark, d))
+    return catalogue(clean_titles(spark, d), train_ratings(spark, d))
 
 
 @_stored
@@ -192,10 +204,10 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 @_stored
 def request_ratings(spark: SparkSession, d: str) -> DataFrame:
-    """Numeric request rows: the user's own ratings on every third item; every 7th request has none."""
+    """Numeric request rows: all of the user's own ratings; every 7th request is one without ratings."""
     r = ratings(spark, d)
     q = requests(spark, d)
-    rows = r.join(q, "user_id").where(((F.col("item_id") + F.col("request_id")) % 3 == 0) & (F.col("request_id") % 7 != 0))
+    rows = r.join(q, "user_id").where(F.col("request_id") % 7 != 0)
     # positions 1..n in item order per request, computed without a per-request window (hot users)
     rows = group_row_number(rows.select("request_id", "item_id", "rating"), ["request_id"], ["item_id"], "pos")
     return rows.select("request_id", F.col("pos").cast("int").alias("pos"), "item_id", "rating")
@@ -203,12 +215,13 @@ def request_ratings(spark: SparkSession, d: str) -> DataFrame:
 
 @_memo
 def request_tags(spark: SparkSession, d: str) -> DataFrame:
-    q = requests(spark, d).where(F.col("request_id") % 11 != 0)
-    tg = tags(spark, d).select("id")
-    # (id + request_id) % 16 == 0 written as an equi-join on the residue class
-    return q.join(broadcast_if_small(tg, MAX_TAGS_BROADCAST), (16 - q.request_id % 16) % 16 == tg.id % 16).select(
-        "request_id", F.col("id").alias("tag_id")
-    )
+    """Four tags per request, spread over the whole vocabulary; every 11th request has none."""
+    n_tags = tags(spark, d).count()
+    if not n_tags:
+        return requests(spark, d).select("request_id", F.lit(None).cast("long").alias("tag_id")).where("false")
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TAGS_PER_REQUEST - 1).cast("long"))).alias("_k")
+    asked = requests(spark, d).where(F.col("request_id") % 11 != 0).select("request_id", k)
+    return asked.select("request_id", ((F.col("request_id") * 5 + F.col("_k") * 13) % n_tags + 1).alias("tag_id")).distinct()
 
 
 @_memo
@@ -248,9 +261,12 @@ def form_tags(spark: SparkSession, d: str) -> DataFrame:
     return rt.select("request_id", F.col("tag_id").cast("string").alias("tag_id")).unionByName(bad).unionByName(dup)
 
 
-@_memo
+@_stored
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """Model answers ``name: r;;;name: r --- text``; conv_id % 7 picks a malformed form."""
+    """Model answers ``name: r;;;name: r --- text`` around the turn's own text; conv_id % 7 picks a malformed form.
+
+    ``answer_id`` numbers the answers in (conv_id, turn) order; the user is the conversation's.
+    """
     n_parts = table(spark, d, "part").agg(F.count(F.lit(1))).scalar()
     conv = (
         table(spark, d, "conversations")
@@ -258,6 +274,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
         .select(
             "conv_id",
             "turn",
+            "text",
             ((F.col("conv_id") * 13 + F.col("turn")) % n_parts).alias("_ka"),
             ((F.col("conv_id") * 7 + F.col("turn") * 3 + 1) % n_parts).alias("_kb"),
         )
@@ -271,7 +288,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     r1 = ((conv.conv_id + conv.turn) % 5 + 1).cast("string")
     r2 = ((conv.conv_id * 3 + conv.turn) % 5 + 1).cast("string")
     left = F.concat(n1, F.lit(": "), r1, F.lit(";;;"), n2, F.lit(": "), r2)
-    prefs = F.concat(F.lit("I want something like "), F.split(n1, " ").getItem(0), F.lit("."))
+    prefs = F.concat(F.lit("I want something like "), F.split(n1, " ").getItem(0), F.lit(". "), conv.text)
     m = conv.conv_id % 7
     ans = (
         F.when(m == 0, left)
@@ -281,7 +298,8 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
         .when(m == 4, F.concat(n1, F.lit(": good;;;"), n2, F.lit(": "), r2, F.lit(" --- "), prefs))
         .otherwise(F.concat(left, F.lit("\n---\n "), prefs, F.lit(" ")))
     )
-    return a.select((conv.conv_id * 1000 + conv.turn).alias("answer_id"), ans.alias("answer"))
+    made = a.select(conv.conv_id.alias("user_id"), conv.turn.alias("_turn"), ans.alias("answer"))
+    return global_row_number(made, [F.col("user_id"), F.col("_turn")], "answer_id").select("answer_id", "user_id", "answer")
 
 
 @_memo
@@ -308,15 +326,18 @@ def rating_events(spark: SparkSession, d: str) -> DataFrame:
 
 @_memo
 def posters(spark: SparkSession, d: str) -> DataFrame:
+    """Nested poster documents: per item (a source and a run of 1000 documents) the posters in document order."""
     doc = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return doc.select(
-        F.col("source").alias("item"),
+    poster = F.struct(
+        F.col("doc_id"),
         F.col("lang").alias("iso_639_1"),
         (F.col("n_chars") % 50).alias("vote_count"),
         (F.col("doc_id") % 10).cast("double").alias("vote_average"),
         F.concat(F.lit("/p/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file_path"),
-        F.col("doc_id").alias("pos"),
     )
+    item = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    rows = doc.groupBy(item.alias("item")).agg(F.array_sort(F.collect_list(poster)).alias("_p"))  # at most 1000 documents
+    return rows.select("item", F.transform("_p", lambda p: p.dropFields("doc_id")).alias("posters"))
 
 
 @_memo

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,17 +128,55 @@ def read_plots_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_links_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LINKS_SCHEMA).option("header", True).csv(path)
+    """Header CSV of id links with ``line``, a number that rises with the position in the files.
+
+    Files are taken in name order; inside a file the split offset and then the
+    row order decide, so "the last duplicate wins" does not depend on which
+    task read what.
+    """
+    df = spark.read.schema(LINKS_SCHEMA).option("header", True).csv(path)
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    return df.select("imdbId", "tmdbId", place.alias("line"))
+
+
+def write_posters(df: DataFrame, path: str) -> str:
+    """Nested poster documents: one JSON object per item with its ``posters`` array."""
+    return write_json(df.select("item", "posters"), path)
+
+
+def read_posters(spark: SparkSession, path: str) -> DataFrame:
+    """Poster documents as rows (item, pos, iso_639_1, vote_count, vote_average, file_path), pos from 0."""
+    docs = read_json(spark, path, POSTERS_SCHEMA)
+    return docs.select("item", F.posexplode("posters").alias("pos", "p")).select("item", "pos", "p.*")
+
+
+def write_user_files(df: DataFrame, folder: str, suffix: str, key: str = "user_id", col: str = "content") -> str:
+    """Per-user text files under ``<folder>/file=<user_id>_<suffix>/``, the text written as is.
+
+    One small file per user by definition; ``write_user_table`` is the form for
+    many users.
+    """
+    named = df.select(F.concat(F.col(key).cast("string"), F.lit(f"_{suffix}")).alias("file"), col)
+    named.repartition("file").write.mode("append").partitionBy("file").text(folder)
+    return folder
 
 
 def read_user_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """One row per ``<user_id>_<suffix>`` file: (user_id, content) read whole, sorted by user."""
-    df = spark.read.option("pathGlobFilter", f"*_{suffix}").text(folder, wholetext=True)
-    name = F.col("_metadata.file_name")
-    return df.select(
-        F.regexp_extract(name, r"^(\d+)_", 1).cast("long").alias("user_id"),
-        F.col("value").alias("content"),
-    )
+    """The files of one suffix: (user_id, content), read whole, sorted by user.
+
+    The suffix selects the paths before anything is read, and the id comes from
+    the name. The text writer ends a file with a newline; it is removed again.
+    """
+    df = spark.read.text(f"{folder}/file=*_{suffix}", wholetext=True)
+    user = F.regexp_extract(F.col("_metadata.file_path"), rf"file=(\d+)_{re.escape(suffix)}/[^/]*$", 1)
+    rows = df.select(user.alias("user_id"), F.expr("substring(value, 1, length(value) - 1)").alias("content"))
+    return rows.where("user_id <> ''").withColumn("user_id", F.col("user_id").cast("long")).orderBy("user_id")
+
+
+def write_user_table(df: DataFrame, path: str, key: str = "user_id") -> str:
+    """Per-user texts as Parquet, clustered by user: the sink for many users."""
+    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists").parquet(path)
+    return path
 
 
 def write_per_user_text(df: DataFrame, folder: str, key: str = "user_id", col: str = "content") -> str:
@@ -157,22 +199,25 @@ def read_per_user_text(spark: SparkSession, folder: str, key: str = "user_id") -
     ).where(F.length(v) > 0)
 
 
-MAX_ID_LIST = 1_000_000  # one JSON array is one document, written by one task
-
+ID_SCHEMA = T.StructType([T.StructField("user_id", T.LongType())])
 
-def write_id_list(ids: DataFrame, path: str, col: str = "user_id") -> str:
-    """A JSON document holding one array of ids (the cohort file); the id list is a bounded sample.
 
-    The bound is checked (a bounded count), so a large table is refused rather
-    than gathered into one task.
-    """
-    if ids.limit(MAX_ID_LIST + 1).count() > MAX_ID_LIST:
-        raise ValueError(f"an id list document holds at most {MAX_ID_LIST} ids")
-    doc = ids.agg(F.to_json(F.array_sort(F.collect_list(col))).alias("value"))
-    doc.coalesce(1).write.mode("errorifexists").text(path)
+def write_id_list(ids: DataFrame, path: str) -> str:
+    """User ids as JSON lines, one id per row, over as many files as there are partitions."""
+    ids.select(F.col("user_id").cast("long")).write.mode("errorifexists").json(path)
     return path
 
 
-def read_id_list(spark: SparkSession, path: str, col: str = "user_id") -> DataFrame:
-    doc = spark.read.text(path, wholetext=True)
-    return doc.select(F.explode(F.from_json("value", "array<long>")).alias(col))
+def read_id_list(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ID_SCHEMA).json(path)
+
+
+def chosen_once(spark: SparkSession, choose: Callable[[], DataFrame], path: str) -> DataFrame:
+    """The ids stored at ``path``; only if there are none, ``choose()`` draws them and they are stored."""
+    try:
+        return read_id_list(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    write_id_list(choose(), path)
+    return read_id_list(spark, path)
