@@ -337,3 +337,155 @@ def test_broadcast_only_below_the_counted_bound(spark):
     assert "broadcast" not in plan_big.lower()
     assert rows_small == sorted(k for k in (i % 60 for i in range(200)) if k < 5)
     assert rows_big == sorted(k for k in (i % 60 for i in range(200)) if k < 50)
+
+
+def test_matching_has_no_round_limit(spark):
+    """A chain of competing edges needs one round per link; all of its links are matched."""
+    n = 90
+    edges = [(i, i, i, 0 if i == 0 else 1) for i in range(n)] + [(i + 1, i, i, 1) for i in range(n - 1)]
+    df = spark.createDataFrame([(p, m, m, d) for p, m, _, d in edges], "plot_id long, item_id long, movie_rank long, distance int")
+    assert sorted((r.plot_id, r.item_id) for r in resolve.greedy_one_to_one(df).collect()) == [(i, i) for i in range(n)]
+
+
+def test_long_answers_resolve_every_name(spark):
+    """Names are keyed by their own columns: position 150 of answer 1 is not position 50 of answer 2."""
+    movies = spark.createDataFrame([(i, f"Film number {i:04d} (1999)", i + 1) for i in range(400)], "item_id long, title string, pop_rank long")
+    names = [(a, p, f"film NUMBER {(a * 151 + p) % 400:04d}") for a in (1, 2) for p in range(150)]
+    out = resolve.resolve_titles(spark.createDataFrame(names, "answer_id long, pos int, name string"), movies, 0)
+    assert sorted((r.answer_id, r.pos, r.item_id) for r in out.collect()) == sorted((a, p, (a * 151 + p) % 400) for a, p, _ in names)
+
+
+def test_equal_names_and_aliases_take_the_most_popular_item(spark):
+    movies = spark.createDataFrame([(1, "Heat (1995)", 2), (2, "Heat (1986)", 1), (3, "Hert (1990)", 3)], "item_id long, title string, pop_rank long")
+    out = resolve.resolve_titles(spark.createDataFrame([(1, "HEAT"), (2, "heat"), (3, "hearts"), (4, None), (5, "zzzzzz")], "n long, name string"), movies)
+    assert sorted(tuple(r) for r in out.select("n", "item_id", "distance").collect()) == [(1, 2, 0), (2, 2, 0), (3, 2, 2)]
+
+
+def test_gram_of_any_ratings_and_of_repeated_ones(spark):
+    """Ratings off the half-star grid are kept as they are; repeated ratings add up in both modes."""
+    r = spark.createDataFrame([(1, 1, 3.7), (1, 2, 1.2)], "user_id long, item_id long, rating double")
+    got = {(x.i, x.j): x.g for x in ease.gram(r, ease.item_index(r)).collect()}
+    X = np.array([[1.0, 1.2 / 3.7]])
+    assert all(abs(got[i, j] - (X.T @ X)[i, j]) < 1e-12 for i in range(2) for j in range(2))
+    twice = spark.createDataFrame([(1, 1, 4.0), (1, 1, 5.0), (1, 2, 3.0)], "user_id long, item_id long, rating double")
+    idx = ease.item_index(twice)
+    assert {(x.i, x.j): x.g for x in ease.gram(twice, idx, implicit=True).collect()} == {(0, 0): 4.0, (0, 1): 2.0, (1, 0): 2.0, (1, 1): 1.0}
+    got = {(x.i, x.j): x.g for x in ease.gram(twice, idx).collect()}
+    X = np.array([[9.0 / 5, 3.0 / 5]])
+    assert all(abs(got[i, j] - (X.T @ X)[i, j]) < 1e-12 for i in range(2) for j in range(2))
+
+
+def test_search_terms_with_backslash_and_wildcards(spark):
+    movies = spark.createDataFrame(
+        [(1, "Back\\Slash Star (1999)", 5, 1), (2, "Back Slash (2000)", 4, 2), (3, "100% Wolf (2020)", 3, 3), (4, "A_B (2001)", 2, 4)],
+        "item_id long, title string, popularity long, pop_rank long",
+    )
+    terms = spark.createDataFrame([(1, "k\\s"), (2, "\\"), (3, "0% w"), (4, "a_b"), (5, "c%s")], "term_id long, term string")
+    got = {}
+    for r in search.title_search(terms, movies).collect():
+        got.setdefault(r.term_id, set()).add(r.item_id)
+    assert got == {1: {1}, 2: {1}, 3: {3}, 4: {4}, 5: {1, 2}}
+
+
+def test_percentile_of_mostly_equal_values(spark):
+    """99 % zeros: the rank is placed by counts per value, so equal values never fill one partition."""
+    vals = np.concatenate([np.zeros(9900), np.linspace(0.1, 1, 100)])
+    df = spark.createDataFrame([(float(x),) for x in vals], "ab double")
+    for q in (0.3, 0.98, 0.99, 0.9905, 0.995):
+        assert abs(ease.exact_percentile(df, "ab", q) - np.percentile(vals, q * 100)) < 1e-12
+
+
+def test_inverse_with_shuffled_panels(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.random((20, 20))
+    g = x @ x.T
+    entries = spark.createDataFrame([(int(i), int(j), float(g[i, j])) for i in range(20) for j in range(20)], "i long, j long, g double")
+
+    def dense(p):
+        got = np.zeros((20, 20))
+        for r in p.collect():
+            got[r.i, r.j] = r.p
+        return got
+
+    broadcast = dense(ease.inverse(entries, 20, 1.0, block=7))
+    monkeypatch.setattr(ease, "MAX_BROADCAST_PANEL", 0)
+    shuffled = dense(ease.inverse(entries, 20, 1.0, block=7))
+    want = np.linalg.inv(g + np.eye(20))
+    assert np.abs(broadcast - want).max() < 1e-9 and np.abs(shuffled - want).max() < 1e-9
+
+
+def test_saved_model_recommends_without_ratings(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    rng = np.random.default_rng(4)
+    ratings = spark.createDataFrame([(u, i, float(rng.integers(1, 6))) for u in range(20) for i in range(12) if rng.random() < 0.5], "user_id long, item_id long, rating double")
+    idx, w = ease.fit(ratings, 5.0, 50)
+    path = ease.save_model(idx, w, str(tmp_path / "model"))
+    req = spark.createDataFrame([(1, 0, 5.0), (1, 3, 1.0), (2, 7, 4.0)], "request_id long, item_id long, rating double")
+    want = sorted(tuple(r) for r in ease.recommend(req, idx, w, 4).collect())
+    other = spark.newSession()
+    index, weights = ease.load_model(other, path)
+    req2 = other.createDataFrame([tuple(r) for r in req.collect()], req.schema)
+    assert sorted(tuple(r) for r in ease.recommend(req2, index, weights, 4).collect()) == want
+    with pytest.raises(AnalysisException):
+        ease.save_model(idx, w, path)
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from cinelake.session import ensure_checkpoint_dir
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session)
+
+
+def test_sources_of_links_posters_user_files_and_cohorts(spark, tmp_path):
+    from cinelake.sources import io
+
+    links = tmp_path / "links"
+    links.mkdir()
+    (links / "part-0.csv").write_text("imdbId,tmdbId\n0001,5\n0002,6\n0001,7\n")
+    (links / "part-1.csv").write_text("imdbId,tmdbId\n0002,8\n")
+    rows = io.read_links_csv(spark, str(links))
+    last = rows.groupBy("imdbId").agg(F.max_by("tmdbId", "line").alias("t"))
+    assert sorted(tuple(r) for r in last.collect()) == [("0001", "7"), ("0002", "8")]
+    posters = tmp_path / "posters.json"
+    posters.write_text('{"item":"a","posters":[{"iso_639_1":"en","vote_count":3,"vote_average":1.5,"file_path":"/x"},{"iso_639_1":null,"vote_count":4,"vote_average":2,"file_path":"/y"}]}\n{"item":"b","posters":[]}\n')
+    assert sorted(tuple(r) for r in io.read_posters(spark, str(posters)).collect()) == [("a", 0, "en", 3, 1.5, "/x"), ("a", 1, None, 4, 2.0, "/y")]
+    texts = spark.createDataFrame([(12, "a\nb\n"), (3, "c: d")], "user_id long, content string")
+    folder = io.write_user_files(texts, str(tmp_path / "files"), "one.txt")
+    io.write_user_files(texts.selectExpr("user_id", "'other' as content"), folder, "not_one.txt")
+    assert [tuple(r) for r in io.read_user_files(spark, folder, "one.txt").collect()] == [(3, "c: d"), (12, "a\nb\n")]
+    ids = str(tmp_path / "ids")
+    first = io.chosen_once(spark, lambda: spark.range(5).withColumnRenamed("id", "user_id"), ids)
+    second = io.chosen_once(spark, lambda: spark.range(9).withColumnRenamed("id", "user_id"), ids)
+    assert sorted(r[0] for r in first.collect()) == sorted(r[0] for r in second.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_matching_by_classes_equals_the_sequential_walk(spark):
+    """Equal titles, competing titles and aliases: the class phases give the walk over all pairs."""
+    import random
+
+    rnd = random.Random(9)
+    words = ["star", "start", "stars", "tar", "car", "cart", "moon", "moons", "noon"]
+    for _ in range(4):
+        plots = [(i, 2000 + rnd.randint(0, 1), rnd.choice(words) + rnd.choice(["", "", " (aka moon)", "x"])) for i in range(45)]
+        movies = [(100 + i, 2000 + rnd.randint(0, 1), rnd.choice(words) + rnd.choice(["", "", " (a.k.a. star)"])) for i in range(35)]
+        P = spark.createDataFrame([(i, y, t, "p") for i, y, t in plots], "plot_id long, year int, title string, plot string")
+        M = spark.createDataFrame([(i, f"{t} ({y})", y) for i, y, t in movies], "item_id long, title string, year int")
+        edges = [(r.distance, r.plot_id, r.item_id) for r in resolve.title_edges(P, M).collect()]
+        used_p, used_m, want = set(), set(), set()
+        for d, p, m in sorted(edges):
+            if p not in used_p and m not in used_m:
+                used_p.add(p), used_m.add(m), want.add((p, m, d))
+        assert {(r.plot_id, r.item_id, r.distance) for r in resolve.match_plots(P, M).collect()} == want
+    assert resolve.match_plots(P.where("false"), M).count() == 0
