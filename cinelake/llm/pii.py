@@ -48,18 +48,19 @@ ADDRESS = {"m": "Mr Herr Señor Sr Monsieur Sir Lord".split(), "f": "Mrs Ms Miss
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _FORMS = "|".join(n for names in ADDRESS.values() for n in names)
 _W = r"\p{L}\p{N}"
-_PATTERN = "|".join(
+_KINDS = "|".join(
     [
-        rf"(?<![{_W}._%+-])[{_W}._%+-]++@[{_W}-]++(?:\.[{_W}-]++)+",
-        rf"(?<![{_W}])[0-9a-fA-F]{{32,128}}(?![{_W}])",
-        rf"(?<![{_W}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}(?!\.?[{_W}])",
-        rf"(?<![{_W}+])\+\d{{1,3}}(?:[^{_W}+@\n]{{1,7}}\d{{2,5}}){{2,4}}(?![{_W}])",
-        rf"(?<![{_W}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
-        rf"(?<![{_W}-])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{3}}-\d{{2}}-\d{{4}}|\(?\d{{3}}\)?[ -]\d{{3}}-\d{{4}})(?![{_W}])",
-        rf"(?<![{_W}])(?:{_FORMS})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?![{_W}])",
-        rf"(?<![{_W}])(?:{_NAMES}) \p{{Lu}}\p{{L}}+(?![{_W}])",
+        rf"(?<![._%+-])[{_W}._%+-]++@[{_W}-]++(?:\.[{_W}-]++)+",
+        rf"[0-9a-fA-F]{{32,128}}(?![{_W}])",
+        rf"(?<!\.)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}(?!\.?[{_W}])",
+        rf"(?<!\+)\+\d{{1,3}}(?:[^{_W}+@\n]{{1,7}}\d{{2,5}}){{2,4}}(?![{_W}])",
+        rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
+        rf"(?<!-)(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{3}}-\d{{2}}-\d{{4}}|\(?\d{{3}}\)?[ -]\d{{3}}-\d{{4}})(?![{_W}])",
+        rf"(?=\p{{Lu}})(?:(?:{_FORMS})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?|(?:{_NAMES}) \p{{Lu}}\p{{L}}+)(?![{_W}])",
     ]
 )
+# an entity begins where a word does, so the kinds are tried there only
+_PATTERN = rf"(?<![{_W}])(?:{_KINDS})"
 _ALNUM = r"[^\p{L}\p{N}]"
 
 
