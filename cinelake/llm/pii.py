@@ -56,7 +56,7 @@ _KINDS = "|".join(
         rf"(?<!\+)\+\d{{1,3}}(?:[^{_W}+@\n]{{1,7}}\d{{2,5}}){{2,4}}(?![{_W}])",
         rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
         rf"(?<!-)(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{3}}-\d{{2}}-\d{{4}}|\(?\d{{3}}\)?[ -]\d{{3}}-\d{{4}})(?![{_W}])",
-        rf"(?=\p{{Lu}})(?:(?:{_FORMS})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?|(?:{_NAMES}) \p{{Lu}}\p{{L}}+)(?![{_W}])",
+        rf"(?=\p{{Lu}})(?:(?iu:{_FORMS})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?|(?iu:{_NAMES}) \p{{Lu}}\p{{L}}+)(?![{_W}])",
     ]
 )
 # an entity begins where a word does, so the kinds are tried there only
@@ -98,8 +98,9 @@ def _parts(raw: Column, kind: Column) -> Column:
         F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.upper(F.regexp_replace(raw, r"\s", ""))).otherwise(F.lower(raw))
     )
     words = F.split(raw, " ")
-    titled = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    gender = F.when(titled.isin(*ADDRESS["m"]), "m").when(titled.isin(*ADDRESS["f"]), "f").when(titled.isin(*ADDRESS["n"]), "n")
+    titled = F.lower(F.regexp_replace(F.element_at(words, 1), r"\.$", ""))
+    forms = {g: [w.lower() for w in names] for g, names in ADDRESS.items()}
+    gender = F.when(titled.isin(*forms["m"]), "m").when(titled.isin(*forms["f"]), "f").when(titled.isin(*forms["n"]), "n")
 
     def word(w: Column, i: Column) -> Column:
         known = F.lit(None).cast("string")
@@ -218,7 +219,8 @@ def _written(word: Column, kind: Column, norm: Column, surrogate: Column) -> Col
 
     same = F.array_join(F.transform(letters, one), "")
     same_shape = F.length(F.regexp_replace(word, _ALNUM, "")) == F.length(core)
-    shaped = F.when(kind == "ip", surrogate).when(same_shape, same).otherwise(F.when(upper, F.upper(surrogate)).otherwise(surrogate))
+    # a key has the case of the whole: letters may stand where the real one has digits
+    shaped = F.when(kind.isin("ip", "token"), F.when(upper, F.upper(surrogate)).otherwise(surrogate)).when(same_shape, same).otherwise(F.when(upper, F.upper(surrogate)).otherwise(surrogate))
     return F.when(kind.isNull(), word).when(kind.rlike("^(given|name|family)"), name).otherwise(shaped)
 
 
