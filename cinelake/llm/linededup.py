@@ -12,9 +12,11 @@ Index and probe keys are hashes, so the texts stay where they are: one
 aggregate finds the keys that two different lines share, and only the lines
 that have such a key, each different text once, are joined on the keys and
 verified. The verification is in the join condition, so the pairs that leave
-the join are links: common beginnings and ends are cut off, and the rest is
-compared by the banded bit-parallel edit distance, one machine word for each
-column.
+the join are links: pairs whose character parities differ in more bits than the
+edits can change are refused at once, common beginnings and ends are cut off,
+and the rest is compared by the banded bit-parallel edit distance, one machine
+word for each column. Keys that many lines share are split into shares of the
+index side.
 
 A line goes if an equal line, or one within ``edits`` edits, comes first in
 (doc_id, line number) order; its representative is the earliest such line.
@@ -25,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import cut_lineage, stored
+from cinelake.llm.common import cut_lineage, fresh, stored
 from cinelake.session import broadcast_if_small
 
 EDITS = 2
 MIN_CHARS = 30
+#: Lines under an index key from which its work is split.
+HOT_KEY = 256
 #: Rows of a table that may be broadcast.
 SMALL = 500_000
 _LAST_ID = 9223372036854775807
@@ -40,15 +44,6 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of a segment of a line: even segments, the last ones one longer."""
-    parts = edits + 1
-    size = F.floor(length / parts).cast("int")
-    short = F.lit(parts) - length % parts
-    before = F.lit(number - 1)
-    return F.lit(1) + before * size + F.greatest(F.lit(0), before - short), size + (before >= short).cast("int")
-
-
 def _probe_places(edits: int) -> list[tuple[int, int, int]]:
     """(characters less, segment number, offset from the segment's start) of every probe of a line."""
     out = []
@@ -61,16 +56,21 @@ def _probe_places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Index and probe keys of ``lines (..., line)``; a line's own segments are index keys and probes in one."""
-    n = F.length("line")
-    entries = []
-    for less, number, offset in _probe_places(edits):
-        start, size = _segment(n - less, number, edits)
-        at = start + offset
-        key = F.xxhash64(n - less, F.lit(number), F.substring(F.col("line"), at, size))
-        inside = (n > less) & (at >= 1) & (at + size - 1 <= n)
-        entries.append(F.struct(F.when(inside, key).alias("key"), F.lit(less == 0 and offset == 0).alias("indexed")))
-    return lines.withColumn("_e", F.explode(F.array(*entries))).select("*", "_e.key", "_e.indexed").drop("_e").filter("key is not null")
+    """Index and probe keys of ``lines (..., line, n)`` with n its length; a line's own segments are index keys and probes in one.
+
+    A key is the hash of a partner's length, a segment number and the segment.
+    Lines have at least 2 * edits + 1 characters, so every probe lies inside the
+    line. Segments are cut from the UTF-32 form, where a position is an offset.
+    """
+    parts = edits + 1
+    # the places are rows of a constant: one small expression serves all of them
+    places = [F.struct(F.lit(less).alias("_less"), F.lit(number - 1).alias("_before"), F.lit(offset).alias("_offset"), F.lit(less == 0 and offset == 0).alias("indexed")) for less, number, offset in _probe_places(edits)]
+    placed = lines.withColumn("_wide", F.encode("line", "UTF-32")).select("*", F.inline(F.array(*places)))
+    length = F.col("n") - F.col("_less")
+    size, short = F.expr(f"cast((n - _less) div {parts} as int)"), F.lit(parts) - length % parts  # the last segments are one longer
+    start = F.col("_before") * size + F.greatest(F.lit(0), F.col("_before") - short) + F.col("_offset")
+    segment = F.substring(F.col("_wide"), 4 * start + 1, 4 * (size + (F.col("_before") >= short).cast("int")))
+    return placed.select(*lines.columns, F.xxhash64(length, F.col("_before"), segment).alias("key"), "indexed")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -135,7 +135,14 @@ def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
     def trimmed(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
-        return F.least(_banded(x, y, edits), F.lit(edits + 1))
+        # the ends differ, so an edit falls on each: the inside of x has edits - 2, and one of its edits - 1 pieces is whole in y
+        inside = F.length(x) - 2
+        whole = F.lit(False)
+        for i in range(edits - 1):
+            begin, past = F.floor(inside * i / (edits - 1)).cast("int"), F.floor(inside * (i + 1) / (edits - 1)).cast("int")
+            whole = whole | F.contains(y, F.substring(x, begin + 2, past - begin))
+        possible = (inside <= 0) | whole
+        return F.when(possible, F.least(_banded(x, y, edits), F.lit(edits + 1))).otherwise(F.lit(edits + 1))
 
     def tails(head: Column) -> Column:
         x, y = F.substring(a, head + 1, F.length(a)), F.substring(b, head + 1, F.length(b))
@@ -150,10 +157,16 @@ def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(close, _let(_common(a, b), tails)).otherwise(F.lit(edits + 1))
 
 
+def _signature(line: Column) -> Column:
+    """Parities of the numbers of 64 kinds of characters: an edit changes at most two of its bits."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64))))
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, line_no, line, h1, h2``: the lines that are compared, with a 128-bit identity."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    return lines.filter(F.length("line") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
+    """``doc_id, line_no, line, n, h1, h2``: the lines that are compared, their lengths and 128-bit identities."""
+    pieces = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("line_no", "_l")).select("doc_id", "line_no", "_l.line", "_l.n")
+    return lines.filter(F.col("n") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
 
 
 def _place(doc_id: Column, line_no: Column) -> Column:
@@ -162,20 +175,31 @@ def _place(doc_id: Column, line_no: Column) -> Column:
 
 
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(a1, a2, b1, b2)``: every two different texts of ``lines (h1, h2, line)`` within ``edits`` edits, a before b."""
+    """``(a1, a2, b1, b2)``: every two different texts of ``lines (h1, h2, line, n)`` within ``edits`` edits, once."""
     spark = lines.sparkSession
-    keyed = _keys(lines.select("h1", "h2", "line"), edits)
+    lines = lines.select("h1", "h2", "line", "n")
+    keyed = _keys(lines, edits)
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("indexed").alias("has_index")).filter("low < high and has_index").select("key")
-    shared = broadcast_if_small(stored(shared, spark, "line-keys"), SMALL)
-    candidates = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    candidates = broadcast_if_small(cut_lineage(candidates), SMALL)
-    texts = stored(lines.select("h1", "h2", "line").join(candidates, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")), spark, "line-texts")
+    shared = stored(shared, spark, "line-keys")
+    if shared.limit(SMALL + 1).count() <= SMALL:
+        found = keyed.join(F.broadcast(shared), "key", "left_semi")
+    else:  # keys are shuffled without the texts, which are fetched by identity
+        candidates = keyed.select("key", "h1", "h2").join(shared, "key", "left_semi").select("h1", "h2").distinct()
+        found = lines.join(cut_lineage(candidates), ["h1", "h2"], "left_semi")
+    texts = found.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = stored(texts.select("*", F.length("line").alias("n"), _signature(F.col("line")).alias("sig")), spark, "line-texts")
     keyed = _keys(texts, edits)
-    index = keyed.filter("indexed").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"))
-    probe = keyed.select(F.col("key").alias("_key"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"), "indexed")
+    crowd = keyed.filter("indexed").groupBy("key").count().filter(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / HOT_KEY).cast("long").alias("_shares"))
+    keyed = keyed.join(broadcast_if_small(cut_lineage(crowd), SMALL), "key", "left").withColumn("_shares", F.coalesce("_shares", F.lit(1).cast("long")))
+    index = keyed.filter("indexed").select("key", F.pmod("h2", "_shares").alias("_share"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    probe = keyed.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    index, probe = index.alias("i"), probe.alias("p")
     # equal lengths meet from both sides: keep one
-    other = F.when(F.length("la") == F.length("lb"), F.struct("a1", "a2") < F.struct("b1", "b2")).otherwise(True)
-    found = index.join(probe, (F.col("key") == F.col("_key")) & other & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & (edit_distance(F.col("la"), F.col("lb"), edits) <= edits))
+    other = F.when(F.col("na") == F.col("nb"), F.struct("a1", "a2") < F.struct("b1", "b2")).otherwise(True)
+    alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * edits
+    close = F.when(alike, edit_distance(F.col("la"), F.col("lb"), edits) <= edits).otherwise(False)
+    same = (F.col("i.key") == F.col("p.key")) & (F.col("i._share") == F.col("p._share"))
+    found = index.join(probe, same & other & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & close)
     return found.select("a1", "a2", "b1", "b2").distinct()
 
 
@@ -186,6 +210,8 @@ def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     dropped) in line order: the earliest equal or close line, the number of
     different texts within ``edits`` edits, and whether the line goes.
     """
+    if min_chars < 2 * edits + 1:
+        raise ValueError("a line must be long enough for its segments")
     spark = docs.sparkSession
     lines = _lines(docs, min_chars)
     where = stored(lines.select("doc_id", "line_no", "h1", "h2"), spark, "line-places")
@@ -222,10 +248,11 @@ def dedupe(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     come last in the order and are compared like the others. Columns named like
     the added one are replaced; an empty table gives no rows.
     """
-    found = cut_lineage(classes(docs, edits, min_chars)).withColumnRenamed("lines", "line_classes").withColumnRenamed("doc_id", "_of")
+    of = fresh(docs, "_of")
+    found = cut_lineage(classes(docs, edits, min_chars)).withColumnsRenamed({"lines": "line_classes", "doc_id": of})
     size = found.agg(F.sum(F.size("line_classes"))).first()[0] or 0
     small = F.broadcast(found) if size <= 2 * SMALL else found
-    joined = docs.drop("line_classes").join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left").drop("_of")
+    joined = docs.drop("line_classes").join(small, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left").drop(of)
     gone = F.transform(F.filter("line_classes", lambda x: x["dropped"]), lambda x: x["line_no"])
     text = F.col("text").cast("string")
     # a line goes by number and by being long enough: rows of one doc_id may hold different texts
