@@ -6,7 +6,8 @@ stage. All but the last keep the columns of ``documents``.
 
 1. toxicity: documents that the lexicon scores at 0.7 or more go.
 2. line_dedup: lines that have an equal or close line earlier go; a document
-   that loses lines and has no text left goes.
+   that loses more than half of its characters so, and has no line left that is
+   long enough to be compared, was a copy and goes with them.
 3. simhash: of each group of near duplicates the smallest doc_id stays.
 4. decontaminate: documents that share a window of 10 words with a benchmark
    item (or hold a whole shorter item) go.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm import bpe, decontaminate, linededup, simhash, toxicity
-from cinelake.llm.common import shared_path, table
+from cinelake.llm.common import fresh, shared_path, table
 from cinelake.llm.queries import byte_bpe, fold
 from cinelake.session import broadcast_if_small
 
@@ -47,9 +48,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.dedupe(docs)
+    before = fresh(docs, "_before")
+    cut = linededup.dedupe(docs.withColumn(before, F.length("text")))
     lost = F.exists("line_classes", lambda x: x["dropped"])
-    kept = cut.filter(~(lost & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")) | F.col("text").isNull())
+    whole = F.exists(F.split("text", "\n"), lambda line: F.length(line) >= linededup.MIN_CHARS)
+    kept = cut.filter(~lost | whole | (2 * F.length("text") >= F.col(before)))
     return kept.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
