@@ -87,9 +87,10 @@ def _histograms(candidates: DataFrame, block, low: np.ndarray, span: np.ndarray,
 
 def _kth(candidates: DataFrame, block, k: int, limit: np.ndarray, bins: int) -> np.ndarray:
     """The k-th highest score of each query (the lowest score, where there are fewer)."""
-    low, span = -limit, 2 * limit + 1
+    low, high = -limit, limit + 1  # the score lies in [low, high)
     need = np.full(len(low), k, np.int64)
     while True:
+        span = high - low
         width = np.maximum(1, -(-span // bins))
         w = Window.partitionBy("q").orderBy(F.desc("bin"))
         counted = _histograms(candidates, block, low.copy(), span, width, bins).withColumn("above", F.sum("n").over(w) - F.col("n")).withColumn("last", F.row_number().over(Window.partitionBy("q").orderBy("bin")) == 1)
@@ -100,9 +101,9 @@ def _kth(candidates: DataFrame, block, k: int, limit: np.ndarray, bins: int) ->
             q = r["q"]
             low[q] += r["bin"] * width[q]
             need[q] -= r["above"]
+        high = np.minimum(high, low + width)  # also for queries without candidates, whose range is never counted
         if (width == 1).all():
             return low
-        span = width
 
 
 def _winners(candidates: DataFrame, block, kth: np.ndarray, k: int) -> DataFrame:
