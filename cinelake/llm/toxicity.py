@@ -6,8 +6,9 @@ signs that stand for letters inside a word become those letters. What is left
 are runs of letters, joined by single spaces.
 
 The lexicon holds whole words and word beginnings with a weight, the lower
-confidence bound of the log odds of a toxic label among the training texts that
-hold the entry. Exception phrases (given ones, and word pairs around an entry
+confidence bound of the log ratio of their frequency per text in toxic and in
+other training texts (an entry that a text repeats counts logarithmically: a
+beginning that clean texts hold once may fill toxic ones). Exception phrases (given ones, and word pairs around an entry
 that occur in texts labelled 0 only) cancel the entries inside them. A text's
 score is a logistic function of its weight per word and of its whole weight,
 fitted to the same training texts.
@@ -33,7 +34,7 @@ from cinelake.llm.common import arrow_map, cut_lineage
 SAMPLE = 20_000
 THRESHOLD = 0.7
 PREFIXES = range(4, 10)
-#: Least weight of an entry, and standard errors taken off its log odds.
+#: Least weight of an entry, and standard errors taken off its log ratio.
 LEAST, ERRORS = 2.0, 2.0
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown")
 
@@ -56,11 +57,14 @@ def folded(text: str | None) -> str:
     return f" {' '.join(_WORD.findall(text))} "
 
 
-def _entries(words: set[str]) -> set[str]:
-    """Whole words (between spaces) and beginnings (after a space) of a set of words."""
-    out = {f" {w} " for w in words}
-    for n in PREFIXES:
-        out.update(f" {w[:n]}" for w in words if len(w) >= n)
+def _entries(line: str) -> Counter:
+    """Whole words (between spaces) and beginnings (after a space) of a folded text, with their numbers."""
+    out: Counter = Counter()
+    for word, n in Counter(line.split()).items():
+        out[f" {word} "] += n
+        for size in PREFIXES:
+            if len(word) >= size:
+                out[f" {word[:size]}"] += n
     return out
 
 
@@ -119,17 +123,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def _counts(sample: DataFrame, label: int, of, schema_key: str = "entry") -> Counter:
-    """Texts of one label that hold each entry; ``of`` maps a folded text to a set."""
+def _counts(sample: DataFrame, label: int, of) -> DataFrame:
+    """``entry, n, mass`` over the texts of one label: texts that hold it, and the sum of log2(1 + its number in a text).
+
+    ``of`` maps a folded text to a counter of entries.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        texts: Counter = Counter()
+        mass: Counter = Counter()
         for batch in batches:
             for line in batch.column(0).to_pylist():
-                found.update(of(line))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["entry", "n"])
+                for entry, n in of(line).items():
+                    texts[entry] += 1
+                    mass[entry] += round(4096 * np.log2(1 + n))  # whole numbers: the same sums in any order
+        yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array(list(texts.values()), pa.int64()), pa.array([mass[e] for e in texts], pa.int64())], ["entry", "n", "mass"])
 
-    return sample.filter(F.col("toxic") == label).select("line").mapInArrow(task, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    counted = sample.filter(F.col("toxic") == label).select("line").mapInArrow(task, "entry string, n long, mass long")
+    return counted.groupBy("entry").agg(F.sum("n").alias("n"), (F.sum("mass") / 4096).alias("mass"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> DataFrame:
@@ -154,22 +165,22 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, excepti
         return Lexicon({}, fixed, (-30.0 if not n1 else 30.0 if not n0 else 0.0, 0.0, 0.0))
     least = max(2, n1 // 200)
     # an entry in at least 1 in 200 toxic texts: at most 200 times what a text holds
-    often = {r["entry"]: r["n"] for r in _counts(lines, 1, lambda line: _entries(set(line.split()))).filter(F.col("n") >= least).collect()}
+    often = {r["entry"]: (r["n"], r["mass"]) for r in _counts(lines, 1, _entries).filter(F.col("n") >= least).collect()}
     spark = lines.sparkSession
     wanted = spark.sparkContext.broadcast(frozenset(often))
-    clean = {r["entry"]: r["n"] for r in _counts(lines, 0, lambda line: _entries(set(line.split())) & wanted.value).collect()}
+    clean = {r["entry"]: (r["n"], r["mass"]) for r in _counts(lines, 0, lambda line: {e: n for e, n in _entries(line).items() if e in wanted.value}).collect()}
     weights = {}
-    for entry, a in often.items():
-        b = clean.get(entry, 0)
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        error = np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        if odds - ERRORS * error >= LEAST:
-            weights[entry] = float(odds - ERRORS * error)
+    for entry, (texts, mass) in often.items():
+        other, rest = clean.get(entry, (0, 0.0))
+        ratio = np.log((mass + 0.5) / (n1 + 1)) - np.log((rest + 0.5) / (n0 + 1))
+        bound = ratio - ERRORS * np.sqrt(1 / (texts + 0.5) + 1 / (other + 0.5))
+        if bound >= LEAST:
+            weights[entry] = float(bound)
     doubtful = {e for e in weights if clean.get(e, 0)}
     if doubtful:
         finder = Lexicon({e: 1.0 for e in doubtful}, set(), (0.0, 0.0, 0.0))
 
-        def pairs(line: str) -> set[str]:
+        def pairs(line: str) -> dict[str, int]:
             found, automaton = set(), finder.automaton()
             for end, (n, _) in automaton.iter(line):
                 begin = end - n + 1
@@ -180,11 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, excepti
                     found.add(line[left + 1 : past])
                 if right >= 0:
                     found.add(line[begin + 1 : right])
-            return found
+            return dict.fromkeys(found, 1)
 
         spare = {r["entry"] for r in _counts(lines, 0, pairs).filter(F.col("n") >= max(3, n0 // 1000)).collect()}
         spare_bc = spark.sparkContext.broadcast(frozenset(spare))
-        guilty = {r["entry"] for r in _counts(lines, 1, lambda line: pairs(line) & spare_bc.value).collect()}
+        guilty = {r["entry"] for r in _counts(lines, 1, lambda line: {p: 1 for p in pairs(line) if p in spare_bc.value}).collect()}
         fixed |= spare - guilty
     lexicon = Lexicon(weights, fixed, (0.0, 0.0, 0.0))
     found = _weights(lines.select(F.lit(0).cast("long").alias("doc_id"), F.col("line").alias("text"), "toxic"), lexicon, "toxic").select("weight", "words", "toxic").collect()
