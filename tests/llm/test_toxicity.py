@@ -33,7 +33,7 @@ def test_folding_exceptions_and_odd_rows(spark):
     docs, labels = table(spark)
     model = toxicity.fit(docs, labels, F.lit(True))
     assert any("grumb" in e for e in model.weights)
-    rows = [*edge_rows(), (30, "a grуmblefik"), (31, "GRUMBL3F1K you"), (32, "the grumblefik machine"), (33, "gr​umblefik fool"), (34, "ｇｒｕｍｂｌｅｆｉｋ"), (35, "a mild remark")]
+    rows = [*edge_rows(), (30, "a grumblеfik"), (31, "GRUMBL3F1K you"), (32, "the grumblefik machine"), (33, "gr​umblefik fool"), (34, "ｇｒｕｍｂｌｅｆｉｋ"), (35, "a mild remark")]
     got = {r["doc_id"]: r for r in toxicity.scores(crowded(documents(spark, rows)), model).collect()}
     assert all(got[i]["matched"] >= 1 and got[i]["score"] > got[35]["score"] for i in (30, 31, 33, 34))
     assert got[32]["matched"] == 0 and got[35]["matched"] == 0
