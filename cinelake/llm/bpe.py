@@ -38,7 +38,7 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 #: Characters on which all Unicode versions in use agree; others are classed by the tokenizer's own splitter.
 _ODD = regex.compile("[^\x00-԰‐-‧]")
 #: Bytes of a piece that are merged at once; pieces in the table; pieces taken from the text at a time.
-DIRECT, TABLE, TAKE = 64, 300_000, 1 << 16
+DIRECT, TABLE, TAKE = 64, 200_000, 1 << 16
 
 
 def byte_alphabet() -> dict[str, int]:

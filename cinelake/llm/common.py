@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cinelake.session import cut_lineage, ensure_checkpoint_dir, shared_path, table
 
-__all__ = ["arrow_map", "cut_lineage", "ensure_checkpoint_dir", "fresh", "shared_path", "stored", "table", "worker_memo"]
+__all__ = ["arrow_map", "cut_lineage", "ensure_checkpoint_dir", "fresh", "shared_path", "slices", "stored", "table", "worker_memo"]
 
 
 def worker_memo(key: str, make: Callable[[], object]) -> object:
@@ -25,11 +25,22 @@ def worker_memo(key: str, make: Callable[[], object]) -> object:
     return memo[key]
 
 
+#: Rows whose values become Python objects at once.
+ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, a few hundred at a time: the memory of a task does not grow with the batch size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """Run ``rows`` on every Arrow batch; it returns one batch or yields several."""
+    """Run ``rows`` on every slice of the Arrow batches; it returns one batch or yields several."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = rows(batch)
             if isinstance(out, pa.RecordBatch):
                 yield out

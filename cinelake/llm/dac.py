@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinelake.llm import bpe
-from cinelake.llm.common import arrow_map, worker_memo
+from cinelake.llm.common import arrow_map, slices, worker_memo
 
 END_ID = 0
 #: Ids of a block, and bits between entries of the rank directory.
@@ -147,7 +147,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, block: int = BLOCK) -> Non
             kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["part", "first", "doc_ids", "sizes", "n_tokens", "codes"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = encode(text or "")
                 ids.append(doc)

@@ -29,7 +29,7 @@ SPAN = 10
 GRAM = 5
 BLOCK_BYTES = 16 << 20
 #: Bytes of text whose words are hashed at once, and match pairs extended at once.
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 _PAIRS = 1 << 17
 
 _FIELDS = "doc_id long, text string, n_words long, spans array<struct<first:long,past:long>>, item_ids array<long>"

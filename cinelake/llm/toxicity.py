@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import arrow_map, cut_lineage
+from cinelake.llm.common import arrow_map, cut_lineage, slices
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -132,7 +132,7 @@ def _counts(sample: DataFrame, label: int, of) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: Counter = Counter()
         mass: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for line in batch.column(0).to_pylist():
                 for entry, n in of(line).items():
                     texts[entry] += 1
@@ -212,7 +212,7 @@ def _weights(docs: DataFrame, lexicon: Lexicon, *more: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         automaton = model.automaton()
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.weigh(automaton, t) for t in batch.column(1).to_pylist()]
             weight, matched, words = zip(*found) if found else ((), (), ())
             score = [model.score(w, n) for w, _, n in found]
