@@ -174,27 +174,36 @@ def match_classes(p: DataFrame, m: DataFrame, edges: DataFrame) -> DataFrame:
     number. Only parts that are linked incompletely list their pairs and are
     walked in rounds.
     """
-    plots, movies = cut_lineage(p.select("plot_id", "pclass")), cut_lineage(m.select("item_id", "mclass"))
+    members = cut_lineage(
+        p.select(F.lit("p").alias("side"), F.col("plot_id").alias("id"), F.col("pclass").alias("cls")).unionByName(
+            m.select(F.lit("m").alias("side"), F.col("item_id").alias("id"), F.col("mclass").alias("cls"))
+        )
+    )
     edges = cut_lineage(edges)
+
+    def left(side: str, id_: str, cls: str) -> DataFrame:
+        return members.where(F.col("side") == side).select(F.col("id").alias(id_), F.col("cls").alias(cls))
+
     accepted = None
     for (distance,) in sorted(edges.select("distance").distinct().collect()):  # at most MATCH_MAX + 1 values
+        plots, movies = left("p", "plot_id", "pclass"), left("m", "item_id", "mclass")
         here = edges.where(F.col("distance") == distance).join(plots.select("pclass"), "pclass", "left_semi").join(movies.select("mclass"), "mclass", "left_semi")
         parts = _class_components(here)
         full = parts.groupBy("part").agg((F.count(F.lit(1)) == F.count_distinct("pclass") * F.count_distinct("mclass")).alias("_full"))
         parts = cut_lineage(parts.join(full, "part"))
         whole, loose = parts.where("_full"), parts.where("not _full")
-        side_p = plots.join(whole.select("pclass", "part").distinct(), "pclass").select("part", "plot_id")
-        side_m = movies.join(whole.select("mclass", "part").distinct(), "mclass").select("part", "item_id")
-        won = group_row_number(side_p, ["part"], ["plot_id"], "_n").join(group_row_number(side_m, ["part"], ["item_id"], "_n"), ["part", "_n"]).select("plot_id", "item_id")
+        sides = whole.select("part", F.inline(F.array(F.struct(F.lit("p").alias("side"), F.col("pclass").alias("cls")), F.struct(F.lit("m").alias("side"), F.col("mclass").alias("cls"))))).distinct()
+        numbered = group_row_number(members.join(sides, ["side", "cls"]).select("part", "side", "id"), ["part", "side"], ["id"], "_n")
+        won = numbered.where("side = 'p'").select("part", "_n", F.col("id").alias("plot_id")).join(numbered.where("side = 'm'").select("part", "_n", F.col("id").alias("item_id")), ["part", "_n"]).select("plot_id", "item_id")
         if not loose.isEmpty():
             pairs = loose.join(plots, "pclass").join(movies, "mclass").select("plot_id", "item_id", F.col("item_id").alias("movie_rank"), F.lit(distance).alias("distance"))
             won = won.unionByName(greedy_one_to_one(pairs).select("plot_id", "item_id"))
         won = cut_lineage(won.withColumn("distance", F.lit(distance)))
         accepted = won if accepted is None else accepted.unionByName(won)
-        plots = cut_lineage(plots.join(won.select("plot_id"), "plot_id", "left_anti"))
-        movies = cut_lineage(movies.join(won.select("item_id"), "item_id", "left_anti"))
+        taken = won.select(F.inline(F.array(F.struct(F.lit("p").alias("side"), F.col("plot_id").alias("id")), F.struct(F.lit("m").alias("side"), F.col("item_id").alias("id")))))
+        members = cut_lineage(members.join(taken, ["side", "id"], "left_anti"))
     if accepted is None:
-        return plots.join(movies, plots.plot_id == movies.item_id).select("plot_id", "item_id", F.lit(0).alias("distance")).where("false")
+        return edges.select(F.lit(0).cast("long").alias("plot_id"), F.lit(0).cast("long").alias("item_id"), "distance")
     return accepted
 
 
