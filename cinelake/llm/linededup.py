@@ -18,8 +18,11 @@ and the rest is compared by the banded bit-parallel edit distance, one machine
 word for each column. Keys that many lines share are split into shares of the
 index side.
 
-A line goes if an equal line, or one within ``edits`` edits, comes first in
-(doc_id, line number) order; its representative is the earliest such line.
+A line goes if an equal line, or one within ``edits`` edits, comes first in the
+order of (doc_id with null last, row identity, line number); its representative
+is the earliest such line. A row is known by two hashes of its id and text, and
+by a number of its own if the id is null, so rows that share an id but not the
+text, or have none, lose only lines of their own.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ MIN_CHARS = 30
 HOT_KEY = 256
 #: Rows of a table that may be broadcast.
 SMALL = 500_000
-_LAST_ID = 9223372036854775807
+#: Identity of a row among the lines.
+_ROW = ("r1", "r2", "tie")
 
 
 def _let(value: Column, body) -> Column:
@@ -162,16 +166,32 @@ def _signature(line: Column) -> Column:
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64))))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, line_no, line, n, h1, h2``: the lines that are compared, their lengths and 128-bit identities."""
+def _tied(docs: DataFrame, tie: str) -> DataFrame:
+    """``docs`` with ``tie``: 0, or for a row with a null id a number that no other row has."""
+    none = F.col("doc_id").cast("long").isNull()
+    if not docs.filter(none).take(1):
+        return docs.withColumn(tie, F.lit(0).cast("long"))
+    own = stored(docs.filter(none).withColumn(tie, F.monotonically_increasing_id()), docs.sparkSession, "line-null-ids")
+    return docs.filter(~none).withColumn(tie, F.lit(0).cast("long")).unionByName(own)
+
+
+def _row(tie: str) -> list[Column]:
+    """The identity of a row: two hashes of its id and text, and its tie."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [F.xxhash64(doc_id, text), F.xxhash64(F.lit("second"), text, doc_id), F.col(tie)]
+
+
+def _lines(docs: DataFrame, min_chars: int, tie: str) -> DataFrame:
+    """``doc_id, r1, r2, tie, line_no, line, n, h1, h2``: the lines that are compared, their rows, lengths and 128-bit identities."""
     pieces = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("line_no", "_l")).select("doc_id", "line_no", "_l.line", "_l.n")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for c, name in zip(_row(tie), _ROW)], pieces.alias("_p"))
+    lines = rows.select("doc_id", *_ROW, F.posexplode("_p").alias("line_no", "_l")).select("doc_id", *_ROW, "line_no", "_l.line", "_l.n")
     return lines.filter(F.col("n") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
 
 
-def _place(doc_id: Column, line_no: Column) -> Column:
-    """(doc_id, line_no) as one number in their order, so that min() is a hash aggregate; a null id comes last."""
-    return F.coalesce(doc_id, F.lit(_LAST_ID)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")
+def _place() -> Column:
+    """The place of a line in the order of rows and line numbers; a null id comes last."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *_ROW, "line_no")
 
 
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -203,8 +223,8 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return found.select("a1", "a2", "b1", "b2").distinct()
 
 
-def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, lines``: for each document with a line that has an equal or close line elsewhere, those lines.
+def classes(docs: DataFrame, tie: str, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``r1, r2, tie, lines``: for each row of ``docs`` (see ``_tied``) with a line that has an equal or close line elsewhere, those lines.
 
     ``lines`` is an array of (line_no from 0, rep_doc, rep_line, n_links,
     dropped) in line order: the earliest equal or close line, the number of
@@ -213,28 +233,26 @@ def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     if min_chars < 2 * edits + 1:
         raise ValueError("a line must be long enough for its segments")
     spark = docs.sparkSession
-    lines = _lines(docs, min_chars)
-    where = stored(lines.select("doc_id", "line_no", "h1", "h2"), spark, "line-places")
-    first = where.groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("line_no"))).alias("place"), F.count(F.lit(1)).alias("n"))
+    lines = _lines(docs, min_chars, tie)
+    where = stored(lines.select("doc_id", *_ROW, "line_no", "h1", "h2"), spark, "line-places")
+    first = where.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("n"))
     pairs = cut_lineage(links(lines, edits))
     sided = pairs.select("a1", "a2", "b1", "b2").union(pairs.select("b1", "b2", "a1", "a2"))
     linked = cut_lineage(pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct())
-    places = cut_lineage(where.join(broadcast_if_small(linked, SMALL), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("line_no"))).alias("place")))
+    places = cut_lineage(where.join(broadcast_if_small(linked, SMALL), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(_place()).alias("place")))
     other = places.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("place").alias("other"))
     near = sided.join(other, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("other").alias("close"), F.count(F.lit(1)).alias("n_links"))
     known = first.join(near, ["h1", "h2"], "left").filter("n > 1 or close is not null")
     known = cut_lineage(known.select("h1", "h2", F.least("place", "close").alias("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     hit = where.join(broadcast_if_small(known, SMALL), ["h1", "h2"])
-    unit = F.lit(1 << 31).cast("decimal(10,0)")
-    rep_doc = F.floor(F.col("rep") / unit).cast("decimal(20,0)")
     entry = F.struct(
         "line_no",
-        F.nullif(rep_doc.cast("long"), F.lit(_LAST_ID)).alias("rep_doc"),
-        (F.col("rep") - rep_doc * unit).cast("int").alias("rep_line"),
+        F.col("rep.doc_id").alias("rep_doc"),
+        F.col("rep.line_no").alias("rep_line"),
         F.col("n_links").cast("long").alias("n_links"),
-        (_place(F.col("doc_id"), F.col("line_no")) != F.col("rep")).alias("dropped"),
+        (_place() != F.col("rep")).alias("dropped"),
     )
-    return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set(entry)).alias("lines"))
+    return hit.groupBy(*_ROW).agg(F.array_sort(F.collect_set(entry)).alias("lines"))
 
 
 def dedupe(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -243,19 +261,22 @@ def dedupe(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     Lines end at a line feed; lines shorter than ``min_chars`` stay. A text
     that loses no line is returned as it is; null stays null, and
     ``line_classes`` (see ``classes``) is empty where no line has an equal or
-    close one. Rows that repeat a doc_id are one document: where they hold the
-    same line at the same number, that line is one line. Rows with a null id
-    come last in the order and are compared like the others. Columns named like
-    the added one are replaced; an empty table gives no rows.
+    close one. Rows that repeat a doc_id and its text are one document and keep the
+    same lines; rows that repeat a doc_id with another text, and all rows with a
+    null id (which come last in the order), are documents of their own. Columns
+    named like the added one are replaced; an empty table gives no rows.
     """
-    of = fresh(docs, "_of")
-    found = cut_lineage(classes(docs, edits, min_chars)).withColumnsRenamed({"lines": "line_classes", "doc_id": of})
+    docs = docs.drop("line_classes")
+    tie = fresh(docs, "_tie")
+    docs = _tied(docs, tie)
+    names = [fresh(docs, f"_of_{c}") for c in _ROW]
+    found = cut_lineage(classes(docs, tie, edits, min_chars)).select(*[F.col(c).alias(name) for c, name in zip(_ROW, names)], F.col("lines").alias("line_classes"))
     size = found.agg(F.sum(F.size("line_classes"))).first()[0] or 0
     small = F.broadcast(found) if size <= 2 * SMALL else found
-    joined = docs.drop("line_classes").join(small, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left").drop(of)
+    same = [c == F.col(name) for c, name in zip(_row(tie), names)]
+    joined = docs.join(small, same, "left").drop(*names, tie)
     gone = F.transform(F.filter("line_classes", lambda x: x["dropped"]), lambda x: x["line_no"])
     text = F.col("text").cast("string")
-    # a line goes by number and by being long enough: rows of one doc_id may hold different texts
-    kept = F.filter(F.split(text, "\n"), lambda line, i: ~(F.array_contains(gone, i) & (F.length(line) >= min_chars)))
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
     cut = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(text)
     return joined.withColumn("text", cut).withColumn("line_classes", F.coalesce("line_classes", F.expr("cast(array() as array<struct<line_no:int,rep_doc:bigint,rep_line:int,n_links:bigint,dropped:boolean>>)")))

@@ -81,6 +81,18 @@ def test_odd_rows(spark):
     assert linededup.dedupe(documents(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_of_their_own_lose_only_their_own_lines(spark):
+    line = lambda k: f"line {k} " + " ".join(f"w{k}x{i}" for i in range(12))
+    for one in (None, 7):
+        rows = [(1, line(0)), (one, f"{line(0)}\n{line(1)}"), (one, f"{line(2)}\n{line(0)}"), (one, f"{line(3)}\n{line(4)}"), (one, f"{line(3)}\n{line(5)}")]
+        got = sorted(r["text"] for r in linededup.dedupe(documents(spark, rows)).collect())
+        first, second = f"{line(3)}\n{line(4)}", f"{line(3)}\n{line(5)}"
+        rest = sorted([line(0), line(1), line(2)])
+        assert got in (sorted([*rest, first, line(5)]), sorted([*rest, line(4), second]))
+    # without an id there is nothing that makes equal rows one document
+    assert sorted(r["text"] for r in linededup.dedupe(documents(spark, [(None, line(1))] * 3)).collect()) == ["", "", line(1)]
+
+
 def test_shuffled_tables_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(linededup, "SMALL", 0)
     rows = edge_rows() + [(20, PROSE.replace("mill", "mall")), (21, PROSE + "x")]
