@@ -208,11 +208,12 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(docs: DataFrame, block, keep_text: bool) -> DataFrame:
+def _pass(docs: DataFrame, block, keep_text: bool, more: tuple[str, ...]) -> DataFrame:
     """One block of items over all documents; earlier findings in the rows are kept."""
+    kinds = dict(docs.dtypes)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, texts, _, before, items = (c.to_pylist() for c in batch.columns)
+        ids, texts, _, before, items = (c.to_pylist() for c in batch.columns[:5])
         i = 0
         while i < len(ids):
             j, size = i, 0
@@ -225,13 +226,13 @@ def _pass(docs: DataFrame, block, keep_text: bool) -> DataFrame:
                 spans.append([{"first": a, "past": b} for a, b in _joined(s + [(x["first"], x["past"]) for x in before[k] or []])])
                 found.append(sorted({*f, *(items[k] or [])}))
             kept = texts[i:j] if keep_text else [None] * (j - i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "n_words", "spans", "item_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))), pa.array(found, pa.list_(pa.int64())), *[c.slice(i, j - i) for c in batch.columns[5:]]], ["doc_id", "text", "n_words", "spans", "item_ids", *more])
             i = j
 
-    return arrow_map(docs, rows, _FIELDS)
+    return arrow_map(docs, rows, _FIELDS + "".join(f", {c} {kinds[c]}" for c in more))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, more: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_words, spans, item_ids`` for every row of ``docs (doc_id, text)``.
 
     ``spans`` are the word ranges (first, past the last) covered by an
@@ -240,15 +241,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
     run. ``item_ids`` are the items with such a run in the document. Null and
     wordless texts have no words and no hits; items with a null id take no
     part; repeated rows and repeated items change nothing for other rows;
-    other columns are ignored; empty tables give no rows, or rows without hits.
+    the columns ``more`` are passed through and others ignored; empty tables
+    give no rows, or rows without hits.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,past:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("item_ids"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,past:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("item_ids"), *more)
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         table = Benchmark([tuple(r) for r in part.collect()], span, gram)
-        out = _pass(out, spark.sparkContext.broadcast(table), b < blocks - 1)
+        out = _pass(out, spark.sparkContext.broadcast(table), b < blocks - 1, more)
     return out.drop("text")

@@ -63,14 +63,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the unsigned fingerprint in a signed long) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (the unsigned fingerprint in a signed long) and the long columns ``row`` for every row."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *row])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rows, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row), rows, "doc_id long, fp long" + "".join(f", {c} long" for c in row))
 
 
 def _counts(fp: Column) -> Column:
@@ -137,7 +137,7 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, hot_cell: int = HOT_
     return found if extra is None else found.union(extra).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE, hot_cell: int = HOT_CELL) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE, hot_cell: int = HOT_CELL, row: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs (doc_id, text)``.
 
     ``component_id`` is the smallest doc_id reachable over links of at most
@@ -145,13 +145,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
     fingerprint 0 and are linked like any other. Repeated rows give repeated
     results. A null doc_id is never the smallest; where a component has no
     other, its id is null. Other columns are ignored. An empty table gives no rows.
+
+    With ``row``, long columns that tell rows apart, these are passed through
+    and ``is_first`` says whether the row is the smallest of its component by
+    (doc_id with null last, ``row``).
     """
-    prints = cut_lineage(fingerprints(docs, shingle))
-    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints = cut_lineage(fingerprints(docs, shingle, row))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *row)
+    least = [F.min(place).alias("least")] if row else []
+    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *least))
     roots = components(links(classes.select("fp"), max_distance, hot_cell)).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = classes.join(roots, "fp", "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), *([F.min("least").alias("least")] if row else []))
+    found = prints.join(rooted.select("fp", "root").join(smallest, "root").drop("root"), "fp")
+    return found.select("doc_id", "fp", "component_id", *row, *([(place == F.col("least")).alias("is_first")] if row else []))
 
 
 def hex_digits(fp: Column) -> Column:

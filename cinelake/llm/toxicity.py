@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, excepti
 
 def _weights(docs: DataFrame, lexicon: Lexicon, *more: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    extra = "".join(f", {c} int" for c in more)
+    kinds = dict(docs.dtypes)
+    extra = "".join(f", {c} {kinds[c]}" for c in more)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -221,12 +222,13 @@ def _weights(docs: DataFrame, lexicon: Lexicon, *more: str) -> DataFrame:
     return docs.mapInArrow(task, f"doc_id long, weight double, matched long, words long, score double{extra}")
 
 
-def scores(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+def scores(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, more: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, weight, matched, words, score, predicted`` for every row of ``docs (doc_id, text)``.
 
     ``predicted`` is 1 from ``threshold`` on. Null, empty and wordless texts have
     weight 0 and the score of a text without any entry. Repeated rows give
-    repeated results; other columns are ignored; an empty table gives no rows.
+    results; the columns ``more`` are passed through and others ignored; an
+    empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _weights(texts, lexicon).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return _weights(texts, lexicon, *more).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,13 +8,16 @@ stage. All but the last keep the columns of ``documents``.
 2. line_dedup: lines that have an equal or close line earlier go; a document
    that loses more than half of its characters so, and has no line left that is
    long enough to be compared, was a copy and goes with them.
-3. simhash: of each group of near duplicates the smallest doc_id stays.
+3. simhash: of each group of near duplicates the row with the smallest doc_id
+   stays (null ids last, then by a hash of the row).
 4. decontaminate: documents that share a window of 10 words with a benchmark
    item (or hold a whole shorter item) go.
 5. bpe: the remaining texts as token ids, checked by decoding them again.
 
-A null doc_id is kept by every stage: it has no smaller copy and no label. Rows
-that repeat a doc_id are one document and stay or go together. Null and empty
+Every row is decided by what it holds: rows with a null doc_id, or with the
+doc_id of another row, go like any other. Rows that are equal in all columns and
+have a doc_id are one document and stay or go together; of equal rows without
+one, one stays. Null and empty
 texts count as empty documents: near duplicates of each other in stage 3, and
 without tokens in stage 5. Extra columns are carried up to stage 4.
 """
@@ -35,16 +38,25 @@ from cinelake.session import broadcast_if_small
 SMALL = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids (doc_id)``."""
-    gone = ids.filter("doc_id is not null").distinct()
-    return docs.join(broadcast_if_small(gone.checkpoint(), SMALL), "doc_id", "left_anti").select(*docs.columns)
+def _marked(docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """``docs`` with two hashes of the whole row, and their names."""
+    columns = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # Spark hashes no others
+    empty = [c.isNull() for c in columns]  # a hash passes over nulls
+    one, two = fresh(docs, "_row1"), fresh(docs, "_row2")
+    return docs.withColumns({one: F.xxhash64(*columns, *empty), two: F.xxhash64(F.lit("second"), *empty, *columns)}), (one, two)
+
+
+def _without(docs: DataFrame, rows: DataFrame, row: tuple[str, str]) -> DataFrame:
+    """Rows of ``docs`` whose columns ``row`` are not in ``rows``."""
+    gone = rows.select(*row).distinct()
+    return docs.join(broadcast_if_small(gone.checkpoint(), SMALL), list(row), "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     train = fold(F.col("doc_id"), 3) != 1
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), train)
-    return _without(docs, toxicity.scores(docs, lexicon).filter("predicted = 1").select("doc_id"))
+    marked, row = _marked(docs)
+    return _without(marked, toxicity.scores(marked, lexicon, more=row).filter("predicted = 1"), row).drop(*row)
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +69,18 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, shingle=3, max_distance=3)
-    return _without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    marked, row = _marked(docs)
+    found = simhash.near_duplicates(marked, shingle=3, max_distance=3, row=row)
+    kept = _without(marked, found.filter("not is_first"), row)
+    if docs.filter("doc_id is null").take(1):
+        kept = kept.filter("doc_id is not null").unionByName(kept.filter("doc_id is null").dropDuplicates(list(row)))
+    return kept.drop(*row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter(F.size("spans") > 0).select("doc_id"))
+    marked, row = _marked(docs)
+    found = decontaminate.overlaps(marked, table(spark, sf_dir, "benchmark"), more=row)
+    return _without(marked, found.filter(F.size("spans") > 0), row).drop(*row)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs2 = stage(spark, docs, folder)
         assert docs2.columns == docs.columns
+
+
+def test_stages_decide_rows_without_an_id_of_their_own(spark, tmp_path):
+    folder = str(tmp_path)
+    unique = lambda i: " ".join(f"u{i}x{k}" for k in range(40))
+    bad, copied = "you grumblefik number 7, alpha7 echo9 golf11", "what is the airspeed velocity of an unladen swallow flying over it"
+    write(spark, folder, [])
+    texts = lambda df: sorted(r["text"] for r in df.collect() if r["doc_id"] in (None, 30))
+    stage = lambda f, rows: texts(f(spark, spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id <> 30").unionByName(documents(spark, rows)), folder))
+    for f, text in ((corpus_pipeline.drop_toxic, bad), (corpus_pipeline.drop_contaminated, copied)):
+        assert stage(f, [(None, text), (None, unique(1)), (30, text), (30, unique(2))]) == [unique(1), unique(2)]
+    near = stage(corpus_pipeline.drop_near_duplicates, [(None, unique(1)), (None, unique(1)), (None, unique(1).upper()), (30, unique(2)), (30, unique(2).upper()), (None, unique(2)), (None, unique(3)), (None, unique(3))])
+    assert sorted(t.lower() for t in near) == [unique(1), unique(2), unique(3)]
