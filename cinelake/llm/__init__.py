@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, their queries and DuckDB SQL.
+"""Training-data operators: corpus operators, their queries and DuckDB SQL.
 
 Nothing else in the package imports this subpackage; ``__spark_entry__.py``
 adds its queries only when it can be imported.

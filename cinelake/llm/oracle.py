@@ -65,4 +65,39 @@ WITH q AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op2_line_dedup": LINE_DEDUP, "op4_decontaminate": DECONTAMINATE, "op5_top_k": TOP_K}
+# Every kept term times every group; a group and a term it does not use count 0.
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), w AS (
+  SELECT row_no, lang, source, unnest(words) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT row_no) >= 10
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), dense AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS in_lang
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER s + 2 * count(*) OVER s)::BIGINT AS p,
+    1 + (1000000000 * (in_lang + 2)) // (sum(in_lang) OVER s + 2 * count(*) OVER s)::BIGINT AS q
+  FROM dense WINDOW s AS (PARTITION BY lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES = {"op13_divergence": DIVERGENCE, "op2_line_dedup": LINE_DEDUP, "op4_decontaminate": DECONTAMINATE, "op5_top_k": TOP_K}

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators; each applies one operator to its whole table."""
+"""The registered queries of the operators; each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm import bpe, dac, decontaminate, html, langid, linededup, pii, simhash, topk, toxicity
+from cinelake.llm import bpe, dac, decontaminate, divergence, html, langid, linededup, matrixbpe, pii, simhash, topk, toxicity, whitening
 from cinelake.llm.common import shared_path, table
 
 
@@ -79,6 +79,20 @@ def op10_simhash(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_matrix_bpe(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return matrixbpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.audit(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_line_dedup, op3_language, op4_decontaminate, op5_top_k, op6_toxicity, op7_main_text, op8_token_codes, op9_bpe, op10_simhash)
+    f.__name__: f for f in (op1_pii_surrogates, op2_line_dedup, op3_language, op4_decontaminate, op5_top_k, op6_toxicity, op7_main_text, op8_token_codes, op9_bpe, op10_simhash, op11_matrix_bpe, op12_whitening, op13_divergence)
 }
