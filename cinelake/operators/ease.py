@@ -15,8 +15,11 @@ Scale notes
   one round per block row; every round is joins plus a numpy kernel per block in
   ``mapInPandas`` and a reliable checkpoint.  Neither the driver nor a single
   task ever holds G.
-- Percentile: exact; an approximate pass brackets the rank and only the distinct
-  values inside the bracket are counted and placed.
+- Weights and percentile: taken inside the blocks. Each pass counts the values of
+  the blocks by the leading bits of their numbers, so the rank is located in a
+  few small histograms; only the entries that stay become (i, j, b) rows.
+- Beyond ``MAX_DENSE_ITEMS`` items ``operators/ridge.py`` solves the columns
+  without forming the Gram matrix or its inverse.
 - Scoring: see ``recommend`` (one weights join, one aggregate, one shuffle by
   request, zero-fill only where fewer than k scores are positive).
 """
@@ -43,6 +46,10 @@ MAX_BROADCAST_ITEMS = 2_000_000
 MAX_BROADCAST_WEIGHTS = 2_000_000
 # Largest panel of blocks (bytes) broadcast in a round of the inverse.
 MAX_BROADCAST_PANEL = 64 << 20
+# Items up to which the blocked inverse is used; beyond it the columns are solved one panel at a time.
+MAX_DENSE_ITEMS = 100_000
+# Values of one bin of the percentile's histogram that are counted one by one.
+FEW_VALUES = 1 << 17
 _SELF_SALT = 4096
 # Rank accuracy of the approximate bracket around the exact percentile.
 _BRACKET_ACCURACY = 10_000
@@ -63,6 +70,18 @@ def item_index(ratings: DataFrame) -> DataFrame:
     return dense_index(ratings, "item_id", "idx", 0)
 
 
+def interactions(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFrame:
+    """X as stored rows (user_id, idx, v), one per user and item; repeated ratings add up, unscaled."""
+    dictionary = broadcast_if_small(index.select("item_id", "idx"), MAX_BROADCAST_ITEMS)
+    value = F.count(F.lit(1)).cast("double") if implicit else F.sum("rating")
+    return cut_lineage(ratings.join(dictionary, "item_id").groupBy("user_id", "idx").agg(value.alias("v")))
+
+
+def rating_scale(ratings: DataFrame, implicit: bool = False) -> float:
+    """The largest rating, by which explicit values are divided (no ratings: 1)."""
+    return 1.0 if implicit else float(ratings.agg(F.max("rating")).first()[0] or 1.0)
+
+
 def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFrame:
     """Sparse G as (i, j, g) over item indices, both triangles, zero entries absent.
 
@@ -77,9 +96,7 @@ def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFr
     tasks. Pair products are combined map-side before the shuffle on (i, j),
     and the lower triangle is mirrored from the upper one in the same pass.
     """
-    dictionary = broadcast_if_small(index.select("item_id", "idx"), MAX_BROADCAST_ITEMS)
-    value = F.count(F.lit(1)).cast("double") if implicit else F.sum("rating")
-    x = cut_lineage(ratings.join(dictionary, "item_id").groupBy("user_id", "idx").agg(value.alias("v")))
+    x = interactions(ratings, index, implicit)
     deg = x.groupBy("user_id").agg(F.count(F.lit(1)).alias("_deg"))
     heavy = deg.where(F.col("_deg") > SALT_CHUNK).select("user_id", F.ceil(F.col("_deg") / SALT_CHUNK).cast("int").alias("_ns"))
     xs = x.join(broadcast_if_small(heavy, MAX_BROADCAST_ITEMS), "user_id", "left").select(
@@ -94,8 +111,7 @@ def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFr
     )
     pairs = left.join(right, ["user_id", "_s"]).where(F.col("i") <= F.col("j"))
     upper = pairs.groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("gi"))
-    # one scalar: the largest rating (no ratings: empty G, any scale)
-    top = 1.0 if implicit else float(ratings.agg(F.max("rating")).first()[0] or 1.0)
+    top = rating_scale(ratings, implicit)
     g = F.col("gi") / F.lit(top * top)
     both = F.when(
         F.col("i") < F.col("j"),
@@ -228,38 +244,119 @@ def inverse(entries: DataFrame, n: int, lam: float, block: int = BLOCK) -> DataF
     return from_blocks(invert_blocks(to_blocks(entries, n, lam, block), m, block), block)
 
 
-def weights_dense(p: DataFrame) -> DataFrame:
-    """B_ij = -P_ij / P_jj (column j's diagonal), B_jj = 0, all n^2 entries."""
-    diag = p.where(F.col("i") == F.col("j")).select(F.col("j"), F.col("p").alias("_pjj"))
-    return p.join(diag, "j").select(
-        "i", "j", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(-F.col("p") / F.col("_pjj")).alias("b")
-    )
+def _weight_blocks(p_blocks: DataFrame, n: int) -> DataFrame:
+    """Blocks of P beside the part of P's diagonal that their columns need (as ``diag``).
+
+    The diagonal is n numbers: broadcast while they fit the bound, joined by a shuffle beyond.
+    """
 
+    def diagonal(it):
+        for pdf in it:
+            yield pd.DataFrame({"bj": pdf["bj"], "diag": [_pack(np.diag(_unpack(r.data, r.nr))) for r in pdf.itertuples(index=False)]})
 
-def exact_percentile(values: DataFrame, col: str, q: float) -> float:
-    """numpy-style linear-interpolated percentile, exact, without sorting all values.
+    diag = p_blocks.where(F.col("bi") == F.col("bj")).mapInPandas(diagonal, "bj int, diag binary")
+    return p_blocks.join(F.broadcast(diag) if 8 * n <= MAX_BROADCAST_PANEL else diag, "bj")
+
+
+def _weights_of(row) -> np.ndarray:
+    """B_ij = -P_ij / P_jj of a block, with zeros on the diagonal of the matrix."""
+    b = -_unpack(row.data, row.nr) / np.frombuffer(row.diag, np.float64)
+    if row.bi == row.bj:
+        np.fill_diagonal(b, 0.0)
+    return b
+
+
+def _bit_counts(blocks: DataFrame, shift: int, parent: int, parent_shift: int) -> list[tuple[int, int]]:
+    """Sorted (leading bits, count) of |B| over all blocks, within the bin ``parent`` of a coarser count.
+
+    Numbers that are not negative are ordered as their bit patterns, so bins of
+    leading bits are ranges of values. At most 2^20 bins per call, summed in the
+    tasks before the shuffle.
+    """
+
+    def count(it):
+        total: dict[int, int] = {}
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                bits = np.abs(_weights_of(row)).ravel().view(np.uint64)
+                if parent_shift < 64:
+                    bits = bits[bits >> np.uint64(parent_shift) == parent]
+                for k, c in zip(*(x.tolist() for x in np.unique(bits >> np.uint64(shift), return_counts=True))):
+                    total[k] = total.get(k, 0) + c
+        yield pd.DataFrame({"k": np.array(list(total), np.int64), "c": np.array(list(total.values()), np.int64)})
+
+    found = blocks.mapInPandas(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()
+    return sorted((r["k"], r["c"]) for r in found)
+
+
+def block_percentile(weight_blocks: DataFrame, n: int, q: float) -> float:
+    """numpy-style linear-interpolated percentile of |B| over all n^2 entries, exact.
 
-    An approximate quantile pass brackets rank q*(N-1); one counting pass finds
-    how many values lie below the bracket. A bracket of one value is the answer.
+    Counts by the leading 20 bits locate the bin of the rank; a crowded bin is
+    counted again by its next bits, a small one value by value. Last, one pass
+    looks up the next larger value where the rank lies between two.
+    """
+    total = n * n
+    pos = q * (total - 1)
+    low, high = int(np.floor(pos)), int(np.ceil(pos))
+    below, parent, parent_shift, shift = 0, 0, 64, 44
+    while True:
+        for k, c in _bit_counts(weight_blocks, shift, parent, parent_shift):
+            if low < below + c:
+                break
+            below += c
+        if shift == 0:
+            break
+        parent, parent_shift = k, shift
+        shift = 0 if c <= FEW_VALUES else max(0, shift - 20)
+    value = float(np.array([k], np.uint64).view(np.float64)[0])
+    if high < below + c:
+        return value
+
+    def larger(it):
+        best = np.inf
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                b = np.abs(_weights_of(row))
+                best = min(best, b[b > value].min(initial=np.inf))
+        yield pd.DataFrame({"v": [best]})
+
+    after = weight_blocks.mapInPandas(larger, "v double").agg(F.min("v")).first()[0]
+    return value + (pos - low) * (float(after) - value)
+
+
+def block_sparsify(p_blocks: DataFrame, n: int, sparsity: float = DEFAULT_SPARSITY, block: int = BLOCK) -> DataFrame:
+    """Rows (i, j, b) of the weights with |b| >= percentile(|B|, sparsity) over all n^2 entries; zeros are dropped."""
+    blocks = _weight_blocks(p_blocks, n)
+    limit = block_percentile(blocks, n, sparsity / 100.0)
+
+    def keep(it):
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                b = _weights_of(row)
+                i, j = np.nonzero((np.abs(b) >= limit) & (b != 0))
+                yield pd.DataFrame({"i": i + row.bi * block, "j": j + row.bj * block, "b": b[i, j]})
+
+    return blocks.mapInPandas(keep, "i long, j long, b double")
+
+
+def value_at(values: DataFrame, col: str, rank: int) -> float:
+    """The value of 0-based ``rank`` in ascending order, exact, without sorting all values.
+
+    An approximate quantile pass brackets the rank; one counting pass finds how
+    many values lie below the bracket. A bracket of one value is the answer.
     Otherwise the values inside it are counted per distinct value, and running
     counts over the distinct values place the rank, so that a value that most
-    entries share (such as zero) is one row, not one partition. If the bracket
+    rows share (such as zero) is one row, not one partition. If the bracket
     misses (it should not, given the accuracy), all distinct values are counted.
-    Only the two order statistics around the rank reach the driver.
     """
     v = F.col(col)
     eps = 2.0 / _BRACKET_ACCURACY
-    stats = values.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(v, [max(0.0, q - eps), min(1.0, q + eps)], _BRACKET_ACCURACY).alias("b"),
-    ).first()
-    n, (lo_v, hi_v) = stats["n"], stats["b"] or (None, None)
-    if n == 0:
-        return 0.0
-    pos = q * (n - 1)
-    lo, hi = int(np.floor(pos)), int(np.ceil(pos))
+    n = values.count()
+    q = rank / max(1, n - 1)
+    lo_v, hi_v = values.agg(F.percentile_approx(v, [max(0.0, q - eps), min(1.0, q + eps)], _BRACKET_ACCURACY)).first()[0]
     c = values.agg(F.count(F.when(v < lo_v, 1)).alias("below"), F.count(F.when(v <= hi_v, 1)).alias("upto")).first()
-    if c["below"] <= lo and hi < c["upto"]:
+    if c["below"] <= rank < c["upto"]:
         if lo_v == hi_v:
             return float(lo_v)
         inside, offset = values.where((v >= lo_v) & (v <= hi_v)), c["below"]
@@ -267,17 +364,19 @@ def exact_percentile(values: DataFrame, col: str, q: float) -> float:
         inside, offset = values, 0
     counts = inside.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     upto = running_sum(counts, [F.col("_v")], "_n", "_upto")
-    rank_of = upto.select("_v", (F.col("_upto") + offset).alias("_past"), (F.col("_upto") - F.col("_n") + offset).alias("_from"))
-    got = {}
-    for r in rank_of.where(((F.col("_from") <= lo) & (lo < F.col("_past"))) | ((F.col("_from") <= hi) & (hi < F.col("_past")))).collect():
-        got.update({k: r["_v"] for k in (lo, hi) if r["_from"] <= k < r["_past"]})
-    return got[lo] + (pos - lo) * (got[hi] - got[lo])
+    past = F.col("_upto") + offset
+    return float(upto.where((past - F.col("_n") <= rank) & (rank < past)).first()["_v"])
 
 
-def sparsify(b: DataFrame, sparsity: float = DEFAULT_SPARSITY) -> DataFrame:
-    """Keep |b| >= percentile(|b|, sparsity) over all n^2 entries (zeros included); drop zeros."""
-    thr = exact_percentile(b.select(F.abs("b").alias("ab")), "ab", sparsity / 100.0)
-    return b.where((F.abs("b") >= F.lit(thr)) & (F.col("b") != 0)).select("i", "j", "b")
+def exact_percentile(values: DataFrame, col: str, q: float) -> float:
+    """numpy-style linear-interpolated percentile, exact; 0 for no values."""
+    n = values.count()
+    if n == 0:
+        return 0.0
+    pos = q * (n - 1)
+    lo, hi = int(np.floor(pos)), int(np.ceil(pos))
+    low = value_at(values, col, lo)
+    return low if lo == hi else low + (pos - lo) * (value_at(values, col, hi) - low)
 
 
 def prepare(ratings: DataFrame, implicit: bool = False) -> tuple[DataFrame, int, DataFrame]:
@@ -299,11 +398,19 @@ def fit(
     ``prepared`` (from ``prepare``) lets a lambda sweep invert the same stored
     Gram matrix for every lambda instead of rebuilding it.
     """
+    if prepared is None:
+        idx = cut_lineage(item_index(ratings))
+        if idx.count() > MAX_DENSE_ITEMS:
+            from cinelake.operators import ridge
+
+            index, w = ridge.fit(ratings, [lam], sparsity, implicit)
+            return index, w.drop("lam")
     idx, n, g = prepared or prepare(ratings, implicit)
-    p = inverse(g, n, lam, block)
-    # B is read by the percentile passes and the filter: written once, not recomputed per pass
-    w = sparsify(cut_lineage(weights_dense(p)), sparsity)
-    return idx, with_item_ids(w, idx, "b", "w")
+    if not n:
+        return idx, ratings.sparkSession.createDataFrame([], "src_item long, dst_item long, w double")
+    m = (n + block - 1) // block
+    p = invert_blocks(to_blocks(g, n, lam, block), m, block)
+    return idx, with_item_ids(block_sparsify(p, n, sparsity, block), idx, "b", "w")
 
 
 def save_model(index: DataFrame, weights: DataFrame, path: str) -> str:

@@ -267,7 +267,8 @@ oracle(
     "JOIN m_idx a ON a.idx = p.i JOIN m_idx b ON b.idx = p.j",
     model_ctes()[:13],
 )
-oracle("ease_weights", "SELECT src_item, dst_item, round_even(w, 9) AS w FROM m_w", model_ctes())
+for _key in ("ease_weights", "ease_weights_solved"):
+    oracle(_key, "SELECT src_item, dst_item, round_even(w, 9) AS w FROM m_w", model_ctes())
 oracle(
     "ease_recommend",
     f"SELECT t.request_id, t.item_id, t.score, t.rank, nm.title, nm.popularity, nm.imdb_id FROM r_top t {NAMES}",

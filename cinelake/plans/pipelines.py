@@ -113,6 +113,28 @@ def gram_parts(spark: SparkSession, d: str, implicit: bool = False) -> tuple[Dat
     return _MODELS[key]
 
 
+def packed_interactions(spark: SparkSession, d: str) -> tuple:
+    """(item index, packed X) of the train split, stored once per session for the matrix-free fits."""
+    from cinelake.operators import ridge
+
+    key = (session_key(spark), d, "packed")
+    if key not in _MODELS:
+        _MODELS[key] = ridge.prepare(train_ratings(spark, d))
+    return _MODELS[key]
+
+
+def grid_models(spark: SparkSession, d: str, lams: list[float]) -> tuple[DataFrame, DataFrame]:
+    """(item index, weights with a ``lam`` column) of every lambda, solved together and stored."""
+    from cinelake.operators import ridge
+    from cinelake.session import cut_lineage
+
+    key = (session_key(spark), d, tuple(lams), "grid")
+    if key not in _MODELS:
+        idx, w = ridge.fit(train_ratings(spark, d), lams, SPARSITY, packed=packed_interactions(spark, d))
+        _MODELS[key] = idx, cut_lineage(w)
+    return _MODELS[key]
+
+
 # ---------------------------------------------------------------- requests and profile
 
 

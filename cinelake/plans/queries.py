@@ -239,6 +239,13 @@ def ease_weights(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumn("w", F.bround("w", 9))
 
 
+@query
+def ease_weights_solved(spark: SparkSession, d: str) -> DataFrame:
+    """The same weights from the matrix-free solver: no Gram matrix and no inverse."""
+    _, w = P.grid_models(spark, d, [P.LAMBDA])
+    return w.select("src_item", "dst_item", F.bround("w", 9).alias("w"))
+
+
 def _ease_top(spark: SparkSession, d: str, req: DataFrame, k: int) -> DataFrame:
     idx, w = P.model(spark, d)
     return ease.recommend(req, idx, w, k)
@@ -642,9 +649,8 @@ def holdout_split(spark: SparkSession, d: str) -> DataFrame:
     return _holdout(spark, d)
 
 
-def _precision_recall(spark: SparkSession, d: str, lam: float) -> DataFrame:
+def _precision_recall(spark: SparkSession, d: str, idx: DataFrame, w: DataFrame) -> DataFrame:
     h = _holdout(spark, d)
-    idx, w = P.model(spark, d, lam)
     req = h.where(F.col("part") == "sample").select(F.col("user_id").alias("request_id"), "item_id", "rating")
     top = ease.recommend(req, idx, w, EVAL_K).withColumnRenamed("request_id", "user_id")
     target = h.where(F.col("part") == "target")
@@ -654,15 +660,18 @@ def _precision_recall(spark: SparkSession, d: str, lam: float) -> DataFrame:
 
 @query
 def precision_recall(spark: SparkSession, d: str) -> DataFrame:
-    return _precision_recall(spark, d, P.LAMBDA)
+    return _precision_recall(spark, d, *P.model(spark, d))
 
 
 @query
 def lambda_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """One row per lambda with the metrics and each metric's rank (the grid is small and fixed)."""
+    """One row per lambda with the metrics and each metric's rank (the grid is small and fixed).
+
+    All models come from one multi-shift solve over the packed interactions."""
     rows = None
+    idx, weights = P.grid_models(spark, d, LAMBDAS)
     for lam in LAMBDAS:
-        r = _precision_recall(spark, d, lam).select(F.lit(lam).alias("lambda"), "precision", "recall", "f1")
+        r = _precision_recall(spark, d, idx, weights.where(F.col("lam") == lam)).select(F.lit(lam).alias("lambda"), "precision", "recall", "f1")
         rows = r if rows is None else rows.unionByName(r)
     for m in ("precision", "recall", "f1"):
         rows = rows.withColumn(f"rank_{m}", F.row_number().over(Window.orderBy(F.col(m).desc(), F.col("lambda"))))
