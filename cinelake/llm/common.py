@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from cinelake.session import cut_lineage, ensure_checkpoint_dir, shared_path, table
 
-__all__ = ["arrow_map", "cut_lineage", "ensure_checkpoint_dir", "fresh", "shared_path", "slices", "stored", "table", "worker_memo"]
+__all__ = ["arrow_map", "cut_lineage", "ensure_checkpoint_dir", "fresh", "share", "shared_path", "slices", "stored", "table", "worker_memo"]
 
 
 def worker_memo(key: str, make: Callable[[], object]) -> object:
@@ -25,6 +28,26 @@ def worker_memo(key: str, make: Callable[[], object]) -> object:
     return memo[key]
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Send ``value`` to the executors once; the function that is returned gives it back inside a task.
+
+    A broadcast object is pickled by reference to its class, which an executor
+    without the package cannot import. So it goes as bytes that hold the class
+    too, and a worker process builds it once (it keeps the last two).
+    """
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get() -> object:
+        kept = sys.__dict__.setdefault("_cinelake_shared", {})
+        if key not in kept:
+            while len(kept) > 1:
+                del kept[next(iter(kept))]
+            kept[key] = pickle.loads(sent.value)
+        return kept[key]
+
+    return get
+
+
 #: Rows whose values become Python objects at once.
 ROWS = 512
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import arrow_map, worker_memo
+from cinelake.llm.common import arrow_map, share, worker_memo
 
 SPAN = 10
 GRAM = 5
@@ -221,7 +221,7 @@ def _pass(docs: DataFrame, block, keep_text: bool, more: tuple[str, ...]) -> Dat
                 size += 4 * len(texts[j] or "")
                 j += 1
             n_words, spans, found = [], [], []
-            for k, (n, s, f) in enumerate(block.value.hits([t or "" for t in texts[i:j]]), i):
+            for k, (n, s, f) in enumerate(block().hits([t or "" for t in texts[i:j]]), i):
                 n_words.append(n)
                 spans.append([{"first": a, "past": b} for a, b in _joined(s + [(x["first"], x["past"]) for x in before[k] or []])])
                 found.append(sorted({*f, *(items[k] or [])}))
@@ -252,5 +252,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         table = Benchmark([tuple(r) for r in part.collect()], span, gram)
-        out = _pass(out, spark.sparkContext.broadcast(table), b < blocks - 1, more)
+        out = _pass(out, share(spark, table), b < blocks - 1, more)
     return out.drop("text")

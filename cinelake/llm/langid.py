@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import arrow_map, worker_memo
+from cinelake.llm.common import arrow_map, share, worker_memo
 
 DIM = 1 << 12
 PER_LANG = 800
+#: Ranges of hashes that are counted to choose the fitting sample (a power of two).
+BINS = 1 << 12
 #: Characters whose n-grams are counted at once.
 _BLOCK = 1 << 18
 
@@ -131,13 +133,19 @@ class Model:
 def fit(docs: DataFrame, per_lang: int = PER_LANG, families: dict[str, list[str]] | None = None, dim: int = DIM) -> Model | None:
     """The model of ``docs (doc_id, text, lang)``; None if no row has both a letter and a language.
 
-    Bound: at most ``per_lang`` rows of each language reach the driver, as
-    sparse n-gram counts.
+    Bound: at most ``per_lang`` different texts of each language reach the
+    driver, as sparse n-gram counts. They are those with the smallest hashes of
+    id and text: the hashes are counted in ``BINS`` ranges per language, and the
+    ranges are taken from the lowest on while the bound holds. Equal rows count
+    once; a repeated or null id is no other case.
     """
-    ids = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    chosen = ids.withColumn("_r", rank).filter(F.col("_r") <= per_lang).select("doc_id").distinct()
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    lang, text = F.col("lang").cast("string"), F.col("text").cast("string")
+    hashed = docs.filter("lang is not null and text is not null").select(lang.alias("lang"), text.alias("text"), F.xxhash64("doc_id", text).alias("_h"))
+    one = hashed.select("lang", "_h").distinct().groupBy("lang", F.shiftrightunsigned("_h", 64 - BINS.bit_length() + 1).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("lang").orderBy("_bin"))  # ``BINS`` rows of a language at most
+    cut = one.withColumn("_upto", upto).filter(F.col("_upto") <= per_lang).groupBy("lang").agg(F.max("_bin").alias("_last"))
+    chosen = hashed.join(F.broadcast(cut), "lang").filter(F.shiftrightunsigned("_h", 64 - BINS.bit_length() + 1) <= F.col("_last"))
+    sample = chosen.dropDuplicates(["lang", "_h"]).select("text", "lang")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, at, values = [], [], []
@@ -167,10 +175,10 @@ def predict(docs: DataFrame, model: Model | None, dim: int = DIM) -> DataFrame:
     model. Repeated rows give repeated results; other columns are ignored; an
     empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, out = shared.value, []
+        m, out = shared(), []
         for text in batch.column(1).to_pylist():
             x = features(text, dim) if m is not None else None
             out.append(("und", 0.0) if x is None else m.predict(x))

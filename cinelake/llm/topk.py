@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import cut_lineage
+from cinelake.llm.common import cut_lineage, share
 
 BLOCK = 4096
 BINS = 1024
@@ -71,7 +71,7 @@ def _histograms(candidates: DataFrame, block, low: np.ndarray, span: np.ndarray,
     """``q, bin, n``: counts of the scores in each query's range of ``span`` values from ``low``, in bins of ``width``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block.value
+        b = block()
         total, n = np.zeros(len(b.ids) * bins, np.int64), len(b.ids)
         base = np.arange(n)[:, None] * bins
         for _, s in b.scores(batches):
@@ -110,7 +110,7 @@ def _winners(candidates: DataFrame, block, kth: np.ndarray, k: int) -> DataFrame
     """``query_id, vec_id, score``: of each task, what lies above the k-th score and the k smallest ids equal to it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block.value
+        b = block()
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         ties = [np.zeros(0, np.int64)] * len(b.ids)
         for ids, s in b.scores(batches):
@@ -156,7 +156,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
             x = np.zeros((len(rows), dim), np.int64)
             for i, r in enumerate(rows):
                 x[i, : len(r["x"])] = r["x"]
-            shared = spark.sparkContext.broadcast(_Block(np.array([r["vec_id"] for r in rows], np.int64), x, kind))
+            shared = share(spark, _Block(np.array([r["vec_id"] for r in rows], np.int64), x, kind))
             limit = np.abs(x).sum(1) * max(1, most)
             kth = _kth(candidates, shared, k, limit, bins)
             out = out.union(cut_lineage(_winners(candidates, shared, kth, k)))

@@ -29,10 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import arrow_map, cut_lineage, slices
+from cinelake.llm.common import arrow_map, cut_lineage, share, slices
+from cinelake.session import broadcast_if_small
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
+#: Toxic texts that hold an entry, and clean texts that hold a harmless pair, at least; the same for every size of table.
+FLOOR, SPARE_FLOOR = 2, 3
+#: Rows of labels (an id and a bit) that may be broadcast.
+SMALL = 2_000_000
 PREFIXES = range(4, 10)
 #: Least weight of an entry, and standard errors taken off its log ratio.
 LEAST, ERRORS = 2.0, 2.0
@@ -144,10 +149,15 @@ def _counts(sample: DataFrame, label: int, of) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> DataFrame:
-    """``line, toxic`` (folded text, 0 or 1) of at most ``sample`` labelled ids that ``train`` (a condition on doc_id) admits."""
+    """``line, toxic`` (folded text, 0 or 1) of at most ``sample`` labelled texts that ``train`` (a condition on doc_id) admits.
+
+    Those with the smallest hashes of id and text; equal rows count once, and an
+    id that many rows share brings no more of them than the bound.
+    """
     marks = labels.filter("doc_id is not null and toxic is not null").filter(train).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    hashed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("_h"))
+    chosen = hashed.select("doc_id", "_h").distinct().join(broadcast_if_small(marks, SMALL), "doc_id").orderBy("_h", "doc_id").limit(sample)
+    texts = hashed.join(F.broadcast(chosen), ["doc_id", "_h"]).dropDuplicates(["doc_id", "_h"]).select("text", "toxic")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([folded(t) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["line", "toxic"])
@@ -163,9 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, excepti
     fixed = {folded(e).strip() for e in exceptions}
     if not n1 or not n0:
         return Lexicon({}, fixed, (-30.0 if not n1 else 30.0 if not n0 else 0.0, 0.0, 0.0))
-    least = max(2, n1 // 200)
-    # an entry in at least 1 in 200 toxic texts: at most 200 times what a text holds
-    often = {r["entry"]: (r["n"], r["mass"]) for r in _counts(lines, 1, _entries).filter(F.col("n") >= least).collect()}
+    # at most what ``sample`` texts hold; whether an entry counts is left to the confidence bound
+    often = {r["entry"]: (r["n"], r["mass"]) for r in _counts(lines, 1, _entries).filter(F.col("n") >= FLOOR).collect()}
     spark = lines.sparkSession
     wanted = spark.sparkContext.broadcast(frozenset(often))
     clean = {r["entry"]: (r["n"], r["mass"]) for r in _counts(lines, 0, lambda line: {e: n for e, n in _entries(line).items() if e in wanted.value}).collect()}
@@ -180,8 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, excepti
     if doubtful:
         finder = Lexicon({e: 1.0 for e in doubtful}, set(), (0.0, 0.0, 0.0))
 
+        held: list[ahocorasick.Automaton] = []
+
         def pairs(line: str) -> dict[str, int]:
-            found, automaton = set(), finder.automaton()
+            if not held:
+                held.append(finder.automaton())  # once per task
+            found, automaton = set(), held[0]
             for end, (n, _) in automaton.iter(line):
                 begin = end - n + 1
                 past = line.index(" ", begin + 1)
@@ -193,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, excepti
                     found.add(line[begin + 1 : right])
             return dict.fromkeys(found, 1)
 
-        spare = {r["entry"] for r in _counts(lines, 0, pairs).filter(F.col("n") >= max(3, n0 // 1000)).collect()}
+        spare = {r["entry"] for r in _counts(lines, 0, pairs).filter(F.col("n") >= SPARE_FLOOR).collect()}
         spare_bc = spark.sparkContext.broadcast(frozenset(spare))
         guilty = {r["entry"] for r in _counts(lines, 1, lambda line: {p: 1 for p in pairs(line) if p in spare_bc.value}).collect()}
         fixed |= spare - guilty
@@ -206,12 +219,12 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, excepti
 
 
 def _weights(docs: DataFrame, lexicon: Lexicon, *more: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = share(docs.sparkSession, lexicon)
     kinds = dict(docs.dtypes)
     extra = "".join(f", {c} {kinds[c]}" for c in more)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         automaton = model.automaton()
         for batch in slices(batches):
             found = [model.weigh(automaton, t) for t in batch.column(1).to_pylist()]
