@@ -26,6 +26,9 @@ Scale notes
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -340,32 +343,38 @@ def block_sparsify(p_blocks: DataFrame, n: int, sparsity: float = DEFAULT_SPARSI
     return blocks.mapInPandas(keep, "i long, j long, b double")
 
 
-def value_at(values: DataFrame, col: str, rank: int) -> float:
-    """The value of 0-based ``rank`` in ascending order, exact, without sorting all values.
+def values_at(values: DataFrame, col: str, ranks: list[int], n: int) -> list[float]:
+    """The values at 0-based ``ranks`` of ``n`` rows in ascending order, exact, without sorting all values.
 
-    An approximate quantile pass brackets the rank; one counting pass finds how
-    many values lie below the bracket. A bracket of one value is the answer.
-    Otherwise the values inside it are counted per distinct value, and running
-    counts over the distinct values place the rank, so that a value that most
-    rows share (such as zero) is one row, not one partition. If the bracket
-    misses (it should not, given the accuracy), all distinct values are counted.
+    An approximate quantile pass brackets the ranks (which lie close together);
+    one counting pass finds how many values lie below the bracket and in it. The
+    values inside are counted per distinct value, so a value that most rows
+    share (such as zero) is one row. Few of them are placed on the driver;
+    beyond ``FEW_VALUES`` running counts over range partitions place the ranks.
+    If the bracket misses (it should not, given the accuracy), all values are
+    inside.
     """
     v = F.col(col)
     eps = 2.0 / _BRACKET_ACCURACY
-    n = values.count()
-    q = rank / max(1, n - 1)
-    lo_v, hi_v = values.agg(F.percentile_approx(v, [max(0.0, q - eps), min(1.0, q + eps)], _BRACKET_ACCURACY)).first()[0]
+    ends = [max(0.0, min(ranks) / max(1, n - 1) - eps), min(1.0, max(ranks) / max(1, n - 1) + eps)]
+    lo_v, hi_v = values.agg(F.percentile_approx(v, ends, _BRACKET_ACCURACY)).first()[0]
     c = values.agg(F.count(F.when(v < lo_v, 1)).alias("below"), F.count(F.when(v <= hi_v, 1)).alias("upto")).first()
-    if c["below"] <= rank < c["upto"]:
-        if lo_v == hi_v:
-            return float(lo_v)
-        inside, offset = values.where((v >= lo_v) & (v <= hi_v)), c["below"]
-    else:
-        inside, offset = values, 0
+    inside, offset, size = values.where((v >= lo_v) & (v <= hi_v)), c["below"], c["upto"] - c["below"]
+    if not (c["below"] <= min(ranks) and max(ranks) < c["upto"]):
+        inside, offset, size = values, 0, n
+    elif lo_v == hi_v:
+        return [float(lo_v)] * len(ranks)
     counts = inside.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running_sum(counts, [F.col("_v")], "_n", "_upto")
-    past = F.col("_upto") + offset
-    return float(upto.where((past - F.col("_n") <= rank) & (rank < past)).first()["_v"])
+    if size > FEW_VALUES:
+        upto = running_sum(counts, [F.col("_v")], "_n", "_upto")
+        first = F.col("_upto") + offset - F.col("_n")
+        holds = [(first <= r) & (F.lit(r) < F.col("_upto") + offset) for r in ranks]
+        rows = [(r["_v"], r["_first"], r["_n"]) for r in upto.select("_v", first.alias("_first"), "_n").where(reduce(or_, holds)).collect()]
+    else:
+        found = sorted((r["_v"], r["_n"]) for r in counts.collect())
+        past = np.cumsum([k for _, k in found]) + offset
+        rows = [(x, int(end) - k, k) for (x, k), end in zip(found, past)]
+    return [float(next(x for x, begin, k in rows if begin <= r < begin + k)) for r in ranks]
 
 
 def exact_percentile(values: DataFrame, col: str, q: float) -> float:
@@ -375,8 +384,8 @@ def exact_percentile(values: DataFrame, col: str, q: float) -> float:
         return 0.0
     pos = q * (n - 1)
     lo, hi = int(np.floor(pos)), int(np.ceil(pos))
-    low = value_at(values, col, lo)
-    return low if lo == hi else low + (pos - lo) * (value_at(values, col, hi) - low)
+    low, high = values_at(values, col, [lo, hi], n)
+    return low + (pos - lo) * (high - low)
 
 
 def prepare(ratings: DataFrame, implicit: bool = False) -> tuple[DataFrame, int, DataFrame]:

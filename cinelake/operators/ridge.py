@@ -313,7 +313,7 @@ class Solver:
         for k in range(len(self.lams)):
             mine = seen.where(F.col("lam") == k).select(F.abs("b").alias("ab"))
             count = mine.count()
-            bounds.append(ease.value_at(mine, "ab", count - rank) if rank < count else 0.0)
+            bounds.append(ease.values_at(mine, "ab", [count - rank], count)[0] if rank < count else 0.0)
         if len(columns) == n:
             return seen, bounds
         return self.entries(np.arange(n), bounds), bounds
@@ -331,10 +331,12 @@ def sparse_weights(solver: Solver, sparsity: float) -> DataFrame:
         thresholds = []
         for k, bound in enumerate(bounds):
             values = kept.where((F.col("lam") == k) & (F.abs("b") >= bound)).select(F.abs("b").alias("ab"))
-            below = total - values.count()
+            count = values.count()
+            below = total - count
             if low < below and bound > 0:  # the spread columns held larger weights than the others
                 break
-            at = [ease.value_at(values, "ab", r - below) if r >= below else 0.0 for r in (low, high)]
+            placed = [r - below for r in (low, high) if r >= below]
+            at = [0.0] * (2 - len(placed)) + (ease.values_at(values, "ab", placed, count) if placed else [])
             thresholds.append(at[0] + (position - low) * (at[1] - at[0]))
         else:
             limit = F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("lam") + 1)
