@@ -12,26 +12,29 @@
   distance (<= 2, case-insensitive, over its aliases), most popular first on ties.
 - ``match_plots``: one-to-one matching of plot records to catalogue titles inside
   each year, distance <= 3, greedy by (distance, plot order, movie rank). It runs
-  on classes of equal titles, distance by distance: fully linked groups of
-  classes are paired by rank, only the others list their pairs and are walked in
-  rounds that accept every edge minimal for both of its ends (equal to the
-  sequential greedy walk).
+  on classes of equal titles, distance by distance and connected part by part:
+  a part is walked with a list and a counter per class; only parts too large for
+  one task are paired by rank or walked in rounds (see ``match_classes``).
 """
 
 from __future__ import annotations
 
 from decimal import Decimal as _Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.functions import text as T
+from cinelake.operators.components import components
 from cinelake.operators.indexing import group_row_number
 from cinelake.session import cut_lineage
 
 # Resolve threshold 2, plot-matching threshold 3.
 RESOLVE_MAX = 2
 MATCH_MAX = 3
+# Members and links of a part that one task walks.
+WALK_ROWS = 1_000_000
 
 
 def catalogue_aliases(movies: DataFrame) -> DataFrame:
@@ -153,26 +156,60 @@ def title_edges(plots: DataFrame, movies: DataFrame, max_distance: int = MATCH_M
 
 
 def _class_components(edges: DataFrame) -> DataFrame:
-    """(pclass, mclass, part): edges with the name of their connected part (its smallest plot class)."""
-    cur = cut_lineage(edges.select("pclass", "mclass", F.col("pclass").alias("part")))
-    while True:
-        by_movie = cur.groupBy("mclass").agg(F.min("part").alias("_m"))
-        by_plot = cur.join(by_movie, "mclass").groupBy("pclass").agg(F.min("_m").alias("_part"))
-        new = cut_lineage(cur.join(by_plot, "pclass").select("pclass", "mclass", F.col("_part").alias("part"), (F.col("_part") != F.col("part")).alias("_moved")))
-        cur = new.drop("_moved")
-        if new.where("_moved").isEmpty():
-            return cur
+    """(pclass, mclass, part): edges with the name of their connected part."""
+    parts = components(edges.select(F.concat(F.lit("p"), "pclass").alias("a"), F.concat(F.lit("m"), "mclass").alias("b")))
+    of = parts.where(F.col("node").startswith("p")).select(F.expr("substring(node, 2)").alias("pclass"), "part")
+    return cut_lineage(edges.select("pclass", "mclass").join(of, "pclass"))
+
+
+def _walk_part(rows: pd.DataFrame) -> pd.DataFrame:
+    """The greedy walk over one part: plots in order, each takes the first movie left of its classes.
+
+    Equal titles stay one class: a class of movies is a sorted list and a count
+    of those taken, so the work is the members times the classes a title is
+    linked to, not the pairs.
+    """
+    movies = {c: sorted(g) for c, g in rows[rows["side"] == "m"].groupby("cls")["id"]}
+    linked: dict[str, list[str]] = {}
+    for p, m in zip(*(rows.loc[rows["side"] == "e", c] for c in ("cls", "other"))):
+        linked.setdefault(p, []).append(m)
+    taken = dict.fromkeys(movies, 0)
+    out = []
+    plots = rows[rows["side"] == "p"].sort_values("id")
+    for p, cls in zip(plots["id"], plots["cls"]):
+        linked[cls] = left = [m for m in linked[cls] if m in movies and taken[m] < len(movies[m])]
+        if left:
+            best = min(left, key=lambda m: movies[m][taken[m]])
+            out.append((p, movies[best][taken[best]]))
+            taken[best] += 1
+    return pd.DataFrame(out, columns=["plot_id", "item_id"])
+
+
+def _large_parts(parts: DataFrame, members: DataFrame, plots: DataFrame, movies: DataFrame, distance: int) -> DataFrame:
+    """The walk over parts that no single task should hold: ``plot_id, item_id``."""
+    full = parts.groupBy("part").agg((F.count(F.lit(1)) == F.count_distinct("pclass") * F.count_distinct("mclass")).alias("_full"))
+    parts = cut_lineage(parts.join(full, "part"))
+    whole, loose = parts.where("_full"), parts.where("not _full")
+    sides = whole.select("part", F.inline(F.array(F.struct(F.lit("p").alias("side"), F.col("pclass").alias("cls")), F.struct(F.lit("m").alias("side"), F.col("mclass").alias("cls"))))).distinct()
+    numbered = group_row_number(members.join(sides, ["side", "cls"]).select("part", "side", "id"), ["part", "side"], ["id"], "_n")
+    won = numbered.where("side = 'p'").select("part", "_n", F.col("id").alias("plot_id")).join(numbered.where("side = 'm'").select("part", "_n", F.col("id").alias("item_id")), ["part", "_n"]).select("plot_id", "item_id")
+    if loose.isEmpty():
+        return won
+    pairs = loose.join(plots, "pclass").join(movies, "mclass").select("plot_id", "item_id", F.col("item_id").alias("movie_rank"), F.lit(distance).alias("distance"))
+    return won.unionByName(greedy_one_to_one(pairs).select("plot_id", "item_id"))
 
 
 def match_classes(p: DataFrame, m: DataFrame, edges: DataFrame) -> DataFrame:
     """The greedy (distance, plot, movie) walk by classes: accepted (plot_id, item_id, distance).
 
     One phase per distance. Classes that are linked at that distance fall into
-    connected parts. In a part where every plot class is linked to every movie
+    connected parts, and the walk goes over each part on its own. A part of up
+    to ``WALK_ROWS`` members and links is walked in one task, by classes. The
+    parts beyond that size: where every plot class is linked to every movie
     class the walk pairs the plots in order with the movies in order, so both
     sides are numbered (without a window over the part) and joined on the
-    number. Only parts that are linked incompletely list their pairs and are
-    walked in rounds.
+    number; a part that is linked incompletely lists its pairs and is walked in
+    rounds.
     """
     members = cut_lineage(
         p.select(F.lit("p").alias("side"), F.col("plot_id").alias("id"), F.col("pclass").alias("cls")).unionByName(
@@ -189,15 +226,16 @@ def match_classes(p: DataFrame, m: DataFrame, edges: DataFrame) -> DataFrame:
         plots, movies = left("p", "plot_id", "pclass"), left("m", "item_id", "mclass")
         here = edges.where(F.col("distance") == distance).join(plots.select("pclass"), "pclass", "left_semi").join(movies.select("mclass"), "mclass", "left_semi")
         parts = _class_components(here)
-        full = parts.groupBy("part").agg((F.count(F.lit(1)) == F.count_distinct("pclass") * F.count_distinct("mclass")).alias("_full"))
-        parts = cut_lineage(parts.join(full, "part"))
-        whole, loose = parts.where("_full"), parts.where("not _full")
-        sides = whole.select("part", F.inline(F.array(F.struct(F.lit("p").alias("side"), F.col("pclass").alias("cls")), F.struct(F.lit("m").alias("side"), F.col("mclass").alias("cls"))))).distinct()
-        numbered = group_row_number(members.join(sides, ["side", "cls"]).select("part", "side", "id"), ["part", "side"], ["id"], "_n")
-        won = numbered.where("side = 'p'").select("part", "_n", F.col("id").alias("plot_id")).join(numbered.where("side = 'm'").select("part", "_n", F.col("id").alias("item_id")), ["part", "_n"]).select("plot_id", "item_id")
-        if not loose.isEmpty():
-            pairs = loose.join(plots, "pclass").join(movies, "mclass").select("plot_id", "item_id", F.col("item_id").alias("movie_rank"), F.lit(distance).alias("distance"))
-            won = won.unionByName(greedy_one_to_one(pairs).select("plot_id", "item_id"))
+        ends = F.array(F.struct(F.lit("p").alias("side"), F.col("pclass").alias("cls")), F.struct(F.lit("m").alias("side"), F.col("mclass").alias("cls")))
+        sides = parts.select("part", F.inline(ends)).distinct()
+        rows = members.join(sides, ["side", "cls"]).select("part", "side", "cls", "id", F.lit(None).cast("string").alias("other"))
+        rows = cut_lineage(rows.unionByName(parts.select("part", F.lit("e").alias("side"), F.col("pclass").alias("cls"), F.lit(None).cast("long").alias("id"), F.col("mclass").alias("other"))))
+        large = cut_lineage(rows.groupBy("part").count().where(F.col("count") > WALK_ROWS).select("part"))
+        some_large = not large.isEmpty()
+        small = rows.join(large, "part", "left_anti") if some_large else rows
+        won = small.groupBy("part").applyInPandas(lambda part: _walk_part(part), "plot_id long, item_id long")
+        if some_large:
+            won = won.unionByName(_large_parts(parts.join(large, "part", "left_semi"), members, plots, movies, distance))
         won = cut_lineage(won.withColumn("distance", F.lit(distance)))
         accepted = won if accepted is None else accepted.unionByName(won)
         taken = won.select(F.inline(F.array(F.struct(F.lit("p").alias("side"), F.col("plot_id").alias("id")), F.struct(F.lit("m").alias("side"), F.col("item_id").alias("id")))))

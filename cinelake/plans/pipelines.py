@@ -135,6 +135,14 @@ def grid_models(spark: SparkSession, d: str, lams: list[float]) -> tuple[DataFra
     return _MODELS[key]
 
 
+@V._memo
+def title_index(spark: SparkSession, d: str):
+    """The stored gram index of the catalogue's titles."""
+    from cinelake.operators.search import build_title_index
+
+    return build_title_index(V.movies(spark, d))
+
+
 # ---------------------------------------------------------------- requests and profile
 
 

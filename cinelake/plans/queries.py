@@ -598,7 +598,7 @@ def blend_llm(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def title_search(spark: SparkSession, d: str) -> DataFrame:
-    return SE.title_search(V.search_terms(spark, d), V.movies(spark, d))
+    return SE.title_search(V.search_terms(spark, d), V.movies(spark, d), index=P.title_index(spark, d))
 
 
 @query
