@@ -49,6 +49,8 @@ MAX_BROADCAST_ITEMS = 2_000_000
 MAX_BROADCAST_WEIGHTS = 2_000_000
 # Largest panel of blocks (bytes) broadcast in a round of the inverse.
 MAX_BROADCAST_PANEL = 64 << 20
+# Part of a saved model's name: raised when a fit of the same input may give other weights.
+MODEL_VERSION = 3
 # Items up to which the blocked inverse is used; beyond it the columns are solved one panel at a time.
 MAX_DENSE_ITEMS = 100_000
 # Values of one bin of the percentile's histogram that are counted one by one.

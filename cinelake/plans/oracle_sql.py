@@ -622,7 +622,8 @@ LLM_CTES = (
     ]
 )
 _prompt_oracles()
-oracle("score_pairs", f"SELECT answer_id, item_id, {fitness_sql('answer').replace(' AS score', ' AS llm_score')} FROM l_scored", LLM_CTES)
+for _key in ("score_pairs", "score_ledger"):
+    oracle(_key, f"SELECT answer_id, item_id, {fitness_sql('answer').replace(' AS score', ' AS llm_score')} FROM l_scored", LLM_CTES)
 oracle(
     "fitness_prompts",
     f"SELECT answer_id, item_id, CASE WHEN answer_id % 2 = 1 THEN {FIT['inst']} ELSE {FIT['chat']} END AS prompt FROM l_pairs",

@@ -90,15 +90,23 @@ def train_ratings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model(spark: SparkSession, d: str, lam: float = LAMBDA, implicit: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(item_index, weights) fitted on the train split and saved; a later call, also of another
-    process that knows the path, reads the saved model."""
+    """(item_index, weights) of the train split: the saved model if there is one, else fitted and saved.
+
+    Looked up by the input files and the parameters, so another session with the
+    same shared folder loads it without fitting, and changed files are fitted anew."""
     from cinelake.operators import ease
-    from cinelake.session import shared_path
+    from cinelake.sources import once
 
     key = (session_key(spark), d, lam, implicit)
     if key not in _MODELS:
-        idx, w = ease.fit(train_ratings(spark, d), lam, SPARSITY, implicit, prepared=gram_parts(spark, d, implicit))
-        _MODELS[key] = ease.load_model(spark, ease.save_model(idx.select("item_id", F.col("idx").cast("long")), w, shared_path(spark, "model")))
+
+        def fit_and_save(path: str) -> None:
+            idx, w = ease.fit(train_ratings(spark, d), lam, SPARSITY, implicit, prepared=gram_parts(spark, d, implicit))
+            ease.save_model(idx.select("item_id", F.col("idx").cast("long")), w, path)
+
+        name = once.fingerprint(spark, [d], "ease", ease.MODEL_VERSION, lam, SPARSITY, implicit, MIN_YEAR, MIN_ITEM_RATINGS, TEST_USERS, TEST_MIN_RATINGS, SEED)
+        path, _ = once.write_once(spark, once.place(spark, "model", name), fit_and_save)
+        _MODELS[key] = ease.load_model(spark, path)
     return _MODELS[key]
 
 

@@ -16,9 +16,10 @@ from cinelake.operators import blend, curate, ease
 from cinelake.plans import pipelines as P
 from cinelake.plans import views as V
 from cinelake.session import cut_lineage, session_key, shared_path, table
-from cinelake.sources import io
+from cinelake.sources import io, once
 from cinelake.streaming import state as S
 from cinelake.functions import answers as A
+from cinelake.functions import ledger
 from cinelake.functions import text as TX
 from cinelake.operators import resolve as R
 from cinelake.operators import search as SE
@@ -559,6 +560,30 @@ def score_pairs(spark: SparkSession, d: str) -> DataFrame:
     return f.select("answer_id", "item_id", F.col("_f.score").alias("llm_score"), F.col("_f.explanation").alias("explanation"))
 
 
+def _overlap_client(preferences, plots):
+    """The bundled scorer as an external client would be called: two columns of texts in, answers out."""
+    out = []
+    for wish, plot in zip(preferences, plots):
+        if wish is None or plot is None:
+            out.append(None)
+            continue
+        shared = len(set(wish.lower().split(" ")) & set(plot.lower().split(" ")))
+        score = float(min(5, 1 + shared))
+        out.append(f"{score} --- Shares {int(score) - 1} words with the wishes.")
+    return out
+
+
+@query
+def score_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of ``score_pairs`` through the ledger of external calls: distinct pairs, each sent once."""
+    scored = ledger.score_once(_llm_pairs(spark, d), _overlap_client, shared_path(spark, "ledger"), parts=LEDGER_PARTS)
+    f = scored.select("answer_id", "item_id", A.parse_fitness(F.col("answer")).alias("_f"))
+    return f.select("answer_id", "item_id", F.col("_f.score").alias("llm_score"), F.col("_f.explanation").alias("explanation"))
+
+
+LEDGER_PARTS = 4
+
+
 @query
 def blend_llm(spark: SparkSession, d: str) -> DataFrame:
     c = _llm_candidates(spark, d)
@@ -785,19 +810,23 @@ def conversion_loss(spark: SparkSession, d: str) -> DataFrame:
     return EV.conversion_loss(t.join(m, "item_id", "left_semi"), conv)
 
 
+PREDICTION_PARTS = 2  # committed one by one
+
+
 @query
 def resume_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Resume a batch run from a given user: users at or after the start that have no stored output yet."""
+    """Resume a batch run from a given user: users at or after the start that have no committed output yet."""
     c = _cohort(spark, d)
     start = c.orderBy("user_id").select("user_id").limit(COHORT // 2).agg(F.max("user_id")).first()[0]
     t = _targets(spark, d)
     req = t.where(F.col("role") == "sample").select(F.col("user_id").alias("request_id"), "item_id", "rating")
-    done_path = shared_path(spark, "predictions_done")
+    folder, schema = shared_path(spark, "predictions"), "request_id long, item_id long, score double, rank int"
     early = req.where(F.col("request_id") % 4 == 0)
-    _ease_top(spark, d, early, P.TOP_K).write.parquet(done_path)
-    done = spark.read.parquet(done_path).select(F.col("request_id")).distinct()
+    once.run_parts(spark, f"{folder}/early", early, "request_id", PREDICTION_PARTS, lambda part: _ease_top(spark, d, part, P.TOP_K), schema)
+    done = once.finished(spark, f"{folder}/early", PREDICTION_PARTS, schema).select("request_id").distinct()
     todo = req.where(F.col("request_id") >= start).join(done, "request_id", "left_anti")
-    return _ease_top(spark, d, todo, P.TOP_K).withColumnRenamed("request_id", "user_id")
+    rest = once.run_parts(spark, f"{folder}/rest", todo, "request_id", PREDICTION_PARTS, lambda part: _ease_top(spark, d, part, P.TOP_K), schema)
+    return rest.withColumnRenamed("request_id", "user_id")
 
 
 # ---------------------------------------------------------------- step 10: sources and sinks round trips

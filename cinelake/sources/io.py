@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinelake.sources import once
+
 RATINGS_SCHEMA = T.StructType(
     [
         T.StructField("item_id", T.LongType()),
@@ -213,11 +214,10 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chosen_once(spark: SparkSession, choose: Callable[[], DataFrame], path: str) -> DataFrame:
-    """The ids stored at ``path``; only if there are none, ``choose()`` draws them and they are stored."""
-    try:
-        return read_id_list(spark, path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    write_id_list(choose(), path)
-    return read_id_list(spark, path)
+    """The ids committed under ``path``; only if there are none, ``choose()`` draws them and they are committed.
+
+    A folder without a commit mark, as a writer leaves that died, is no cohort;
+    of two sessions that draw at once the first to commit wins for both.
+    """
+    found, _ = once.write_once(spark, path, lambda data: write_id_list(choose(), data))
+    return read_id_list(spark, found)
