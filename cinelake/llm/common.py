@@ -33,15 +33,14 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
 
     A broadcast object is pickled by reference to its class, which an executor
     without the package cannot import. So it goes as bytes that hold the class
-    too, and a worker process builds it once (it keeps the last two).
+    too, and a worker process builds it once (it keeps the last one).
     """
     sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
 
     def get() -> object:
         kept = sys.__dict__.setdefault("_cinelake_shared", {})
         if key not in kept:
-            while len(kept) > 1:
-                del kept[next(iter(kept))]
+            kept.clear()
             kept[key] = pickle.loads(sent.value)
         return kept[key]
 

@@ -173,8 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, excepti
     fixed = {folded(e).strip() for e in exceptions}
     if not n1 or not n0:
         return Lexicon({}, fixed, (-30.0 if not n1 else 30.0 if not n0 else 0.0, 0.0, 0.0))
-    # at most what ``sample`` texts hold; whether an entry counts is left to the confidence bound
-    often = {r["entry"]: (r["n"], r["mass"]) for r in _counts(lines, 1, _entries).filter(F.col("n") >= FLOOR).collect()}
+    # only entries whose confidence bound could suffice if no clean text held them: the others cannot get a weight
+    hope = F.log((F.col("mass") + 0.5) / (n1 + 1)) - float(np.log(0.5 / (n0 + 1))) - ERRORS * F.sqrt(1 / (F.col("n") + 0.5) + 2.0)
+    often = {r["entry"]: (r["n"], r["mass"]) for r in _counts(lines, 1, _entries).filter((F.col("n") >= FLOOR) & (hope >= LEAST - 1e-9)).collect()}
     spark = lines.sparkSession
     wanted = spark.sparkContext.broadcast(frozenset(often))
     clean = {r["entry"]: (r["n"], r["mass"]) for r in _counts(lines, 0, lambda line: {e: n for e, n in _entries(line).items() if e in wanted.value}).collect()}
