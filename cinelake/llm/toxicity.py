@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import arrow_map, cut_lineage, share, slices
+from cinelake.llm.common import cut_lineage, share, slices
 from cinelake.session import broadcast_if_small
 
 SAMPLE = 20_000
@@ -155,19 +155,27 @@ def labelled(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) ->
     id that many rows share brings no more of them than the bound.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").filter(train).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    hashed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("_h"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("_h"))
     chosen = hashed.select("doc_id", "_h").distinct().join(broadcast_if_small(marks, SMALL), "doc_id").orderBy("_h", "doc_id").limit(sample)
-    texts = hashed.join(F.broadcast(chosen), ["doc_id", "_h"]).dropDuplicates(["doc_id", "_h"]).select("text", "toxic")
+    texts = hashed.join(F.broadcast(chosen), ["doc_id", "_h"]).select("text", "toxic", "doc_id", "_h", F.spark_partition_id().alias("_task"))
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([folded(t) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["line", "toxic"])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in slices(batches):
+            text, toxic, ids, hashes, tasks = (c.to_pylist() for c in batch.columns)
+            new = [i for i, key in enumerate(zip(ids, hashes)) if key not in seen and not seen.add(key)]
+            lines = pa.array([folded(text[i]) for i in new], pa.string())
+            yield pa.RecordBatch.from_arrays([lines, *[c.take(pa.array(new, pa.int64())) for c in batch.columns[1:]]], ["line", "toxic", "doc_id", "_h", "_task"])
 
-    return arrow_map(texts, rows, "line string, toxic int")
+    # equal rows of several tasks: the first task's one stays; only ids and hashes are shuffled, no text
+    once = cut_lineage(texts.mapInArrow(task, "line string, toxic int, doc_id long, _h long, _task int"))
+    first = once.groupBy("doc_id", "_h").agg(F.min("_task").alias("_task"))
+    return once.join(F.broadcast(first), ["doc_id", "_h", "_task"]).select("line", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """The lexicon of the labelled texts; without any label of either kind it is empty and scores 0."""
-    lines = cut_lineage(labelled(docs, labels, train, sample))
+    lines = labelled(docs, labels, train, sample)  # stored
     size = {r["toxic"]: r["count"] for r in lines.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     fixed = {folded(e).strip() for e in exceptions}
