@@ -10,6 +10,10 @@ element around the content gives the text: the article or main element that
 holds most of it, else the innermost element around all of it. Blocks inside
 navigation, page headers, footers, sidebars, forms, notices, adverts, comments
 and the like never take part.
+
+What a class or id says counts less than what an element holds: such a mark is
+passed over on an element around an article or main element, or around more
+than half of the text that no element name rules out.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from cinelake.llm.common import arrow_map
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select xmp title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mfrac mi mn mo mrow ms msqrt msub msup mtext semantics".split())
+RAW = frozenset("script style template iframe object svg canvas audio video textarea select xmp title".split())
 NEVER = frozenset("head nav footer aside form button dialog menu fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,18 +43,25 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|"
-    r"social|share|sharing|comments?|commentlist|disqus|replies|respond|sidebars?|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|footer|masthead|related|recommended|pagination|pager|toolbar|skip-link|login|search)(?:$|[\s_-])",
+    r"social|share|sharing|comments?|commentlist|disqus|replies|respond|sidebars?|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|footer|masthead|recommended|pagination|pager|toolbar|skip-link|login|search|"
+    r"related(?:[_-]?(?:posts?|articles?|stories|content|links?|news|topics|items|pages|reading))?(?=\s|$))(?:$|[\s_-])",
     re.I,
 )
+# what a page has or lacks is no boilerplate itself
+_STATE = re.compile(r"^(?:has|no|not|is|with|without)[_-].*|.*[_-](?:enabled|disabled|allowed)$", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”\"()]")
 
 
+#: What rules an element out: nothing, its class or id, or its name, role or style.
+FREE, MARKED, OUT = 0, 1, 2
+
+
 class _Element:
-    __slots__ = ("bad", "name", "number", "parent", "path")
+    __slots__ = ("mark", "name", "number", "parent", "path")
 
-    def __init__(self, name: str, parent: _Element | None, number: int, bad: bool) -> None:
-        self.name, self.parent, self.number, self.bad = name, parent, number, bad
+    def __init__(self, name: str, parent: _Element | None, number: int, mark: int) -> None:
+        self.name, self.parent, self.number, self.mark = name, parent, number, mark
         self.path = (parent.path if parent else "") + "/" + name
 
     def chain(self) -> Iterator[_Element]:
@@ -60,28 +71,48 @@ class _Element:
             e = e.parent
 
 
-def _boilerplate(name: str, attributes: str, around: _Element) -> bool:
+def _boilerplate(name: str, attributes: str, around: _Element) -> int:
+    """FREE, MARKED or OUT for an element below ``around``."""
     if name in NEVER:
-        return True
+        return OUT
     inside = any(e.name in ("article", "main") for e in around.chain())
-    if name == "header" and not inside:
-        return True
+    if name in ("header", "noscript") and not inside:
+        return OUT
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return FREE
+    mark = FREE
     for key, value in _ATTR.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and (_BAD.search(value) or not inside and _HEADER.search(value)):
-            return True
+        if key in ("class", "id"):
+            said = " ".join(word for word in value.split() if not _STATE.match(word))
+            if _BAD.search(said) or not inside and _HEADER.search(said):
+                mark = MARKED
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return OUT
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return OUT
+    return mark
+
+
+def _kept(found: list[tuple[_Element, str, int]]) -> list[tuple[_Element, str, int]]:
+    """Blocks that no element around them rules out."""
+    allowed = [b for b in found if all(e.mark != OUT for e in b[0].chain())]
+    total = sum(len(t) for _, t, _ in allowed)
+    held: dict[int, int] = {}
+    around: set[int] = set()  # elements around an article or main element that holds text
+    for e, t, _ in allowed:
+        inner = False
+        for x in e.chain():
+            held[x.number] = held.get(x.number, 0) + len(t)
+            if inner:
+                around.add(x.number)
+            inner = inner or x.name in ("article", "main")
+    return [b for b in allowed if all(e.mark == FREE or e.number in around or 2 * held[e.number] > total for e in b[0].chain())]
 
 
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """Blocks in page order: element, text with single spaces, characters of it inside links."""
-    here = _Element("", None, 0, False)
+    here = _Element("", None, 0, FREE)
     out: list[tuple[_Element, str, int]] = []
     text: list[str] = []
     linked, in_link, count = 0, 0, 0
@@ -129,7 +160,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
                         break
                 in_link = sum(t == "a" for t, _ in inline)
             else:
-                bad = bool(m.group(3)) and name != "a" and _boilerplate(name, m.group(3), here)
+                bad = bool(m.group(3)) and name != "a" and _boilerplate(name, m.group(3), here) != FREE
                 inline.append((name, bad))
                 hidden += bad
                 in_link += name == "a"
@@ -161,14 +192,14 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
                     break
         if name not in VOID:
             count += 1
-            here = _Element(name, here, count, here.bad or _boilerplate(name, m.group(3), here))
+            here = _Element(name, here, count, _boilerplate(name, m.group(3), here))
     flush()
     return out
 
 
 def main_text(page: str | None, sigma: float = 1.0) -> str:
     """The main text of a page, one line for each block; empty if it has none."""
-    found = [b for b in blocks(page or "") if not b[0].bad]
+    found = _kept(blocks(page or ""))
     if not found:
         return ""
     sums: dict[str, list[float]] = {}
@@ -211,8 +242,8 @@ def main_text(page: str | None, sigma: float = 1.0) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages (page_id, url, html)``.
 
-    Null and empty pages, and pages without any content, give an empty text.
-    Repeated rows give repeated results; other columns are ignored; an empty
+    Null and empty pages, and pages without any content, give an empty text;
+    very long pages are read whole. Repeated rows give repeated results; other columns are ignored; an empty
     table gives no rows.
     """
 

@@ -52,3 +52,29 @@ def test_odd_pages(spark):
     assert got[3] == ["plain text, no tags"] and got[4] == ["one\ntwo"] * 2 and got[None] == ["x"]
     assert got[7][0].count("\n") == 19999 and got[9] == ["a\nb"]
     assert html.extract(pages.filter("false")).count() == 0
+
+
+ARTICLE = "<h1>The title</h1>" + "".join(f"<p>Sentence {i} of the article, with commas, and an end. Then one more follows it.</p>" for i in range(4))
+LINES = ["The title", *[f"Sentence {i} of the article, with commas, and an end. Then one more follows it." for i in range(4)]]
+
+
+def lines_of(body):
+    return html.main_text(f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>Us</footer></body></html>").split("\n")
+
+
+def test_class_words_do_not_rule_out_what_holds_the_article():
+    for wrapper in ("post comments-enabled", "layout has-sidebar", "no-comments", "content search-result", "widget-area", "banner"):
+        assert lines_of(f'<div class="{wrapper}"><article>{ARTICLE}</article></div>') == LINES, wrapper
+        assert lines_of(f'<div class="{wrapper}">{ARTICLE}</div>') == LINES, wrapper
+    assert lines_of(f'<article>{ARTICLE}<div class="related-posts"><p>Read this too, please.</p></div></article><div class="comments"><p>Nice one, thanks.</p></div>') == LINES
+    assert lines_of(f'<div id="comments"><article>{ARTICLE}</article></div><div class="sidebar"><p>Popular, every day.</p></div>') == LINES
+
+
+def test_formulas_noscript_and_named_sections_of_an_article_stay():
+    got = lines_of(f'<article>{ARTICLE}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><section class="related-work"><p>Others did it before.</p></section><noscript><p>Told without scripts.</p></noscript></article><noscript>Enable scripts!</noscript>')
+    assert got == [*LINES, "So x=2 holds.", "Others did it before.", "Told without scripts."]
+
+
+def test_nested_asides_and_a_page_without_article_text():
+    assert lines_of(f"<main>{ARTICLE}<aside>One <aside>Two</aside> three</aside></main>") == LINES
+    assert lines_of('<form><p>Search, please.</p></form><div hidden><p>Not shown.</p></div>') == [""]
