@@ -16,7 +16,7 @@ A block is the bytes
 with little-endian numbers. The file format is Parquet rows ``part, first,
 doc_ids, sizes, n_tokens, codes``: a block of whole documents in ascending
 doc_id order, the position of its first token within its part, and its codes.
-Parts are ranges of doc_id in ascending order, so a token's position in the
+Parts are ranges of documents in ascending order, so a token's position in the
 corpus is its part's offset (a sum over one number per part) plus its position
 in the part.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinelake.llm import bpe
-from cinelake.llm.common import arrow_map, slices, worker_memo
+from cinelake.llm.common import arrow_map, cut_lineage, slices, worker_memo
 
 END_ID = 0
 #: Ids of a block, and bits between entries of the rank directory.
@@ -131,11 +131,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, block: int = BLOCK) -> Non
 
     Documents follow in ascending doc_id (null first; rows of one doc_id in the
     order of a hash of their text), each with id 0 appended. Null and empty
-    texts have the end id only. Other columns are ignored.
+    texts have the end id only; very long ones are encoded whole and a document is
+    never split over blocks. Other columns are ignored; an empty table gives a
+    folder without blocks.
+
+    The ranges are cut on the id, the hash and a number of the row, so an id that
+    many rows share, or equal rows, spread over as many tasks as any others.
     """
     name = bpe.shipped(docs, tokenizer)
-    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = key.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    text = F.col("text").cast("string")
+    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("number"))
+    ordered = key.repartitionByRange("doc_id", "hash", "number").sortWithinPartitions("doc_id", "hash", "number").select("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_memo(f"dac.{name}", lambda: _Encoder(SparkFiles.get(name)))
@@ -163,18 +169,65 @@ def write(docs: DataFrame, path: str, tokenizer: str, block: int = BLOCK) -> Non
     ordered.mapInArrow(blocks, _FILE).write.option("compression", "zstd").parquet(path)
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """``first, n_tokens, doc_ids, sizes, codes`` of every block; ``first`` counts the ids of all blocks before it."""
+    files = spark.read.schema(_FILE).parquet(path)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # one row for each part
+    offsets = sizes.select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("offset"))
+    return files.join(F.broadcast(offsets), F.col("part") == F.col("_part")).select((F.col("first") + F.col("offset")).alias("first"), "n_tokens", "doc_ids", "sizes", "codes")
+
+
+#: Positions of a block that meet its codes in one row.
+TOGETHER = 4096
+
+
+def lookup(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """``position, token`` for every row of ``positions (position)``: single ids of the corpus, read without decoding their blocks.
+
+    The blocks' first positions and sizes are read without their codes, a
+    position finds its block by its rank among them, and the codes of the
+    blocks that are asked for go to their positions, which are gathered in
+    bounded groups. Null positions and those outside the corpus give a null
+    token; repeated positions give repeated rows; an empty table, or an empty
+    corpus, gives what those rules say.
+    """
+    asked = positions.select(F.col("position").cast("long").alias("position"))
+    heads = _placed(spark, path).select("first", "n_tokens").filter("n_tokens > 0")
+    # heads and positions in one order: the last head at or before a position is its block's
+    marks = heads.select(F.col("first").alias("at"), F.lit(0).alias("kind"), (F.col("first") + F.col("n_tokens")).alias("past"))
+    inside = asked.filter("position is not null").select(F.col("position").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("past"))
+    ordered = cut_lineage(marks.unionByName(inside).repartitionByRange("at", "kind", F.rand(8)).sortWithinPartitions("at", "kind").withColumn("task", F.spark_partition_id()).withColumn("no", F.monotonically_increasing_id()))
+    here = Window.partitionBy("task").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    carried = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.when(F.col("kind") == 0, F.struct(F.col("at").alias("first"), "past"))
+    last = ordered.groupBy("task").agg(F.max(head).alias("head"))  # one row for each task
+    earlier = last.select("task", F.max("head").over(carried).alias("earlier"))
+    found = ordered.withColumn("head", F.max(head).over(here)).join(F.broadcast(earlier), "task").filter("kind = 1")
+    found = found.select(F.col("at").alias("position"), F.coalesce("head", "earlier").alias("head"), "no")
+    found = cut_lineage(found.select("position", "no", F.when(F.col("position") < F.col("head.past"), F.col("head.first")).alias("first")))
+    groups = found.filter("first is not null").withColumn("share", F.pmod(F.xxhash64("no"), F.lit(1 << 20)))
+    crowd = groups.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("shares"))
+    groups = groups.join(crowd, "first").groupBy("first", F.pmod("share", "shares").alias("share")).agg(F.collect_list("position").alias("positions"))
+    met = _placed(spark, path).select("first", "codes").join(groups, "first").select("first", "positions", "codes")
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):
+            first, wanted, codes = (batch.column(c)[i].as_py() for c in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([access(codes, p - first) for p in wanted], pa.int64())], ["position", "token"])
+
+    nowhere = found.filter("first is null").select("position").unionByName(asked.filter("position is null"))
+    return arrow_map(met, rows, "position long, token long").unionByName(nowhere.select("position", F.lit(None).cast("long").alias("token")))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files.
 
     ``start`` counts the ids of all documents before it, ``n_tokens`` the ids
     with the end id, ``ids_crc32`` is the CRC of the ids as little-endian
-    unsigned 32-bit integers.
+    unsigned 32-bit integers. A folder without blocks gives no rows.
     """
-    files = spark.read.schema(_FILE).parquet(path)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # one row for each part
-    offsets = sizes.select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("offset"))
-    placed = files.join(F.broadcast(offsets), F.col("part") == F.col("_part")).select((F.col("first") + F.col("offset")).alias("first"), "doc_ids", "sizes", "codes")
+    placed = _placed(spark, path).select("first", "doc_ids", "sizes", "codes")
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):

@@ -62,3 +62,35 @@ def test_access_over_many_strides():
     assert all(dac.access(codes, int(i)) == ids[i] for i in rng.integers(0, 20_000, 3000))
     with pytest.raises(ValueError):
         dac.unpack(b"XXXX" + codes[4:])
+
+
+def test_an_id_on_a_third_of_the_rows_spreads_over_the_tasks(spark):
+    rows = [(i, f"text {i} of its own") for i in range(4000)] + [(None, f"without an id {i}") for i in range(1000)] + [(None, "the same row, always")] * 1000
+    path = shared_path(spark, "test", uuid.uuid4().hex)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be merged
+    try:
+        dac.write(documents(spark, rows).repartition(8), path, byte_bpe(), block=500)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = spark.read.parquet(path).selectExpr("part", "size(doc_ids) as n").groupBy("part").sum("n").collect()
+    assert len(parts) == 8 and max(r[1] for r in parts) < 2 * len(rows) / 8
+    got = sorted((tuple(r) for r in dac.read(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 2000 + list(range(4000))
+    assert got[-1][1] + got[-1][2] == sum(len(ids_of(t)) + 1 for _, t in rows)
+
+
+def test_single_tokens_by_corpus_position(spark):
+    rows = [*[(i, f"document {i} says {i * i} things") for i in range(300)], (300, ""), (301, None)]
+    whole = [i for _, t in rows for i in [*ids_of(t or ""), 0]]
+    path = shared_path(spark, "test", uuid.uuid4().hex)
+    dac.write(documents(spark, rows).repartition(5), path, byte_bpe(), block=100)
+    n = len(whole)
+    asked = [0, n - 1, n, -1, None, 7, 7, *range(0, n, 13), *[n // 2] * 9000]
+    got = [tuple(r) for r in dac.lookup(spark, path, spark.createDataFrame([(p,) for p in asked], "position long").repartition(6)).collect()]
+    want = [(p, whole[p] if p is not None and 0 <= p < n else None) for p in asked]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    empty = shared_path(spark, "test", uuid.uuid4().hex)
+    dac.write(documents(spark, []), empty, byte_bpe())
+    some = spark.createDataFrame([(0,), (None,)], "position long")
+    assert sorted((tuple(r) for r in dac.lookup(spark, empty, some).collect()), key=repr) == [(0, None), (None, None)]
+    assert dac.lookup(spark, path, some.filter("false")).count() == 0
