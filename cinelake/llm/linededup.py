@@ -1,7 +1,8 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame operations.
 
-Lines of at least ``min_chars`` characters are compared across the whole table.
-A line within ``edits`` edits of another keeps one of the other's
+Lines that hold a letter are compared across the whole table: those of at least
+``min_chars`` characters with all that are close, shorter ones with equal ones
+only. A line within ``edits`` edits of another keeps one of the other's
 ``edits + 1`` segments whole, at a position that the lengths bound. So every
 line is entered in an index under (length, segment number, segment) for its own
 segments, and probes it with the substrings that a partner of its length or up
@@ -182,11 +183,11 @@ def _row(tie: str) -> list[Column]:
 
 
 def _lines(docs: DataFrame, min_chars: int, tie: str) -> DataFrame:
-    """``doc_id, r1, r2, tie, line_no, line, n, h1, h2``: the lines that are compared, their rows, lengths and 128-bit identities."""
+    """``doc_id, r1, r2, tie, line_no, line, n, h1, h2``: the long lines and those with a letter, their rows, lengths and 128-bit identities."""
     pieces = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for c, name in zip(_row(tie), _ROW)], pieces.alias("_p"))
     lines = rows.select("doc_id", *_ROW, F.posexplode("_p").alias("line_no", "_l")).select("doc_id", *_ROW, "line_no", "_l.line", "_l.n")
-    return lines.filter(F.col("n") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
+    return lines.filter((F.col("n") >= min_chars) | F.col("line").rlike(r"\p{L}")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
 
 
 def _place() -> Column:
@@ -236,7 +237,7 @@ def classes(docs: DataFrame, tie: str, edits: int = EDITS, min_chars: int = MIN_
     lines = _lines(docs, min_chars, tie)
     where = stored(lines.select("doc_id", *_ROW, "line_no", "h1", "h2"), spark, "line-places")
     first = where.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("n"))
-    pairs = cut_lineage(links(lines, edits))
+    pairs = cut_lineage(links(lines.filter(F.col("n") >= min_chars), edits))
     sided = pairs.select("a1", "a2", "b1", "b2").union(pairs.select("b1", "b2", "a1", "a2"))
     linked = cut_lineage(pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct())
     places = cut_lineage(where.join(broadcast_if_small(linked, SMALL), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(_place()).alias("place")))
@@ -258,8 +259,9 @@ def classes(docs: DataFrame, tie: str, edits: int = EDITS, min_chars: int = MIN_
 def dedupe(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs (doc_id, text, ...)`` with ``text`` without its duplicate lines, and ``line_classes``.
 
-    Lines end at a line feed; lines shorter than ``min_chars`` stay. A text
-    that loses no line is returned as it is; null stays null, and
+    Lines end at a line feed; lines shorter than ``min_chars`` go only if an equal
+    line comes first, and stay if they hold no letter (blank lines, brackets,
+    rules). Very long texts and lines are compared whole. A text that loses no line is returned as it is; null stays null, and
     ``line_classes`` (see ``classes``) is empty where no line has an equal or
     close one. Rows that repeat a doc_id and its text are one document and keep the
     same lines; rows that repeat a doc_id with another text, and all rows with a

@@ -8,9 +8,9 @@ LINE_DEDUP = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
 ), d AS (
-  SELECT line, length(line) AS len, min({'doc': doc_id, 'no': line_no}) AS place, count(*) AS n FROM l WHERE length(line) >= 30 GROUP BY line
+  SELECT line, length(line) AS len, min({'doc': doc_id, 'no': line_no}) AS place, count(*) AS n FROM l WHERE length(line) >= 30 OR regexp_matches(line, '\p{L}') GROUP BY line
 ), near AS (
-  SELECT a.line, b.place AS other FROM d a JOIN d b ON b.len BETWEEN a.len - 2 AND a.len + 2 AND a.line <> b.line
+  SELECT a.line, b.place AS other FROM d a JOIN d b ON b.len BETWEEN a.len - 2 AND a.len + 2 AND a.line <> b.line AND a.len >= 30 AND b.len >= 30
   WHERE (left(a.line, 8) = left(b.line, 8) OR right(a.line, 8) = right(b.line, 8)
          OR contains(b.line, substr(a.line, 9, 7)))
     AND levenshtein(a.line, b.line) <= 2

@@ -44,10 +44,10 @@ def plain(rows, edits, min_chars):
     places, out = {}, []
     for d, t in rows:
         for n, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(line) >= min_chars:
+            if len(line) >= min_chars or any(c.isalpha() for c in line):
                 places.setdefault(line, set()).add((key(d), n))
     first = {x: min(p) for x, p in places.items()}
-    near = {x: [y for y in first if y != x and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits] for x in first}
+    near = {x: [y for y in first if y != x and min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits] for x in first}
     rep = {x: min([first[x], *(first[y] for y in near[x])]) for x in first}
     for d, t in rows:
         kept = [line for n, line in enumerate(t.split("\n")) if line not in rep or rep[line] == (key(d), n)] if t is not None else None
@@ -93,6 +93,12 @@ def test_rows_without_an_id_of_their_own_lose_only_their_own_lines(spark):
     assert sorted(r["text"] for r in linededup.dedupe(documents(spark, [(None, line(1))] * 3)).collect()) == ["", "", line(1)]
 
 
+def test_short_lines_go_if_an_equal_one_comes_first(spark):
+    rows = [(1, "All rights reserved.\n}\n\nfirst"), (2, "second\nAll rights reserved.\n}\n"), (3, "All rights reserved!\n}\n---"), (4, "x\nAll rights reserved.\nx")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedupe(documents(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "second\n}\n", 3: rows[2][1], 4: "x"}
+
+
 def test_shuffled_tables_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(linededup, "SMALL", 0)
     rows = edge_rows() + [(20, PROSE.replace("mill", "mall")), (21, PROSE + "x")]
