@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import cut_lineage, fresh, stored
+from cinelake.operators.indexing import group_row_number
 from cinelake.session import broadcast_if_small
 
 KEY = "surrogate-key-1"
@@ -45,18 +46,26 @@ GIVEN = {
 }
 ADDRESS = {"m": "Mr Herr Señor Sr Monsieur Sir Lord".split(), "f": "Mrs Ms Miss Frau Señora Sra Madame Mme Mlle Lady".split(), "n": "Dr Prof".split()}
 
+# Country codes of one and two digits; the others have three.
+_COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _FORMS = "|".join(n for names in ADDRESS.values() for n in names)
 _W = r"\p{L}\p{N}"
+_HEX = "[0-9a-fA-F]"
+# a capitalised word, also with an apostrophe or a hyphen inside
+_CAP = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:-\p{Lu}\p{L}+)?"
 _KINDS = "|".join(
     [
         rf"(?<![._%+-])[{_W}._%+-]++@[{_W}-]++(?:\.[{_W}-]++)+",
-        rf"[0-9a-fA-F]{{32,128}}(?![{_W}])",
+        rf"{_HEX}{{32,}}+(?![{_W}])",
+        rf"(?=[a-fA-F:]*\d)(?:(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?:{_HEX}{{1,4}}:){{1,6}}(?::{_HEX}{{1,4}}){{1,6}})(?![{_W}:])",
         rf"(?<!\.)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}(?!\.?[{_W}])",
         rf"(?<!\+)\+\d{{1,3}}(?:[^{_W}+@\n]{{1,7}}\d{{2,5}}){{2,4}}(?![{_W}])",
+        rf"(?<!\+)\+(?:\d{{8,15}}|\d{{1,3}}[ -]\d{{6,12}})(?![{_W}])",
         rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
-        rf"(?<!-)(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{3}}-\d{{2}}-\d{{4}}|\(?\d{{3}}\)?[ -]\d{{3}}-\d{{4}})(?![{_W}])",
-        rf"(?=\p{{Lu}})(?:(?iu:{_FORMS})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?|(?iu:{_NAMES}) \p{{Lu}}\p{{L}}+)(?![{_W}])",
+        rf"(?<!-)(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}}|\d{{3}}-\d{{2}}-\d{{4}}|(?:1-)?(?:\(?\d{{3}}\)?[ .-]|\(\d{{3}}\))\d{{3}}[.-]\d{{4}})(?![{_W}])",
+        rf"(?=\p{{Lu}})(?:(?iu:{_FORMS})\.? {_CAP}(?: \p{{Lu}}\.)?(?: {_CAP})?|(?iu:{_NAMES})(?: \p{{Lu}}\.)? {_CAP}(?: {_CAP})?)(?![{_W}])",
     ]
 )
 # an entity begins where a word does, so the kinds are tried there only
@@ -74,10 +83,11 @@ def _kind(raw: Column) -> Column:
         F.when(raw.contains("@"), "email")
         .when(raw.rlike(r"^[0-9a-fA-F]{32,}$") & ~raw.rlike(r"^\d{32,}$"), "token")
         .when(raw.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
+        .when(raw.rlike(r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*$"), "ip6")
         .when(raw.rlike(r"^\+"), "phone")
         .when(raw.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(raw.rlike(r"^\(?\d{3}\)?[ -]\d{3}-\d{4}$"), "phone")
+        .when(raw.rlike(r"^(?:1-)?\(?\d{3}\)?[ .-]?\d{3}[.-]\d{4}$"), "phone")
         .when(raw.rlike(r"^\d"), "card")
         .otherwise("person")
     )
@@ -90,9 +100,10 @@ def _lower_set(names: list[str]) -> Column:
 def _parts(raw: Column, kind: Column) -> Column:
     """(kind, normal form, written form) of the entities of a written form: the words of a person's name, else itself.
 
-    A form of address is kept: its part has no kind.
+    A form of address and an initial are kept: their parts have no kind.
     """
-    first_digits = F.regexp_extract(raw, r"^\+(\d{1,3})", 1)
+    # without a separator the country code ends where the numbering plan says
+    first_digits = F.when(raw.rlike(r"^\+\d{8,}$"), F.regexp_extract(raw, rf"^\+({_COUNTRY})", 1)).otherwise(F.regexp_extract(raw, r"^\+(\d{1,3})", 1))
     digits = F.regexp_replace(raw, r"\D", "")
     plain = F.when((kind == "phone") & raw.startswith("+"), F.concat(F.lit("+"), first_digits, F.lit(" "), F.substring(digits, F.length(first_digits) + 1, F.length(digits)))).otherwise(
         F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.upper(F.regexp_replace(raw, r"\s", ""))).otherwise(F.lower(raw))
@@ -109,7 +120,9 @@ def _parts(raw: Column, kind: Column) -> Column:
         title = gender.isNotNull() & (i == 0)
         # after a form of address the last word is the family name
         last = i == F.size(words) - 1
-        what = F.when(title, F.lit(None).cast("string")).when(last, "family").otherwise(F.coalesce(known, F.concat(F.lit("name-"), F.coalesce(gender, F.lit("n")))))
+        # an unknown word inside a name is a family name like the last one, so both have one surrogate
+        unknown = F.when(gender.isNull(), "family").otherwise(F.concat(F.lit("name-"), gender))
+        what = F.when(title | w.rlike(r"^\p{Lu}\.$"), F.lit(None).cast("string")).when(last, "family").otherwise(F.coalesce(known, unknown))
         return F.struct(what.alias("kind"), F.lower(w).alias("norm"), w.alias("word"))
 
     return F.when(kind == "person", F.transform(words, word)).otherwise(F.array(F.struct(kind.alias("kind"), plain.alias("norm"), raw.alias("word"))))
@@ -146,6 +159,12 @@ def _hexadecimal(text: Column, seed: Column) -> Column:
     return F.substring(_stream(seed, F.length(text)), F.lit(1), F.length(text))
 
 
+def _hexadecimal_groups(text: Column, seed: Column) -> Column:
+    """Every character but the colons replaced by a hexadecimal digit."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return _let(_stream(seed, F.length(text)), lambda hexes: F.array_join(F.transform(letters, lambda c, i: F.when(c == ":", c).otherwise(F.substring(hexes, i + 1, F.lit(1)))), ""))
+
+
 def _luhn_sum(digits: Column) -> Column:
     n = F.length(digits)
     each = F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), lambda c, i: F.when((n - i) % 2 == 0, F.when(c.cast("int") > 4, 2 * c.cast("int") - 9).otherwise(2 * c.cast("int"))).otherwise(c.cast("int")))
@@ -198,7 +217,7 @@ def _surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     octets = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (F.conv(F.substring(F.sha2(seed, 256), 4 * i + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string"))
     country = F.substring_index(norm, " ", 1)
     phone = F.when(norm.startswith("+"), F.concat(country, F.lit(" "), _same_kind(F.substring_index(norm, " ", -1), seed))).otherwise(_same_kind(norm, seed))
-    out = F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "phone", phone).when(kind == "card", _card(norm, seed))
+    out = F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "ip6", _hexadecimal_groups(norm, seed)).when(kind == "phone", phone).when(kind == "card", _card(norm, seed))
     out = out.when(kind == "token", _hexadecimal(grown, seed)).when(kind == "iban", F.concat(F.substring(norm, 1, 2), _same_kind(F.substring(norm, F.lit(3), F.length(norm)), seed))).when(kind == "ssn", _same_kind(norm, seed))
     for (g, script), names in GIVEN.items():
         out = out.when(kind == f"given-{g}-{script}", _rotated(norm, names, key))
@@ -220,14 +239,57 @@ def _written(word: Column, kind: Column, norm: Column, surrogate: Column) -> Col
     same = F.array_join(F.transform(letters, one), "")
     same_shape = F.length(F.regexp_replace(word, _ALNUM, "")) == F.length(core)
     # a key has the case of the whole: letters may stand where the real one has digits
-    shaped = F.when(kind.isin("ip", "token"), F.when(upper, F.upper(surrogate)).otherwise(surrogate)).when(same_shape, same).otherwise(F.when(upper, F.upper(surrogate)).otherwise(surrogate))
+    shaped = F.when(kind.isin("ip", "ip6", "token"), F.when(upper, F.upper(surrogate)).otherwise(surrogate)).when(same_shape, same).otherwise(F.when(upper, F.upper(surrogate)).otherwise(surrogate))
     return F.when(kind.isNull(), word).when(kind.rlike("^(given|name|family)"), name).otherwise(shaped)
 
 
+#: Entities of one form trade places when there are more than one in so many of its possible values.
+CROWDED = 4
+
+
+def _space(kind: Column, norm: Column) -> Column:
+    """(name, size) of the values that a surrogate of a fixed form can have; null for kinds whose surrogates grow."""
+    shape = F.regexp_replace(F.regexp_replace(norm, "[A-Z]", "A"), r"\d", "9")
+    digits = F.length(F.regexp_replace(norm, r"\D", ""))
+    ten = lambda n: F.pow(F.lit(10.0), n)
+    country = F.when(norm.startswith("+"), F.substring_index(norm, " ", 1)).otherwise("")
+    local = F.length(F.substring_index(norm, " ", -1))
+    valid = _luhn_sum(norm) % 10 == 0
+    named = lambda size, *facts: F.struct(F.concat_ws("|", kind, *facts).alias("space"), size.cast("double").alias("size"))
+    return (
+        F.when(kind == "phone", named(ten(local), country, local.cast("string")))
+        .when(kind == "ssn", named(ten(digits)))
+        .when(kind == "ip", named(F.lit(254.0**4)))
+        .when(kind == "ip6", named(F.pow(F.lit(16.0), F.length(F.regexp_replace(norm, ":", ""))), F.regexp_replace(norm, "[0-9a-f]", "0")))
+        .when(kind == "card", named(ten(digits - F.when(valid, 2).otherwise(1)), F.substring(norm, 1, 1), digits.cast("string"), valid.cast("string")))
+        .when(kind == "iban", named(ten(digits) * F.pow(F.lit(26.0), F.length(norm) - digits - 2), F.substring(norm, 1, 2), shape))
+    )
+
+
+def _traded(real: DataFrame, key: str) -> DataFrame:
+    """``kind, norm, surrogate`` of the entities whose form has few free values: each takes the next one's place in a keyed order."""
+    placed = real.select("kind", "norm", _space(F.col("kind"), F.col("norm")).alias("s")).filter("s is not null").select("kind", "norm", "s.*")
+    crowd = cut_lineage(placed.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).filter(F.col("n") * CROWDED > F.col("size")).select("space", "n"))
+    if not crowd.take(1):
+        return real.filter("false").withColumn("surrogate", F.col("norm"))
+    inside = placed.select("kind", "norm", "space").join(broadcast_if_small(crowd, SMALL), "space").withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), F.lit("trade"), "norm"), 256))
+    ranked = cut_lineage(group_row_number(inside, ["space"], ["h", "norm"]))
+    after = ranked.select("space", F.col("rn").alias("at"), F.col("norm").alias("surrogate"))
+    return cut_lineage(ranked.withColumn("at", F.col("rn") % F.col("n") + 1).join(after, ["space", "at"]).select("kind", "norm", "surrogate"))
+
+
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """``kind, norm, surrogate`` of distinct ``entities (kind, norm)``: distinct within a kind, and none a real entity of it."""
+    """``kind, norm, surrogate`` of distinct ``entities (kind, norm)``: distinct within a kind, and none a real entity of it.
+
+    Entities that fill more than a quarter of the values of their form (all
+    phone numbers of four digits, say) trade places by a keyed order, as the names of
+    a known list do: distinct, and never their own, but real ones of others. So
+    a round settles at least half of what is open, and the rounds end.
+    """
     real = cut_lineage(entities.select("kind", "norm"))
-    settled = cut_lineage(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.lit(0), key)))
+    traded = _traded(real, key)
+    free = real.join(traded.select("kind", "norm"), ["kind", "norm"], "left_anti")
+    settled = cut_lineage(free.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.lit(0), key)))
     taken = real.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("is_real"))
     while True:
         keeper = settled.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("keeper"), F.count(F.lit(1)).alias("n"))
@@ -235,7 +297,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         clash = keeper.join(taken, ["kind", "surrogate"], "left").filter("n > 1 or (is_real and kind not like 'given-%')").select("kind", "surrogate", F.when(F.col("is_real"), F.lit(None)).otherwise(F.col("keeper.norm")).alias("stays"))
         clash = cut_lineage(clash)
         if not clash.take(1):
-            return settled.select("kind", "norm", "surrogate")
+            return settled.select("kind", "norm", "surrogate").unionByName(traded)
         again = settled.join(clash, ["kind", "surrogate"], "left_semi").join(clash, ["kind", "surrogate"]).filter("not (norm <=> stays)").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
         again = cut_lineage(again.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)))
         settled = cut_lineage(settled.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti").unionByName(again))
@@ -246,7 +308,8 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     ``entities`` lists the mentions in order as (kind, surrogate): the kind and
     the text that stands there now; empty if there are none. Null and empty
-    texts stay as they are. Repeated rows give repeated results; a column named
+    texts stay as they are, very long ones are read whole. A later mention of a person by
+    one word only is not found. Repeated rows give repeated results; a column named
     ``entities`` is replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession

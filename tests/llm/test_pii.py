@@ -72,6 +72,31 @@ def test_surrogates_stay_distinct_in_a_crowded_space(spark):
     assert {tuple(r) for r in other} != {tuple(r) for r in got}
 
 
+def test_full_spaces_trade_places(spark):
+    rows = [("phone", f"+49 {i:04d}") for i in range(10_000)] + [("phone", f"+33 {i:06d}") for i in range(200)] + [("ip6", f"::{i:x}") for i in range(16)] + [("phone", f"{i:07d}") for i in range(50)]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    assert sorted((r["kind"], r["norm"]) for r in got) == sorted(rows)
+    assert len({(r["kind"], r["surrogate"]) for r in got}) == len(rows) and all(r["surrogate"] != r["norm"] for r in got)
+    sparse = [r for r in got if r["norm"].startswith("+33") or len(r["norm"]) == 7 and r["norm"].isdigit()]
+    assert len(sparse) == 250 and not {r["surrogate"] for r in sparse} & {n for _, n in rows}
+    assert all(r["surrogate"][:4] == "+49 " and len(r["surrogate"]) == 8 for r in got if r["norm"].startswith("+49"))
+
+
+def test_other_written_forms(spark):
+    forms = {
+        "+14155552671": r"\+1\d{10}", "+49 1701234567": r"\+49 \d{10}", "555.123.4567": r"\d{3}\.\d{3}\.\d{4}", "(555)123-4567": r"\(\d{3}\)\d{3}-\d{4}", "1-800-555-1234": r"\d-\d{3}-\d{3}-\d{4}",
+        "3782 822463 10005": r"3\d{3} \d{6} \d{5}", "2001:db8::8a2e:370:7334": r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}", "a" * 200: "[0-9a-f]{200}",
+        "John O'Brien": r"\w+ \w+", "James T. Kirk": r"\w+ T\. \w+", "Mary Jane Watson": r"\w+ \w+ \w+", "Anna Smith-Jones": r"\w+ \w+",
+    }
+    got = replaced(spark, *[f"see {f}, as it is" for f in forms])
+    for (form, shape), text in zip(forms.items(), got):
+        assert form not in text and re.fullmatch(rf"see {shape}, as it is", text), (form, text)
+    a, b = replaced(spark, "call +1 415 555 2671", "call +14155552671")
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "14155552671"
+    same = ["std::abc at 12:30:45, ratio 3:4", "+++ 1.234.567 and 12.5", "version 2.10.1, a::b"]
+    assert replaced(spark, *same) == same
+
+
 def test_odd_rows(spark):
     rows = [*edge_rows(), (20, "a@b.co a@b.co"), (20, "a@b.co a@b.co"), (None, "x 1.2.3.4"), (21, "1.2.3.4.5 99999999999999999999 a@b @c.de 1.2.3.999")]
     docs = documents(spark, rows)
