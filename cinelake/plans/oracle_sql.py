@@ -269,11 +269,12 @@ oracle(
 )
 for _key in ("ease_weights", "ease_weights_solved"):
     oracle(_key, "SELECT src_item, dst_item, round_even(w, 9) AS w FROM m_w", model_ctes())
-oracle(
-    "ease_recommend",
-    f"SELECT t.request_id, t.item_id, t.score, t.rank, nm.title, nm.popularity, nm.imdb_id FROM r_top t {NAMES}",
-    model_ctes() + recommend_ctes(REQ, 10),
-)
+for _key in ("ease_recommend", "ease_recommend_early"):
+    oracle(
+        _key,
+        f"SELECT t.request_id, t.item_id, t.score, t.rank, nm.title, nm.popularity, nm.imdb_id FROM r_top t {NAMES}",
+        model_ctes() + recommend_ctes(REQ, 10),
+    )
 oracle("popular_fallback", "SELECT * FROM samp", [("samp", POPULAR_SAMPLE.format(top=100, k=10))])
 oracle(
     "recommend",
@@ -774,6 +775,20 @@ TARGETS = CORPUS + ROUNDS + [
     ("targets", "SELECT *, 'target' AS role FROM et_target UNION ALL SELECT *, 'sample' FROM et_sample"),
 ]
 oracle("eval_targets", "SELECT * FROM targets", TARGETS)
+oracle(
+    "evaluation_prompts",
+    f"""SELECT *, ratings_prompt || ' Currently, I''m in a mood for ' || target_description AS full_prompt FROM (
+          SELECT t.user_id, coalesce(s.lines_, '') AS ratings_text, coalesce(s.told_, '') AS ratings_prompt,
+                 m.title AS target_title, 'something like ' || m.title AS target_description
+          FROM targets t JOIN v_movies m ON m.item_id = t.item_id
+          LEFT JOIN (SELECT t.user_id, string_agg({FIRST_ALIAS} || ': ' || CAST(t.rating AS VARCHAR) || chr(10), '' ORDER BY t.item_id) AS lines_,
+                            'I ' || string_agg(CASE WHEN t.rating >= 4 THEN 'loved ' WHEN t.rating >= 2.5 THEN 'liked ' ELSE 'did not like ' END
+                                               || {FIRST_ALIAS}, ', ' ORDER BY t.item_id) || '.' AS told_
+                     FROM targets t JOIN v_movies m ON m.item_id = t.item_id WHERE t.role = 'sample' GROUP BY t.user_id) s
+            ON s.user_id = t.user_id
+          WHERE t.role = 'target')""",
+    TARGETS,
+)
 
 T_REQ = "SELECT user_id AS request_id, item_id, rating FROM targets WHERE role = 'sample'"
 EXPERIMENT = unique_ctes(

@@ -110,6 +110,17 @@ def model(spark: SparkSession, d: str, lam: float = LAMBDA, implicit: bool = Fal
     return _MODELS[key]
 
 
+def model_lists(spark: SparkSession, d: str) -> str:
+    """Folder with the model's weight lists by level (``operators/early.py``), written once per session."""
+    from cinelake.operators import early
+    from cinelake.session import shared_path
+
+    key = (session_key(spark), d, "lists")
+    if key not in _MODELS:
+        _MODELS[key] = early.write_lists(model(spark, d)[1], shared_path(spark, "lists"))
+    return _MODELS[key]
+
+
 def gram_parts(spark: SparkSession, d: str, implicit: bool = False) -> tuple[DataFrame, int, DataFrame]:
     """(item index, n, Gram entries) of the train split; they do not depend on lambda, so they are
     built and stored once per session and shared by every fit and by the Gram queries."""

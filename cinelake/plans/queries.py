@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinelake.operators import blend, curate, ease
+from cinelake.operators import blend, curate, early, ease
 from cinelake.plans import pipelines as P
 from cinelake.plans import views as V
 from cinelake.session import cut_lineage, session_key, shared_path, table
@@ -258,6 +258,14 @@ def ease_recommend(spark: SparkSession, d: str) -> DataFrame:
     return _names(_ease_top(spark, d, req, P.TOP_K), spark, d)
 
 
+@query
+def ease_recommend_early(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows from weight lists sorted by size, read only until a bound closes each request."""
+    req = V.request_ratings(spark, d).select("request_id", "item_id", "rating")
+    idx, w = P.model(spark, d)
+    return _names(early.recommend(req, idx, w, P.model_lists(spark, d), P.TOP_K), spark, d)
+
+
 @query
 def popular_fallback(spark: SparkSession, d: str) -> DataFrame:
     return popular_sample(V.movies(spark, d), POPULAR_K)
@@ -719,6 +727,49 @@ def eval_targets(spark: SparkSession, d: str) -> DataFrame:
     return _targets(spark, d)
 
 
+TELL, DESCRIBE = "first person", "description"  # the two kinds of external answers of an experiment
+
+
+def _experiment_client(kinds, contents):
+    """Bundled answers as an external client would give them: rating lines told in the first person, a title described."""
+
+    def answer(kind: str, content: str) -> str:
+        if kind == DESCRIBE:
+            return "something like " + content
+        told = []
+        for line in content.split("\n")[:-1]:
+            name, _, rating = line.rpartition(": ")
+            told.append(("loved " if float(rating) >= 4 else "liked " if float(rating) >= 2.5 else "did not like ") + name)
+        return f"I {', '.join(told)}." if told else ""
+
+    return [answer(kind, content) for kind, content in zip(kinds, contents)]
+
+
+@query
+def evaluation_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Per cohort user the texts of one experiment: sampled ratings, their first-person text, the target's title
+    and description, and the full prompt of both answers. The answers come through the ledger of external calls.
+
+    A user's sample has at most ``COHORT_SAMPLE`` rows; without one its texts are empty.
+    """
+    m = V.movies(spark, d).select("item_id", "title", TX.first_alias("title").alias("_name"))
+    named = _targets(spark, d).join(m, "item_id")
+    line = F.concat("_name", F.lit(": "), F.col("rating").cast("string"), F.lit("\n"))
+    lines = F.array_sort(F.collect_list(F.struct("item_id", line.alias("_line"))))
+    sample = named.where(F.col("role") == "sample").groupBy("user_id").agg(F.array_join(F.transform(lines, lambda x: x["_line"]), "").alias("_text"))
+    target = named.where(F.col("role") == "target").select("user_id", F.col("title").alias("target_title"))
+    texts = cut_lineage(target.join(sample, "user_id", "left").select("user_id", F.coalesce("_text", F.lit("")).alias("ratings_text"), "target_title"))
+    ask = lambda kind, content: F.struct(F.lit(kind).alias("preferences"), F.col(content).alias("plot"))
+    asked = texts.select("user_id", F.inline(F.array(ask(TELL, "ratings_text"), ask(DESCRIBE, "target_title"))))
+    answered = ledger.score_once(asked, _experiment_client, shared_path(spark, "ledger"), parts=LEDGER_PARTS)
+    both = answered.groupBy("user_id").agg(
+        F.max(F.when(F.col("preferences") == TELL, F.col("answer"))).alias("ratings_prompt"),
+        F.max(F.when(F.col("preferences") == DESCRIBE, F.col("answer"))).alias("target_description"),
+    )
+    prompt = F.concat("ratings_prompt", F.lit(A.MOOD_SENTENCE), "target_description")
+    return texts.join(both, "user_id").withColumn("full_prompt", prompt)
+
+
 @V._stored
 def _experiment(spark: SparkSession, d: str) -> DataFrame:
     """Per cohort user: RS top-50 from the sampled ratings, plot-scored against a wish naming the target."""
