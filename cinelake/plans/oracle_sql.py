@@ -140,15 +140,16 @@ _stages = [
     ("train", "(SELECT * FROM c_split WHERE split = 'train')"),
     ("test", "(SELECT * FROM c_split WHERE split = 'test')"),
 ]
-oracle(
-    "corpus_stats",
-    "\nUNION ALL\n".join(
-        f"SELECT {i} AS stage_no, '{n}' AS stage, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, "
-        f"count(DISTINCT item_id) AS n_items FROM {t}"
-        for i, (n, t) in enumerate(_stages)
-    ),
-    CORPUS,
-)
+for _key in ("corpus_stats", "corpus_sketches"):  # sketches of this few values are exact
+    oracle(
+        _key,
+        "\nUNION ALL\n".join(
+            f"SELECT {i} AS stage_no, '{n}' AS stage, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, "
+            f"count(DISTINCT item_id) AS n_items FROM {t}"
+            for i, (n, t) in enumerate(_stages)
+        ),
+        CORPUS,
+    )
 oracle(
     "tag_usage",
     """SELECT t.id AS tag_id, t.tag, CAST(u.total AS BIGINT) AS total,

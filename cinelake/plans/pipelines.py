@@ -76,6 +76,31 @@ def corpus_stages(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     ]
 
 
+def observed_corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(split, sketches per stage): the corpus written stage by stage, its statistics observed by the
+    writing jobs, so that no stage is scanned again to be counted (``operators/sketches.py``)."""
+    from cinelake.operators import sketches as SK
+    from cinelake.session import cut_lineage
+
+    seen = []
+
+    def watch(name: str, df: DataFrame, only=None) -> DataFrame:
+        df, found = SK.observed(df, only)
+        seen.append((name, found))
+        return df
+
+    movies = V.clean_titles(spark, d)
+    raw = watch("raw", V.ratings_raw(spark, d))
+    dedup = cut_lineage(watch("dedup", V.first_ratings(spark, d, raw)))
+    titled = cut_lineage(watch("titled", dedup.join(movies.select("item_id"), "item_id", "left_semi")))
+    recent = cut_lineage(watch("active", curate.active_users(titled, movies, MIN_YEAR)))
+    kept = cut_lineage(watch("popular", curate.popular_items(recent, MIN_ITEM_RATINGS)))
+    parts = curate.train_test_split(kept, TEST_USERS, TEST_MIN_RATINGS, SEED)
+    for part in ("train", "test"):
+        parts = watch(part, parts, F.col("split") == part)
+    return cut_lineage(parts), SK.collected(spark, seen)
+
+
 # ---------------------------------------------------------------- model
 
 LAMBDA = 50.0

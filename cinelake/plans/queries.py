@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinelake.operators import blend, curate, early, ease
+from cinelake.operators import blend, curate, early, ease, sketches
 from cinelake.plans import pipelines as P
 from cinelake.plans import views as V
 from cinelake.session import cut_lineage, session_key, shared_path, table
@@ -190,6 +190,12 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return curate.corpus_stats(P.corpus_stages(spark, d))
 
 
+@query
+def corpus_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """The same statistics from sketches that the jobs writing the corpus observe (users and items estimated)."""
+    return sketches.estimates(P.observed_corpus(spark, d)[1])
+
+
 @query
 def tag_usage(spark: SparkSession, d: str) -> DataFrame:
     return curate.tag_usage(V.tags(spark, d), V.tag_count(spark, d))

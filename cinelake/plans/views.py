@@ -126,9 +126,12 @@ def ratings(spark: SparkSession, d: str) -> DataFrame:
     The order is packed into one number (a hash aggregate) where the widths of
     the fields allow it, and is a struct otherwise; the rows are the same.
     """
+    return first_ratings(spark, d, ratings_raw(spark, d))
+
+
+def first_ratings(spark: SparkSession, d: str, raw: DataFrame) -> DataFrame:
     from cinelake.operators.curate import dedup_first
 
-    raw = ratings_raw(spark, d)
     li = table(spark, d, "lineitem")
     fits = F.coalesce(F.bool_and(packable()), F.lit(True))
     if li.agg(fits).first()[0]:
