@@ -17,13 +17,18 @@ __all__ = ["arrow_map", "cut_lineage", "ensure_checkpoint_dir", "fresh", "share"
 
 
 def worker_memo(key: str, make: Callable[[], object]) -> object:
-    """A value built once per Python worker process.
+    """A value built once per Python worker process, while no other operator's tasks come in between.
 
     The package is pickled by value, so its own globals start anew with each
     task; the memo hangs on ``sys``, which outlives a task in a reused worker.
+    The part of ``key`` before the first dot names the operator: a worker that
+    goes on to another one lets go of the values of the last.
     """
     memo = sys.__dict__.setdefault("_cinelake_worker_memo", {})
     if key not in memo:
+        owner = key.split(".")[0]
+        for other in [k for k in memo if k.split(".")[0] != owner]:
+            del memo[other]
         memo[key] = make()
     return memo[key]
 
@@ -33,7 +38,8 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
 
     A broadcast object is pickled by reference to its class, which an executor
     without the package cannot import. So it goes as bytes that hold the class
-    too, and a worker process builds it once (it keeps the last one).
+    too, and a worker process builds it once (it keeps the last one, and lets
+    go of what operators before it kept in ``worker_memo``).
     """
     sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
 
@@ -41,6 +47,7 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
         kept = sys.__dict__.setdefault("_cinelake_shared", {})
         if key not in kept:
             kept.clear()
+            sys.__dict__.get("_cinelake_worker_memo", {}).clear()
             kept[key] = pickle.loads(sent.value)
         return kept[key]
 

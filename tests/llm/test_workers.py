@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from cinelake.llm import langid, toxicity
+from cinelake.llm import common, langid, toxicity
 from tests.llm.tools import documents
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -58,3 +58,17 @@ def test_one_id_on_a_third_of_all_rows_toxicity(spark):
     assert toxicity.labelled(docs, labels, F.lit(True), 10**6).count() == 3000 + 2998
     found = toxicity.scores(docs, toxicity.fit(docs, labels, F.lit(True), 400))
     assert found.filter("doc_id = 1 and predicted = 0").count() == found.filter("doc_id <> 1 and predicted = 1").count() == 0
+
+
+def test_a_worker_lets_go_of_the_last_operators_values(spark, monkeypatch):
+    monkeypatch.setattr(sys, "_cinelake_worker_memo", {}, raising=False)
+    monkeypatch.setattr(sys, "_cinelake_shared", {}, raising=False)
+    made = []
+    build = lambda key: common.worker_memo(key, lambda: made.append(key) or key)
+    assert [build(k) for k in ("bpe.a", "bpe.b", "bpe.a")] == ["bpe.a", "bpe.b", "bpe.a"] and made == ["bpe.a", "bpe.b"]
+    build("langid.letters")
+    assert list(sys._cinelake_worker_memo) == ["langid.letters"]
+    get = common.share(spark, {"a lexicon": 1})
+    assert get() == {"a lexicon": 1} and not sys._cinelake_worker_memo
+    build("langid.letters")
+    assert get() == {"a lexicon": 1} and list(sys._cinelake_worker_memo) == ["langid.letters"]  # both stay, batch by batch
