@@ -912,8 +912,7 @@ def scan_plots_csv(spark: SparkSession, d: str) -> DataFrame:
 def scan_user_files(spark: SparkSession, d: str) -> DataFrame:
     """Per-user files of two kinds in one folder; those of one suffix are listed, read whole and sorted by user."""
     texts = ratings_text(spark, d).select(F.col("request_id").alias("user_id"), F.col("ratings_text").alias("content"), F.col("full_prompt"))
-    folder = io.write_user_files(texts, shared_path(spark, "user_files"), "sample_textual.txt")
-    io.write_user_files(texts.select("user_id", F.col("full_prompt").alias("content")), folder, "full_prompt.txt")
+    folder = io.write_user_kinds(texts, shared_path(spark, "user_files"), {"sample_textual.txt": "content", "full_prompt.txt": "full_prompt"})
     return io.read_user_files(spark, folder, "sample_textual.txt")
 
 

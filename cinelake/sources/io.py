@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import re
-from collections.abc import Callable
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinelake.sources import once
 
+# Subfolders of the per-user files, and files read into one batch.
+USER_FOLDERS = 1024
+FILES_PER_BATCH = 1000
+
 RATINGS_SCHEMA = T.StructType(
     [
         T.StructField("item_id", T.LongType()),
@@ -151,27 +161,93 @@ def read_posters(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("item", F.posexplode("posters").alias("pos", "p")).select("item", "pos", "p.*")
 
 
+def _shared_disk(spark: SparkSession, folder: str) -> str | None:
+    """The folder's plain path if the session's file system for it is a mounted disk, else None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _user_folder(root: str, number: int) -> str:
+    return f"{root}/users={number:04d}"
+
+
 def write_user_files(df: DataFrame, folder: str, suffix: str, key: str = "user_id", col: str = "content") -> str:
-    """Per-user text files under ``<folder>/file=<user_id>_<suffix>/``, the text written as is.
+    """Per-user text files ``<user_id>_<suffix>`` under ``folder``, the text written as is.
 
     One small file per user by definition; ``write_user_table`` is the form for
     many users.
     """
-    named = df.select(F.concat(F.col(key).cast("string"), F.lit(f"_{suffix}")).alias("file"), col)
-    named.repartition("file").write.mode("append").partitionBy("file").text(folder)
+    return write_user_kinds(df, folder, {suffix: col}, key)
+
+
+def write_user_kinds(df: DataFrame, folder: str, kinds: dict[str, str], key: str = "user_id") -> str:
+    """Per-user text files of several kinds (suffix -> column) in one pass over the rows.
+
+    On a mounted disk the tasks write the files themselves, spread over
+    ``USER_FOLDERS`` subfolders: Hadoop's local file system starts a ``chmod``
+    process per folder and file and adds a checksum file, and the commit moves every file on
+    the driver. Elsewhere Spark's text writer puts each into a folder of its own.
+    Texts of a repeated user are lines of one file.
+    """
+    root = _shared_disk(df.sparkSession, folder)
+    if root is None:
+        for suffix, col in kinds.items():
+            named = df.select(F.concat(F.col(key).cast("string"), F.lit(f"_{suffix}")).alias("file"), col)
+            named.repartition("file").write.mode("append").partitionBy("file").text(folder)
+        return folder
+    suffixes = list(kinds)
+    texts = [F.array_join(F.collect_list(F.coalesce(F.col(c), F.lit(""))), "\n").alias(f"_{i}") for i, c in enumerate(kinds.values())]
+    rows = df.groupBy(key).agg(*texts).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_user"), *[f"_{i}" for i in range(len(suffixes))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        mark = uuid.uuid4().hex  # of this attempt: a file gets its name when it is whole
+        for batch in batches:
+            users, *cols = (c.cast(pa.binary()).to_pylist() for c in batch.columns)
+            for user, *values in zip(users, *cols):
+                at = _user_folder(root, zlib.crc32(user) % USER_FOLDERS)
+                if at not in made:
+                    os.makedirs(at, exist_ok=True)
+                    made.add(at)
+                for suffix, value in zip(suffixes, values):
+                    name = f"{quote(user, safe='')}_{suffix}"
+                    with open(f"{at}/.{mark}", "wb") as f:
+                        f.write(value)
+                    os.replace(f"{at}/.{mark}", f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([len(users)], pa.int64())], names=["n"])
+
+    rows.mapInArrow(task, "n long").agg(F.sum("n")).collect()
     return folder
 
 
 def read_user_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """The files of one suffix: (user_id, content), read whole, sorted by user.
 
-    The suffix selects the paths before anything is read, and the id comes from
-    the name. The text writer ends a file with a newline; it is removed again.
+    The suffix selects the names before anything is read, and the id comes from
+    the name. On a mounted disk each task lists and reads subfolders of its own.
     """
-    df = spark.read.text(f"{folder}/file=*_{suffix}", wholetext=True)
-    user = F.regexp_extract(F.col("_metadata.file_path"), rf"file=(\d+)_{re.escape(suffix)}/[^/]*$", 1)
-    rows = df.select(user.alias("user_id"), F.expr("substring(value, 1, length(value) - 1)").alias("content"))
-    return rows.where("user_id <> ''").withColumn("user_id", F.col("user_id").cast("long")).orderBy("user_id")
+    root = _shared_disk(spark, folder)
+    if root is None:
+        df = spark.read.text(f"{folder}/file=*_{suffix}", wholetext=True)
+        user = F.regexp_extract(F.col("_metadata.file_path"), rf"file=(\d+)_{re.escape(suffix)}/[^/]*$", 1)
+        # the text writer ends a file with a newline; it is removed again
+        rows = df.select(user.alias("user_id"), F.expr("substring(value, 1, length(value) - 1)").alias("content"))
+        return rows.where("user_id <> ''").withColumn("user_id", F.col("user_id").cast("long")).orderBy("user_id")
+    named = re.compile(rf"([0-9]+)_{re.escape(suffix)}", re.ASCII)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in (n for batch in batches for n in batch.column(0).to_pylist()):
+            at = _user_folder(root, number)
+            found = [m for m in map(named.fullmatch, os.listdir(at)) if m] if os.path.isdir(at) else []
+            for i in range(0, len(found), FILES_PER_BATCH):
+                part = found[i : i + FILES_PER_BATCH]
+                texts = [pathlib.Path(at, m.group()).read_bytes() for m in part]
+                yield pa.RecordBatch.from_arrays([pa.array([m.group(1) for m in part]), pa.array(texts, pa.binary()).cast(pa.string())], names=["user_id", "content"])
+
+    tasks = min(USER_FOLDERS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spark.range(0, USER_FOLDERS, 1, tasks).mapInArrow(task, "user_id string, content string")
+    return rows.withColumn("user_id", F.col("user_id").cast("long")).orderBy("user_id")
 
 
 def write_user_table(df: DataFrame, path: str, key: str = "user_id") -> str:
