@@ -5,12 +5,10 @@ diagonal, sparsified to the entries with |B| >= the q-th percentile of all n^2
 values, and requests scored as sum(rating * B) over the sparse weights.
 
 Scale notes
-- Gram: self-join of the stored interaction rows on user.  A user with more
-  than SALT_CHUNK items is split into ``ceil(degree / SALT_CHUNK)`` salt buckets
-  and only the other side of that user is replicated to every bucket, so a
-  user holding a huge share of the rows is spread over many tasks.  Pair
-  products are combined map-side (partial aggregation) before the shuffle on
-  (i, j), and the lower triangle is mirrored in the same pass.
+- Gram: packed user rows go to cells of items that begin about as many pairs each,
+  and are multiplied there a few rows of G at a time (``cells.py``). No pair of
+  items is shuffled, except for items that alone begin too many pairs for a task,
+  which several tasks share; the lower triangle is mirrored in the same pass.
 - Inverse: blocked Gauss-Jordan over (bi, bj) blocks of a b x b float64 array,
   one round per block row; every round is joins plus a numpy kernel per block in
   ``mapInPandas``, stored in the shared folder, over the same number of partitions.  Neither the driver nor a single
@@ -36,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinelake.operators import cells
 from cinelake.operators.indexing import dense_index, running_sum
 from cinelake.session import broadcast_if_small, cut_lineage, dealt, shared_path, stored
 from cinelake.sources import once
@@ -43,7 +42,10 @@ from cinelake.sources import once
 # Fixed values of the model as published: default lambda 0.5, 98th percentile sparsity.
 DEFAULT_LAMBDA = 0.5
 DEFAULT_SPARSITY = 98
+# A user's items in a step of the Gram product: its square bounds the pairs multiplied at once.
 SALT_CHUNK = 2048
+# Gram entries of the upper triangle that are stored (about 12 bytes each).
+MAX_STORED_GRAM = 100_000_000
 BLOCK = 512
 # Blocks that one task holds (a batch of them, with their two panel blocks, is about 100 MB).
 TASK_BLOCKS = 16
@@ -100,34 +102,31 @@ def gram(ratings: DataFrame, index: DataFrame, implicit: bool = False) -> DataFr
     per rating; repeated (user, item) ratings add up in both modes. Sums of
     products are taken over the unscaled ratings and divided once at the end.
 
-    X (one row per user and item) is stored before anything reads it. Users with more
-    than ``SALT_CHUNK`` items are split into salt buckets (only those users
-    are looked up, through a size-checked table); each bucket meets the user's
-    whole row, so a user holding a huge share of the rows is spread over many
-    tasks. Pair products are combined map-side before the shuffle on (i, j),
-    and the lower triangle is mirrored from the upper one in the same pass.
+    Null ratings count for nothing beside others, and a user's null entry makes
+    its pairs null, which count for nothing either.
+
+    The user rows are packed and stored before anything reads them, go to cells of
+    items, and are multiplied there (``cells.py``), so pairs of items are not shuffled.
+    The lower triangle is mirrored from the upper one in the same pass.
     """
-    x = interactions(ratings, index, implicit)
-    deg = x.groupBy("user_id").agg(F.count(F.lit(1)).alias("_deg"))
-    heavy = deg.where(F.col("_deg") > SALT_CHUNK).select("user_id", F.ceil(F.col("_deg") / SALT_CHUNK).cast("int").alias("_ns"))
-    xs = x.join(broadcast_if_small(heavy, MAX_BROADCAST_ITEMS), "user_id", "left").select(
-        "user_id", "idx", "v", F.coalesce(F.col("_ns"), F.lit(1)).alias("_ns")
-    )
-    left = xs.select("user_id", F.col("idx").alias("i"), F.col("v").alias("vi"), F.pmod(F.col("idx"), F.col("_ns")).alias("_s"))
-    right = xs.select(
-        "user_id",
-        F.col("idx").alias("j"),
-        F.col("v").alias("vj"),
-        F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_ns") - 1).cast("long"))).alias("_s"),
-    )
-    pairs = left.join(right, ["user_id", "_s"]).where(F.col("i") <= F.col("j"))
-    upper = pairs.groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("gi"))
+    return mirrored(_upper(ratings, index, implicit)[0])
+
+
+def _upper(ratings: DataFrame, index: DataFrame, implicit: bool) -> tuple[DataFrame, int]:
+    """(the upper triangle of G as (i, j, g), a bound of its rows)."""
+    dictionary = broadcast_if_small(index.select("item_id", "idx"), MAX_BROADCAST_ITEMS)
+    value = F.lit(1.0) if implicit else F.col("rating")
+    n = (index.agg(F.max("idx")).first()[0] or 0) + 1
+    packed = cells.pack(ratings.join(dictionary, "item_id").select("user_id", "idx", value.alias("v")), n)
+    rows, most = cells.upper(packed, n, min(SALT_CHUNK * SALT_CHUNK, CELLS))
     top = rating_scale(ratings, implicit)
-    g = F.col("gi") / F.lit(top * top)
-    both = F.when(
-        F.col("i") < F.col("j"),
-        F.array(F.struct(F.col("i"), F.col("j"), g.alias("g")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), g.alias("g"))),
-    ).otherwise(F.array(F.struct(F.col("i"), F.col("j"), g.alias("g"))))
+    return rows.select("i", "j", (F.col("gi") / F.lit(top * top)).alias("g")), most
+
+
+def mirrored(upper: DataFrame) -> DataFrame:
+    """Both triangles from the upper one."""
+    i, j, g = F.col("i"), F.col("j"), F.col("g")
+    both = F.when(i < j, F.array(F.struct(i, j, g), F.struct(j.alias("i"), i.alias("j"), g))).otherwise(F.array(F.struct(i, j, g)))
     return upper.select(F.inline(both))
 
 
@@ -401,9 +400,15 @@ def exact_percentile(values: DataFrame, col: str, q: float) -> float:
 
 
 def prepare(ratings: DataFrame, implicit: bool = False) -> tuple[DataFrame, int, DataFrame]:
-    """(item index, n, stored Gram entries): the lambda-independent part of a fit."""
+    """(item index, n, Gram entries): the lambda-independent part of a fit.
+
+    The upper triangle is stored while it cannot have more than ``MAX_STORED_GRAM``
+    rows. Beyond, every reader multiplies the stored user rows anew, as the
+    triangle would take more disk than they and their way to the cells.
+    """
     idx = cut_lineage(item_index(ratings))
-    return idx, idx.count(), stored(gram(ratings, idx, implicit), "gram")
+    upper, most = _upper(ratings, idx, implicit)
+    return idx, idx.count(), mirrored(stored(upper, "gram") if most <= MAX_STORED_GRAM else upper)
 
 
 def fit(
